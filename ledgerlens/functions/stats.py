@@ -42,8 +42,12 @@ def weekday_mon0(c: str | Column) -> Column:
 
 
 def half_even(c: str | Column, digits: int = 2) -> Column:
-    """NumPy/pandas ``round``: half to even."""
-    return F.bround(col(c), digits)
+    """NumPy/pandas ``round`` (T10): scale by 10^d in double arithmetic, round
+    half to even to an integer, scale back — the same steps as ``np.round``.
+    (``bround(x, d)`` alone rounds the exact binary value of x, which differs
+    from NumPy when x·10^d lands exactly on .5 after the multiply.)"""
+    scale = float(10 ** digits)
+    return F.bround(col(c).cast("double") * F.lit(scale), 0) / F.lit(scale)
 
 
 def sample_skewness(n: Column, g1: Column) -> Column:
