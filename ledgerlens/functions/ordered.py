@@ -74,9 +74,21 @@ def _combine(how: str, a: np.ndarray, carry: float) -> np.ndarray:
     return np.where(np.isnan(a), carry, a)
 
 
-def _local_pass(group_cols: Sequence[str], value_cols: Sequence[str], out_cols: Sequence[str], how: str,
+def _local_pass(group_cols: Sequence[str], value_cols: Sequence[str], out_cols: Sequence[str], hows: Sequence[str],
                 exclusive: bool = False):
-    group_cols, value_cols, out_cols = list(group_cols), list(value_cols), list(out_cols)
+    group_cols, value_cols, out_cols, hows = list(group_cols), list(value_cols), list(out_cols), list(hows)
+
+    def running_values(vals: pd.DataFrame, seg: np.ndarray) -> pd.DataFrame:
+        out = {}
+        for c, how in zip(value_cols, hows):
+            s = vals[c]
+            if how == "sum":
+                out[c] = s.fillna(0.0).groupby(seg, sort=False).cumsum()
+            elif how == "max":
+                out[c] = s.groupby(seg, sort=False).cummax().groupby(seg, sort=False).ffill()
+            else:
+                out[c] = s.groupby(seg, sort=False).ffill()
+        return pd.DataFrame(out, index=vals.index)
 
     def run(batches):
         carry_key = None
@@ -95,20 +107,14 @@ def _local_pass(group_cols: Sequence[str], value_cols: Sequence[str], out_cols:
                 first_key = _row_key(pdf, group_cols, 0)
             seg = _segments(pdf, group_cols)
             vals = pdf[value_cols].astype("float64")
-            grouped = vals.groupby(seg, sort=False)
-            if how == "sum":
-                run_vals = vals.fillna(0.0).groupby(seg, sort=False).cumsum()
-            elif how == "max":
-                run_vals = grouped.cummax().groupby(seg, sort=False).ffill()
-            else:
-                run_vals = grouped.ffill()
+            run_vals = running_values(vals, seg)
             # rows of the first segment continue the group open at the border
             head = seg == seg[0]
             continues = carry is not None and _same_key(carry_key, _row_key(pdf, group_cols, 0))
             if continues:
                 for j, c in enumerate(value_cols):
                     col = run_vals[c].to_numpy(copy=True)
-                    col[head] = _combine(how, col[head], carry[j])
+                    col[head] = _combine(hows[j], col[head], carry[j])
                     run_vals[c] = col
             emit_vals = run_vals
             if exclusive:
@@ -157,7 +163,7 @@ def _local_pass(group_cols: Sequence[str], value_cols: Sequence[str], out_cols:
 
 
 def running(df: DataFrame, order_cols: Sequence[str | Column], value_cols: Sequence[str],
-            group_cols: Sequence[str] = (), how: str = "sum", out_cols: Sequence[str] | None = None,
+            group_cols: Sequence[str] = (), how: str | Sequence[str] = "sum", out_cols: Sequence[str] | None = None,
             num_partitions: int | None = None, exclusive: bool = False) -> DataFrame:
     """Running sum (``how="sum"``), running max (``"max"``) or last non-NULL
     value (``"last"``) of ``value_cols`` within ``group_cols``, in
@@ -170,10 +176,11 @@ def running(df: DataFrame, order_cols: Sequence[str | Column], value_cols: Seque
     tie semantics aggregate to distinct keys first.  Output columns are
     doubles.
     """
-    assert how in ("sum", "max", "last")
     group_cols = list(group_cols)
     value_cols = list(value_cols)
-    out_cols = list(out_cols or [f"{how}_{c}" for c in value_cols])
+    hows = [how] * len(value_cols) if isinstance(how, str) else list(how)
+    assert len(hows) == len(value_cols) and all(h in ("sum", "max", "last") for h in hows)
+    out_cols = list(out_cols or [f"{h}_{c}" for h, c in zip(hows, value_cols)])
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -184,18 +191,14 @@ def running(df: DataFrame, order_cols: Sequence[str | Column], value_cols: Seque
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields]
                           + [T.StructField(o, T.DoubleType(), True) for o in out_cols]
                           + [T.StructField(_KIND, T.IntegerType(), False)])
-    staged = cut_lineage(ranged.mapInPandas(_local_pass(group_cols, value_cols, out_cols, how, exclusive), schema))
+    staged = cut_lineage(ranged.mapInPandas(_local_pass(group_cols, value_cols, out_cols, hows, exclusive), schema))
 
     summary = staged.where(F.col(_KIND) == 1).select(_PID, *group_cols, *out_cols)
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     if group_cols:
         w = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    if how == "sum":
-        carries = [F.sum(o).over(w).alias(f"_c_{o}") for o in out_cols]
-    elif how == "max":
-        carries = [F.max(o).over(w).alias(f"_c_{o}") for o in out_cols]
-    else:
-        carries = [F.last(o, ignorenulls=True).over(w).alias(f"_c_{o}") for o in out_cols]
+    agg = {"sum": F.sum, "max": F.max, "last": lambda o: F.last(o, ignorenulls=True)}
+    carries = [agg[h](o).over(w).alias(f"_c_{o}") for h, o in zip(hows, out_cols)]
     offsets = summary.select(F.col(_PID).alias("_o_pid"),
                              *[F.col(c).alias(f"_o_{c}") for c in group_cols], *carries)
     data = staged.where(F.col(_KIND) == 0)
@@ -203,7 +206,7 @@ def running(df: DataFrame, order_cols: Sequence[str | Column], value_cols: Seque
     # offsets hold at most two rows per partition: a bound set by the plan, not the data
     joined = data.join(F.broadcast(offsets), reduce(lambda a, b: a & b, cond), "left")
     fixed = []
-    for o in out_cols:
+    for how, o in zip(hows, out_cols):
         if how == "sum":
             fixed.append((F.coalesce(F.col(o), F.lit(0.0)) + F.coalesce(F.col(f"_c_{o}"), F.lit(0.0))).alias(o))
         elif how == "max":
@@ -214,34 +217,38 @@ def running(df: DataFrame, order_cols: Sequence[str | Column], value_cols: Seque
     return joined.select(*keep, *fixed)
 
 
-def _with_group_size(cum: DataFrame, counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Attach ``_n`` (rows per group).  Without groups it is a scalar subquery,
-    evaluated once; with groups it is an equi-join on the group keys (AQE turns
-    it into a broadcast when the group table is small at run time)."""
+def _with_group_size(cum: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Attach ``_n`` (rows per group), summed from the checkpointed running
+    table (so the source is not read again).  Without groups it is a scalar
+    subquery, evaluated once; with groups an equi-join on the group keys (AQE
+    turns it into a broadcast when the group table is small at run time)."""
     if not group_cols:
-        return cum.withColumn("_n", counts.select(F.sum("_c")).scalar())
-    sizes = counts.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
+        return cum.withColumn("_n", cum.select(F.sum("_c")).scalar())
+    sizes = cum.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
     sizes = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in group_cols], "_n")
     cond = reduce(lambda a, b: a & b, [cum[c].eqNullSafe(sizes[f"_s_{c}"]) for c in group_cols])
     return cum.join(sizes, cond, "inner").drop(*[f"_s_{c}" for c in group_cols])
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
+                    weight_col: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default).
 
     One row per group; NULL and NaN values are ignored.  Work is spread by
     value range, so a group holding most rows is still split over many tasks;
     the only per-group state is a count per distinct value, aggregated
-    map-side first.
+    map-side first.  ``weight_col`` takes pre-aggregated row counts (a table
+    of distinct values with their multiplicity).
     """
     group_cols = list(group_cols)
     names = list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
     v = F.col(value_col).cast("double")
-    vals = df.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = vals.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    vals = df.select(*group_cols, v.alias("_v"), w.alias("_w")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = vals.groupBy(*group_cols, "_v").agg(F.sum("_w").alias("_c"))
     cum = running(counts, ["_v"], ["_c"], group_cols, "sum", ["_cum"])
-    both = _with_group_size(cum, counts, group_cols)
+    both = _with_group_size(cum, group_cols)
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -268,7 +275,7 @@ def tie_average_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] =
     counts = valid.groupBy(*group_cols, F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     order = [F.col("_v").desc()] if descending else [F.col("_v")]
     cum = running(counts, order, ["_c"], group_cols, "sum", ["_cum"])
-    ranked = _with_group_size(cum, counts, group_cols)
+    ranked = _with_group_size(cum, group_cols)
     ranked = ranked.select(*[F.col(c).alias(f"_r_{c}") for c in group_cols], F.col("_v").alias("_r_v"),
                            ((F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(out_col))
     cond = [df[value_col].eqNullSafe(ranked["_r_v"])] + [df[c].eqNullSafe(ranked[f"_r_{c}"]) for c in group_cols]

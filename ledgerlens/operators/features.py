@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.ordered import exact_quantiles, running, tie_average_rank
 from ledgerlens.functions.stats import clean_double, safe_div, unit_hash, weekday_mon0
+from ledgerlens.session import cut_lineage
 
 # Fixed values that must equal the reference's behaviour.
 HIGH_RISK_NATURES = ("Gift", "Entertainment", "Travel and Lodging")
@@ -164,8 +165,8 @@ def time_history(df: DataFrame, key: str = "recipient_id", date_col: str = "date
     daily = (df.where(F.col(key).isNotNull() & F.col(date_col).isNotNull())
                .groupBy(F.col(key).alias("_k"), day.alias("_day"))
                .agg(F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"), F.max(x).alias("_m")))
-    sums = running(daily, ["_day"], ["_n", "_s", "_q"], ["_k"], "sum", ["_cn", "_cs", "_cq"], exclusive=True)
-    both = running(sums, ["_day"], ["_m"], ["_k"], "max", ["_cm"], exclusive=True)
+    both = running(daily, ["_day"], ["_n", "_s", "_q", "_m"], ["_k"], ["sum", "sum", "sum", "max"],
+                   ["_cn", "_cs", "_cq", "_cm"], exclusive=True)
     n = F.col("_cn")
     var = F.when(n > 1, F.greatest((F.col("_cq") - F.col("_cs") * F.col("_cs") / n) / (n - 1), F.lit(0.0)))
     hist = both.select(F.col("_k"), F.col("_day"),
@@ -219,17 +220,23 @@ def peer_scores(df: DataFrame, value: str = "amount", peers: Sequence[str] = ("s
     src = df.withColumn("_x", x)
     mom = src.groupBy(*peers).agg(F.count("_x").alias("peer_n"), F.avg("_x").alias("peer_mean"),
                                   F.stddev_samp("_x").alias("peer_std"))
-    med = exact_quantiles(src, "_x", [0.5], peers, ["peer_median"])
-    g = mom.join(med, [mom[c].eqNullSafe(med[c]) for c in peers], "left").select(
-        *[mom[c] for c in peers], "peer_n", "peer_mean", "peer_std", "peer_median")
-    g = g.select(*[F.col(c).alias(f"_p_{c}") for c in peers], "peer_n", "peer_mean", "peer_std", "peer_median")
-    with_med = src.join(g, _and([src[c].eqNullSafe(g[f"_p_{c}"]) for c in peers]), "left").drop(
-        *[f"_p_{c}" for c in peers])
-    dev = with_med.withColumn("_d", F.abs(F.col("_x") - F.col("peer_median")))
-    mad = exact_quantiles(dev, "_d", [0.5], peers, ["peer_mad"])
+    # one pass over the rows: multiplicity of every (peer, value); the median
+    # and the MAD are then computed on that (much smaller) table
+    counts = cut_lineage(src.where(F.col("_x").isNotNull()).groupBy(*peers, "_x")
+                         .agg(F.count(F.lit(1)).alias("_c")))
+    med = exact_quantiles(counts, "_x", [0.5], peers, ["peer_median"], weight_col="_c")
+    med = med.select(*[F.col(c).alias(f"_m_{c}") for c in peers], "peer_median")
+    dev = counts.join(med, _and([counts[c].eqNullSafe(med[f"_m_{c}"]) for c in peers]), "inner")
+    dev = dev.select(*peers, F.abs(F.col("_x") - F.col("peer_median")).alias("_d"), "_c")
+    mad = exact_quantiles(dev, "_d", [0.5], peers, ["peer_mad"], weight_col="_c")
     mad = mad.select(*[F.col(c).alias(f"_q_{c}") for c in peers], "peer_mad")
-    out = with_med.join(mad, _and([with_med[c].eqNullSafe(mad[f"_q_{c}"]) for c in peers]), "left").drop(
-        *[f"_q_{c}" for c in peers])
+    stats = (mom.join(med, _and([mom[c].eqNullSafe(med[f"_m_{c}"]) for c in peers]), "left")
+                .join(mad, _and([mom[c].eqNullSafe(mad[f"_q_{c}"]) for c in peers]), "left")
+                .select(*[F.col(c).alias(f"_p_{c}") for c in peers], "peer_n", "peer_mean", "peer_std",
+                        "peer_median", "peer_mad"))
+    # one row per peer group; AQE broadcasts it when small at run time
+    out = src.join(stats, _and([src[c].eqNullSafe(stats[f"_p_{c}"]) for c in peers]), "left").drop(
+        *[f"_p_{c}" for c in peers])
     return out.withColumns({
         "peer_z": F.when(F.col("peer_std") > 0, (F.col("_x") - F.col("peer_mean")) / F.col("peer_std")),
         "peer_robust_z": F.when(F.col("peer_mad") > 0, F.lit(MAD_Z) * (F.col("_x") - F.col("peer_median"))

@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import shuffle_partitions
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -58,7 +60,12 @@ def record_key(li: DataFrame) -> "F.Column":
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    # Hash-partition lineitem on the order key first: at scale this is the
+    # exchange the lineitem ⋈ orders sort-merge join needs anyway (the join
+    # reuses it), and when the dimension sides are small enough to broadcast
+    # it still spreads the md5 key and the probes over all tasks instead of
+    # one task per input file.
+    li = table(spark, sf_dir, "lineitem").repartition(shuffle_partitions(spark), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
