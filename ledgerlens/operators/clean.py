@@ -1,8 +1,10 @@
 """Projection, filtering and cleaning (survey §2.2, B1–B25).
 
 Statistics that drive a fill or a clip (medians, quartiles, modes) are
-computed once for all columns and enter the row expressions as scalar
-subqueries, so the cleaned table stays one lazy plan.
+computed once for all columns, exactly and spread over the cluster; the
+resulting parameter table has one row per column, so it is collected and
+enters the row expressions as literals (the cleaned table stays one lazy plan
+without nested subqueries).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.ordered import exact_quantiles, running
 from ledgerlens.functions.stats import clean_double, lenient_double, lenient_timestamp, unit_hash
 from ledgerlens.operators.profile import melt, numeric_columns
+from ledgerlens.session import fitted_params
 
 # Fixed values that must equal the reference's behaviour.
 INDICATOR_MAP = {"Yes": 1, "Y": 1, "No": 0, "N": 0, "Unknown": 0}
@@ -94,8 +97,13 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return exact_quantiles(melt(df, cols), "value", probs, ["column"], names)
 
 
-def _scalar(stats: DataFrame, column: str, field: str) -> Column:
-    return stats.where(F.col("column") == column).select(field).scalar()
+def _fitted(stats: DataFrame) -> dict:
+    """{column: Row} of a per-column statistics table (bounded by the column count)."""
+    return {r["column"]: r for r in fitted_params(stats)}
+
+
+def _lit(v) -> Column:
+    return F.lit(None).cast("double") if v is None else F.lit(float(v))
 
 
 def median_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -103,8 +111,8 @@ def median_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cols = list(cols)
     if not cols:
         return df
-    med = column_quantiles(df, cols, [0.5], ["median"])
-    return df.withColumns({c: F.coalesce(clean_double(c), _scalar(med, c, "median")) for c in cols})
+    med = _fitted(column_quantiles(df, cols, [0.5], ["median"]))
+    return df.withColumns({c: F.coalesce(clean_double(c), _lit(med[c]["median"] if c in med else None)) for c in cols})
 
 
 def mode_value(df: DataFrame, col: str) -> Column:
@@ -160,9 +168,9 @@ def fill_missing(df: DataFrame, mode_cols: Sequence[str] = MODE_FILLED) -> DataF
     out = constant_fill(out, [c for c in strings if c not in mode_cols], "Unknown")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in zero}) if zero else out
     if med:
-        stats = column_quantiles(df, med, [0.5], ["median"])
-        out = out.withColumns({c: F.coalesce(clean_double(c), _scalar(stats, c, "median")).cast(df.schema[c].dataType)
-                               for c in med})
+        stats = _fitted(column_quantiles(df, med, [0.5], ["median"]))
+        out = out.withColumns({c: F.coalesce(clean_double(c), _lit(stats[c]["median"] if c in stats else None))
+                               .cast(df.schema[c].dataType) for c in med})
     return out
 
 
@@ -223,19 +231,21 @@ def _clip(col: str, lo: Column, hi: Column) -> Column:
 def tukey_clip(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFrame:
     """Clip to [q1 − k·IQR, q3 + k·IQR], quartiles exact, one pass."""
     cols = list(cols)
-    q = column_quantiles(df, cols, [0.25, 0.75], ["q1", "q3"])
+    q = _fitted(column_quantiles(df, cols, [0.25, 0.75], ["q1", "q3"]))
     bounds = {}
     for c in cols:
-        q1, q3 = _scalar(q, c, "q1"), _scalar(q, c, "q3")
-        bounds[c] = _clip(c, q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+        if c not in q:          # all NULL: nothing to clip
+            continue
+        q1, q3 = float(q[c]["q1"]), float(q[c]["q3"])
+        bounds[c] = _clip(c, F.lit(q1 - k * (q3 - q1)), F.lit(q3 + k * (q3 - q1)))
     return df.withColumns(bounds)
 
 
 def quantile_clip(df: DataFrame, cols: Sequence[str], lo: float = 0.001, hi: float = 0.999) -> DataFrame:
     """Clip to the [lo, hi] quantiles (exact)."""
     cols = list(cols)
-    q = column_quantiles(df, cols, [lo, hi], ["lo", "hi"])
-    return df.withColumns({c: _clip(c, _scalar(q, c, "lo"), _scalar(q, c, "hi")) for c in cols})
+    q = _fitted(column_quantiles(df, cols, [lo, hi], ["lo", "hi"]))
+    return df.withColumns({c: _clip(c, F.lit(float(q[c]["lo"])), F.lit(float(q[c]["hi"]))) for c in cols if c in q})
 
 
 def top_share_filter(df: DataFrame, col: str, q: float = 0.9) -> DataFrame:
@@ -265,3 +275,37 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows chosen by md5(key ‖ seed) — stable across partitioning
     and repeatable in SQL; ``limit`` is the feature here."""
     return df.withColumn("_h", unit_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+
+
+def prepare_matrix(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """B19 → B9 → D14 fit in as few exact passes as the data allows.
+
+    One pass gives q1, median, q3 and the NULL count of every column.  The
+    k·IQR clip leaves the quartiles where they are (they lie inside the
+    bounds) and so does the median fill of a column without NULLs; only
+    columns that had NULLs get a second quantile pass after the fill.
+    Returns (clipped + filled table, robust-scale parameters
+    (column, center, scale) with IQR 0 → 1)."""
+    cols = list(cols)
+    stats = _fitted(column_quantiles(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"]))
+    nulls = fitted_params(df.agg(*[F.sum(clean_double(c).isNull().cast("long")).alias(c) for c in cols]), 1)[0]
+    exprs = {}
+    for c in cols:
+        if c not in stats:
+            continue
+        q1, med, q3 = (float(stats[c][n]) for n in ("q1", "median", "q3"))
+        clipped = _clip(c, F.lit(q1 - k * (q3 - q1)), F.lit(q3 + k * (q3 - q1)))
+        exprs[c] = F.coalesce(clipped, F.lit(med))
+    out = df.withColumns(exprs)
+    redo = [c for c in cols if (nulls[c] or 0) > 0 and c in stats]
+    again = _fitted(column_quantiles(out, redo, [0.25, 0.5, 0.75], ["q1", "median", "q3"])) if redo else {}
+    spark = df.sparkSession
+    rows = []
+    for c in cols:
+        s = again.get(c) or stats.get(c)
+        if s is None:
+            continue
+        iqr = float(s["q3"]) - float(s["q1"])
+        rows.append((c, float(s["median"]), 1.0 if iqr == 0 else iqr))
+    params = spark.createDataFrame(rows, "column string, center double, scale double")
+    return out, params

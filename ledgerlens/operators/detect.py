@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.ordered import exact_quantiles
 from ledgerlens.functions.stats import clean_double
+from ledgerlens.session import fitted_params
 
 # Fixed values that must equal the reference's behaviour.
 Z_CUT = 3.0                 # |z| > 3 marks a feature as extreme
@@ -35,11 +36,14 @@ def pseudo_labels(df: DataFrame, cols: Sequence[str], z_cut: float = Z_CUT, pct:
     cols = list(cols)
     stats = df.agg(*[F.avg(clean_double(c)).alias(f"m{i}") for i, c in enumerate(cols)],
                    *[F.stddev_samp(clean_double(c)).alias(f"s{i}") for i, c in enumerate(cols)])
+    row = fitted_params(stats, 1)[0]
     flags = []
     for i, c in enumerate(cols):
-        m = stats.select(f"m{i}").scalar()
-        s = stats.select(f"s{i}").scalar()
-        z = F.abs((clean_double(c) - m) / F.when(s != 0, s))
+        m, s = row[f"m{i}"], row[f"s{i}"]
+        if m is None or s is None or s == 0:
+            flags.append(F.lit(0))          # constant or empty column: z undefined, never extreme
+            continue
+        z = F.abs((clean_double(c) - F.lit(float(m))) / F.lit(float(s)))
         flags.append(F.coalesce((z > z_cut).cast("int"), F.lit(0)))
     scored = df.withColumn(score_col, reduce(lambda a, b: a + b, flags))
     if rule == "any":

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.ordered import exact_quantiles, running, tie_average_rank
 from ledgerlens.functions.stats import clean_double, safe_div, unit_hash, weekday_mon0
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, fitted_params
 
 # Fixed values that must equal the reference's behaviour.
 HIGH_RISK_NATURES = ("Gift", "Entertainment", "Travel and Lodging")
@@ -289,14 +289,13 @@ def minmax_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def scale_apply(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Apply a fitted (column, center, scale) table: (x − center)/scale, and 0
-    where the scale is 0.  The parameters enter as scalar subqueries (one row
-    per column: size fixed by the feature list)."""
+    where the scale is 0.  The table has one row per column (its size is fixed
+    by the feature list), so it is collected once and enters as literals."""
+    fitted = {r["column"]: r for r in fitted_params(params)}
     exprs = {}
     for c in cols:
-        p = params.where(F.col("column") == c)
-        center = p.select("center").scalar()
-        scale = p.select("scale").scalar()
-        exprs[c] = F.when(scale == 0, F.lit(0.0)).otherwise((clean_double(c) - center) / scale)
+        center, scale = float(fitted[c]["center"]), float(fitted[c]["scale"])
+        exprs[c] = F.lit(0.0) if scale == 0 else (clean_double(c) - F.lit(center)) / F.lit(scale)
     return df.withColumns(exprs)
 
 

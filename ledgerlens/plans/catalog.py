@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from ledgerlens.plans import detect_queries, feature_queries, profile_queries  # noqa: F401
+from ledgerlens.plans import detect_queries, feature_queries, model_queries, profile_queries  # noqa: F401
 from ledgerlens.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -22,6 +22,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # local mode runs everything in the driver JVM; on a cluster the
+    # submitter's settings win (the builder only fills what is unset)
+    "spark.driver.memory": "16g",
 }
 
 
@@ -69,9 +72,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, fixes partition contents."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and read it back.
+
+    One job (an eager ``checkpoint()`` computes the plan twice: once to count,
+    once to write), the files survive executor loss, and later readers get
+    column pruning and filter pushdown on the materialised table."""
+    path = scratch_path(df.sparkSession, "t")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def local_path(path: str) -> str:
@@ -79,6 +88,16 @@ def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
+def fitted_params(df: DataFrame, max_rows: int = 10_000) -> list:
+    """Collect a fitted-parameter table (one row per column or group of a
+    fixed, small set — e.g. quantiles of the feature columns).  The bound is
+    checked: parameter tables never grow with the data."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"parameter table exceeds {max_rows} rows")
+    return rows
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

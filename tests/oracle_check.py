@@ -82,17 +82,17 @@ def main():
         try:
             sp = fn(spark, sf).toPandas()
         except Exception as e:  # noqa
-            print(f"\n{name:45s} SPARK-ERROR {type(e).__name__}: {str(e)[:300]}")
+            print(flush=True); print(f"{name:45s} SPARK-ERROR {type(e).__name__}: {str(e)[:300]}", flush=True)
             bad += 1
             continue
         dt = time.time() - t0
         if name not in orc:
-            print(f"\n{name:45s} rows={len(sp):7d} (no oracle) {dt:6.1f}s")
+            print(flush=True); print(f"{name:45s} rows={len(sp):7d} (no oracle) {dt:6.1f}s", flush=True)
             continue
         try:
             du = con.execute(orc[name]).df()
         except Exception as e:  # noqa
-            print(f"\n{name:45s} SQL-ERROR {str(e)[:300]}")
+            print(flush=True); print(f"{name:45s} SQL-ERROR {str(e)[:300]}", flush=True)
             bad += 1
             continue
         a, b = normalise(sp), normalise(du)
@@ -100,11 +100,11 @@ def main():
         exact, tol = frames_match(a, b) if cols_ok else (False, False)
         ok = cols_ok and len(a) == len(b) and tol
         bad += 0 if ok else 1
-        print(f"\n{name:45s} rows={len(sp):7d}/{len(du):7d} cols={'ok' if cols_ok else 'DIFF'} "
+        print(flush=True); print(f"{name:45s} rows={len(sp):7d}/{len(du):7d} cols={'ok' if cols_ok else 'DIFF'} "
               f"exact={'Y' if exact else 'n'} tol={'Y' if tol else 'N'} {dt:6.1f}s")
         if not cols_ok:
-            print("   spark:", list(a.columns), "\n   duck: ", list(b.columns))
-    print("mismatches:", bad)
+            print("   spark:", list(a.columns), "\n   duck: ", list(b.columns), flush=True)
+    print("mismatches:", bad, flush=True)
 
 
 if __name__ == "__main__":
