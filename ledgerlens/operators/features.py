@@ -61,14 +61,18 @@ def random_split(df: DataFrame, key: str = "record_id", seed: int = 42, out: str
                  bins: Sequence[tuple[float, str]] = SPLIT_BINS) -> DataFrame:
     """40/10/10/40 split from a hash of the row key, right-closed bins
     like ``pd.cut`` (T9: exactly 0 falls outside → NULL)."""
-    h = unit_hash(key, seed)
+    return df.withColumn(out, split_bins(unit_hash(key, seed), bins))
+
+
+def split_bins(h: Column, bins: Sequence[tuple[float, str]] = SPLIT_BINS) -> Column:
+    """``pd.cut(h, [0, …], labels)``: right-closed bins, 0 itself → NULL."""
     expr = None
     lo = 0.0
     for hi, label in bins:
         cond = (h > lo) & (h <= hi)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
         lo = hi
-    return df.withColumn(out, expr)
+    return expr
 
 
 def split_shares(df: DataFrame, col: str = "dataset_usage") -> DataFrame:
