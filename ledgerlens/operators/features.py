@@ -314,7 +314,7 @@ def cumulative_share(small: DataFrame, value: str, order: str, out: str = "cumul
     """Running share on a small table (one row per feature — its size is
     the feature count, so an unpartitioned window is bounded)."""
     w = Window.orderBy(F.col(value).desc(), F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return small.withColumn(out, F.sum(value).over(w) / small.select(F.sum(value)).scalar())
+    return small.withColumn(out, safe_div(F.sum(value).over(w), small.select(F.sum(value)).scalar()))
 
 
 def top_n(df: DataFrame, score: str, key: str, n: int = 10, ascending: bool = True) -> DataFrame:

@@ -91,14 +91,23 @@ def _tree_rows(df: DataFrame, key: str, features: Sequence[str], specs: Sequence
     parts = []
     for s in specs:
         want = 2.0 * s.n_trees * s.psi
-        p = min(1.0, want / max(n_rows, 1))
-        # a table smaller than the pool is replicated; trees then overlap like
-        # independent draws (4× so that nearly every row reaches every tree it should)
-        reps = 1 if p < 1.0 else max(1, math.ceil(2.0 * want / max(n_rows, 1)))
+        n = max(n_rows, 1)
+        p = min(1.0, want / n)
         pool = df.where(unit_hash(key, f"pool-{s.seed}-{s.forest}") < F.lit(p))
+        if p < 1.0:
+            # large table: a pool of ~2·T·ψ rows, each row to one tree (~2ψ per tree)
+            reps, direct = 1, False
+        elif n <= 2 * s.psi:
+            # tiny table: every row is a candidate for every tree (≤ 2ψ·T rows)
+            reps, direct = s.n_trees, True
+        else:
+            # table smaller than the pool: replicate each row just enough that
+            # ~1.25ψ distinct rows reach each tree; trees overlap like independent draws
+            reps, direct = max(1, math.ceil(-s.n_trees * math.log(1.0 - 1.25 * s.psi / n))), False
         pool = pool.select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
-        tree = F.floor(unit_hash(F.concat_ws("#", F.col(key).cast("string"), F.col("_rep").cast("string")),
-                                 f"tree-{s.seed}-{s.forest}") * s.n_trees).cast("int")
+        tree = F.col("_rep") if direct else F.floor(
+            unit_hash(F.concat_ws("#", F.col(key).cast("string"), F.col("_rep").cast("string")),
+                      f"tree-{s.seed}-{s.forest}") * s.n_trees).cast("int")
         pool = pool.select(F.lit(s.forest).alias("forest"), tree.alias("tree"), key, *features).dropDuplicates(
             ["forest", "tree", key])
         parts.append(pool)

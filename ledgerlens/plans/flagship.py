@@ -49,9 +49,10 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 16 model features (and context columns) per cleaned payment."""
     def build():
         c = cleaned_payments(spark, sf_dir)
-        f = D.high_risk_flag(D.calendar(c))
-        # many operators read the feature table; materialise it once (reliable
-        # checkpoint in the shared folder) instead of re-deriving it per reader
+        # the cleaned table feeds three passes (global median, daily history,
+        # the final join): write it once instead of re-deriving it per pass
+        f = cut_lineage(D.high_risk_flag(D.calendar(c)))
+        # many operators read the feature table; materialise it once too
         return cut_lineage(D.time_history_features(f).select(*FEATURE_OUT))
     return _memo("features", spark, sf_dir, build)
 
