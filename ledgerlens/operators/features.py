@@ -331,3 +331,31 @@ def every_kth(df: DataFrame, order: str, key: str, max_points: int = 100) -> Dat
     step = F.greatest(F.ceil(n / F.lit(float(max_points))), F.lit(1))
     return r.where(((F.col("_rn") - 1) % step) == 0).withColumn("point_index", (F.col("_rn") - 1).cast("bigint")) \
             .drop("_one", "_rn")
+
+
+def rolling_sums(df: DataFrame, key: str = "recipient_id", date_col: str = "date_of_payment",
+                 amount: str = "amount", days: int = 30) -> DataFrame:
+    """D13 (rolling sums): per recipient and day, the number and total of
+    payments in the window [day − days, day].
+
+    Exact and spread by range, in two passes: running totals per
+    (recipient, day); then an as-of lookup of the total at the last day
+    before the window — probe rows at day − days − 1 are merged into the
+    ordered stream and pick up the last total with a running "last"."""
+    x = clean_double(amount)
+    day = F.to_date(F.col(date_col))
+    daily = (df.where(F.col(key).isNotNull() & F.col(date_col).isNotNull())
+               .groupBy(F.col(key).alias("_k"), day.alias("_day"))
+               .agg(F.count(x).alias("_n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_s")))
+    cum = running(daily, ["_day"], ["_n", "_s"], ["_k"], "sum", ["_cn", "_cs"])
+    data = cum.select("_k", "_day", F.lit(0).alias("_probe"), "_cn", "_cs")
+    probes = cum.select("_k", F.date_sub("_day", days + 1).alias("_day"), F.lit(1).alias("_probe"),
+                        F.lit(None).cast("double").alias("_cn"), F.lit(None).cast("double").alias("_cs"),
+                        F.col("_day").alias("_for"))
+    merged = data.withColumn("_for", F.lit(None).cast("date")).unionByName(probes)
+    looked = running(merged, ["_day", "_probe"], ["_cn", "_cs"], ["_k"], "last", ["_ln", "_ls"])
+    before = looked.where(F.col("_probe") == 1).select("_k", F.col("_for").alias("_day"), "_ln", "_ls")
+    out = cum.join(before, ["_k", "_day"], "left")
+    return out.select(F.col("_k").alias(key), F.col("_day").alias("day"),
+                      (F.col("_cn") - F.coalesce("_ln", F.lit(0.0))).cast("bigint").alias(f"n_payments_{days}d"),
+                      (F.col("_cs") - F.coalesce("_ls", F.lit(0.0))).alias(f"total_amount_{days}d"))

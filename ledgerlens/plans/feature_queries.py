@@ -228,3 +228,15 @@ FROM payments GROUP BY 1""")
 def d10(spark, sf):
     s = D.time_split(payments(spark, sf), "date_of_payment", "1999-10-01", "2000-10-01")
     return s.groupBy("time_split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("d13_rolling_30d", """
+WITH daily AS (SELECT recipient_id, CAST(date_of_payment AS DATE) AS day, count(amount) AS n,
+                      coalesce(sum(amount), 0) AS s FROM payments
+               WHERE recipient_id IS NOT NULL AND date_of_payment IS NOT NULL GROUP BY 1, 2)
+SELECT recipient_id, day,
+       CAST(sum(n) OVER w AS BIGINT) AS n_payments_30d, round(sum(s) OVER w, 2) AS total_amount_30d
+FROM daily WINDOW w AS (PARTITION BY recipient_id ORDER BY day RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""")
+def d13r(spark, sf):
+    r = D.rolling_sums(payments(spark, sf))
+    return r.withColumn("total_amount_30d", F.round("total_amount_30d", 2))

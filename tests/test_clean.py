@@ -45,3 +45,11 @@ def test_forward_backward_fill(spark):
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k long, v double")
     got = C.forward_backward_fill(df, "v", ["k"]).toPandas().sort_values("k")["v"].tolist()
     assert got == [2.0, 2.0, 2.0, 4.0, 4.0]
+
+
+def test_select_present_first_present_numeric_features(spark):
+    df = spark.createDataFrame([(1, 2.0, "x", 3)], "Recipient_ID long, amount double, state string, zip_code long")
+    kept, missing = C.select_present(df, ["amount", "physician_specialty", "state"])
+    assert kept.columns == ["amount", "state"] and missing == ["physician_specialty"]
+    assert C.first_present(df, ["nope", "recipient_id"]) == "Recipient_ID"
+    assert C.numeric_features(df) == ["amount"]
