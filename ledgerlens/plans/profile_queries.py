@@ -32,12 +32,14 @@ FROM payments {cond} {group}"""
 @register("c13_stats_by_recipient_type", _stats7_sql("recipient_type"))
 def c13(spark, sf):
     """Minimum slice: 7 statistics per recipient type, half-even 2 d.p."""
-    return P.group_stats(payments(spark, sf), "amount", ["recipient_type"], STATS7, 2, prefix="amount_")
+    return P.group_stats(payments(spark, sf, ["recipient_type", "amount"]), "amount", ["recipient_type"], STATS7, 2,
+                         prefix="amount_")
 
 
 @register("c24_stats_by_recipient", _stats7_sql("recipient_id"))
 def c24(spark, sf):
-    return P.group_stats(payments(spark, sf), "amount", ["recipient_id"], STATS7, 2, prefix="amount_")
+    return P.group_stats(payments(spark, sf, ["recipient_id", "amount"]), "amount", ["recipient_id"], STATS7, 2,
+                         prefix="amount_")
 
 
 @register("c19_state_map", """
@@ -45,7 +47,8 @@ SELECT recipient_state, round(coalesce(sum(amount), 0), 2) AS total_amount, roun
        round(quantile_cont(amount, 0.5), 6) AS median_amount, count(*) AS n_payments
 FROM payments WHERE recipient_state IS NOT NULL GROUP BY recipient_state""")
 def c19(spark, sf):
-    s = P.group_stats(payments(spark, sf), "amount", ["recipient_state"], ("sum", "mean", "median", "count"), None)
+    s = P.group_stats(payments(spark, sf, ["recipient_state", "amount"]), "amount", ["recipient_state"],
+                      ("sum", "mean", "median", "count"), None)
     return s.select("recipient_state", F.round("sum", 2).alias("total_amount"), F.round("mean", 6).alias("mean_amount"),
                     F.round("median", 6).alias("median_amount"), F.col("count").alias("n_payments"))
 
@@ -54,7 +57,7 @@ def c19(spark, sf):
 SELECT count(*) AS n_payments, round(sum(amount), 2) AS total_amount, round(avg(amount), 6) AS mean_amount,
        min(amount) AS min_amount, max(amount) AS max_amount FROM payments""")
 def c11(spark, sf):
-    return payments(spark, sf).agg(F.count(F.lit(1)).alias("n_payments"), F.round(F.sum("amount"), 2).alias("total_amount"),
+    return payments(spark, sf, ["amount"]).agg(F.count(F.lit(1)).alias("n_payments"), F.round(F.sum("amount"), 2).alias("total_amount"),
                                    F.round(F.avg("amount"), 6).alias("mean_amount"),
                                    F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"))
 
@@ -192,7 +195,9 @@ LEFT JOIN nm ON s.recipient_id IS NOT DISTINCT FROM nm.recipient_id
    AND s.recipient_type IS NOT DISTINCT FROM nm.recipient_type
    AND s.recipient_state IS NOT DISTINCT FROM nm.recipient_state""")
 def c25(spark, sf):
-    r = P.recipient_rollup(payments(spark, sf), ["recipient_id", "recipient_type", "recipient_state"])
+    r = P.recipient_rollup(payments(spark, sf, ["recipient_id", "recipient_type", "recipient_state", "amount",
+                                                "number_of_payments", "payer_id", "form", "nature"]),
+                           ["recipient_id", "recipient_type", "recipient_state"])
     return r.select("recipient_id", "recipient_type", "recipient_state", "amount_count",
                     F.round("amount_sum", 2).alias("amount_sum"), F.round("amount_mean", 6).alias("amount_mean"),
                     F.round("amount_median", 6).alias("amount_median"), F.round("amount_std", 6).alias("amount_std"),
@@ -207,7 +212,9 @@ SELECT recipient_type, recipient_state, count(amount) AS amount_count, round(coa
        count(DISTINCT form) AS form_nunique, count(DISTINCT nature) AS nature_nunique
 FROM payments GROUP BY recipient_type, recipient_state""")
 def c26(spark, sf):
-    r = P.recipient_rollup(payments(spark, sf), ["recipient_type", "recipient_state"], modal=False)
+    r = P.recipient_rollup(payments(spark, sf, ["recipient_type", "recipient_state", "amount", "number_of_payments",
+                                                "payer_id", "form", "nature"]),
+                           ["recipient_type", "recipient_state"], modal=False)
     return r.select("recipient_type", "recipient_state", "amount_count",
                     F.round("amount_sum", 2).alias("amount_sum"), F.round("amount_mean", 6).alias("amount_mean"),
                     F.round("amount_median", 6).alias("amount_median"), F.round("amount_std", 6).alias("amount_std"),
@@ -232,13 +239,13 @@ FROM e CROSS JOIN r LEFT JOIN b ON e.bin = b.bin WHERE r.lo IS NOT NULL"""
 
 @register("c27_amount_histogram", _HIST.format(x="amount", cond="", bins=50))
 def c27(spark, sf):
-    h = P.histogram(payments(spark, sf), "amount", 50)
+    h = P.histogram(payments(spark, sf, ["amount"]), "amount", 50)
     return h.select("bin", F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"), "count")
 
 
 @register("c28_log_amount_histogram", _HIST.format(x="log10(amount)", cond="AND amount > 0", bins=50))
 def c28(spark, sf):
-    h = P.histogram(payments(spark, sf), "amount", 50, log10=True)
+    h = P.histogram(payments(spark, sf, ["amount"]), "amount", 50, log10=True)
     return h.select("bin", F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"), "count")
 
 
@@ -254,7 +261,7 @@ SELECT q.recipient_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q
        count(*) AS n
 FROM src JOIN q USING (recipient_type) GROUP BY q.recipient_type, q1, median, q3""")
 def c29(spark, sf):
-    b = P.box_summary(payments(spark, sf), "amount", "recipient_type")
+    b = P.box_summary(payments(spark, sf, ["recipient_type", "amount"]), "amount", "recipient_type")
     return b.select("recipient_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_lo",
                                                                             "whisker_hi")], "n_outliers", "n")
 
@@ -340,7 +347,7 @@ SELECT 'amount' AS column, quantile_cont(amount, 0.01) AS range_lo, quantile_con
 UNION ALL
 SELECT 'number_of_payments', quantile_cont(number_of_payments, 0.01), quantile_cont(number_of_payments, 0.99) FROM payments""")
 def c36(spark, sf):
-    return P.axis_ranges(payments(spark, sf), ["amount", "number_of_payments"])
+    return P.axis_ranges(payments(spark, sf, ["amount", "number_of_payments"]), ["amount", "number_of_payments"])
 
 
 @register("c37_outlier_counts", """
@@ -353,7 +360,7 @@ SELECT CAST(sum(CASE WHEN x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1) T
        CAST(sum(CASE WHEN x > qp THEN 1 ELSE 0 END) AS BIGINT) AS percentile_outliers
 FROM s, q""")
 def c37(spark, sf):
-    return P.outlier_counts(payments(spark, sf), "amount")
+    return P.outlier_counts(payments(spark, sf, ["amount"]), "amount")
 
 
 @register("c38_period_group", """
@@ -481,7 +488,7 @@ SELECT 'number_of_payments', count(number_of_payments), round(avg(number_of_paym
        max(number_of_payments), round(skewness(number_of_payments), 6), round(kurtosis(number_of_payments), 6)
 FROM payments""")
 def c9(spark, sf):
-    d = P.describe(payments(spark, sf), ["amount", "number_of_payments"])
+    d = P.describe(payments(spark, sf, ["amount", "number_of_payments"]), ["amount", "number_of_payments"])
     r = [c for c in d.columns if c not in ("column", "count", "min", "max")]
     return d.select("column", "count", *[F.round(c, 6).alias(c) for c in r], "min", "max").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "p90", "p95", "p99", "max", "skewness", "kurtosis")

@@ -59,38 +59,57 @@ def record_key(li: DataFrame) -> "F.Column":
     return F.md5(F.concat_ws("|", *parts))
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Which dimension joins each payments column needs (lineitem alone serves the rest).
+_NEEDS = {"recipient_id": {"orders"}, "nature": {"orders"}, "recipient_type": {"orders", "customer"},
+          "recipient_state": {"orders", "customer", "nation"}, "specialty": {"part"}, "payer_name": {"supplier"}}
+
+
+def payments(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    """The payments view; with ``columns``, only the joins those columns need.
+
+    LEFT joins are never removed by the optimizer (a right side could
+    duplicate rows), so a query that reads no supplier column should not pay
+    for the supplier join — at scale, that is a shuffle of the largest table.
+    """
+    cols = list(columns) if columns else list(PAYMENT_COLS)
+    need = set().union(*[_NEEDS.get(c, set()) for c in cols])
     # Hash-partition lineitem on the order key first: at scale this is the
     # exchange the lineitem ⋈ orders sort-merge join needs anyway (the join
     # reuses it), and when the dimension sides are small enough to broadcast
     # it still spreads the md5 key and the probes over all tasks instead of
     # one task per input file.
     li = table(spark, sf_dir, "lineitem").repartition(shuffle_partitions(spark), "l_orderkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    j = (li.select(record_key(li).alias("record_id"), *LINEITEM_COLS)
-         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-         .join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
-         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-         .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-         .join(supp, F.col("l_suppkey") == F.col("s_suppkey"), "left"))
-    return j.select(
-        "record_id",
-        F.col("o_custkey").alias("recipient_id"),
-        F.col("c_mktsegment").alias("recipient_type"),
-        F.col("n_name").alias("recipient_state"),
-        F.col("p_type").alias("specialty"),
-        F.col("l_suppkey").alias("payer_id"),
-        F.col("s_name").alias("payer_name"),
-        F.col("l_extendedprice").alias("amount"),
-        F.col("l_quantity").cast("bigint").alias("number_of_payments"),
-        F.col("l_shipdate").alias("date_of_payment"),
-        F.col("l_returnflag").alias("form"),
-        F.col("o_orderpriority").alias("nature"),
-    )
+    j = li.select(record_key(li).alias("record_id"), *LINEITEM_COLS)
+    if need & {"orders", "customer", "nation"}:
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+        j = j.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    if need & {"customer", "nation"}:
+        cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        j = j.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
+    if "nation" in need:
+        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        j = j.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    if "part" in need:
+        part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+        j = j.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    if "supplier" in need:
+        supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+        j = j.join(supp, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    exprs = {
+        "record_id": F.col("record_id"),
+        "recipient_id": F.col("o_custkey"),
+        "recipient_type": F.col("c_mktsegment"),
+        "recipient_state": F.col("n_name"),
+        "specialty": F.col("p_type"),
+        "payer_id": F.col("l_suppkey"),
+        "payer_name": F.col("s_name"),
+        "amount": F.col("l_extendedprice"),
+        "number_of_payments": F.col("l_quantity").cast("bigint"),
+        "date_of_payment": F.col("l_shipdate"),
+        "form": F.col("l_returnflag"),
+        "nature": F.col("o_orderpriority"),
+    }
+    return j.select(*[exprs[c].alias(c) for c in cols])
 
 
 # The same view for DuckDB, written independently for the oracle queries.
