@@ -185,6 +185,9 @@ def running(df: DataFrame, order_cols: Sequence[str | Column], value_cols: Seque
     n = num_partitions or shuffle_partitions(spark)
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     sort_exprs = [F.col(c) for c in group_cols] + order_exprs
+    # the range sampler and the write below both read the input; when it ends
+    # in a shuffle (the usual case: counts per key) the second read reuses the
+    # shuffle files, so no cache is needed
     ranged = (df.repartitionByRange(n, *sort_exprs)
                 .sortWithinPartitions(*sort_exprs)
                 .withColumn(_PID, F.spark_partition_id()))
@@ -257,8 +260,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         aggs.append(F.min(F.when(F.col("_cum") > hi, F.col("_v"))).alias(f"_hi{i}"))
         aggs.append(F.first(pos - lo).alias(f"_f{i}"))
     agg = both.groupBy(*group_cols).agg(*aggs)
-    outs = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(nm)
-            for i, nm in enumerate(names)]
+    # lo + (hi − lo)·d below the midpoint, lo·(1 − d) + hi·d from it on: the
+    # same value as numpy's linear rule, with the rounding DuckDB shows
+    outs = []
+    for i, nm in enumerate(names):
+        lo_, hi_, d = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
+        outs.append(F.when(d < 0.5, lo_ + (hi_ - lo_) * d).otherwise(lo_ * (1 - d) + hi_ * d).alias(nm))
     return agg.select(*group_cols, *outs)
 
 
