@@ -73,12 +73,14 @@ def payments(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, .
     """
     cols = list(columns) if columns else list(PAYMENT_COLS)
     need = set().union(*[_NEEDS.get(c, set()) for c in cols])
-    # Hash-partition lineitem on the order key first: at scale this is the
-    # exchange the lineitem ⋈ orders sort-merge join needs anyway (the join
-    # reuses it), and when the dimension sides are small enough to broadcast
-    # it still spreads the md5 key and the probes over all tasks instead of
-    # one task per input file.
-    li = table(spark, sf_dir, "lineitem").repartition(shuffle_partitions(spark), "l_orderkey")
+    li = table(spark, sf_dir, "lineitem")
+    if "record_id" in cols:
+        # The md5 row key is the costly per-row step: hash-partition lineitem
+        # on the order key first.  At scale this is the exchange the lineitem ⋈
+        # orders sort-merge join needs anyway (the join reuses it); when the
+        # dimensions are broadcast it still spreads the key over all tasks
+        # instead of one task per input file.
+        li = li.repartition(shuffle_partitions(spark), "l_orderkey")
     j = li.select(record_key(li).alias("record_id"), *LINEITEM_COLS)
     if need & {"orders", "customer", "nation"}:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
