@@ -162,18 +162,21 @@ def time_history(df: DataFrame, key: str = "recipient_id", date_col: str = "date
     earlier days (no look-ahead, no same-day leakage).
 
     Payments are first reduced to one row per (recipient, day) — map-side —
-    then running sums/max over earlier days are computed spread by range,
-    and joined back on (recipient, day)."""
+    then running sums/max over earlier days come from a window over that
+    daily table, joined back on (recipient, day)."""
     x = clean_double(amount)
     day = F.to_date(F.col(date_col))
-    daily = (df.where(F.col(key).isNotNull() & F.col(date_col).isNotNull())
-               .groupBy(F.col(key).alias("_k"), day.alias("_day"))
-               .agg(F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"), F.max(x).alias("_m")))
-    both = running(daily, ["_day"], ["_n", "_s", "_q", "_m"], ["_k"], ["sum", "sum", "sum", "max"],
-                   ["_cn", "_cs", "_cq", "_cm"], exclusive=True)
+    daily = _daily(df, key, day, [F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"),
+                                  F.max(x).alias("_m")])
+    w = _per_recipient_days().rowsBetween(Window.unboundedPreceding, -1)
+    hist = daily.select("_k", "_day",
+                        F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("double").alias("_cn"),
+                        F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_cs"),
+                        F.coalesce(F.sum("_q").over(w), F.lit(0.0)).alias("_cq"),
+                        F.max("_m").over(w).alias("_cm"))
     n = F.col("_cn")
     var = F.when(n > 1, F.greatest((F.col("_cq") - F.col("_cs") * F.col("_cs") / n) / (n - 1), F.lit(0.0)))
-    hist = both.select(F.col("_k"), F.col("_day"),
+    hist = hist.select(F.col("_k"), F.col("_day"),
                        n.alias("hist_pay_count"), F.col("_cs").alias("hist_pay_total"),
                        F.when(n > 0, F.col("_cs") / n).alias("hist_pay_avg"),
                        F.sqrt(var).alias("hist_pay_std"), F.col("_cm").alias("hist_pay_max"))
@@ -181,6 +184,24 @@ def time_history(df: DataFrame, key: str = "recipient_id", date_col: str = "date
     return j
 
 
+def _daily(df: DataFrame, key: str, day: Column, aggs: list) -> DataFrame:
+    """One row per (recipient, calendar day), aggregated map-side first."""
+    return (df.where(F.col(key).isNotNull() & day.isNotNull())
+              .groupBy(F.col(key).alias("_k"), day.alias("_day")).agg(*aggs))
+
+
+def _per_recipient_days() -> Window:
+    """Window over the daily table of one recipient, in day order.
+
+    A window puts a whole partition-key group into one task.  Here a group
+    is one recipient's *days*, not its payments: a recipient holding a third
+    of all rows still has at most one row per calendar day, so a group is
+    bounded by the data's date span (3,653 rows for ten years), whatever the
+    row count.  Tables whose groups grow with the data use
+    ``functions.ordered.running`` instead."""
+    return Window.partitionBy("_k").orderBy(F.unix_date("_day"))
+
+
 def time_history_features(df: DataFrame, key: str = "recipient_id", date_col: str = "date_of_payment",
                           amount: str = "amount") -> DataFrame:
     """D9 + D6: leak-free history with the reference's ratio and fill rules;
@@ -338,24 +359,14 @@ def rolling_sums(df: DataFrame, key: str = "recipient_id", date_col: str = "date
     """D13 (rolling sums): per recipient and day, the number and total of
     payments in the window [day − days, day].
 
-    Exact and spread by range, in two passes: running totals per
-    (recipient, day); then an as-of lookup of the total at the last day
-    before the window — probe rows at day − days − 1 are merged into the
-    ordered stream and pick up the last total with a running "last"."""
+    Payments are reduced to one row per (recipient, day) map-side; a range
+    window over day numbers then sums the last ``days`` + 1 days (a group is
+    one recipient's days, bounded by the date span — see
+    ``_per_recipient_days``)."""
     x = clean_double(amount)
     day = F.to_date(F.col(date_col))
-    daily = (df.where(F.col(key).isNotNull() & F.col(date_col).isNotNull())
-               .groupBy(F.col(key).alias("_k"), day.alias("_day"))
-               .agg(F.count(x).alias("_n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_s")))
-    cum = running(daily, ["_day"], ["_n", "_s"], ["_k"], "sum", ["_cn", "_cs"])
-    data = cum.select("_k", "_day", F.lit(0).alias("_probe"), "_cn", "_cs")
-    probes = cum.select("_k", F.date_sub("_day", days + 1).alias("_day"), F.lit(1).alias("_probe"),
-                        F.lit(None).cast("double").alias("_cn"), F.lit(None).cast("double").alias("_cs"),
-                        F.col("_day").alias("_for"))
-    merged = data.withColumn("_for", F.lit(None).cast("date")).unionByName(probes)
-    looked = running(merged, ["_day", "_probe"], ["_cn", "_cs"], ["_k"], "last", ["_ln", "_ls"])
-    before = looked.where(F.col("_probe") == 1).select("_k", F.col("_for").alias("_day"), "_ln", "_ls")
-    out = cum.join(before, ["_k", "_day"], "left")
-    return out.select(F.col("_k").alias(key), F.col("_day").alias("day"),
-                      (F.col("_cn") - F.coalesce("_ln", F.lit(0.0))).cast("bigint").alias(f"n_payments_{days}d"),
-                      (F.col("_cs") - F.coalesce("_ls", F.lit(0.0))).alias(f"total_amount_{days}d"))
+    daily = _daily(df, key, day, [F.count(x).alias("_n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_s")])
+    w = _per_recipient_days().rangeBetween(-days, 0)
+    return daily.select(F.col("_k").alias(key), F.col("_day").alias("day"),
+                        F.sum("_n").over(w).cast("bigint").alias(f"n_payments_{days}d"),
+                        F.sum("_s").over(w).alias(f"total_amount_{days}d"))
