@@ -6,7 +6,9 @@ Every expression here is total — it returns NULL instead of failing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,3 +83,19 @@ def nz(c: str | Column, value=0) -> Column:
 def round_out(c: str | Column, digits: int = 6) -> Column:
     """Presentation rounding for derived doubles (half up, like SQL ``round``)."""
     return F.round(col(c), digits)
+
+
+def group_mode(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Most frequent non-NULL ``value`` per ``keys`` group, the smallest among
+    ties (T7, pandas ``mode()[0]``); one row per group that has a value.
+
+    Spark's ``mode`` merges a value→count map of the whole group in one
+    task.  Here rows are counted per (group, value) with a map-side combine,
+    and each group keeps ``min_by(value, (−count, value))``, itself a partial
+    aggregate, so no task holds more than one row per group: a group with a
+    third of the rows or millions of distinct values splits like any other."""
+    keys = list(keys)
+    counts = (df.where(F.col(value).isNotNull())
+                .groupBy(*keys, F.col(value).alias("_mv")).agg(F.count(F.lit(1)).alias("_mc")))
+    rank = F.struct((-F.col("_mc")).alias("_n"), F.col("_mv").alias("_v"))
+    return counts.groupBy(*keys).agg(F.min_by("_mv", rank).alias(out))

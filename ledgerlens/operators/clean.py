@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.ordered import exact_quantiles, running
-from ledgerlens.functions.stats import clean_double, lenient_double, lenient_timestamp, unit_hash
+from ledgerlens.functions.stats import clean_double, group_mode, lenient_double, lenient_timestamp, unit_hash
 from ledgerlens.operators.profile import melt, numeric_columns
 from ledgerlens.session import fitted_params
 
@@ -117,7 +117,7 @@ def median_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def mode_value(df: DataFrame, col: str) -> Column:
     """Most frequent non-NULL value, smallest among ties (T7), as a scalar."""
-    return df.where(F.col(col).isNotNull()).select(F.mode(col, True)).scalar()
+    return group_mode(df, [], col, "_mode").scalar()
 
 
 def mode_fill(df: DataFrame, cols: Sequence[str], default: str = "Unknown") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.ordered import exact_quantiles, running
-from ledgerlens.functions.stats import (clean_double, half_even, safe_div, sample_kurtosis,
+from ledgerlens.functions.stats import (clean_double, group_mode, half_even, safe_div, sample_kurtosis,
                                         sample_skewness)
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -232,14 +232,19 @@ def recipient_rollup(df: DataFrame, keys: Sequence[str], amount: str = "amount",
     stats = group_stats(df, amount, keys, digits=None, dropna=False, prefix="amount_")
     extra = [F.coalesce(F.sum(count_col), F.lit(0)).cast("bigint").alias("number_of_payments_sum"),
              F.countDistinct(payer).alias("payer_nunique")]
-    if modal:
-        extra += [F.mode(form, True).alias("form_mode"), F.mode(nature, True).alias("nature_mode")]
-    else:
+    if not modal:
         extra += [F.countDistinct(form).alias("form_nunique"), F.countDistinct(nature).alias("nature_nunique")]
     other = df.groupBy(*keys).agg(*extra)
-    other = other.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[e for e in other.columns if e not in keys])
-    cond = reduce(lambda a, b: a & b, [stats[c].eqNullSafe(other[f"_k_{c}"]) for c in keys])
-    return stats.join(other, cond, "inner").drop(*[f"_k_{c}" for c in keys])
+    parts = [other]
+    if modal:
+        parts += [group_mode(df, keys, form, "form_mode"), group_mode(df, keys, nature, "nature_mode")]
+    out = stats
+    for i, part in enumerate(parts):
+        # one row per group on both sides; groups without a value get NULL modes
+        part = part.select(*[F.col(c).alias(f"_k{i}_{c}") for c in keys], *[e for e in part.columns if e not in keys])
+        cond = reduce(lambda a, b: a & b, [out[c].eqNullSafe(part[f"_k{i}_{c}"]) for c in keys])
+        out = out.join(part, cond, "inner" if i == 0 else "left").drop(*[f"_k{i}_{c}" for c in keys])
+    return out
 
 
 # ---------------------------------------------------------------- C15, C16, C22, C23, C38, C39

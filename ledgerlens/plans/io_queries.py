@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.stats import unit_hash_sql
+from ledgerlens.functions.stats import group_mode, unit_hash_sql
 from ledgerlens.operators import clean as C
 from ledgerlens.operators import features as D
 from ledgerlens.operators import monitor as MON
@@ -189,7 +189,7 @@ SELECT recipient_id, coalesce(nature_mode, (SELECT v FROM top), 'Unknown') AS na
 def b11(spark, sf):
     """Recipients (every customer) with their modal payment nature; customers
     without payments get NULL from the left join and then the overall mode."""
-    roll = payments(spark, sf).groupBy("recipient_id").agg(F.mode("nature", True).alias("nature_mode"))
+    roll = group_mode(payments(spark, sf, ["recipient_id", "nature"]), ["recipient_id"], "nature", "nature_mode")
     cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("recipient_id"))
     return C.mode_fill(cust.join(roll, "recipient_id", "left"), ["nature_mode"])
 
