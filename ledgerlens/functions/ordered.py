@@ -233,7 +233,7 @@ def _with_group_size(cum: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return cum.join(sizes, cond, "inner").drop(*[f"_s_{c}" for c in group_cols])
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float | Column],
                     group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
                     weight_col: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default).
@@ -242,10 +242,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     value range, so a group holding most rows is still split over many tasks;
     the only per-group state is a count per distinct value, aggregated
     map-side first.  ``weight_col`` takes pre-aggregated row counts (a table
-    of distinct values with their multiplicity).
+    of distinct values with their multiplicity).  A probability may be a
+    Column over the group columns (a different quantile per group).
     """
     group_cols = list(group_cols)
-    names = list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
+    names = list(names or [f"q_{i}" if isinstance(p, Column) else f"q_{str(p).replace('.', '_')}"
+                           for i, p in enumerate(probs)])
     v = F.col(value_col).cast("double")
     w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     vals = df.select(*group_cols, v.alias("_v"), w.alias("_w")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -254,7 +256,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     both = _with_group_size(cum, group_cols)
     aggs = []
     for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
+        pos = (F.col("_n") - 1) * (p if isinstance(p, Column) else F.lit(float(p)))
         lo, hi = F.floor(pos), F.ceil(pos)
         aggs.append(F.min(F.when(F.col("_cum") > lo, F.col("_v"))).alias(f"_lo{i}"))
         aggs.append(F.min(F.when(F.col("_cum") > hi, F.col("_v"))).alias(f"_hi{i}"))

@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,9 +85,12 @@ class ForestSpec:
         return self
 
 
+_RANK = "_ll_rank"
+
+
 def _tree_rows(df: DataFrame, key: str, features: Sequence[str], specs: Sequence[ForestSpec], n_rows: int
                ) -> DataFrame:
-    """(forest, tree, key, features…) with at most ψ rows per tree."""
+    """(forest, tree, key, features…, rank): ~2ψ candidate rows per tree (repeats possible)."""
     parts = []
     for s in specs:
         want = 2.0 * s.n_trees * s.psi
@@ -108,19 +111,18 @@ def _tree_rows(df: DataFrame, key: str, features: Sequence[str], specs: Sequence
         tree = F.col("_rep") if direct else F.floor(
             unit_hash(F.concat_ws("#", F.col(key).cast("string"), F.col("_rep").cast("string")),
                       f"tree-{s.seed}-{s.forest}") * s.n_trees).cast("int")
-        pool = pool.select(F.lit(s.forest).alias("forest"), tree.alias("tree"), key, *features).dropDuplicates(
-            ["forest", "tree", key])
-        parts.append(pool)
+        parts.append(pool.select(F.lit(s.forest).alias("forest"), tree.alias("tree"), key, *features))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    order = unit_hash(F.concat_ws("#", F.col(key).cast("string"), F.col("tree").cast("string")), "rank")
-    # groups hold ~2ψ rows each (bounded by the parameters)
-    w = Window.partitionBy("forest", "tree").orderBy(order, F.col(key))
     if [s.forest for s in specs] != list(range(len(specs))):
         raise ValueError("forest ids must be 0..k-1 in order")
-    psi = F.element_at(F.array(*[F.lit(s.psi) for s in specs]), F.col("forest") + 1)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
+    # candidates of a tree may repeat a row; the tree keeps the ψ distinct rows
+    # with the smallest rank hash.  That choice is made inside the tree's
+    # group (~2ψ rows, bounded by the parameters), so sampling costs the one
+    # shuffle the fit needs anyway.
+    order = unit_hash(F.concat_ws("#", F.col(key).cast("string"), F.col("tree").cast("string")), "rank")
+    return rows.withColumn(_RANK, order)
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, feats: np.ndarray, max_depth: int):
@@ -132,19 +134,21 @@ def _grow(x: np.ndarray, rng: np.random.Generator, feats: np.ndarray, max_depth:
             arr.append(v)
         return len(feature) - 1
 
+    # c(n) for every leaf size a tree can have, computed once per tree
+    c_of = average_path_length(np.arange(len(x) + 1))
     root = new_node()
     stack = [(root, np.arange(len(x)), 0)]
     while stack:
         node, idx, depth = stack.pop()
         size[node] = len(idx)
         if depth >= max_depth or len(idx) <= 1:
-            path[node] = depth + float(average_path_length([len(idx)])[0])
+            path[node] = depth + float(c_of[len(idx)])
             continue
         sub = x[idx][:, feats]
         lo, hi = sub.min(axis=0), sub.max(axis=0)
         usable = np.nonzero(hi > lo)[0]
         if len(usable) == 0:
-            path[node] = depth + float(average_path_length([len(idx)])[0])
+            path[node] = depth + float(c_of[len(idx)])
             continue
         j = usable[rng.integers(len(usable))]
         f = int(feats[j])
@@ -163,9 +167,10 @@ def _build_fn(key: str, features: Sequence[str], specs: Sequence[ForestSpec]):
     d = len(features)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable")      # shuffle order must not matter
         forest, tree = int(pdf["forest"].iat[0]), int(pdf["tree"].iat[0])
         s = by_id[forest]
+        pdf = pdf.sort_values([_RANK, key], kind="stable").drop_duplicates(key).head(s.psi)
+        pdf = pdf.sort_values(key, kind="stable")      # shuffle order must not matter
         rng = np.random.default_rng([s.seed, forest, tree])
         x = pdf[list(features)].to_numpy(dtype=np.float64)
         if s.bootstrap:
@@ -308,9 +313,18 @@ def stability(model: ForestModel, df: DataFrame, key: str, tree_counts: Sequence
 
 
 # ---------------------------------------------------------------- search
-def _long(scores: DataFrame, key: str, ks: Sequence[int]) -> DataFrame:
-    return scores.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"raw_score_{k}").alias("raw"))
-                                                  for k in ks])).alias("_s")).select(key, "_s.k", "_s.raw")
+def _per_candidate(scores: DataFrame, key: str, cands: Sequence[dict]) -> DataFrame:
+    """(key, candidate, raw): each candidate's raw score (its forest, its prefix of trees)."""
+    pairs = [F.struct(F.lit(int(c["candidate"])).alias("candidate"),
+                      F.col(f"raw_score_{int(c['n_estimators'])}").alias("raw")) for c in cands]
+    return scores.select(key, F.explode(F.array(*pairs)).alias("_s")).select(key, "_s.candidate", "_s.raw")
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def search(train: DataFrame, valid: DataFrame, key: str, features: Sequence[str], candidates: Sequence[dict],
@@ -321,50 +335,49 @@ def search(train: DataFrame, valid: DataFrame, key: str, features: Sequence[str]
 
     Candidates sharing (max_samples, max_features, bootstrap) share one
     forest: ``n_estimators`` is a prefix of its trees and ``contamination``
-    only moves the offset.  All forests are fitted in one grouped pass; each
-    forest then needs one scoring pass over train (offsets) and one over
-    validation.  Returns one row per candidate."""
+    only moves the offset.  All forests are fitted in one grouped pass.
+    Scoring is one union of per-forest passes (a task holds the nodes of one
+    forest only) into a long (key, candidate, raw) table; the offsets of all
+    candidates come from one exact-quantile pass grouped by candidate, and
+    the validation statistics from one aggregate.  Returns one row per
+    candidate."""
     def fkey(c):
         return (c["max_samples"], float(c["max_features"]), bool(c["bootstrap"]))
     fkeys = sorted({fkey(c) for c in candidates}, key=str)
     specs = [ForestSpec(i, max(c["n_estimators"] for c in candidates if fkey(c) == fk), fk[0], fk[1], fk[2], seed)
              for i, fk in enumerate(fkeys)]
     nodes = fit_forests(train, key, features, specs)
-    spark = train.sparkSession
-    out = []
+    tr_parts, va_parts = [], []
     for spec, fk in zip(specs, fkeys):
         cands = [c for c in candidates if fkey(c) == fk]
         ks = sorted({int(c["n_estimators"]) for c in cands})
-        conts = sorted({float(c["contamination"]) for c in cands})
-        tr = _long(raw_scores(train, key, nodes, features, spec, ks), key, ks)
-        offs = exact_quantiles(tr, "raw", conts, ["k"], [f"o{j}" for j in range(len(conts))])
-        va = _long(raw_scores(valid, key, nodes, features, spec, ks), key, ks).join(offs, "k")
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.when(F.isnan("raw") | F.col("raw").isNull(), 1).otherwise(0))
-                .alias("bad")]
-        for j in range(len(conts)):
-            d = F.col("raw") - F.col(f"o{j}")
-            aggs += [F.avg(F.when(d >= 0, d)).alias(f"mn{j}"), F.avg(F.when(d < 0, d)).alias(f"ma{j}"),
-                     F.stddev_pop(F.when(d >= 0, d)).alias(f"sn{j}"), F.stddev_pop(F.when(d < 0, d)).alias(f"sa{j}"),
-                     F.sum((d >= 0).cast("long")).alias(f"nn{j}"), F.sum((d < 0).cast("long")).alias(f"na{j}")]
-        stats = va.groupBy("k").agg(*aggs)
-        for c in cands:
-            j = conts.index(float(c["contamination"]))
-            pooled = F.sqrt((F.col(f"sn{j}") ** 2 + F.col(f"sa{j}") ** 2) / 2)
-            sep = (F.col(f"mn{j}") - F.col(f"ma{j}")) / pooled
-            if penalised:
-                sep = sep - 2 * F.abs(F.col(f"na{j}") / F.col("n") - F.lit(float(c["contamination"])))
-            ok = ((F.col("bad") == 0) & (F.col(f"nn{j}") >= min_group) & (F.col(f"na{j}") >= min_group)
-                  & (pooled >= 1e-6))
-            out.append(stats.where(F.col("k") == int(c["n_estimators"])).select(
-                F.lit(int(c["candidate"])).alias("candidate"), F.lit(int(c["n_estimators"])).alias("n_estimators"),
-                F.lit(float(c["contamination"])).alias("contamination"), F.lit(str(c["max_samples"])).alias("max_samples"),
-                F.lit(float(c["max_features"])).alias("max_features"), F.lit(bool(c["bootstrap"])).alias("bootstrap"),
-                F.when(ok, sep).otherwise(F.lit(float("-inf") if penalised else 0.0)).alias("score"),
-                (F.col(f"na{j}") / F.col("n")).alias("flagged_rate")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        tr_parts.append(_per_candidate(raw_scores(train, key, nodes, features, spec, ks), key, cands))
+        va_parts.append(_per_candidate(raw_scores(valid, key, nodes, features, spec, ks), key, cands))
+    # the candidate list is a parameter table: one row per candidate
+    params = train.sparkSession.createDataFrame(
+        [(int(c["candidate"]), int(c["n_estimators"]), float(c["contamination"]), str(c["max_samples"]),
+          float(c["max_features"]), bool(c["bootstrap"])) for c in candidates],
+        "candidate int, n_estimators int, contamination double, max_samples string, max_features double, "
+        "bootstrap boolean")
+    cont = F.create_map(*[x for c in candidates for x in (F.lit(int(c["candidate"])), F.lit(float(c["contamination"])))])
+    offs = exact_quantiles(_union(tr_parts), "raw", [cont[F.col("candidate")]], ["candidate"], ["offset"])
+    # offsets: one row per candidate, a bound fixed by the search space
+    va = _union(va_parts).join(F.broadcast(offs), "candidate")
+    d = F.col("raw") - F.col("offset")
+    stats = va.groupBy("candidate").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.isnan("raw") | F.col("raw").isNull(), 1).otherwise(0)).alias("bad"),
+        F.avg(F.when(d >= 0, d)).alias("mn"), F.avg(F.when(d < 0, d)).alias("ma"),
+        F.stddev_pop(F.when(d >= 0, d)).alias("sn"), F.stddev_pop(F.when(d < 0, d)).alias("sa"),
+        F.sum((d >= 0).cast("long")).alias("nn"), F.sum((d < 0).cast("long")).alias("na"))
+    j = F.broadcast(params).join(stats, "candidate", "left")
+    pooled = F.sqrt((F.col("sn") ** 2 + F.col("sa") ** 2) / 2)
+    sep = (F.col("mn") - F.col("ma")) / pooled
+    if penalised:
+        sep = sep - 2 * F.abs(F.col("na") / F.col("n") - F.col("contamination"))
+    ok = (F.col("bad") == 0) & (F.col("nn") >= min_group) & (F.col("na") >= min_group) & (pooled >= 1e-6)
+    return j.select("candidate", "n_estimators", "contamination", "max_samples", "max_features", "bootstrap",
+                    F.when(ok, sep).otherwise(F.lit(float("-inf") if penalised else 0.0)).alias("score"),
+                    (F.col("na") / F.col("n")).alias("flagged_rate"))
 
 
 # Fixed values that must equal the reference's search spaces.
