@@ -295,10 +295,27 @@ def g21(spark, sf):
     return rounded(d)
 
 
-@register("g21_psi")
+def _long_sql(where: str) -> str:
+    return "\n    UNION ALL\n    ".join(
+        f"""SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM features WHERE {where} AND {c} IS NOT NULL
+                                      AND NOT isnan(CAST({c} AS DOUBLE))""" for c in DRIFT_COLS)
+
+
+@register("g21_psi", "WITH " + FEATURES_SQL + f""",
+lb AS ({_long_sql(f"date_of_payment < TIMESTAMP '{CUT}'")}),
+lc AS ({_long_sql(f"date_of_payment >= TIMESTAMP '{CUT}'")}),
+e AS (SELECT col, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM lb GROUP BY col),
+bb AS (SELECT l.col, len(list_filter(e.q, lambda x: x < l.v)) AS bucket FROM lb l JOIN e ON l.col = e.col),
+bc AS (SELECT l.col, len(list_filter(e.q, lambda x: x < l.v)) AS bucket FROM lc l JOIN e ON l.col = e.col),
+sb AS (SELECT col, bucket, count(*) / sum(count(*)) OVER (PARTITION BY col) AS pb FROM bb GROUP BY col, bucket),
+sc AS (SELECT col, bucket, count(*) / sum(count(*)) OVER (PARTITION BY col) AS pc FROM bc GROUP BY col, bucket),
+j AS (SELECT coalesce(sb.col, sc.col) AS col, greatest(coalesce(pb, 0.0), 1e-4) AS pb,
+             greatest(coalesce(pc, 0.0), 1e-4) AS pc
+      FROM sb FULL JOIN sc ON sb.col = sc.col AND sb.bucket = sc.bucket)
+SELECT col AS "column", round(sum((pc - pb) * ln(pc / pb)), 6) AS psi FROM j GROUP BY col""")
 def g21p(spark, sf):
     base, cur = _batches(feature_table(spark, sf))
-    return MON.psi(base, cur, MON.baseline_stats(base, DRIFT_COLS), DRIFT_COLS)
+    return rounded(MON.psi(base, cur, MON.baseline_stats(base, DRIFT_COLS), DRIFT_COLS))
 
 
 @register("g22_rate_drift", "WITH " + SCORED_SQL + f""",
@@ -348,7 +365,18 @@ def g24m(spark, sf):
     return MON.missing_drift(base, cur, DRIFT_COLS)
 
 
-@register("g25_retrain_decision")
+@register("g25_retrain_decision", "WITH " + SCORED_SQL + f""",
+b AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DRIFT_COLS)} FROM features WHERE date_of_payment < TIMESTAMP '{CUT}'),
+c AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DRIFT_COLS)} FROM features WHERE date_of_payment >= TIMESTAMP '{CUT}'),
+d AS (""" + "\n  UNION ALL\n  ".join(
+    f"""SELECT coalesce(CASE WHEN b.{c} <> 0 THEN abs((c.{c} - b.{c}) / abs(b.{c})) END > 0.15, false) AS alarm FROM b, c"""
+    for c in DRIFT_COLS) + f"""),
+r AS (SELECT avg(CASE WHEN date_of_payment < TIMESTAMP '{CUT}' THEN CAST(is_anomaly AS DOUBLE) END) AS br,
+             avg(CASE WHEN date_of_payment >= TIMESTAMP '{CUT}' THEN CAST(is_anomaly AS DOUBLE) END) AS cr FROM final)
+SELECT CAST(coalesce(sum(CAST(alarm AS INTEGER)), 0) AS BIGINT) AS n_drifting,
+       coalesce(max(CAST(alarm AS INTEGER)), 0) = 1
+       OR (SELECT coalesce(CASE WHEN br <> 0 THEN abs((cr - br) / br) END > 0.25, false) FROM r) AS retrain
+FROM d""")
 def g25(spark, sf):
     fb, fc = _batches(feature_table(spark, sf))
     sb, sc = _batches(scored_table(spark, sf))
