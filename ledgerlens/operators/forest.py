@@ -304,8 +304,10 @@ def stability(model: ForestModel, df: DataFrame, key: str, tree_counts: Sequence
     same rows) — one scoring pass for all k."""
     counts = [k for k in tree_counts if k <= model.spec.n_trees]
     s = raw_scores(df, key, model.nodes, model.features, model.spec, counts)
-    long = s.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("n_trees"), F.col(f"raw_score_{k}").alias("raw"))
-                                            for k in counts])).alias("_s")).select(key, "_s.n_trees", "_s.raw")
+    # read twice below (offsets, then statistics): written once, scored once
+    long = cut_lineage(s.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("n_trees"),
+                                                                  F.col(f"raw_score_{k}").alias("raw"))
+                                                        for k in counts])).alias("_s")).select(key, "_s.n_trees", "_s.raw"))
     off = exact_quantiles(long, "raw", [model.contamination], ["n_trees"], ["offset"])
     j = long.join(off, "n_trees").withColumn("decision", F.col("raw") - F.col("offset"))
     return j.groupBy("n_trees").agg(F.avg("decision").alias("mean_score"), F.stddev_pop("decision").alias("std_score"),

@@ -46,7 +46,9 @@ def e1(spark, sf):
 @register("e2_forest_scores")
 def e2(spark, sf):
     m, _ = model_matrix(spark, sf)
-    s = IF.score(forest_model(spark, sf), m, "record_id", keep=["is_train"])
+    # the percentile rank reads the scores twice (value counts, then the join
+    # back): write them once rather than run the tree traversal twice
+    s = cut_lineage(IF.score(forest_model(spark, sf), m, "record_id", keep=["is_train"]))
     return D.score_percentile(s, "anomaly_score", "anomaly_score_percentile")
 
 
