@@ -40,3 +40,24 @@ def test_flagship_matches_oracle_at_smoke_scale(spark):
                     assert abs(float(x) - float(y)) <= 1e-6 * max(1.0, abs(float(y))), (name, a, b)
                 else:
                     assert str(x) == str(y), (name, a, b)
+
+
+def test_package_shipped_to_workers(spark):
+    import zipfile
+
+    from pyspark import SparkFiles
+
+    from ledgerlens.session import ship_package
+
+    ship_package(spark)
+    ship_package(spark)                     # once per application
+    z = zipfile.ZipFile(SparkFiles.get("ledgerlens.zip"))
+    names = set(z.namelist())
+    assert {"ledgerlens/__init__.py", "ledgerlens/operators/forest.py", "ledgerlens/functions/ordered.py"} <= names
+
+    def probe(batches):
+        import ledgerlens.functions.ordered  # noqa: F401  (importable in the worker)
+        for b in batches:
+            yield b
+
+    assert spark.range(10).mapInPandas(probe, "id long").count() == 10

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -49,3 +50,40 @@ def test_average_path_length():
     c = IF.average_path_length([1, 2, 256])
     assert c[0] == 0 and c[1] == 1.0
     assert abs(c[2] - (2 * (np.log(255) + IF.EULER_GAMMA) - 2 * 255 / 256)) < 1e-12
+
+
+def _fkey(c):
+    return (c["max_samples"], float(c["max_features"]), bool(c["bootstrap"]))
+
+
+def test_search_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    x[:12] += 6.0
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"])
+    pdf["k"] = [f"r{i:04d}" for i in range(len(pdf))]
+    df = spark.createDataFrame(pdf).repartition(4)
+    cols = ["a", "b", "c"]
+    tr, va = df.where(F.col("k") < "r0400"), df.where(F.col("k") >= "r0400")
+    cands = [dict(candidate=0, n_estimators=20, contamination=0.05, max_samples=64, max_features=1.0, bootstrap=False),
+             dict(candidate=1, n_estimators=10, contamination=0.10, max_samples=64, max_features=1.0, bootstrap=False),
+             dict(candidate=2, n_estimators=15, contamination=0.08, max_samples=128, max_features=0.67, bootstrap=True)]
+    got = {r["candidate"]: r for r in IF.search(tr, va, "k", cols, cands, min_group=3).collect()}
+    # the same seeded forests, scored and judged row by row in NumPy
+    fkeys = sorted({_fkey(c) for c in cands}, key=str)
+    specs = [IF.ForestSpec(i, max(c["n_estimators"] for c in cands if _fkey(c) == fk), fk[0], fk[1], fk[2], 42)
+             for i, fk in enumerate(fkeys)]
+    nodes = IF.fit_forests(tr, "k", cols, specs)
+    for c in cands:
+        spec, k = specs[fkeys.index(_fkey(c))], c["n_estimators"]
+        raw_tr = IF.raw_scores(tr, "k", nodes, cols, spec, [k]).toPandas()[f"raw_score_{k}"].to_numpy()
+        raw_va = IF.raw_scores(va, "k", nodes, cols, spec, [k]).toPandas()[f"raw_score_{k}"].to_numpy()
+        d = raw_va - np.quantile(raw_tr, c["contamination"])
+        normal, anomal = d[d >= 0], d[d < 0]
+        assert got[c["candidate"]]["flagged_rate"] == pytest.approx(len(anomal) / len(d))
+        pooled = np.sqrt((normal.std() ** 2 + anomal.std() ** 2) / 2)
+        if len(normal) >= 3 and len(anomal) >= 3 and pooled >= 1e-6:
+            sep = (normal.mean() - anomal.mean()) / pooled - 2 * abs(len(anomal) / len(d) - c["contamination"])
+            assert got[c["candidate"]]["score"] == pytest.approx(sep, rel=1e-9)
+        else:
+            assert got[c["candidate"]]["score"] == float("-inf")
