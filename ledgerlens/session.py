@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +59,11 @@ def ship_package(spark: SparkSession) -> None:
     have it on the workers' path; ``addPyFile`` of a zip of the package is
     the run-time form of ``--py-files`` and reaches every executor, also
     ones started later.  Once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:                      # a session without a driver context (Spark Connect)
+        app = None
+    if (app or id(spark)) in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-pkg-"), "ledgerlens.zip")
@@ -69,8 +73,14 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
-    _SHIPPED.add(sc.applicationId)
+    try:
+        if app is not None:
+            spark.sparkContext.addPyFile(out)
+        else:
+            spark.addArtifacts(out, pyfile=True)
+    except Exception as e:                 # workers may import it already (package on their path)
+        warnings.warn(f"could not ship ledgerlens to the Python workers: {e}")
+    _SHIPPED.add(app or id(spark))
 
 
 def _is_local(spark: SparkSession) -> bool:
