@@ -70,3 +70,15 @@ def test_tie_average_rank(spark):
     out = tie_average_rank(df, "s", out_col="r").toPandas().sort_values("id")
     exp = pdf["s"].rank(pct=True)
     np.testing.assert_allclose(out["r"].values.astype(float), exp.values, equal_nan=True)
+
+
+def test_exact_quantiles_per_group_probability(spark):
+    # a different quantile per group, given as a Column over the group key
+    pdf, df = _frame(spark, seed=5)
+    want = {"a": 0.05, "b": 0.5, "c": 0.9, "d": 0.999}
+    p = F.create_map(*[x for g, q in want.items() for x in (F.lit(g), F.lit(q))])[F.col("g")]
+    out = exact_quantiles(df.where(F.col("g").isNotNull()), "v", [p], ["g"], ["q"]).toPandas()
+    assert set(out["g"]) == set(want)
+    for _, row in out.iterrows():
+        vals = pdf.loc[pdf["g"] == row["g"], "v"].dropna().values
+        assert abs(row["q"] - np.percentile(vals, want[row["g"]] * 100)) < 1e-12
