@@ -315,11 +315,10 @@ def stability(model: ForestModel, df: DataFrame, key: str, tree_counts: Sequence
 
 
 # ---------------------------------------------------------------- search
-def _per_candidate(scores: DataFrame, key: str, cands: Sequence[dict]) -> DataFrame:
-    """(key, candidate, raw): each candidate's raw score (its forest, its prefix of trees)."""
-    pairs = [F.struct(F.lit(int(c["candidate"])).alias("candidate"),
-                      F.col(f"raw_score_{int(c['n_estimators'])}").alias("raw")) for c in cands]
-    return scores.select(key, F.explode(F.array(*pairs)).alias("_s")).select(key, "_s.candidate", "_s.raw")
+def _per_group(scores: DataFrame, key: str, gids: dict) -> DataFrame:
+    """(key, grp, raw): the raw score of each (forest, tree count) group."""
+    pairs = [F.struct(F.lit(g).alias("grp"), F.col(f"raw_score_{k}").alias("raw")) for k, g in gids.items()]
+    return scores.select(key, F.explode(F.array(*pairs)).alias("_s")).select(key, "_s.grp", "_s.raw")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -339,47 +338,66 @@ def search(train: DataFrame, valid: DataFrame, key: str, features: Sequence[str]
     forest: ``n_estimators`` is a prefix of its trees and ``contamination``
     only moves the offset.  All forests are fitted in one grouped pass.
     Scoring is one union of per-forest passes (a task holds the nodes of one
-    forest only) into a long (key, candidate, raw) table; the offsets of all
-    candidates come from one exact-quantile pass grouped by candidate, and
-    the validation statistics from one aggregate.  Returns one row per
-    candidate."""
+    forest only) into a long (key, group, raw) table with one row per row and
+    (forest, tree count) group — not per candidate.  One exact-quantile pass
+    grouped by group gives every offset (slot j of a group is its j-th
+    contamination), and one aggregate the validation statistics per group and
+    slot.  Returns one row per candidate."""
     def fkey(c):
         return (c["max_samples"], float(c["max_features"]), bool(c["bootstrap"]))
     fkeys = sorted({fkey(c) for c in candidates}, key=str)
     specs = [ForestSpec(i, max(c["n_estimators"] for c in candidates if fkey(c) == fk), fk[0], fk[1], fk[2], seed)
              for i, fk in enumerate(fkeys)]
     nodes = fit_forests(train, key, features, specs)
+    groups: list[list[float]] = []       # contaminations of each (forest, tree count) group
+    slot = {}                            # candidate → (group, slot)
     tr_parts, va_parts = [], []
     for spec, fk in zip(specs, fkeys):
         cands = [c for c in candidates if fkey(c) == fk]
         ks = sorted({int(c["n_estimators"]) for c in cands})
-        tr_parts.append(_per_candidate(raw_scores(train, key, nodes, features, spec, ks), key, cands))
-        va_parts.append(_per_candidate(raw_scores(valid, key, nodes, features, spec, ks), key, cands))
+        gids = {}
+        for k in ks:
+            gids[k] = len(groups)
+            groups.append(sorted({float(c["contamination"]) for c in cands if int(c["n_estimators"]) == k}))
+        for c in cands:
+            g = gids[int(c["n_estimators"])]
+            slot[int(c["candidate"])] = (g, groups[g].index(float(c["contamination"])))
+        tr_parts.append(_per_group(raw_scores(train, key, nodes, features, spec, ks), key, gids))
+        va_parts.append(_per_group(raw_scores(valid, key, nodes, features, spec, ks), key, gids))
+    m = max(len(g) for g in groups)
+    # probability of slot j per group (a group with fewer contaminations repeats its last)
+    probs = [F.create_map(*[x for g, conts in enumerate(groups) for x in (F.lit(g), F.lit(conts[min(j, len(conts) - 1)]))]
+                          )[F.col("grp")] for j in range(m)]
+    offs = exact_quantiles(_union(tr_parts), "raw", probs, ["grp"], [f"o{j}" for j in range(m)])
+    # offsets: one row per group, a bound fixed by the search space
+    va = _union(va_parts).join(F.broadcast(offs), "grp")
+    aggs = [F.count(F.lit(1)).alias("n"),
+            F.sum(F.when(F.isnan("raw") | F.col("raw").isNull(), 1).otherwise(0)).alias("bad")]
+    for j in range(m):
+        d = F.col("raw") - F.col(f"o{j}")
+        aggs += [F.avg(F.when(d >= 0, d)).alias(f"mn{j}"), F.avg(F.when(d < 0, d)).alias(f"ma{j}"),
+                 F.stddev_pop(F.when(d >= 0, d)).alias(f"sn{j}"), F.stddev_pop(F.when(d < 0, d)).alias(f"sa{j}"),
+                 F.sum((d >= 0).cast("long")).alias(f"nn{j}"), F.sum((d < 0).cast("long")).alias(f"na{j}")]
+    stats = va.groupBy("grp").agg(*aggs)
     # the candidate list is a parameter table: one row per candidate
     params = train.sparkSession.createDataFrame(
         [(int(c["candidate"]), int(c["n_estimators"]), float(c["contamination"]), str(c["max_samples"]),
-          float(c["max_features"]), bool(c["bootstrap"])) for c in candidates],
+          float(c["max_features"]), bool(c["bootstrap"])) + slot[int(c["candidate"])] for c in candidates],
         "candidate int, n_estimators int, contamination double, max_samples string, max_features double, "
-        "bootstrap boolean")
-    cont = F.create_map(*[x for c in candidates for x in (F.lit(int(c["candidate"])), F.lit(float(c["contamination"])))])
-    offs = exact_quantiles(_union(tr_parts), "raw", [cont[F.col("candidate")]], ["candidate"], ["offset"])
-    # offsets: one row per candidate, a bound fixed by the search space
-    va = _union(va_parts).join(F.broadcast(offs), "candidate")
-    d = F.col("raw") - F.col("offset")
-    stats = va.groupBy("candidate").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.isnan("raw") | F.col("raw").isNull(), 1).otherwise(0)).alias("bad"),
-        F.avg(F.when(d >= 0, d)).alias("mn"), F.avg(F.when(d < 0, d)).alias("ma"),
-        F.stddev_pop(F.when(d >= 0, d)).alias("sn"), F.stddev_pop(F.when(d < 0, d)).alias("sa"),
-        F.sum((d >= 0).cast("long")).alias("nn"), F.sum((d < 0).cast("long")).alias("na"))
-    j = F.broadcast(params).join(stats, "candidate", "left")
-    pooled = F.sqrt((F.col("sn") ** 2 + F.col("sa") ** 2) / 2)
-    sep = (F.col("mn") - F.col("ma")) / pooled
+        "bootstrap boolean, grp int, slot int")
+    j = F.broadcast(params).join(stats, "grp", "left")
+
+    def at_slot(name):
+        return F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(m)]), F.col("slot") + 1)
+    mn, ma, sn, sa, nn, na = (at_slot(x) for x in ("mn", "ma", "sn", "sa", "nn", "na"))
+    pooled = F.sqrt((sn ** 2 + sa ** 2) / 2)
+    sep = (mn - ma) / pooled
     if penalised:
-        sep = sep - 2 * F.abs(F.col("na") / F.col("n") - F.col("contamination"))
-    ok = (F.col("bad") == 0) & (F.col("nn") >= min_group) & (F.col("na") >= min_group) & (pooled >= 1e-6)
+        sep = sep - 2 * F.abs(na / F.col("n") - F.col("contamination"))
+    ok = (F.col("bad") == 0) & (nn >= min_group) & (na >= min_group) & (pooled >= 1e-6)
     return j.select("candidate", "n_estimators", "contamination", "max_samples", "max_features", "bootstrap",
                     F.when(ok, sep).otherwise(F.lit(float("-inf") if penalised else 0.0)).alias("score"),
-                    (F.col("na") / F.col("n")).alias("flagged_rate"))
+                    (na / F.col("n")).alias("flagged_rate"))
 
 
 # Fixed values that must equal the reference's search spaces.
