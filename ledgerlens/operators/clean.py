@@ -211,15 +211,21 @@ def retention_report(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B18–B20, B24
-def drop_sparse_columns(df: DataFrame, cols: Sequence[str], max_missing: float = 0.5) -> list[str]:
+def missing_profile(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict]:
+    """Row count and NULL/NaN/inf count per column: one aggregate, one row."""
+    prof = df.agg(F.count(F.lit(1)).alias("_n"),
+                  *[F.sum(clean_double(c).isNull().cast("long")).alias(c) for c in cols]).collect()[0]
+    return prof["_n"] or 0, {c: prof[c] or 0 for c in cols}
+
+
+def drop_sparse_columns(df: DataFrame, cols: Sequence[str], max_missing: float = 0.5,
+                        profile: tuple[int, dict] | None = None) -> list[str]:
     """The columns of ``cols`` with at most ``max_missing`` share missing.
 
     Returns names (a decision on a one-row profile, bounded by the column
     count), so callers keep the lazy plan."""
-    prof = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.sum(clean_double(c).isNull().cast("long")).alias(c) for c in cols]).collect()[0]
-    n = prof["_n"] or 1
-    return [c for c in cols if (prof[c] or 0) / n <= max_missing]
+    n, nulls = profile or missing_profile(df, cols)
+    return [c for c in cols if nulls[c] / (n or 1) <= max_missing]
 
 
 def _clip(col: str, lo: Column, hi: Column) -> Column:
@@ -277,7 +283,8 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_h", unit_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
 
 
-def prepare_matrix(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> tuple[DataFrame, DataFrame]:
+def prepare_matrix(df: DataFrame, cols: Sequence[str], k: float = 3.0,
+                   nulls: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """B19 → B9 → D14 fit in as few exact passes as the data allows.
 
     One pass gives q1, median, q3 and the NULL count of every column.  The
@@ -285,10 +292,12 @@ def prepare_matrix(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> tuple[
     bounds) and so does the median fill of a column without NULLs; only
     columns that had NULLs get a second quantile pass after the fill.
     Returns (clipped + filled table, robust-scale parameters
-    (column, center, scale) with IQR 0 → 1)."""
+    (column, center, scale) with IQR 0 → 1).  ``nulls``: missing counts per
+    column when the caller has profiled the same rows already."""
     cols = list(cols)
     stats = _fitted(column_quantiles(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"]))
-    nulls = fitted_params(df.agg(*[F.sum(clean_double(c).isNull().cast("long")).alias(c) for c in cols]), 1)[0]
+    if nulls is None:
+        nulls = missing_profile(df, cols)[1]
     exprs = {}
     for c in cols:
         if c not in stats:

@@ -23,9 +23,10 @@ def model_matrix(spark, sf):
     fill (B9) → robust scale on all rows (D14) → exact 80/20 split (D16)."""
     def build():
         f = feature_table(spark, sf)
-        cols = C.drop_sparse_columns(f, list(D.MODEL_FEATURES), 0.5)
+        profile = C.missing_profile(f, list(D.MODEL_FEATURES))      # one pass serves B18 and the fill
+        cols = C.drop_sparse_columns(f, list(D.MODEL_FEATURES), 0.5, profile)
         m = f.select("record_id", "recipient_id", "recipient_state", "nature", "date_of_payment", *cols)
-        m, params = C.prepare_matrix(m, cols, 3.0)
+        m, params = C.prepare_matrix(m, cols, 3.0, nulls=profile[1])
         m = D.scale_apply(m, params, cols)
         return cut_lineage(D.exact_split(m, "record_id", 0.2, 42)), cols
     return _memo("matrix", spark, sf, build)
