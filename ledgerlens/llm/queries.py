@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.mixing_sql import mixing_oracle
 
 QUERIES = {}
 ORACLES = {}
@@ -37,3 +38,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.simhash import near_dedup
 
     return near_dedup(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+@register("op10_byte_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ledgerlens.llm.bpe import bpe_encode
+
+    return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                      public_tokenizers.PATTERN, with_ids=False)
+
+
+@register("op1_mix_sources", mixing_oracle())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
