@@ -55,3 +55,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@register("op2_quality_crf")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
