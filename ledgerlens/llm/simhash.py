@@ -63,7 +63,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, uid_col: str | None = None) -> DataFrame:
     """(run, uid, doc_id, fp) for every row, written once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["uid", "doc_id", "fp"])
 
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    small = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"),
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    small = docs.select(uid.alias("uid"), F.col(id_col).alias("doc_id"),
                         F.col(text_col).cast("string").alias("text"))
     out = small.mapInArrow(run, f"uid long, doc_id {kind}, fp long")
     return cut_lineage(out.withColumn("run", F.spark_partition_id()))
@@ -245,19 +246,19 @@ def links(filed: DataFrame, radius: int, batch_rows: int = 200_000) -> DataFrame
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
-                   blocks: int = 4, split_above: int = 4096) -> DataFrame:
-    """(run, uid, doc_id, fp, component_id) for every row: the smallest
+                   blocks: int = 4, split_above: int = 4096, uid_col: str | None = None) -> DataFrame:
+    """(run, uid, doc_id, fp, root, component_id) for every row: the smallest
     identifier reachable over links of at most ``radius`` differing bits.
     Empty texts have fingerprint 0 and link like any other; a component whose
     identifiers are all null has a null component_id; repeated rows each get
     their row."""
-    rows = fingerprints(docs, id_col, text_col, shingle)
+    rows = fingerprints(docs, id_col, text_col, shingle, uid_col)
     fps = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(file_under_keys(fps.select("fp"), radius, blocks, split_above), radius)
     roots = connected_components(edges)                                             # node, root
     named = fps.join(roots, fps["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return lookup_by_run(rows, ["fp"], named.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    return lookup_by_run(rows, ["fp"], named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
