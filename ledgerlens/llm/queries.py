@@ -70,3 +70,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@register("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.fingerprint import fingerprint_neighbours
+
+    return fingerprint_neighbours(table(spark, sf_dir, "documents"))
