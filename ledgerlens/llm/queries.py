@@ -77,3 +77,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.fingerprint import fingerprint_neighbours
 
     return fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
+@register("op3_html_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
