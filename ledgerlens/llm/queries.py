@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
 from ledgerlens.llm.mixing_sql import mixing_oracle
+from ledgerlens.llm.secrets_sql import secrets_oracle
 
 QUERIES = {}
 ORACLES = {}
@@ -84,3 +85,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.html_text import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@register("op5_secret_scan", secrets_oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
