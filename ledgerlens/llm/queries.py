@@ -92,3 +92,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.secrets import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@register("op8_pii_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.pii import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents"), key="corpus-release-1")
