@@ -34,8 +34,10 @@ def text_of(name: str = "text") -> Column:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (file bytes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimizer's size estimate of a plan (file bytes for a scan); 0 where
+    it knows nothing, as for rows that came from the driver."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def lookup_by_run(rows: DataFrame, keys: list[str], answers: DataFrame) -> DataFrame:

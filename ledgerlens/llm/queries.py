@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.lm_score import lm_oracle
 from ledgerlens.llm.mixing_sql import mixing_oracle
 from ledgerlens.llm.secrets_sql import secrets_oracle
 
@@ -99,3 +100,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.pii import replace_entities
 
     return replace_entities(table(spark, sf_dir, "documents"), key="corpus-release-1")
+
+
+@register("op9_lm_scores", lm_oracle())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
