@@ -233,44 +233,95 @@ def _with_group_size(cum: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return cum.join(sizes, cond, "inner").drop(*[f"_s_{c}" for c in group_cols])
 
 
+#: rank accuracy of the bracketing sketch, and the bracket's half width in units of it
+ACCURACY, HALF_WIDTH = 50_000, 3
+
+
+def _linear(lo: Column, hi: Column, d: Column) -> Column:
+    """numpy's linear rule: lo + (hi − lo)·d below the midpoint, lo·(1 − d) + hi·d
+    from it on, with the rounding DuckDB shows."""
+    return F.when(d < 0.5, lo + (hi - lo) * d).otherwise(lo * (1 - d) + hi * d)
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float | Column],
                     group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                    weight_col: str | None = None) -> DataFrame:
+                    bounded_groups: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default).
 
-    One row per group; NULL and NaN values are ignored.  Work is spread by
-    value range, so a group holding most rows is still split over many tasks;
-    the only per-group state is a count per distinct value, aggregated
-    map-side first.  ``weight_col`` takes pre-aggregated row counts (a table
-    of distinct values with their multiplicity).  A probability may be a
-    Column over the group columns (a different quantile per group).
-    """
+    One row per group; NULL and NaN values are ignored.  Two scans, no sort and
+    no copy of the data: a mergeable sketch brackets every quantile, then the
+    rows outside all brackets are only counted (one count per gap between
+    brackets, map-side) while the values inside keep their own counts - a share
+    of about ``2·HALF_WIDTH/ACCURACY`` of the rows per quantile.  The order
+    statistics are read off that small table; should a position ever fall into
+    a gap, the query fails instead of giving a near value.
+
+    ``bounded_groups`` says that the groups are a fixed list (columns, flags,
+    parameters): their brackets are then broadcast, so the rows never shuffle by
+    a handful of keys.  A probability may be a Column over the group columns (a
+    different quantile per group); those take a range-spread running count."""
     group_cols = list(group_cols)
     names = list(names or [f"q_{i}" if isinstance(p, Column) else f"q_{str(p).replace('.', '_')}"
                            for i, p in enumerate(probs)])
     v = F.col(value_col).cast("double")
-    w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    vals = df.select(*group_cols, v.alias("_v"), w.alias("_w")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = vals.groupBy(*group_cols, "_v").agg(F.sum("_w").alias("_c"))
-    cum = running(counts, ["_v"], ["_c"], group_cols, "sum", ["_cum"])
-    both = _with_group_size(cum, group_cols)
+    vals = df.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if any(isinstance(p, Column) for p in probs):
+        counts = vals.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        both = _with_group_size(running(counts, ["_v"], ["_c"], group_cols, "sum", ["_cum"]), group_cols)
+        both = both.withColumns({"_gap": F.lit(False), "_first": F.col("_v"), "_c": F.col("_c")})
+    else:
+        both = _bracketed(vals, [float(p) for p in probs], group_cols, bounded_groups)
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("_n") - 1) * (p if isinstance(p, Column) else F.lit(float(p)))
         lo, hi = F.floor(pos), F.ceil(pos)
-        aggs.append(F.min(F.when(F.col("_cum") > lo, F.col("_v"))).alias(f"_lo{i}"))
-        aggs.append(F.min(F.when(F.col("_cum") > hi, F.col("_v"))).alias(f"_hi{i}"))
-        aggs.append(F.first(pos - lo).alias(f"_f{i}"))
+        at = F.struct("_v", "_gap", "_first", "_c", "_cum")
+        aggs.append(F.min(F.when(F.col("_cum") > lo, at)).alias(f"_lo{i}"))
+        aggs.append(F.min(F.when(F.col("_cum") > hi, at)).alias(f"_hi{i}"))
+        aggs += [F.first(pos - lo).alias(f"_f{i}"), F.first(lo).alias(f"_lop{i}"), F.first(hi).alias(f"_hip{i}")]
     agg = both.groupBy(*group_cols).agg(*aggs)
-    # lo + (hi − lo)·d below the midpoint, lo·(1 − d) + hi·d from it on: the
-    # same value as numpy's linear rule, with the rounding DuckDB shows
-    outs = []
-    for i, nm in enumerate(names):
-        lo_, hi_, d = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
-        outs.append(F.when(d < 0.5, lo_ + (hi_ - lo_) * d).otherwise(lo_ * (1 - d) + hi_ * d).alias(nm))
+    missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
+
+    def value(e: str, position: str) -> Column:
+        """The value at a position: of an entry inside a bracket, or the first or
+        last one of a gap, which are known too."""
+        e, k = F.col(e), F.col(position)
+        return (F.when(~e["_gap"] | (k == e["_cum"] - 1), e["_v"]).when(k == e["_cum"] - e["_c"], e["_first"])
+                .when(e.isNotNull(), missed))
+
+    outs = [_linear(value(f"_lo{i}", f"_lop{i}"), value(f"_hi{i}", f"_hip{i}"), F.col(f"_f{i}")).alias(nm)
+            for i, nm in enumerate(names)]
     return agg.select(*group_cols, *outs)
 
 
+def _bracketed(vals: DataFrame, probs: Sequence[float], group_cols: Sequence[str], bounded: bool) -> DataFrame:
+    """(groups, _v, _cum, _n, _gap): cumulative counts over the values inside the
+    quantiles' brackets, with one row (its largest value) per gap between them."""
+    half = HALF_WIDTH / ACCURACY
+    edges = [x for p in probs for x in (max(p - half, 0.0), min(p + half, 1.0))]
+    fits = [F.percentile_approx("_v", edges, ACCURACY).alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            F.count(F.lit(1)).alias("_n")]
+    fit = vals.groupBy(*[F.col(c).alias(f"_b_{c}") for c in group_cols]).agg(*fits)
+    if group_cols:
+        cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in group_cols])
+        rows = vals.join(F.broadcast(fit) if bounded else fit, cond)
+    else:
+        one = fit.select(F.struct("_e", "_min", "_max", "_n").alias("_s")).scalar()
+        rows = vals.withColumn("_s", one).select("_v", "_s.*")
+    x = F.col("_v")
+    inside, below = F.lit(False), F.lit(0)
+    for i, p in enumerate(probs):
+        lo = F.col("_min") if p <= half else F.col("_e")[2 * i]
+        hi = F.col("_max") if p >= 1 - half else F.col("_e")[2 * i + 1]
+        inside = inside | ((x >= lo) & (x <= hi))
+        below = below + (x > hi).cast("int")
+    kept = rows.select(*group_cols, "_v", "_n", inside.alias("_in"), below.alias("_below"))
+    counts = kept.groupBy(*group_cols, "_n", "_in", "_below", F.when(F.col("_in"), x).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v"), F.min("_v").alias("_first"))
+    w = Window.partitionBy(*group_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.select(*group_cols, "_v", "_first", "_c", "_n", F.sum("_c").over(w).alias("_cum"), (~F.col("_in")).alias("_gap"))
+
+
 def tie_average_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
                      out_col: str = "pct_rank", descending: bool = False) -> DataFrame:
     """pandas ``rank(method='average', pct=True)``: (rows below + (ties+1)/2) / n.

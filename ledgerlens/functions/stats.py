@@ -29,7 +29,7 @@ def clean_double(c: str | Column) -> Column:
 
 def lenient_double(c: str | Column) -> Column:
     """pandas ``to_numeric(errors='coerce')``."""
-    return clean_double(F.expr(f"try_cast({c} AS double)") if isinstance(c, str) else c.try_cast("double"))
+    return clean_double(col(c).try_cast("double"))
 
 
 def lenient_timestamp(c: str | Column, fmt: str = "MM/dd/yyyy") -> Column:
@@ -76,15 +76,6 @@ def unit_hash_sql(key_sql: str, seed: int | str = 42) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', CAST({key_sql} AS VARCHAR), '{seed}')), 1, 8))::BIGINT / 4294967296.0)"
 
 
-def nz(c: str | Column, value=0) -> Column:
-    return F.coalesce(col(c), F.lit(value))
-
-
-def round_out(c: str | Column, digits: int = 6) -> Column:
-    """Presentation rounding for derived doubles (half up, like SQL ``round``)."""
-    return F.round(col(c), digits)
-
-
 def group_mode(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Most frequent non-NULL ``value`` per ``keys`` group, the smallest among
     ties (T7, pandas ``mode()[0]``); one row per group that has a value.

@@ -71,7 +71,7 @@ def convert_types(df: DataFrame, amount: str | None = "amount", date: str | None
     if date and date in df.columns and isinstance(df.schema[date].dataType, T.StringType):
         out = out.withColumn(date, lenient_timestamp(date, date_format))
     if count and count in df.columns:
-        out = out.withColumn(count, F.coalesce(F.expr(f"try_cast({count} AS bigint)"), F.lit(1)).cast("bigint"))
+        out = out.withColumn(count, F.coalesce(lenient_double(F.col(count)).cast("bigint"), F.lit(1)).cast("bigint"))
     for c in indicators:
         if c in df.columns:
             out = out.withColumn(c, indicator(c))
@@ -94,7 +94,7 @@ def positive_only(df: DataFrame, col: str) -> DataFrame:
 # ---------------------------------------------------------------- B9–B13
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Exact quantiles of many columns in one pass: rows (column, *names)."""
-    return exact_quantiles(melt(df, cols), "value", probs, ["column"], names)
+    return exact_quantiles(melt(df, cols), "value", probs, ["column"], names, bounded_groups=True)
 
 
 def _fitted(stats: DataFrame) -> dict:
@@ -261,28 +261,16 @@ def top_share_filter(df: DataFrame, col: str, q: float = 0.9) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B22, B25
-def checked_broadcast(small: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after counting the side; beyond the bound the
-    optimizer chooses (sort-merge join)."""
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
-def validate_categories(df: DataFrame, col: str, approved: DataFrame, approved_col: str | None = None,
-                        max_broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(rows whose ``col`` is on the approved list, data-quality rows that are not)."""
+def validate_categories(df: DataFrame, col: str, approved: DataFrame, approved_col: str | None = None
+                        ) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``col`` is on the approved list, data-quality rows that are
+    not).  The optimizer chooses the join by the list's size."""
     approved_col = approved_col or col
-    codes = checked_broadcast(approved.select(F.col(approved_col).alias("_code")).distinct(), max_broadcast_rows)
+    codes = approved.select(F.col(approved_col).alias("_code")).distinct()
     cond = F.col(col) == F.col("_code")
     return df.join(codes, cond, "left_semi"), df.join(codes, cond, "left_anti")
 
 
-def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """N rows chosen by md5(key ‖ seed) — stable across partitioning
-    and repeatable in SQL; ``limit`` is the feature here."""
-    return df.withColumn("_h", unit_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
-
-
 def prepare_matrix(df: DataFrame, cols: Sequence[str], k: float = 3.0,
                    nulls: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """B19 → B9 → D14 fit in as few exact passes as the data allows.

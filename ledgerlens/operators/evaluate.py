@@ -25,7 +25,7 @@ def class_comparison(df: DataFrame, features: Sequence[str], flag: str = "is_ano
     means = long.groupBy("column").agg(
         F.avg(F.when(F.col(flag) == 0, F.col("value"))).alias("normal_mean"),
         F.avg(F.when(F.col(flag) == 1, F.col("value"))).alias("anomaly_mean"))
-    med = exact_quantiles(long, "value", [0.5], ["column", flag], ["_med"])
+    med = exact_quantiles(long, "value", [0.5], ["column", flag], ["_med"], bounded_groups=True)
     meds = med.groupBy("column").agg(F.max(F.when(F.col(flag) == 0, F.col("_med"))).alias("normal_median"),
                                      F.max(F.when(F.col(flag) == 1, F.col("_med"))).alias("anomaly_median"))
     out = means.join(meds, "column", "left")
@@ -38,7 +38,7 @@ def score_stats_by_class(df: DataFrame, score: str, flag: str = "is_anomaly") ->
     s = df.select(F.col(flag), clean_double(score).alias("_s"))
     mom = s.groupBy(flag).agg(F.avg("_s").alias("score_mean"), F.min("_s").alias("score_min"),
                               F.max("_s").alias("score_max"), F.count(F.lit(1)).alias("n"))
-    med = exact_quantiles(s, "_s", [0.5], [flag], ["score_median"])
+    med = exact_quantiles(s, "_s", [0.5], [flag], ["score_median"], bounded_groups=True)
     return mom.join(med, flag, "left").select(flag, "n", "score_mean", "score_median", "score_min", "score_max")
 
 

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.ordered import exact_quantiles, running, tie_average_rank
 from ledgerlens.functions.stats import clean_double, safe_div, unit_hash, weekday_mon0
-from ledgerlens.session import cut_lineage, fitted_params
+from ledgerlens.session import fitted_params
 
 # Fixed values that must equal the reference's behaviour.
-HIGH_RISK_NATURES = ("Gift", "Entertainment", "Travel and Lodging")
 SPLIT_BINS = ((0.4, "train"), (0.5, "test"), (0.6, "validation"), (1.0, "production"))
 MODEL_FEATURES = ("amount", "number_of_payments", "payment_year", "payment_month", "payment_quarter",
                   "payment_dayofweek", "is_weekend", "hist_pay_count", "hist_pay_total", "hist_pay_avg",
@@ -166,16 +165,24 @@ def time_history(df: DataFrame, key: str = "recipient_id", date_col: str = "date
     daily table, joined back on (recipient, day)."""
     x = clean_double(amount)
     day = F.to_date(F.col(date_col))
-    daily = _daily(df, key, day, [F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"),
-                                  F.max(x).alias("_m")])
+    daily = _daily(df, key, day, [F.count(x).alias("_n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_s"), F.avg(x).alias("_a"),
+                                  F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("_q"), F.max(x).alias("_m")])
     w = _per_recipient_days().rowsBetween(Window.unboundedPreceding, -1)
-    hist = daily.select("_k", "_day",
-                        F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("double").alias("_cn"),
+    # spread around a value of the recipient's own scale (the first day's mean), so
+    # that large amounts with small differences keep their variance: with shifted
+    # sums, M2 = Σ(M2 of the day) + Σ n·(a − c)² − (Σ n·(a − c))² / Σ n
+    first = F.first("_a", ignorenulls=True).over(_per_recipient_days().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    daily = daily.withColumn("_d", F.coalesce(F.col("_a") - first, F.lit(0.0)))
+    n = F.sum("_n").over(w)
+    hist = daily.select("_k", "_day", F.coalesce(n, F.lit(0)).cast("double").alias("_cn"),
                         F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_cs"),
                         F.coalesce(F.sum("_q").over(w), F.lit(0.0)).alias("_cq"),
+                        F.coalesce(F.sum(F.col("_n") * F.col("_d") * F.col("_d")).over(w), F.lit(0.0)).alias("_c2"),
+                        F.coalesce(F.sum(F.col("_n") * F.col("_d")).over(w), F.lit(0.0)).alias("_c1"),
                         F.max("_m").over(w).alias("_cm"))
     n = F.col("_cn")
-    var = F.when(n > 1, F.greatest((F.col("_cq") - F.col("_cs") * F.col("_cs") / n) / (n - 1), F.lit(0.0)))
+    m2 = F.col("_cq") + F.col("_c2") - F.col("_c1") * F.col("_c1") / n
+    var = F.when(n > 1, F.greatest(m2 / (n - 1), F.lit(0.0)))
     hist = hist.select(F.col("_k"), F.col("_day"),
                        n.alias("hist_pay_count"), F.col("_cs").alias("hist_pay_total"),
                        F.when(n > 0, F.col("_cs") / n).alias("hist_pay_avg"),
@@ -239,21 +246,17 @@ def peer_scores(df: DataFrame, value: str = "amount", peers: Sequence[str] = ("s
 
     z = (x − mean)/std (sample std; NULL when std is 0 or undefined);
     robust z = 0.6745·(x − median)/MAD (NULL when MAD is 0).  Median and MAD
-    are exact; both passes are spread by value range."""
+    are exact."""
     peers = list(peers)
     x = clean_double(value)
     src = df.withColumn("_x", x)
     mom = src.groupBy(*peers).agg(F.count("_x").alias("peer_n"), F.avg("_x").alias("peer_mean"),
                                   F.stddev_samp("_x").alias("peer_std"))
-    # one pass over the rows: multiplicity of every (peer, value); the median
-    # and the MAD are then computed on that (much smaller) table
-    counts = cut_lineage(src.where(F.col("_x").isNotNull()).groupBy(*peers, "_x")
-                         .agg(F.count(F.lit(1)).alias("_c")))
-    med = exact_quantiles(counts, "_x", [0.5], peers, ["peer_median"], weight_col="_c")
+    med = exact_quantiles(src, "_x", [0.5], peers, ["peer_median"])
     med = med.select(*[F.col(c).alias(f"_m_{c}") for c in peers], "peer_median")
-    dev = counts.join(med, _and([counts[c].eqNullSafe(med[f"_m_{c}"]) for c in peers]), "inner")
-    dev = dev.select(*peers, F.abs(F.col("_x") - F.col("peer_median")).alias("_d"), "_c")
-    mad = exact_quantiles(dev, "_d", [0.5], peers, ["peer_mad"], weight_col="_c")
+    dev = src.join(med, _and([src[c].eqNullSafe(med[f"_m_{c}"]) for c in peers]), "inner")
+    dev = dev.select(*peers, F.abs(F.col("_x") - F.col("peer_median")).alias("_d"))
+    mad = exact_quantiles(dev, "_d", [0.5], peers, ["peer_mad"])
     mad = mad.select(*[F.col(c).alias(f"_q_{c}") for c in peers], "peer_mad")
     stats = (mom.join(med, _and([mom[c].eqNullSafe(med[f"_m_{c}"]) for c in peers]), "left")
                 .join(mad, _and([mom[c].eqNullSafe(mad[f"_q_{c}"]) for c in peers]), "left")
@@ -278,6 +281,10 @@ def frequency_encode(df: DataFrame, col: str, out: str | None = None) -> DataFra
     return j.withColumn(out, F.col("_fc") / total).drop("_fv", "_fc")
 
 
+#: stands for a missing amount in a running "last": below every finite double but the least
+_NO_AMOUNT = -1.7976931348623157e308
+
+
 def relationship_features(df: DataFrame, key: str = "recipient_id", payer: str = "payer_id",
                           date_col: str = "date_of_payment", amount: str = "amount",
                           order_key: str = "record_id") -> DataFrame:
@@ -287,8 +294,10 @@ def relationship_features(df: DataFrame, key: str = "recipient_id", payer: str =
     div = df.groupBy(F.col(key).alias("_dk")).agg(F.countDistinct(payer).alias("payer_diversity"))
     rel = df.groupBy(F.col(key).alias("_rk"), F.col(payer).alias("_rp")).agg(
         F.count(F.lit(1)).alias("relationship_count"))
-    prev = running(df.withColumn("_amt", clean_double(amount)), [date_col, order_key], ["_amt"], [key], "last",
-                   ["prev_amount"], exclusive=True)
+    # the previous row's amount, NULL or not: a missing amount travels as a marker
+    src = df.withColumn("_amt", clean_double(amount)).withColumn("_seen", F.coalesce("_amt", F.lit(_NO_AMOUNT)))
+    prev = running(src, [date_col, order_key], ["_seen"], [key], "last", ["prev_amount"], exclusive=True).drop("_seen")
+    prev = prev.withColumn("prev_amount", F.when(F.col("prev_amount") != _NO_AMOUNT, F.col("prev_amount")))
     out = prev.join(div, prev[key].eqNullSafe(div["_dk"]), "left").drop("_dk")
     out = out.join(rel, out[key].eqNullSafe(rel["_rk"]) & out[payer].eqNullSafe(rel["_rp"]), "left").drop("_rk", "_rp")
     return out.withColumn("amount_change_ratio", safe_div("_amt", "prev_amount")).drop("_amt")

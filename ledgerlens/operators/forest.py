@@ -1,12 +1,11 @@
 """Isolation forest on Spark (survey §2.5 E1–E4, §2.6 G10–G12).
 
 Fit
-    Every tree needs ψ rows drawn without replacement.  One hash of the row
-    key picks a pool of about 2·T·ψ rows (a size set by the parameters, not by
-    the data); a second hash spreads pooled rows over trees, and each
-    (forest, tree) group keeps its ψ lowest-hash rows.  Trees are then built
-    in parallel by ``groupBy(forest, tree).applyInPandas`` — one small group
-    per task — into a node table of at most T·(2ψ − 1) rows.
+    Rows are numbered; every tree draws min(ψ, n) different numbers, or ψ with
+    replacement under bootstrap, and the drawn numbers meet the rows by an
+    equi-join.  Trees are then built in parallel by
+    ``groupBy(forest, tree).applyInPandas`` — one small group per task — into
+    a node table of at most T·(2ψ − 1) rows.
 
 Score
     The node table of one forest is bounded by its parameters, so it is
@@ -33,15 +32,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.ordered import exact_quantiles
 from ledgerlens.functions.stats import unit_hash
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, shuffle_partitions
 
 EULER_GAMMA = 0.5772156649015329
+#: rows walked down the trees at a time
+CHUNK = 2048
 
 NODE_SCHEMA = T.StructType([
     T.StructField("forest", T.IntegerType()), T.StructField("tree", T.IntegerType()),
@@ -81,48 +82,62 @@ class ForestSpec:
             psi = int(self.max_samples * n_rows)
         else:
             psi = min(int(self.max_samples), n_rows)
+        if psi > MAX_PSI:
+            raise ValueError(f"max_samples gives {psi} rows a tree; {MAX_PSI} at most")
         self.psi = max(psi, 1)
         return self
 
 
-_RANK = "_ll_rank"
+#: rows of a tree at most; a share of a large table would not fit one task
+MAX_PSI = 1 << 16
+#: rows of one numbering bucket
+BUCKET_ROWS = 10_000
+
+
+def _numbered(df: DataFrame, key: str, features: Sequence[str], n_rows: int) -> DataFrame:
+    """The rows with a number 0..n-1, in the order of a hash of the key: buckets
+    by hash, numbered inside, offset by the buckets before them."""
+    buckets = max(1, -(-n_rows // BUCKET_ROWS))
+    h = unit_hash(key, "number")
+    rows = df.select(key, *features).withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") * buckets).cast("long"))
+    base = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    base = base.select("_b", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_b").orderBy("_h", key, *features)
+    return (rows.withColumn("_r", F.row_number().over(inside)).join(base, "_b")
+            .withColumn("_idx", F.col("_base") + F.col("_r") - 1).drop("_h", "_b", "_r", "_base"))
+
+
+def _draws(spark, specs: Sequence[ForestSpec], n_rows: int) -> DataFrame:
+    """(forest, tree, slot, _idx): the row numbers every tree draws - min(ψ, n)
+    different ones, or ψ independent ones under bootstrap."""
+    trees = [(s.forest, s.n_trees) for s in specs]
+    by_id = {s.forest: s for s in specs}
+
+    def draw(batches):
+        for pdf in batches:
+            for forest, tree in zip(pdf["forest"], pdf["tree"]):
+                s = by_id[int(forest)]
+                rng = np.random.default_rng([s.seed, s.forest, int(tree), 0])
+                idx = (rng.integers(0, n_rows, s.psi) if s.bootstrap
+                       else rng.choice(n_rows, s.psi, replace=False, shuffle=False))
+                yield pd.DataFrame({"forest": np.int32(s.forest), "tree": np.int32(tree),
+                                    "slot": np.arange(s.psi, dtype=np.int32), "_idx": idx.astype(np.int64)})
+
+    ids = spark.createDataFrame(trees, "forest int, n int").select(
+        "forest", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tree"))
+    return ids.repartition(shuffle_partitions(spark)).mapInPandas(draw, "forest int, tree int, slot int, _idx long")
 
 
 def _tree_rows(df: DataFrame, key: str, features: Sequence[str], specs: Sequence[ForestSpec], n_rows: int
                ) -> DataFrame:
-    """(forest, tree, key, features…, rank): ~2ψ candidate rows per tree (repeats possible)."""
-    parts = []
-    for s in specs:
-        want = 2.0 * s.n_trees * s.psi
-        n = max(n_rows, 1)
-        p = min(1.0, want / n)
-        pool = df.where(unit_hash(key, f"pool-{s.seed}-{s.forest}") < F.lit(p))
-        if p < 1.0:
-            # large table: a pool of ~2·T·ψ rows, each row to one tree (~2ψ per tree)
-            reps, direct = 1, False
-        elif n <= 2 * s.psi:
-            # tiny table: every row is a candidate for every tree (≤ 2ψ·T rows)
-            reps, direct = s.n_trees, True
-        else:
-            # table smaller than the pool: replicate each row just enough that
-            # ~1.25ψ distinct rows reach each tree; trees overlap like independent draws
-            reps, direct = max(1, math.ceil(-s.n_trees * math.log(1.0 - 1.25 * s.psi / n))), False
-        pool = pool.select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
-        tree = F.col("_rep") if direct else F.floor(
-            unit_hash(F.concat_ws("#", F.col(key).cast("string"), F.col("_rep").cast("string")),
-                      f"tree-{s.seed}-{s.forest}") * s.n_trees).cast("int")
-        parts.append(pool.select(F.lit(s.forest).alias("forest"), tree.alias("tree"), key, *features))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    """(forest, tree, slot, features…): exactly ψ rows per tree.  One rule at
+    every size: trees draw row numbers, which meet the numbered rows by an
+    equi-join (a number is drawn by few trees, so no key is hot)."""
     if [s.forest for s in specs] != list(range(len(specs))):
         raise ValueError("forest ids must be 0..k-1 in order")
-    # candidates of a tree may repeat a row; the tree keeps the ψ distinct rows
-    # with the smallest rank hash.  That choice is made inside the tree's
-    # group (~2ψ rows, bounded by the parameters), so sampling costs the one
-    # shuffle the fit needs anyway.
-    order = unit_hash(F.concat_ws("#", F.col(key).cast("string"), F.col("tree").cast("string")), "rank")
-    return rows.withColumn(_RANK, order)
+    rows = _numbered(df, key, features, n_rows)
+    return _draws(df.sparkSession, specs, n_rows).join(rows, "_idx").select("forest", "tree", "slot", *features)
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, feats: np.ndarray, max_depth: int):
@@ -169,12 +184,11 @@ def _build_fn(key: str, features: Sequence[str], specs: Sequence[ForestSpec]):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         forest, tree = int(pdf["forest"].iat[0]), int(pdf["tree"].iat[0])
         s = by_id[forest]
-        pdf = pdf.sort_values([_RANK, key], kind="stable").drop_duplicates(key).head(s.psi)
-        pdf = pdf.sort_values(key, kind="stable")      # shuffle order must not matter
-        rng = np.random.default_rng([s.seed, forest, tree])
+        if len(pdf) != s.psi:
+            raise ValueError(f"tree {tree} of forest {forest} got {len(pdf)} of {s.psi} rows")
+        pdf = pdf.sort_values("slot", kind="stable")   # shuffle order must not matter
+        rng = np.random.default_rng([s.seed, forest, tree, 1])
         x = pdf[list(features)].to_numpy(dtype=np.float64)
-        if s.bootstrap:
-            x = x[rng.integers(0, len(x), size=len(x))]
         k = max(1, int(s.max_features * d)) if isinstance(s.max_features, float) else int(s.max_features)
         feats = np.sort(rng.choice(d, size=min(k, d), replace=False))
         max_depth = int(math.ceil(math.log2(max(s.psi, 2))))
@@ -190,9 +204,14 @@ def fit_forests(df: DataFrame, key: str, features: Sequence[str], specs: Sequenc
     """Fit one or more forests; returns the (checkpointed) node table."""
     n_rows = df.count()
     specs = [s.resolve(n_rows) for s in specs]
+    if n_rows == 0:
+        raise ValueError("a forest needs training rows")
     rows = _tree_rows(df, key, features, specs, n_rows)
-    nodes = rows.groupBy("forest", "tree").applyInPandas(_build_fn(key, features, specs), NODE_SCHEMA)
-    return cut_lineage(nodes)
+    nodes = cut_lineage(rows.groupBy("forest", "tree").applyInPandas(_build_fn(key, features, specs), NODE_SCHEMA))
+    built, wanted = nodes.where("node = 0").count(), sum(s.n_trees for s in specs)
+    if built != wanted:
+        raise ValueError(f"{built} of {wanted} trees were built")
+    return nodes
 
 
 @dataclass
@@ -230,7 +249,7 @@ def _arrays(nodes: DataFrame, forest: int, n_trees: int):
 def tree_paths(x: np.ndarray, feat, thr, left, right, path) -> np.ndarray:
     """Path length of every row in every tree: array [rows, trees]."""
     n, t = len(x), feat.shape[0]
-    node = np.zeros((n, t), dtype=np.int64)
+    node = np.zeros((n, t), dtype=np.int32)
     trees = np.arange(t)[None, :]
     rows = np.arange(n)[:, None]
     for _ in range(feat.shape[1]):
@@ -262,11 +281,14 @@ def raw_scores(df: DataFrame, key: str, nodes: DataFrame, features: Sequence[str
         feat, thr, left, right, path = bc.value
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=np.float64)
-            p = tree_paths(x, feat, thr, left, right, path)
-            cum = np.cumsum(p, axis=1)
+            # fixed chunks of rows: memory is chunk × trees, whatever the batch
+            sums = np.empty((len(x), len(prefixes)))
+            for at in range(0, len(x), CHUNK):
+                cum = np.cumsum(tree_paths(x[at:at + CHUNK], feat, thr, left, right, path), axis=1)
+                sums[at:at + CHUNK] = cum[:, [k - 1 for k in prefixes]]
             out = pdf[[key, *keep]].copy()
-            for k, name in zip(prefixes, out_names):
-                depth = cum[:, k - 1] / k
+            for i, (k, name) in enumerate(zip(prefixes, out_names)):
+                depth = sums[:, i] / k
                 out[name] = -np.power(2.0, -depth / c_psi) if c_psi > 0 else -np.ones(len(x))
             yield out
 
@@ -297,21 +319,24 @@ def score(model: ForestModel, df: DataFrame, key: str, keep: Sequence[str] = ())
              .withColumn("confidence", F.abs("anomaly_score")))
 
 
-def stability(model: ForestModel, df: DataFrame, key: str, tree_counts: Sequence[int] = (10, 25, 50, 75, 100, 150, 200)
-              ) -> DataFrame:
+def stability(model: ForestModel, df: DataFrame, key: str, tree_counts: Sequence[int] = (10, 25, 50, 75, 100, 150, 200),
+              train_flag: str = "is_train") -> DataFrame:
     """For the first k trees of one forest, mean and population std of the
-    decision score and the number flagged (offset recalibrated per k on the
-    same rows) — one scoring pass for all k."""
+    decision score and the number flagged, on the training and on the test rows
+    (``train_flag`` 1 and 0); the offset of each k comes from the training rows.
+    One scoring pass for all k."""
     counts = [k for k in tree_counts if k <= model.spec.n_trees]
-    s = raw_scores(df, key, model.nodes, model.features, model.spec, counts)
+    s = raw_scores(df, key, model.nodes, model.features, model.spec, counts, [train_flag])
     # read twice below (offsets, then statistics): written once, scored once
-    long = cut_lineage(s.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("n_trees"),
-                                                                  F.col(f"raw_score_{k}").alias("raw"))
-                                                        for k in counts])).alias("_s")).select(key, "_s.n_trees", "_s.raw"))
-    off = exact_quantiles(long, "raw", [model.contamination], ["n_trees"], ["offset"])
-    j = long.join(off, "n_trees").withColumn("decision", F.col("raw") - F.col("offset"))
-    return j.groupBy("n_trees").agg(F.avg("decision").alias("mean_score"), F.stddev_pop("decision").alias("std_score"),
-                                    F.sum((F.col("decision") < 0).cast("long")).alias("n_flagged"))
+    long = cut_lineage(s.select(train_flag, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("n_trees"), F.col(f"raw_score_{k}").alias("raw")) for k in counts])).alias("_s"))
+        .select(train_flag, "_s.n_trees", "_s.raw"))
+    off = exact_quantiles(long.where(F.col(train_flag) == 1), "raw", [model.contamination], ["n_trees"], ["offset"],
+                          bounded_groups=True)
+    j = long.join(F.broadcast(off), "n_trees").withColumn("decision", F.col("raw") - F.col("offset"))
+    return j.groupBy("n_trees", train_flag).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("decision").alias("mean_score"), F.stddev_pop("decision").alias("std_score"),
+        F.sum((F.col("decision") < 0).cast("long")).alias("n_flagged"))
 
 
 # ---------------------------------------------------------------- search
@@ -405,11 +430,14 @@ GRID = {"n_estimators": [150, 250], "contamination": [0.03, 0.05, 0.07], "max_sa
         "max_features": [0.8, 1.0], "bootstrap": [False, True]}
 
 
-def grid_candidates() -> list[dict]:
+#: the cross-validated search has a space of its own: 24 candidates
+FOLD_GRID = {**GRID, "max_samples": [512]}
+
+
+def grid_candidates(grid: dict = GRID) -> list[dict]:
     from itertools import product
 
-    keys = list(GRID)
-    return [dict(zip(keys, vals), candidate=i) for i, vals in enumerate(product(*GRID.values()))]
+    return [dict(zip(grid, vals), candidate=i) for i, vals in enumerate(product(*grid.values()))]
 
 
 def random_candidates(n_iter: int = 30, seed: int = 42) -> list[dict]:

@@ -32,7 +32,7 @@ def baseline_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                                      F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                      F.min("value").alias("min"), F.max("value").alias("max"))
     probs = [i / 10 for i in range(1, 10)]
-    q = exact_quantiles(long, "value", probs, ["column"], [f"p{i}0" for i in range(1, 10)])
+    q = exact_quantiles(long, "value", probs, ["column"], [f"p{i}0" for i in range(1, 10)], bounded_groups=True)
     return mom.join(q, "column", "left")
 
 
@@ -52,7 +52,8 @@ def psi(base_df: DataFrame, cur_df: DataFrame, base_stats: DataFrame, cols: Sequ
     edges = base_stats.select("column", F.array(*[F.col(f"p{i}0") for i in range(1, 10)]).alias("_e"))
 
     def shares(df, name):
-        long = melt(df, cols).where(F.col("value").isNotNull()).join(edges, "column")
+        # the edges: one row per column
+        long = melt(df, cols).where(F.col("value").isNotNull()).join(F.broadcast(edges), "column")
         bucket = F.size(F.filter("_e", lambda e: e < F.col("value")))
         g = long.groupBy("column", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
         tot = g.groupBy("column").agg(F.sum("n").alias("_t"))

@@ -154,7 +154,7 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] =
         F.min("value").alias("min"), F.max("value").alias("max"),
         F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"))
     names = [f"p{int(round(p * 100))}" for p in percentiles]
-    qs = exact_quantiles(long, "value", percentiles, ["column"], names)
+    qs = exact_quantiles(long, "value", percentiles, ["column"], names, bounded_groups=True)
     n = F.col("count").cast("double")
     out = moments.join(qs, "column", "left")
     return out.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min", *names, "max",
@@ -164,7 +164,7 @@ def describe(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] =
 
 def axis_ranges(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """1st–99th percentile range per column."""
-    return exact_quantiles(melt(df, cols), "value", [lo, hi], ["column"], ["range_lo", "range_hi"])
+    return exact_quantiles(melt(df, cols), "value", [lo, hi], ["column"], ["range_lo", "range_hi"], bounded_groups=True)
 
 
 # ---------------------------------------------------------------- C11–C26

@@ -56,7 +56,7 @@ FROM t, s""")
 def e11(spark, sf):
     from ledgerlens.sources.tables import payments
 
-    t = payments(spark, sf).groupBy("recipient_id").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"))
+    t = payments(spark, sf, ["recipient_id", "amount"]).groupBy("recipient_id").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"))
     f = E.baseline_flags(t, "total_amount")
     return f.select("recipient_id", F.round("total_amount", 2).alias("total_amount"), "is_outlier_iqr",
                     "is_outlier_zscore", "is_outlier_percentile")
@@ -291,5 +291,5 @@ def c37r(spark, sf):
     """C37 as the reference applies it: on per-recipient totals."""
     from ledgerlens.sources.tables import payments
 
-    t = payments(spark, sf).groupBy("recipient_id").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"))
+    t = payments(spark, sf, ["recipient_id", "amount"]).groupBy("recipient_id").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"))
     return P.outlier_counts(t, "total_amount")

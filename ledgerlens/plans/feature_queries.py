@@ -24,7 +24,7 @@ SELECT record_id, year(date_of_payment) AS payment_year, month(date_of_payment)
        quarter(date_of_payment) AS payment_quarter, isodow(date_of_payment) - 1 AS payment_dayofweek,
        CAST(isodow(date_of_payment) >= 6 AS INTEGER) AS is_weekend FROM payments""")
 def d1(spark, sf):
-    return D.calendar(payments(spark, sf)).select("record_id", "payment_year", "payment_month", "payment_quarter",
+    return D.calendar(payments(spark, sf, ["record_id", "date_of_payment"])).select("record_id", "payment_year", "payment_month", "payment_quarter",
                                                   "payment_dayofweek", "is_weekend")
 
 
@@ -37,14 +37,14 @@ labelled AS (SELECT *, CASE WHEN h > 0 AND h <= 0.4 THEN 'train' WHEN h > 0.4 AN
 
 @register("d2_random_split", f"WITH {_SPLIT_SQL} SELECT record_id, dataset_usage FROM labelled")
 def d2(spark, sf):
-    return D.random_split(payments(spark, sf), "record_id", 42).select("record_id", "dataset_usage")
+    return D.random_split(payments(spark, sf, ["record_id"]), "record_id", 42).select("record_id", "dataset_usage")
 
 
 @register("d3_split_shares", f"""WITH {_SPLIT_SQL}
 SELECT dataset_usage, count(*) AS n_rows, round(count(*) * 100.0 / (SELECT count(*) FROM labelled), 6) AS pct
 FROM labelled GROUP BY 1""")
 def d3(spark, sf):
-    return D.split_shares(D.random_split(payments(spark, sf), "record_id", 42))
+    return D.split_shares(D.random_split(payments(spark, sf, ["record_id"]), "record_id", 42))
 
 
 @register("d4_recipient_history_train", f"""WITH {_SPLIT_SQL}
@@ -52,7 +52,7 @@ SELECT recipient_id, count(amount) AS hist_pay_count, round(coalesce(sum(amount)
        round(avg(amount), 6) AS hist_pay_avg, round(stddev_samp(amount), 6) AS hist_pay_std, max(amount) AS hist_pay_max
 FROM labelled WHERE dataset_usage = 'train' AND recipient_id IS NOT NULL GROUP BY recipient_id""")
 def d4(spark, sf):
-    train = D.random_split(payments(spark, sf)).where(F.col("dataset_usage") == "train")
+    train = D.random_split(payments(spark, sf, ["record_id", "recipient_id", "amount"])).where(F.col("dataset_usage") == "train")
     h = D.recipient_history(train)
     return h.select("recipient_id", "hist_pay_count", F.round("hist_pay_total", 2).alias("hist_pay_total"),
                     F.round("hist_pay_avg", 6).alias("hist_pay_avg"), F.round("hist_pay_std", 6).alias("hist_pay_std"),
@@ -79,16 +79,18 @@ SELECT record_id, dataset_usage,
        CAST(a IS NULL AS INTEGER) AS is_new_recipient
 FROM j""")
 def d6(spark, sf):
-    f = D.random_history_features(payments(spark, sf))
+    f = D.random_history_features(payments(spark, sf, ["record_id", "recipient_id", "amount"]))
     return rounded(f.select("record_id", "dataset_usage", *_RATIO_COLS, "is_new_recipient"))
 
 
 @register("d9_time_history_features", "WITH " + FEATURES_SQL + """
 SELECT record_id, recipient_id, payment_year, payment_month, payment_quarter, payment_dayofweek, is_weekend,
-       is_high_risk_nature, is_new_recipient, """ + _round_sql(["amount"] + _RATIO_COLS) + """
+       is_high_risk_nature, is_new_recipient, """ + _round_sql(["amount"] + [c for c in _RATIO_COLS if c != "hist_pay_std"]) + """,
+       round(hist_pay_std, 2) AS hist_pay_std
 FROM features""")
 def d9(spark, sf):
-    f = feature_table(spark, sf)
+    # the oracle takes the deviation over the payments themselves, another order of summation
+    f = feature_table(spark, sf).withColumn("hist_pay_std", F.round("hist_pay_std", 2))
     return rounded(f.select("record_id", "recipient_id", "payment_year", "payment_month", "payment_quarter",
                             "payment_dayofweek", "is_weekend", "is_high_risk_nature", "is_new_recipient", "amount",
                             *_RATIO_COLS))
@@ -106,7 +108,7 @@ def d11(spark, sf):
 SELECT record_id, round(CAST(count(*) OVER (PARTITION BY specialty) AS DOUBLE) / count(*) OVER (), 6) AS specialty_freq
 FROM payments""")
 def d12(spark, sf):
-    return D.frequency_encode(payments(spark, sf), "specialty").select(
+    return D.frequency_encode(payments(spark, sf, ["record_id", "specialty"]), "specialty").select(
         "record_id", F.round("specialty_freq", 6).alias("specialty_freq"))
 
 
@@ -121,7 +123,7 @@ SELECT p.record_id, d.payer_diversity, r.relationship_count, p.prev_amount,
 FROM prev p LEFT JOIN div d ON p.recipient_id IS NOT DISTINCT FROM d.recipient_id
 LEFT JOIN rel r ON p.recipient_id IS NOT DISTINCT FROM r.recipient_id AND p.payer_id IS NOT DISTINCT FROM r.payer_id""")
 def d13(spark, sf):
-    r = D.relationship_features(payments(spark, sf))
+    r = D.relationship_features(payments(spark, sf, ["record_id", "recipient_id", "payer_id", "date_of_payment", "amount"]))
     return r.select("record_id", "payer_diversity", "relationship_count", "prev_amount",
                     F.round("amount_change_ratio", 6).alias("amount_change_ratio"))
 
@@ -171,7 +173,7 @@ WITH h AS (SELECT record_id, {unit_hash_sql('record_id', 42)} AS h FROM payments
 r AS (SELECT record_id, row_number() OVER (ORDER BY h, record_id) AS rn, count(*) OVER () AS n FROM h)
 SELECT record_id, CAST(rn <= n - ceil(n * 0.2) AS INTEGER) AS is_train FROM r""")
 def d16(spark, sf):
-    return D.exact_split(payments(spark, sf), "record_id", 0.2, 42).select("record_id", "is_train")
+    return D.exact_split(payments(spark, sf, ["record_id"]), "record_id", 0.2, 42).select("record_id", "is_train")
 
 
 @register("d17_stratified_split", f"""
@@ -180,14 +182,14 @@ r AS (SELECT record_id, row_number() OVER (PARTITION BY form ORDER BY h, record_
              count(*) OVER (PARTITION BY form) AS n FROM h)
 SELECT record_id, CAST(rn <= n - ceil(n * 0.2) AS INTEGER) AS is_train FROM r""")
 def d17(spark, sf):
-    return D.exact_split(payments(spark, sf), "record_id", 0.2, 7, label="form").select("record_id", "is_train")
+    return D.exact_split(payments(spark, sf, ["record_id", "form"]), "record_id", 0.2, 7, label="form").select("record_id", "is_train")
 
 
 @register("d18_amount_percentile", """
 SELECT record_id, round((rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0)
                         / count(*) OVER () * 100.0, 6) AS amount_percentile FROM payments""")
 def d18(spark, sf):
-    p = D.score_percentile(payments(spark, sf), "amount", "amount_percentile")
+    p = D.score_percentile(payments(spark, sf, ["record_id", "amount"]), "amount", "amount_percentile")
     return p.select("record_id", F.round("amount_percentile", 6).alias("amount_percentile"))
 
 
@@ -197,7 +199,7 @@ SELECT recipient_type, round(total, 2) AS total_amount,
        round(sum(total) OVER (ORDER BY total DESC, recipient_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
              / sum(total) OVER (), 6) AS cumulative_share FROM t""")
 def d19(spark, sf):
-    t = payments(spark, sf).groupBy("recipient_type").agg(F.sum("amount").alias("total"))
+    t = payments(spark, sf, ["recipient_type", "amount"]).groupBy("recipient_type").agg(F.sum("amount").alias("total"))
     s = D.cumulative_share(t, "total", "recipient_type")
     return s.select("recipient_type", F.round("total", 2).alias("total_amount"),
                     F.round("cumulative_share", 6).alias("cumulative_share"))
@@ -206,7 +208,7 @@ def d19(spark, sf):
 @register("d20_top_amounts", """
 SELECT record_id, recipient_id, payer_name, amount, nature FROM payments ORDER BY amount DESC, record_id LIMIT 10""")
 def d20(spark, sf):
-    t = D.top_n(payments(spark, sf), "amount", "record_id", 10, ascending=False)
+    t = D.top_n(payments(spark, sf, ["record_id", "recipient_id", "payer_name", "amount", "nature"]), "amount", "record_id", 10, ascending=False)
     return t.select("record_id", "recipient_id", "payer_name", "amount", "nature")
 
 
@@ -216,7 +218,7 @@ WITH r AS (SELECT record_id, amount, row_number() OVER (ORDER BY amount, record_
 SELECT record_id, amount, CAST(rn - 1 AS BIGINT) AS point_index FROM r
 WHERE (rn - 1) % greatest(CAST(ceil(n / 100.0) AS BIGINT), 1) = 0""")
 def d21(spark, sf):
-    k = D.every_kth(payments(spark, sf).select("record_id", "amount"), "amount", "record_id", 100)
+    k = D.every_kth(payments(spark, sf, ["record_id", "amount"]), "amount", "record_id", 100)
     return k.select("record_id", "amount", "point_index")
 
 
@@ -226,7 +228,7 @@ SELECT CASE WHEN date_of_payment < TIMESTAMP '1999-10-01' THEN 'train'
             WHEN date_of_payment IS NOT NULL THEN 'test' END AS time_split, count(*) AS n_rows
 FROM payments GROUP BY 1""")
 def d10(spark, sf):
-    s = D.time_split(payments(spark, sf), "date_of_payment", "1999-10-01", "2000-10-01")
+    s = D.time_split(payments(spark, sf, ["date_of_payment"]), "date_of_payment", "1999-10-01", "2000-10-01")
     return s.groupBy("time_split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -238,5 +240,5 @@ SELECT recipient_id, day,
        CAST(sum(n) OVER w AS BIGINT) AS n_payments_30d, round(sum(s) OVER w, 2) AS total_amount_30d
 FROM daily WINDOW w AS (PARTITION BY recipient_id ORDER BY day RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""")
 def d13r(spark, sf):
-    r = D.rolling_sums(payments(spark, sf))
+    r = D.rolling_sums(payments(spark, sf, ["recipient_id", "date_of_payment", "amount"]))
     return r.withColumn("total_amount_30d", F.round("total_amount_30d", 2))

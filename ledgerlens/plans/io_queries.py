@@ -38,7 +38,7 @@ def a3(spark, sf):
     """Inferred CSV schema with id-like names forced to text, as rows."""
     path = scratch_path(spark, "csv")
     S.write_csv(payments(spark, sf), path)
-    schema = S.infer_schema(spark, path, 0.05)
+    schema = S.infer_schema(spark, path)
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema.fields],
                                  "column string, data_type string")
 
@@ -86,7 +86,7 @@ def a8(spark, sf):
 
 @register("a9_row_count", "SELECT count(*) AS n_rows FROM payments")
 def a9(spark, sf):
-    return payments(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))
+    return payments(spark, sf, []).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("a10_storage_comparison")
@@ -197,7 +197,7 @@ def b11(spark, sf):
 @register("b14_distinct_rows", """
 SELECT DISTINCT recipient_type, recipient_state, form, nature FROM payments""")
 def b14(spark, sf):
-    return C.drop_duplicates(payments(spark, sf).select("recipient_type", "recipient_state", "form", "nature"))
+    return C.drop_duplicates(payments(spark, sf, ["recipient_type", "recipient_state", "form", "nature"]))
 
 
 @register("b15_latest_per_recipient", """
@@ -206,7 +206,7 @@ SELECT recipient_id, date_of_payment, amount, record_id FROM (
          row_number() OVER (PARTITION BY recipient_id ORDER BY date_of_payment DESC, amount DESC, record_id DESC) AS rn
   FROM payments) WHERE rn = 1""")
 def b15(spark, sf):
-    p = payments(spark, sf).select("recipient_id", "date_of_payment", "amount", "record_id")
+    p = payments(spark, sf, ["recipient_id", "date_of_payment", "amount", "record_id"])
     return C.dedup_by_record(p, "recipient_id", "date_of_payment")
 
 
@@ -215,7 +215,7 @@ SELECT (SELECT count(*) FROM payments) AS records_before, (SELECT count(*) FROM
        (SELECT count(*) FROM payments) - (SELECT count(*) FROM valid) AS records_removed,
        round((SELECT count(*) FROM valid) * 100.0 / (SELECT count(*) FROM payments), 6) AS retention_pct""")
 def b16(spark, sf):
-    p = payments(spark, sf)
+    p = payments(spark, sf, ["recipient_id", "recipient_state", "amount", "date_of_payment", "number_of_payments", "record_id"])
     return C.retention_report(p, C.drop_invalid(C.convert_types(p), record_key="recipient_id"))
 
 
@@ -225,14 +225,14 @@ SELECT record_id, round(CASE WHEN amount IS NULL THEN NULL
                              ELSE least(greatest(amount, q1 - 3 * (q3 - q1)), q3 + 3 * (q3 - q1)) END, 6) AS amount
 FROM payments, q""")
 def b19(spark, sf):
-    return rounded(C.tukey_clip(payments(spark, sf).select("record_id", "amount"), ["amount"], 3.0))
+    return rounded(C.tukey_clip(payments(spark, sf, ["record_id", "amount"]), ["amount"], 3.0))
 
 
 @register("b20_quantile_clip_amount", """
 WITH q AS (SELECT quantile_cont(amount, 0.001) AS lo, quantile_cont(amount, 0.999) AS hi FROM payments)
 SELECT record_id, round(least(greatest(amount, lo), hi), 6) AS amount FROM payments, q""")
 def b20(spark, sf):
-    return rounded(C.quantile_clip(payments(spark, sf).select("record_id", "amount"), ["amount"]))
+    return rounded(C.quantile_clip(payments(spark, sf, ["record_id", "amount"]), ["amount"]))
 
 
 _AMERICA = """approved AS (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AMERICA')"""
@@ -246,7 +246,7 @@ def b22(spark, sf):
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     approved = nation.join(region.where(F.col("r_name") == "AMERICA"), F.col("n_regionkey") == F.col("r_regionkey"),
                            "left_semi").select("n_name")
-    ok, bad = C.validate_categories(payments(spark, sf), "recipient_state", approved, "n_name")
+    ok, bad = C.validate_categories(payments(spark, sf, ["recipient_state"]), "recipient_state", approved, "n_name")
     return (ok.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("status", F.lit("valid"))
             .unionByName(bad.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("status", F.lit("data_quality")))
             .where(F.col("n_rows") > 0).select("status", "n_rows"))
@@ -256,7 +256,7 @@ def b22(spark, sf):
 WITH q AS (SELECT quantile_cont(amount, 0.9) AS c FROM payments)
 SELECT count(*) AS n_rows, round(sum(amount), 2) AS total_amount FROM payments, q WHERE amount >= c""")
 def b24(spark, sf):
-    t = C.top_share_filter(payments(spark, sf), "amount", 0.9)
+    t = C.top_share_filter(payments(spark, sf, ["amount"]), "amount", 0.9)
     return t.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("amount"), 2).alias("total_amount"))
 
 
@@ -350,7 +350,7 @@ c AS (SELECT concat_ws('#', recipient_id, payer_id) AS relationship, count(*) AS
 SELECT relationship, n_rows FROM c WHERE relationship NOT IN (SELECT rel FROM b)""")
 def g24(spark, sf):
     """New-category drift on (recipient, payer) relationships first seen in the current batch."""
-    p = payments(spark, sf).withColumn("relationship", F.concat_ws("#", "recipient_id", "payer_id"))
+    p = payments(spark, sf, ["recipient_id", "payer_id", "date_of_payment"]).withColumn("relationship", F.concat_ws("#", "recipient_id", "payer_id"))
     base, cur = _batches(p)
     return MON.new_categories(base, cur, "relationship")
 

@@ -44,6 +44,17 @@ def e1(spark, sf):
     return forest_model(spark, sf).nodes
 
 
+@register("e1_forest_sampling", """
+SELECT 200 AS n_trees, least(256, n - CAST(ceil(n * 0.2) AS BIGINT)) AS min_root_rows,
+       least(256, n - CAST(ceil(n * 0.2) AS BIGINT)) AS max_root_rows
+FROM (SELECT count(*) AS n FROM payments WHERE abs(amount) > 0 AND date_of_payment IS NOT NULL AND recipient_id IS NOT NULL)""")
+def e1s(spark, sf):
+    """Every tree exists and holds exactly min(256, training rows) rows."""
+    root = forest_model(spark, sf).nodes.where("node = 0")
+    return root.agg(F.count(F.lit(1)).cast("int").alias("n_trees"), F.min("n_samples").cast("long").alias("min_root_rows"),
+                    F.max("n_samples").cast("long").alias("max_root_rows"))
+
+
 @register("e2_forest_scores")
 def e2(spark, sf):
     m, _ = model_matrix(spark, sf)
@@ -144,7 +155,7 @@ def g11(spark, sf):
 @register("g12_cv_grid_search")
 def g12(spark, sf):
     m, cols = model_matrix(spark, sf)
-    return IF.cv_search(m.where(F.col("is_train") == 1), "record_id", cols, IF.grid_candidates()[:12], folds=2)
+    return IF.cv_search(m.where(F.col("is_train") == 1), "record_id", cols, IF.grid_candidates(IF.FOLD_GRID), folds=2)
 
 
 @register("g13_mean_score_by_param")

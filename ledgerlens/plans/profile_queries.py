@@ -68,7 +68,7 @@ SELECT recipient_type, count(*) AS n_payments, round(sum(amount), 2) AS total_am
 FROM payments GROUP BY recipient_type ORDER BY total_amount DESC""")
 def c12(spark, sf):
     """C12 through the SQL front end: the view is registered, Catalyst plans it."""
-    payments(spark, sf).createOrReplaceTempView("payments")
+    payments(spark, sf, ["recipient_type", "amount"]).createOrReplaceTempView("payments")
     return spark.sql("""
         SELECT recipient_type, count(*) AS n_payments, round(sum(amount), 2) AS total_amount,
                round(avg(amount), 6) AS mean_amount, min(amount) AS min_amount, max(amount) AS max_amount
@@ -83,13 +83,13 @@ FROM payments WHERE date_of_payment IS NOT NULL GROUP BY {key}"""
 
 @register("c14_by_month", _PERIOD4.format(key="month(date_of_payment)", name="payment_month"))
 def c14m(spark, sf):
-    return P.group_stats(calendar(payments(spark, sf)), "amount", ["payment_month"],
+    return P.group_stats(calendar(payments(spark, sf, ["date_of_payment", "amount"])), "amount", ["payment_month"],
                          ("count", "sum", "mean", "median"), 2, prefix="amount_")
 
 
 @register("c14_by_quarter", _PERIOD4.format(key="quarter(date_of_payment)", name="payment_quarter"))
 def c14q(spark, sf):
-    return P.group_stats(calendar(payments(spark, sf)), "amount", ["payment_quarter"],
+    return P.group_stats(calendar(payments(spark, sf, ["date_of_payment", "amount"])), "amount", ["payment_quarter"],
                          ("count", "sum", "mean", "median"), 2, prefix="amount_")
 
 
@@ -98,7 +98,7 @@ SELECT strftime(date_of_payment, '%Y-%m') AS period, round(coalesce(sum(amount),
        round(avg(amount), 6) AS mean_amount, count(*) AS n_payments
 FROM payments WHERE date_of_payment IS NOT NULL GROUP BY 1""")
 def c15(spark, sf):
-    s = P.calendar_month_stats(payments(spark, sf), "date_of_payment", "amount")
+    s = P.calendar_month_stats(payments(spark, sf, ["date_of_payment", "amount"]), "date_of_payment", "amount")
     return s.select("period", F.round("total_amount", 2).alias("total_amount"),
                     F.round("mean_amount", 6).alias("mean_amount"), "n_payments")
 
@@ -110,7 +110,7 @@ c AS (SELECT isodow(date_of_payment) - 1 AS di, count(*) AS n FROM payments
       WHERE date_of_payment IS NOT NULL GROUP BY 1)
 SELECT d.day_index, d.day_name, c.n AS n_payments FROM d LEFT JOIN c ON d.day_index = c.di""")
 def c16(spark, sf):
-    return P.weekday_counts(payments(spark, sf), "date_of_payment")
+    return P.weekday_counts(payments(spark, sf, ["date_of_payment"]), "date_of_payment")
 
 
 @register("c17_top_states", """
@@ -119,7 +119,7 @@ SELECT recipient_state, round(coalesce(sum(amount), 0), 2) AS total_amount, coun
 FROM payments WHERE recipient_state IS NOT NULL GROUP BY recipient_state
 ORDER BY sum(amount) DESC, recipient_state LIMIT 20""")
 def c17(spark, sf):
-    t = P.top_groups(payments(spark, sf), "recipient_state", "amount", 20)
+    t = P.top_groups(payments(spark, sf, ["recipient_state", "amount"]), "recipient_state", "amount", 20)
     return t.select("recipient_state", F.round("total_amount", 2).alias("total_amount"), "n_payments",
                     F.round("mean_amount", 6).alias("mean_amount"))
 
@@ -130,7 +130,7 @@ SELECT recipient_state, round(coalesce(sum(amount), 0), 2) AS total_amount, coun
 FROM payments WHERE recipient_state IS NOT NULL GROUP BY recipient_state
 ORDER BY count(*) DESC, recipient_state LIMIT 10""")
 def c18(spark, sf):
-    t = P.top_groups(payments(spark, sf), "recipient_state", "amount", 10, order="count")
+    t = P.top_groups(payments(spark, sf, ["recipient_state", "amount"]), "recipient_state", "amount", 10, order="count")
     return t.select("recipient_state", F.round("total_amount", 2).alias("total_amount"), "n_payments",
                     F.round("mean_amount", 6).alias("mean_amount"))
 
@@ -140,7 +140,7 @@ SELECT nature, round(coalesce(sum(amount), 0), 2) AS total_amount, count(*) AS n
        round(avg(amount), 6) AS mean_amount
 FROM payments WHERE nature IS NOT NULL GROUP BY nature ORDER BY sum(amount) DESC, nature LIMIT 15""")
 def c20(spark, sf):
-    t = P.top_groups(payments(spark, sf), "nature", "amount", 15)
+    t = P.top_groups(payments(spark, sf, ["nature", "amount"]), "nature", "amount", 15)
     return t.select("nature", F.round("total_amount", 2).alias("total_amount"), "n_payments",
                     F.round("mean_amount", 6).alias("mean_amount"))
 
@@ -149,7 +149,7 @@ def c20(spark, sf):
 SELECT recipient_type, round(coalesce(sum(amount), 0), 2) AS total_amount FROM payments
 WHERE recipient_type IS NOT NULL GROUP BY recipient_type""")
 def c21(spark, sf):
-    return (payments(spark, sf).where(F.col("recipient_type").isNotNull()).groupBy("recipient_type")
+    return (payments(spark, sf, ["recipient_type", "amount"]).where(F.col("recipient_type").isNotNull()).groupBy("recipient_type")
             .agg(F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 2).alias("total_amount")))
 
 
@@ -157,7 +157,7 @@ def c21(spark, sf):
 SELECT month(date_of_payment) AS payment_month, count(*) AS n_payments, round(sum(amount), 2) AS total_amount
 FROM payments WHERE date_of_payment IS NOT NULL GROUP BY 1""")
 def c22(spark, sf):
-    c = calendar(payments(spark, sf)).where(F.col("payment_month").isNotNull())
+    c = calendar(payments(spark, sf, ["date_of_payment", "amount"])).where(F.col("payment_month").isNotNull())
     return c.groupBy("payment_month").agg(F.count(F.lit(1)).alias("n_payments"),
                                           F.round(F.sum("amount"), 2).alias("total_amount"))
 
@@ -166,7 +166,7 @@ def c22(spark, sf):
 SELECT quarter(date_of_payment) AS payment_quarter, round(sum(amount), 2) AS total_amount
 FROM payments WHERE date_of_payment IS NOT NULL GROUP BY 1""")
 def c23(spark, sf):
-    c = calendar(payments(spark, sf)).where(F.col("payment_quarter").isNotNull())
+    c = calendar(payments(spark, sf, ["date_of_payment", "amount"])).where(F.col("payment_quarter").isNotNull())
     return c.groupBy("payment_quarter").agg(F.round(F.sum("amount"), 2).alias("total_amount"))
 
 
@@ -289,13 +289,13 @@ def _corr_sql(strong: bool) -> str:
 
 @register("c30_correlation_matrix", _corr_sql(False))
 def c30(spark, sf):
-    c = P.correlation_matrix(calendar(payments(spark, sf)), CORR_COLS)
+    c = P.correlation_matrix(calendar(payments(spark, sf, ["amount", "number_of_payments", "date_of_payment"])), CORR_COLS)
     return c.select("feature_a", "feature_b", F.round("r", 6).alias("r"))
 
 
 @register("c31_strong_correlations", _corr_sql(True))
 def c31(spark, sf):
-    c = P.correlation_matrix(calendar(payments(spark, sf)), CORR_COLS)
+    c = P.correlation_matrix(calendar(payments(spark, sf, ["amount", "number_of_payments", "date_of_payment"])), CORR_COLS)
     s = P.strong_correlations(c, CORR_COLS, 0.7)
     return s.select("feature_a", "feature_b", F.round("r", 6).alias("r"))
 
@@ -308,7 +308,7 @@ SELECT specialty, recipient_state, round(avg(amount), 6) AS mean_amount FROM pay
 WHERE specialty IN (SELECT specialty FROM tr) AND recipient_state IN (SELECT recipient_state FROM tc)
 GROUP BY 1, 2""")
 def c32(spark, sf):
-    p = P.pivot_mean(payments(spark, sf), "specialty", "recipient_state", "amount", 10, 10)
+    p = P.pivot_mean(payments(spark, sf, ["specialty", "recipient_state", "amount"]), "specialty", "recipient_state", "amount", 10, 10)
     return p.select("specialty", "recipient_state", F.round("mean_amount", 6).alias("mean_amount"))
 
 
@@ -317,7 +317,7 @@ SELECT recipient_type, recipient_state, form, round(coalesce(sum(amount), 0), 2)
        3 - (grouping(recipient_type) + grouping(recipient_state) + grouping(form)) AS level
 FROM payments GROUP BY ROLLUP (recipient_type, recipient_state, form)""")
 def c33(spark, sf):
-    h = P.hierarchy_totals(payments(spark, sf), ["recipient_type", "recipient_state", "form"], "amount")
+    h = P.hierarchy_totals(payments(spark, sf, ["recipient_type", "recipient_state", "form", "amount"]), ["recipient_type", "recipient_state", "form"], "amount")
     return h.select("recipient_type", "recipient_state", "form", F.round("total_amount", 2).alias("total_amount"),
                     "n_payments", "level")
 
@@ -330,7 +330,7 @@ SELECT recipient_type, round(CASE WHEN ha > la THEN (amount - la) / (ha - la) EL
        round(CASE WHEN hn > ln THEN (number_of_payments - ln) / (hn - ln) ELSE 0 END, 6) AS number_of_payments
 FROM m, b""")
 def c34(spark, sf):
-    n = P.normalized_group_means(payments(spark, sf), "recipient_type", ["amount", "number_of_payments"])
+    n = P.normalized_group_means(payments(spark, sf, ["recipient_type", "amount", "number_of_payments"]), "recipient_type", ["amount", "number_of_payments"])
     return n.select("recipient_type", F.round("amount", 6).alias("amount"),
                     F.round("number_of_payments", 6).alias("number_of_payments"))
 
@@ -339,7 +339,7 @@ def c34(spark, sf):
 SELECT specialty, CAST(dense_rank() OVER (ORDER BY specialty) - 1 AS BIGINT) AS category_index
 FROM (SELECT DISTINCT specialty FROM payments WHERE specialty IS NOT NULL)""")
 def c35(spark, sf):
-    return P.category_index(payments(spark, sf), "specialty")
+    return P.category_index(payments(spark, sf, ["record_id", "specialty"]), "specialty")
 
 
 @register("c36_axis_ranges", """
@@ -368,7 +368,7 @@ SELECT quarter(date_of_payment) AS period, recipient_type, count(*) AS n_payment
        round(coalesce(sum(amount), 0), 2) AS total_amount, round(avg(amount), 6) AS mean_amount
 FROM payments GROUP BY 1, 2""")
 def c38(spark, sf):
-    g = P.period_group_stats(payments(spark, sf), F.quarter("date_of_payment"), "recipient_type", "amount")
+    g = P.period_group_stats(payments(spark, sf, ["date_of_payment", "recipient_type", "amount"]), F.quarter("date_of_payment"), "recipient_type", "amount")
     return g.select("period", "recipient_type", "n_payments", F.round("total_amount", 2).alias("total_amount"),
                     F.round("mean_amount", 6).alias("mean_amount"))
 
@@ -378,7 +378,7 @@ SELECT strftime(date_of_payment, '%Y-%m') AS period, recipient_id, count(*) AS n
        round(coalesce(sum(amount), 0), 2) AS total_amount, round(avg(amount), 6) AS mean_amount
 FROM payments GROUP BY 1, 2""")
 def c39(spark, sf):
-    g = P.period_group_stats(payments(spark, sf), F.date_format("date_of_payment", "yyyy-MM"), "recipient_id", "amount")
+    g = P.period_group_stats(payments(spark, sf, ["date_of_payment", "recipient_id", "amount"]), F.date_format("date_of_payment", "yyyy-MM"), "recipient_id", "amount")
     return g.select("period", "recipient_id", "n_payments", F.round("total_amount", 2).alias("total_amount"),
                     F.round("mean_amount", 6).alias("mean_amount"))
 
@@ -407,7 +407,7 @@ SELECT CAST(count(*) - count(DISTINCT (recipient_type, recipient_state, form, na
 FROM payments""")
 def c2(spark, sf):
     """Duplicates on a 4-column projection (the whole rows are unique)."""
-    return P.duplicate_rows(payments(spark, sf).select("recipient_type", "recipient_state", "form", "nature"))
+    return P.duplicate_rows(payments(spark, sf, ["recipient_type", "recipient_state", "form", "nature"]))
 
 
 @register("c3_missing_summary", """
@@ -435,7 +435,7 @@ def c3(spark, sf):
 SELECT nature AS value, count(*) AS count, round_even(count(*) * 100.0 / (SELECT count(*) FROM payments), 2) AS percentage
 FROM payments WHERE nature IS NOT NULL GROUP BY nature ORDER BY count DESC, value LIMIT 10""")
 def c5(spark, sf):
-    return P.value_counts(payments(spark, sf), "nature", 10)
+    return P.value_counts(payments(spark, sf, ["nature"]), "nature", 10)
 
 
 @register("c6_categorical_profile", """
@@ -445,7 +445,7 @@ UNION ALL SELECT 'specialty', count(DISTINCT specialty), count(*) - count(specia
 UNION ALL SELECT 'form', count(DISTINCT form), count(*) - count(form) FROM payments
 UNION ALL SELECT 'nature', count(DISTINCT nature), count(*) - count(nature) FROM payments""")
 def c6(spark, sf):
-    return P.categorical_profile(payments(spark, sf), ["recipient_type", "recipient_state", "specialty", "form", "nature"])
+    return P.categorical_profile(payments(spark, sf, ["recipient_type", "recipient_state", "specialty", "form", "nature"]), ["recipient_type", "recipient_state", "specialty", "form", "nature"])
 
 
 @register("c7_quality_report", """

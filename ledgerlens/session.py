@@ -124,11 +124,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file access in local tests."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def fitted_params(df: DataFrame, max_rows: int = 10_000) -> list:
     """Collect a fitted-parameter table (one row per column or group of a
     fixed, small set — e.g. quantiles of the feature columns).  The bound is

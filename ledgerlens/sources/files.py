@@ -8,7 +8,7 @@ source with the ``content`` column pruned, so no file body is read.
 
 from __future__ import annotations
 
-import re
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +17,16 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.stats import unit_hash
 
-# Fixed values that must equal the reference's behaviour: name fragments
-# that force a column to text whatever its inferred type.
-FORCE_STRING_PATTERNS = ("id", "npi", "zip", "postal", "code", "ccn", "phone", "license", "ndc", "pdi",
-                         "name", "city", "state", "province", "country", "street", "address", "type",
-                         "specialty", "indicator", "category", "nature", "form", "product", "record",
-                         "change_type", "program_year", "dispute")
+# Fragments of a lower-case column name that force the column to
+# text whatever its inferred type (A3), and those that schema validation checks.
+FORCE_STRING_PATTERNS = (
+    "_name", "_address", "_city", "_state", "_country", "_province",
+    "_zip", "_postal", "_code", "_ccn", "_npi", "_id",
+    "first_name", "last_name", "middle_name", "suffix",
+    "street", "covered_recipient_type", "nature_of", "form_of",
+    "physician_specialty", "recipient_primary_", "business_street",
+    "teaching_hospital", "applicable_manufacturer", "making_payment")
+TEXT_CHECK_PATTERNS = ("name", "address", "city", "id", "npi", "ccn", "zip", "postal")
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -51,17 +55,20 @@ def force_string(schema: T.StructType, patterns: Sequence[str] = FORCE_STRING_PA
     """A3: every field whose lower-case name contains a pattern becomes STRING."""
     out = []
     for f in schema.fields:
-        name = f.name.lower()
-        hit = any(re.search(rf"(^|_){re.escape(p)}(_|$|\d)", name) or p in name.split("_") for p in patterns)
+        hit = any(p in f.name.lower() for p in patterns)
         out.append(T.StructField(f.name, T.StringType(), True) if hit else f)
     return T.StructType(out)
 
 
-def infer_schema(spark: SparkSession, path: str, sampling_ratio: float = 0.01) -> T.StructType:
-    """A3: types inferred on a sample, then id-like names forced to STRING."""
-    sample = (spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", sampling_ratio)
-              .option("quote", '"').option("escape", '"').csv(path))
-    return force_string(normalise_columns(sample).schema)
+def infer_schema(spark: SparkSession, path: str, sample_rows: int = 1000) -> T.StructType:
+    """A3: types inferred from the first ``sample_rows`` lines (the scan stops
+    there), then names that say text forced to STRING."""
+    lines = spark.read.text(path)
+    header = lines.first()[0]
+    rows = lines.where(F.col("value") != header).limit(sample_rows)       # every part file repeats the header
+    sample = (spark.read.option("inferSchema", True).option("quote", '"').option("escape", '"')
+              .csv(rows.rdd.map(lambda r: r[0])))
+    return force_string(normalise_columns(sample.toDF(*next(csv.reader([header])))).schema)
 
 
 def register_view(spark: SparkSession, name: str, path: str, fmt: str = "parquet", options: dict | None = None
@@ -73,7 +80,7 @@ def register_view(spark: SparkSession, name: str, path: str, fmt: str = "parquet
     return spark.sql(f"DESCRIBE {name}")
 
 
-def schema_violations(df: DataFrame, patterns: Sequence[str] = FORCE_STRING_PATTERNS) -> DataFrame:
+def schema_violations(df: DataFrame, patterns: Sequence[str] = TEXT_CHECK_PATTERNS) -> DataFrame:
     """Columns whose name says text (ids, codes, names) but whose type is numeric."""
     rows = []
     for f in df.schema.fields:
@@ -141,8 +148,9 @@ def validate_lake(df: DataFrame, expected_cols: Sequence[str], partition_col: st
 def sequential_extract(df: DataFrame, n: int) -> DataFrame:
     """The first n rows in file order (file path, then row index inside
     the file, from the hidden ``_metadata`` column)."""
-    return (df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-              .orderBy("_f", "_i").limit(n).drop("_f", "_i"))
+    rows = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    # a file's first n rows are enough of it: the sort never sees more
+    return rows.where(F.col("_i") < n).orderBy("_f", "_i").limit(n).drop("_f", "_i")
 
 
 def random_extract(df: DataFrame, key: str, n: int, seed: int = 42, require: str | None = None) -> DataFrame:
@@ -164,18 +172,21 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dictionary_lookup(fields: DataFrame, name: str | None = None, keyword: str | None = None) -> DataFrame:
-    """description/type/constraints of a field, or a case-insensitive
-    keyword search over names and descriptions (descriptions cut to 100
-    characters + '...')."""
+    """One field by its exact name (whole description; the accessors'
+    defaults where an entry is missing), or a case-insensitive keyword search
+    over names and descriptions (first 100 characters + '...')."""
     out = fields
     if name is not None:
-        out = out.where(F.lower("name") == name.lower())
+        out = out.where(F.col("name") == name)
     if keyword is not None:
         k = keyword.lower()
-        out = out.where(F.lower("name").contains(k) | F.lower("description").contains(k))
-    short = F.when(F.length("description") > 100, F.concat(F.substring("description", 1, 100), F.lit("...")))\
-             .otherwise(F.col("description"))
-    return out.select("name", "type", "constraints", short.alias("description"))
+        out = out.where(F.lower("name").contains(k) | F.lower(F.coalesce("description", F.lit(""))).contains(k))
+    if keyword is not None:
+        text = F.concat(F.substring(F.coalesce("description", F.lit("")), 1, 100), F.lit("..."))
+    else:
+        text = F.coalesce("description", F.lit("No description available"))
+    return out.select("name", F.coalesce("type", F.lit("Unknown")).alias("type"),
+                      F.coalesce("constraints", F.lit("{}")).alias("constraints"), text.alias("description"))
 
 
 # ---------------------------------------------------------------- A16

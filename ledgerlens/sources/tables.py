@@ -30,14 +30,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import shuffle_partitions
-
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
 LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
+#: stands for NULL in a row key
+NULL_MARK = "\\N"
+
 PAYMENT_COLS = ["record_id", "recipient_id", "recipient_type", "recipient_state", "specialty", "payer_id",
                 "payer_name", "amount", "number_of_payments", "date_of_payment", "form", "nature"]
 
@@ -47,15 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def record_key(li: DataFrame) -> "F.Column":
-    """md5 of the whole lineitem row: doubles as decimal(18,2), dates as date."""
+    """md5 of the whole lineitem row: doubles with nine decimals, dates as date,
+    NULL as a marker of its own (so a value never moves into another column)."""
     parts = []
     for c, t in li.select(*LINEITEM_COLS).dtypes:
         col = F.col(c)
         if t == "double":
-            col = col.cast("decimal(18,2)")
+            col = col.cast("decimal(30,9)")
         elif t.startswith("timestamp"):
             col = col.cast("date")
-        parts.append(col.cast("string"))
+        parts.append(F.coalesce(col.cast("string"), F.lit(NULL_MARK)))
     return F.md5(F.concat_ws("|", *parts))
 
 
@@ -65,23 +67,17 @@ _NEEDS = {"recipient_id": {"orders"}, "nature": {"orders"}, "recipient_type": {"
 
 
 def payments(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
-    """The payments view; with ``columns``, only the joins those columns need.
+    """The payments view; with ``columns``, only the joins those columns need
+    (an empty list keeps the rows and no join; None means every column).
 
     LEFT joins are never removed by the optimizer (a right side could
     duplicate rows), so a query that reads no supplier column should not pay
     for the supplier join — at scale, that is a shuffle of the largest table.
     """
-    cols = list(columns) if columns else list(PAYMENT_COLS)
+    cols = list(PAYMENT_COLS) if columns is None else list(columns)
     need = set().union(*[_NEEDS.get(c, set()) for c in cols])
     li = table(spark, sf_dir, "lineitem")
-    if "record_id" in cols:
-        # The md5 row key is the costly per-row step: hash-partition lineitem
-        # on the order key first.  At scale this is the exchange the lineitem ⋈
-        # orders sort-merge join needs anyway (the join reuses it); when the
-        # dimensions are broadcast it still spreads the key over all tasks
-        # instead of one task per input file.
-        li = li.repartition(shuffle_partitions(spark), "l_orderkey")
-    j = li.select(record_key(li).alias("record_id"), *LINEITEM_COLS)
+    j = li.select(*([record_key(li).alias("record_id")] if "record_id" in cols else []), *LINEITEM_COLS)
     if need & {"orders", "customer", "nation"}:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
         j = j.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
@@ -98,7 +94,7 @@ def payments(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, .
         supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
         j = j.join(supp, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     exprs = {
-        "record_id": F.col("record_id"),
+        **({"record_id": F.col("record_id")} if "record_id" in cols else {}),
         "recipient_id": F.col("o_custkey"),
         "recipient_type": F.col("c_mktsegment"),
         "recipient_state": F.col("n_name"),
@@ -117,10 +113,17 @@ def payments(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, .
 # The same view for DuckDB, written independently for the oracle queries.
 PAYMENTS_SQL = """
 payments AS (
-  SELECT md5(concat_ws('|', l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber,
-             CAST(l.l_quantity AS DECIMAL(18,2)), CAST(l.l_extendedprice AS DECIMAL(18,2)),
-             CAST(l.l_discount AS DECIMAL(18,2)), CAST(l.l_tax AS DECIMAL(18,2)),
-             l.l_returnflag, l.l_linestatus, CAST(l.l_shipdate AS DATE))) AS record_id,
+  SELECT md5(concat_ws('|', coalesce(CAST(l.l_orderkey AS VARCHAR), '\\N'),
+             coalesce(CAST(l.l_partkey AS VARCHAR), '\\N'),
+             coalesce(CAST(l.l_suppkey AS VARCHAR), '\\N'),
+             coalesce(CAST(l.l_linenumber AS VARCHAR), '\\N'),
+             coalesce(CAST(CAST(l.l_quantity AS DECIMAL(30,9)) AS VARCHAR), '\\N'),
+             coalesce(CAST(CAST(l.l_extendedprice AS DECIMAL(30,9)) AS VARCHAR), '\\N'),
+             coalesce(CAST(CAST(l.l_discount AS DECIMAL(30,9)) AS VARCHAR), '\\N'),
+             coalesce(CAST(CAST(l.l_tax AS DECIMAL(30,9)) AS VARCHAR), '\\N'),
+             coalesce(CAST(l.l_returnflag AS VARCHAR), '\\N'),
+             coalesce(CAST(l.l_linestatus AS VARCHAR), '\\N'),
+             coalesce(CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR), '\\N'))) AS record_id,
          o.o_custkey AS recipient_id,
          c.c_mktsegment AS recipient_type,
          n.n_name AS recipient_state,

@@ -21,11 +21,15 @@ from ledgerlens.sources.files import parse_capture
 
 
 def run_intake(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str, record_schema: str,
-               files_per_batch: int = 2, baseline: DataFrame | None = None,
+               files_per_batch: int | None = None, baseline: DataFrame | None = None,
                drift_cols: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Process every capture file not yet seen; returns the output tables."""
-    stream = (spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
-              .load(source_dir))
+    """Process every capture file not yet seen; returns the output tables (empty
+    ones before the first file).  ``files_per_batch`` splits the intake into
+    micro-batches; by default all waiting files form one."""
+    reader = spark.readStream.format("text")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.load(source_dir)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         lines = df.persist()
@@ -40,10 +44,18 @@ def run_intake(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_di
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    out = {"records": spark.read.parquet(f"{out_dir}/records"), "status": spark.read.parquet(f"{out_dir}/status")}
+    none = spark.createDataFrame([], "value string")
+    records, status = parse_capture(none, record_schema)
+    empty = {"records": records, "status": status}
     if baseline is not None and drift_cols:
-        out["drift"] = spark.read.parquet(f"{out_dir}/drift")
-    return out
+        empty["drift"] = MON.feature_drift(baseline, baseline).limit(0)
+    return {name: _written(spark, f"{out_dir}/{name}", df) for name, df in empty.items()}
+
+
+def _written(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
+    """The table at ``path``, or ``empty`` where nothing was written yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else empty
 
 
 def capture_lines(events: DataFrame) -> DataFrame:
