@@ -27,6 +27,7 @@ HEADLINE = [
     "e2_forest_scores",                # isolation forest: matrix, fit (200 trees), score all rows
     "a7_lake_partitions",              # partitioned Parquet lake write + read
     "st1_capture_stream",              # availableNow file stream intake
+    "c21_total_by_recipient_type",              # pruned payments view
 ]
 
 
@@ -34,7 +35,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [a for a in sys.argv[1:] if not a.startswith("-")]
-    from ledgerlens.session import build_session
+    from ledgerlens.session import build_session, drop_scratch
     from ledgerlens.plans import flagship
     from ledgerlens.plans.catalog import QUERIES
     from ledgerlens.sources.tables import payments
@@ -48,6 +49,7 @@ def main() -> None:
     times = {}
     for name in only or HEADLINE:
         flagship.clear_memo()
+        drop_scratch(spark)
         t0 = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
@@ -71,6 +73,16 @@ def main() -> None:
         times["forest_score_all_rows"] = round(time.time() - t0, 3)
         print(f"# forest fit/score: {times['forest_fit_200_trees']}s / {times['forest_score_all_rows']}s",
               file=sys.stderr, flush=True)
+        # the third published figure: boosted trees, fitted on labelled rows
+        # that are written beforehand (pseudo-labels, 80/20 split, both untimed)
+        from ledgerlens.operators import models as M
+        from ledgerlens.plans.model_queries import gbt_rows
+
+        lab, cols = gbt_rows(spark, sf_dir)
+        t0 = time.time()
+        M.gbt_fit(lab, cols, "pseudo_label", validation_col="_valid")
+        times["boosted_trees_fit"] = round(time.time() - t0, 3)
+        print(f"# boosted trees fit: {times['boosted_trees_fit']}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.ordered import exact_quantiles
+from ledgerlens.functions.ordered import exact_quantiles, running
 from ledgerlens.functions.stats import clean_double, safe_div
 from ledgerlens.operators.profile import melt
 
@@ -66,6 +66,22 @@ def psi(base_df: DataFrame, cur_df: DataFrame, base_stats: DataFrame, cols: Sequ
     return j.groupBy("column").agg(F.sum((pc - pb) * F.log(pc / pb)).alias("psi"))
 
 
+def ks_statistic(base_df: DataFrame, cur_df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """G21 option: two-sample Kolmogorov-Smirnov statistic per column, the largest
+    distance of the two empirical distribution functions.  Values are counted per
+    (column, value, batch) first; the running counts are spread by value range."""
+    def long(df, base):
+        return melt(df, cols).where(F.col("value").isNotNull()).select(
+            "column", "value", F.lit(base).alias("_b"), F.lit(1 - base).alias("_u"))
+
+    both = long(base_df, 1).unionByName(long(cur_df, 0)).groupBy("column", "value").agg(F.sum("_b").alias("_b"), F.sum("_u").alias("_u"))
+    cum = running(both, ["value"], ["_b", "_u"], ["column"], "sum", ["_cb", "_cu"])
+    total = both.groupBy(F.col("column").alias("_col")).agg(F.sum("_b").alias("_nb"), F.sum("_u").alias("_nu"))
+    gap = F.abs(safe_div("_cb", "_nb") - safe_div("_cu", "_nu"))
+    # one row per column
+    return cum.join(F.broadcast(total), F.col("column") == F.col("_col")).groupBy("column").agg(F.max(gap).alias("ks"))
+
+
 def rate_drift(base: DataFrame, current: DataFrame, flag: str, alarm: float = RATE_DRIFT_ALARM) -> DataFrame:
     """Anomaly rate of both batches, relative change, alarm and the
     retrain decision (alarm on the rate)."""

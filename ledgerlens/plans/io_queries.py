@@ -43,12 +43,20 @@ def a3(spark, sf):
                                  "column string, data_type string")
 
 
-@register("a5_register_view_describe")
+_TYPES = ("CASE WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'INTEGER' THEN 'int' "
+          "WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE lower(column_type) END")
+
+
+@register("a5_register_view_describe", f"""
+SELECT column_name AS col_name, {_TYPES} AS data_type, CAST(NULL AS VARCHAR) AS comment FROM (DESCRIBE lineitem)""", payments=False)
 def a5(spark, sf):
     return S.register_view(spark, "lineitem_ext", f"{sf.rstrip('/')}/lineitem.parquet")
 
 
-@register("a6_schema_violations")
+@register("a6_schema_violations", """
+SELECT column_name AS column, lower(column_type) AS data_type, 'text-like column typed numeric' AS problem
+FROM (DESCRIBE SELECT o_custkey AS recipient_id, l_suppkey AS payer_id, l_extendedprice AS amount FROM lineitem, orders)
+WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AND column_name LIKE '%id%'""", payments=False)
 def a6(spark, sf):
     return S.schema_violations(payments(spark, sf))
 
@@ -99,7 +107,11 @@ def a10(spark, sf):
     return S.storage_sizes(spark, {"csv": csv, "parquet": lake})
 
 
-@register("a11_lake_validation")
+@register("a11_lake_validation", """
+SELECT 'table_readable' AS "check", true AS passed, '13 columns' AS detail
+UNION ALL SELECT 'has_rows', count(*) > 0, count(*) || ' rows' FROM payments
+UNION ALL SELECT 'columns_present', true, 'all present'
+UNION ALL SELECT 'partitions_present', true, count(DISTINCT year(date_of_payment)) || ' partitions' FROM payments""")
 def a11(spark, sf):
     return S.validate_lake(_lake(spark, sf), ["record_id", "amount", "date_of_payment"], "program_year")
 
@@ -365,6 +377,28 @@ def g24m(spark, sf):
     return MON.missing_drift(base, cur, DRIFT_COLS)
 
 
+@register("g21_ks", "WITH " + FEATURES_SQL + f""",
+l AS ({_long_sql("true").replace("SELECT '", f"SELECT date_of_payment < TIMESTAMP '{CUT}' AS base, '")}),
+c AS (SELECT col, v, sum(CAST(base AS INTEGER)) AS b, sum(1 - CAST(base AS INTEGER)) AS u FROM l GROUP BY col, v),
+f AS (SELECT col, sum(b) OVER w / sum(b) OVER (PARTITION BY col) AS fb, sum(u) OVER w / sum(u) OVER (PARTITION BY col) AS fu
+      FROM c WINDOW w AS (PARTITION BY col ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT col AS "column", round(max(abs(fb - fu)), 6) AS ks FROM f GROUP BY col""")
+def g21k(spark, sf):
+    base, cur = _batches(feature_table(spark, sf))
+    return rounded(MON.ks_statistic(base, cur, DRIFT_COLS))
+
+
+@register("g24_schema_drift", """
+SELECT 'n_chars' AS column, 'bigint' AS baseline_type, CAST(NULL AS VARCHAR) AS current_type, 'removed' AS change FROM (SELECT 1)
+WHERE 'n_chars' IN (SELECT column_name FROM (DESCRIBE documents))
+UNION ALL SELECT 'doc_id', 'bigint', 'string', 'retyped' UNION ALL SELECT 'n_words', NULL, 'int', 'added'""", payments=False)
+def g24s(spark, sf):
+    """A current batch that lost, gained and retyped a column of the baseline."""
+    base = table(spark, sf, "documents")
+    cur = base.drop("n_chars").withColumns({"doc_id": F.col("doc_id").cast("string"), "n_words": F.lit(1)})
+    return MON.schema_drift(base, cur)
+
+
 @register("g25_retrain_decision", "WITH " + SCORED_SQL + f""",
 b AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DRIFT_COLS)} FROM features WHERE date_of_payment < TIMESTAMP '{CUT}'),
 c AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DRIFT_COLS)} FROM features WHERE date_of_payment >= TIMESTAMP '{CUT}'),
@@ -384,7 +418,11 @@ def g25(spark, sf):
     return MON.retrain_decision(d, MON.rate_drift(sb, sc, "is_anomaly"))
 
 
-@register("g26_dictionary_lookup")
+@register("g26_dictionary_lookup", """
+SELECT n AS name, 'string' AS type, 'nullable' AS constraints,
+       'categorical column with ' || k || ' distinct values...' AS description
+FROM (SELECT 'recipient_type' AS n, count(DISTINCT recipient_type) AS k FROM payments
+      UNION ALL SELECT 'recipient_state', count(DISTINCT recipient_state) FROM payments)""")
 def g26(spark, sf):
     """Data dictionary built from the payments schema and its profile (A15
     shape: ``data.fields[]``), written as JSON, read back and searched."""

@@ -86,7 +86,8 @@ def e5(spark, sf):
     return r.select("record_id", "is_train", "reconstruction_error", "threshold", "is_anomaly")
 
 
-def _gbt(spark, sf):
+def gbt_rows(spark, sf):
+    """Labelled rows of the boosted trees with their 80/20 split."""
     def build():
         from ledgerlens.operators import detect as E
 
@@ -95,7 +96,13 @@ def _gbt(spark, sf):
         # row of this data (see README), so the "any extreme feature" rule is used
         lab = E.pseudo_labels(m, cols, rule="any")
         lab = D.exact_split(lab.drop("is_train"), "record_id", 0.2, 42, label="pseudo_label", out="is_train")
-        lab = cut_lineage(lab.withColumn("_valid", F.col("is_train") == 0))
+        return cut_lineage(lab.withColumn("_valid", F.col("is_train") == 0)), cols
+    return _memo("gbt_rows", spark, sf, build)
+
+
+def _gbt(spark, sf):
+    def build():
+        lab, cols = gbt_rows(spark, sf)
         model, w = M.gbt_fit(lab, cols, "pseudo_label", validation_col="_valid")
         return model, lab, cols
     return _memo("gbt", spark, sf, build)
@@ -107,6 +114,16 @@ def e8(spark, sf):
     return M.gbt_predict(model, lab, cols).select("record_id", "is_train", "pseudo_label", "probability_1", "predicted")
 
 
+@register("e8_prediction_rows", """
+SELECT count(*) AS n_rows, count(*) AS n_records, CAST(0 AS BIGINT) AS out_of_range FROM payments
+WHERE abs(amount) > 0 AND date_of_payment IS NOT NULL AND recipient_id IS NOT NULL""")
+def e8r(spark, sf):
+    """Every cleaned payment has one prediction, and probabilities lie in 0..1."""
+    p = e8(spark, sf)
+    return p.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("record_id").alias("n_records"),
+                 F.sum((~F.col("probability_1").between(0, 1)).cast("long")).alias("out_of_range"))
+
+
 @register("e10_gbt_importances")
 def e10(spark, sf):
     model, _, cols = _gbt(spark, sf)
@@ -134,10 +151,27 @@ def _search_data(spark, sf):
     return t2.where(F.col("_hp") == 1).drop("_hp"), t2.where(F.col("_hp") == 0).drop("_hp"), cols
 
 
+def _grid_results(spark, sf):
+    def build():
+        tr, va, cols = _search_data(spark, sf)
+        return cut_lineage(IF.search(tr, va, "record_id", cols, IF.grid_candidates()))
+    return _memo("grid_search", spark, sf, build)
+
+
 @register("g10_grid_search")
 def g10(spark, sf):
-    tr, va, cols = _search_data(spark, sf)
-    return IF.search(tr, va, "record_id", cols, IF.grid_candidates())
+    return _grid_results(spark, sf)
+
+
+@register("g10_grid_space", """
+SELECT 48 AS n_candidates, 150 AS min_trees, 250 AS max_trees, 0.03 AS min_contamination, 0.07 AS max_contamination, 24 AS n_bootstrap""",
+          payments=False)
+def g10s(spark, sf):
+    """The grid search scored its whole space."""
+    return _grid_results(spark, sf).agg(
+        F.countDistinct("candidate").cast("int").alias("n_candidates"), F.min("n_estimators").alias("min_trees"),
+        F.max("n_estimators").alias("max_trees"), F.min("contamination").alias("min_contamination"),
+        F.max("contamination").alias("max_contamination"), F.sum(F.col("bootstrap").cast("int")).cast("int").alias("n_bootstrap"))
 
 
 def _random_results(spark, sf):
@@ -158,11 +192,56 @@ def g12(spark, sf):
     return IF.cv_search(m.where(F.col("is_train") == 1), "record_id", cols, IF.grid_candidates(IF.FOLD_GRID), folds=2)
 
 
+def _tuned_scores(spark, sf):
+    """Scores of the baseline forest and of the tuned one: the best candidate of
+    grid and random search (by score, then search and number), fitted anew on all
+    training rows."""
+    def build():
+        m, cols = model_matrix(spark, sf)
+        train = m.where(F.col("is_train") == 1)
+        found = (_grid_results(spark, sf).withColumn("search", F.lit("grid"))
+                 .unionByName(_random_results(spark, sf).withColumn("search", F.lit("random"))))
+        best = G.top_configurations(found, "score", 1).first()
+        tuned = IF.fit(train, "record_id", cols, best["n_estimators"], int(best["max_samples"]), best["contamination"],
+                       best["max_features"], best["bootstrap"])
+        parts = [IF.score(f, m, "record_id", keep=["is_train"]).withColumn("model", F.lit(name))
+                 for name, f in (("baseline", forest_model(spark, sf)), ("tuned", tuned))]
+        return cut_lineage(parts[0].unionByName(parts[1]))
+    return _memo("tuned", spark, sf, build)
+
+
+@register("g15_tuned_vs_baseline")
+def g15t(spark, sf):
+    """Tuned forest against the baseline on the test rows."""
+    return G.model_comparison(_tuned_scores(spark, sf).where(F.col("is_train") == 0), "model", "anomaly_score", "is_anomaly")
+
+
+@register("g29_tuned_flag_rates")
+def g29t(spark, sf):
+    """Flagged share of both forests on training and test rows."""
+    return G.flagged_rate_by_split(_tuned_scores(spark, sf), "is_train", "model", "is_anomaly")
+
+
+@register("g29_tuned_rows", """
+SELECT m.model, s.is_train, CASE s.is_train WHEN 1 THEN n - t ELSE t END AS n
+FROM (SELECT count(*) AS n, CAST(ceil(count(*) * 0.2) AS BIGINT) AS t FROM payments
+      WHERE abs(amount) > 0 AND date_of_payment IS NOT NULL AND recipient_id IS NOT NULL),
+     (VALUES (0), (1)) s(is_train), (VALUES ('baseline'), ('tuned')) m(model)""")
+def g29r(spark, sf):
+    """Both forests scored every row once, in the exact 80/20 split."""
+    return _tuned_scores(spark, sf).groupBy("model", "is_train").agg(F.countDistinct("record_id").alias("n"))
+
+
 @register("g13_mean_score_by_param")
 def g13(spark, sf):
     return G.mean_by_param(_random_results(spark, sf).where(F.col("score") > F.lit(float("-inf"))), "max_samples")
 
 
+@register("g13_grid_mean_score_by_param")
+def g13g(spark, sf):
+    return G.mean_by_param(_grid_results(spark, sf).where(F.col("score") > F.lit(float("-inf"))), "n_estimators")
+
+
 @register("g14_param_correlation")
 def g14(spark, sf):
     r = _random_results(spark, sf).where(F.col("score") > F.lit(float("-inf")))

@@ -15,6 +15,7 @@ import uuid
 import warnings
 import zipfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -34,12 +35,15 @@ DEFAULT_CONF = {
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "ledgerlens",
                   extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
+    """A session with our defaults.  What the submitter has set (master, memory,
+    shuffle partitions, ...) stays: a default only fills what is unset."""
+    conf = {**DEFAULT_CONF, "spark.master": master, "spark.app.name": app,
+            "spark.sql.shuffle.partitions": str(shuffle_partitions), **(extra or {})}
+    given = _submitted()
+    builder = SparkSession.builder
     for k, v in conf.items():
-        builder = builder.config(k, v)
+        if k not in given:
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -47,6 +51,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def _submitted() -> set[str]:
+    """Keys the submitter has set: under spark-submit the JVM is up already and
+    holds them."""
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return set()
+    SparkContext._ensure_initialized()
+    return {k for k, _ in SparkConf().getAll()}
+
+
 _SHIPPED: set = set()
 
 
@@ -84,7 +97,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """All tasks in the driver's own process (``local-cluster`` is not that)."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -109,7 +123,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table, beside the checkpoints."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written so far; call
+    it once a query's result is stored.  Results that are still lazy read them,
+    so nothing is deleted behind a caller's back.  Returns how many went."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
