@@ -282,3 +282,39 @@ def e15t(spark, sf):
                  (F.avg(F.col("result.is_anomaly").cast("double")) * 100).alias("anomaly_rate_pct"),
                  F.avg("result.record.amount").alias("avg_amount_all"),
                  F.avg(F.when(F.col("result.is_anomaly"), F.col("result.record.amount"))).alias("avg_amount_anomaly"))
+
+
+_VALID_ROWS = """payments WHERE abs(amount) > 0 AND date_of_payment IS NOT NULL AND recipient_id IS NOT NULL"""
+
+
+@register("e2_score_rows", f"""
+SELECT count(*) AS n_rows, count(*) AS n_records, CAST(0 AS BIGINT) AS out_of_range FROM {_VALID_ROWS}""")
+def e2r(spark, sf):
+    """One forest score per cleaned payment, raw scores in -1..0, percentiles in 0..100."""
+    bad = ~F.col("raw_score").between(-1, 0) | ~F.col("anomaly_score_percentile").between(0, 100)
+    return e2(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("record_id").alias("n_records"),
+                             F.sum(bad.cast("long")).alias("out_of_range"))
+
+
+@register("e5_error_rows", f"""
+SELECT count(*) AS n_rows, count(*) AS n_records, CAST(0 AS BIGINT) AS misflagged FROM {_VALID_ROWS}""")
+def e5r(spark, sf):
+    """One reconstruction error per cleaned payment; flagged exactly above the threshold."""
+    wrong = (F.col("is_anomaly") == 1) != (F.col("reconstruction_error") > F.col("threshold"))
+    return e5(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("record_id").alias("n_records"),
+                             F.sum(wrong.cast("long")).alias("misflagged"))
+
+
+@register("e10_importance_total", """
+SELECT CAST(count(*) AS BIGINT) AS n_features, 1.0::DOUBLE AS total FROM (SELECT unnest(range(16)))""", payments=False)
+def e10s(spark, sf):
+    """The importances of the 16 features add up to one."""
+    return e10(spark, sf).agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum("importance"), 6).alias("total"))
+
+
+@register("e15_result_rows", f"""
+SELECT count(*) AS n_rows, count(*) AS n_records, round(sum(abs(amount)), 2) AS total_amount FROM {_VALID_ROWS}""")
+def e15r(spark, sf):
+    """One nested result per cleaned payment, with the payment's own amount."""
+    return e15(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("record_id").alias("n_records"),
+                              F.round(F.sum("result.record.amount"), 2).alias("total_amount"))
