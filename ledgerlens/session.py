@@ -131,15 +131,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SCRATCH: dict[str, list[str]] = {}
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables this application has written so far; call
-    it once a query's result is stored.  Results that are still lazy read them,
-    so nothing is deleted behind a caller's back.  Returns how many went."""
-    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    for p in paths:
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Intermediate tables this application has written and not dropped."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete intermediate tables (by default all this application has written);
+    call it once the results that read them are stored.  Lazy results still need
+    them, so nothing is deleted behind a caller's back.  Returns how many went."""
+    mine = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in (mine if paths is None else paths) if p in mine]
+    for p in list(gone):
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return len(paths)
+        mine.remove(p)
+    return len(gone)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
