@@ -107,7 +107,7 @@ def permute(df: DataFrame, seed: int, backwards: bool = False) -> DataFrame:
     return df.withColumn("at", F.when(F.col("nb") > 0, F.aggregate(order, F.col("at"), step)).otherwise(F.col("at")))
 
 
-def draw_slots(src: DataFrame, per_shard: int, block: int, seed: int, group: int = 1 << 16) -> DataFrame:
+def draw_slots(src: DataFrame, per_shard: int, block: int, seed: int, group: int = 1 << 13) -> DataFrame:
     """(slot, shard, sk, epoch, block, words): which block fills each output slot."""
     spark = src.sparkSession
     total = src.agg(F.sum("n")).first()[0] or 0
@@ -161,7 +161,7 @@ def stream_offsets(sizes: DataFrame, src: DataFrame, bucket_rows: int, seed: int
 
 
 def mix_plan(sizes: DataFrame, block: int = 256, per_shard: int = 1024, seed: int = 7,
-             bucket_rows: int = 10_000) -> DataFrame:
+             bucket_rows: int = 2_000) -> DataFrame:
     """One row per piece of a document in a block and slot that takes it (a row
     with a null slot where none does): uid, doc_id, source, size, source_size,
     target, shard, slot, epoch, block, word range [lo, hi) of the document."""
