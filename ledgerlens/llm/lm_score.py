@@ -15,14 +15,13 @@ chunk of documents sends each of its distinct hashes once, with its count, to
 the partition of that hash (pre-aggregation, so a very common n-gram is one
 entry per chunk); a partition adds up the counts of its hashes over all chunks
 and answers every chunk (the join); a chunk turns the answers into scores and
-sums them per document.  Hashes are 64 bits; a chunk is bounded in words, a
+sums them per document.  Hashes have 60 bits; a chunk is bounded in words, a
 partition by the number of partitions, which follows the input's size.
 """
 
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,9 @@ from ledgerlens.session import shuffle_partitions
 BACKOFF = 0.4
 #: hash under which the number of words is counted
 WORDS_KEY = np.uint64(0)
+#: bits of an n-gram's hash
+HASH_BITS = 60
+_MASK = np.uint64((1 << HASH_BITS) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,12 +78,12 @@ def ngram_hashes(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order:
     would start before their document are marked by the words' key."""
     starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(ids)) - starts
-    word = hashes[ids] if len(ids) else np.zeros(0, np.uint64)
+    word = hashes[ids] & _MASK if len(ids) else np.zeros(0, np.uint64)
     out = [word]
     for n in range(2, order + 1):
         longer = np.zeros(len(ids), np.uint64)
         if len(ids) > 1:
-            longer[1:] = _mix(out[-1][:-1], word[1:])
+            longer[1:] = _mix(out[-1][:-1], word[1:]) & _MASK
         longer[place < n - 1] = WORDS_KEY
         out.append(longer)
     return out
@@ -95,27 +97,35 @@ def distinct_counts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return found, counts
 
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Fixed-width numbers with their byte planes apart (high planes are mostly
+    empty), compressed."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+    body = pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+    return bytes([numbers.itemsize]) + len(numbers).to_bytes(8, "little") + body
+
+
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    body = pa.Codec("zstd").decompress(raw[9:], decompressed_size=width * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, n).T).view(f"<u{width}")[:, 0]
+
+
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte planes apart: the high planes are empty."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Sorted hashes as differences."""
+    return _squeeze(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack_sorted(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64)
+    return np.cumsum(_unsqueeze(raw), dtype=np.uint64)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    numbers = numbers.astype("<u4" if not len(numbers) or numbers.max() < 1 << 32 else "<u8")
-    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
-    return bytes([numbers.itemsize]) + zlib.compress(planes.tobytes(), 1)
+    return _squeeze(numbers.astype("<u4" if not len(numbers) or numbers.max() < 1 << 32 else "<u8"))
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}")[:, 0]
+    return _unsqueeze(raw)
 
 
 def chunk_mark(hashes: np.ndarray, ids: np.ndarray) -> int:
@@ -132,10 +142,16 @@ def score_chunk(hashes, ids, sizes, order: int, found: np.ndarray, total: np.nda
     doc = np.repeat(np.arange(len(sizes)), sizes)
     elsewhere = []
     for k in keys:
-        at = np.searchsorted(found, k)
-        own = (at.astype(np.int64) << 32) | doc
-        pairs, which, n = np.unique(own, return_inverse=True, return_counts=True)
-        c = total[at] - n[which]
+        rank = np.argsort(k, kind="stable")                    # by hash, then by document
+        ks, ds = k[rank], doc[rank]
+        new = np.ones(len(ks), bool)
+        new[1:] = ks[1:] != ks[:-1]
+        gram = np.flatnonzero(new)
+        new[1:] |= ds[1:] != ds[:-1]
+        pair = np.flatnonzero(new)
+        own, every = np.diff(np.append(pair, len(ks))), np.diff(np.append(gram, len(ks)))
+        c = np.empty(len(ks), np.int64)
+        c[rank] = np.repeat(total[np.searchsorted(found, ks[gram])], every) - np.repeat(own, own)
         c[k == WORDS_KEY] = 0
         elsewhere.append(c)
     words = (total[0] - sizes)[doc]
@@ -151,7 +167,7 @@ def score_chunk(hashes, ids, sizes, order: int, found: np.ndarray, total: np.nda
     return np.bincount(doc, s, len(sizes)) if len(ids) else np.zeros(len(sizes))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, chunk_words: int = 1_000_000,
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, chunk_words: int = 1_250_000,
               partition_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, log10_sum, score (log10_sum / n_words, 4 decimals; null
     for a text without words) for every row.
@@ -187,7 +203,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             hashes, words, sizes = word_ids(texts)
             found, counts = distinct_counts(ngram_hashes(hashes, words, sizes, order))
             mark = chunk_mark(hashes, words)
-            part = (found >> np.uint64(64 - bits)).astype(np.int64)
+            part = (found >> np.uint64(HASH_BITS - bits)).astype(np.int64)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
             for lo in range(0, len(cut) - 1, 64):
                 spans = [(cut[i], cut[i + 1]) for i in range(lo, min(lo + 64, len(cut) - 1))]
@@ -201,9 +217,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         ends = np.cumsum([len(k) for k in keys])
         counts = np.concatenate([_unpack(c) for c in group.column("counts").to_pylist()]).astype(np.int64)
         found, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(found), np.int64)
-        np.add.at(total, which, counts)
-        back = np.split(total[which], ends[:-1])
+        total = np.bincount(which, counts, len(found)).astype(np.int64)
+        # what the other chunks hold: mostly nothing, so it packs well
+        back = np.split(total[which] - counts, ends[:-1])
         return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "mark": group.column("mark"),
                          "body": pa.array([_pack(x) for x in back], pa.binary())})
 
@@ -221,10 +237,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             raise ValueError("the two scans dealt the documents differently; run the query again")
         ids, hashes, words, sizes = pickle.loads(rows[0][1])
         words = _unpack(words).astype(np.uint32)
-        found, _ = distinct_counts(ngram_hashes(hashes, words, sizes, order))
-        total = np.concatenate([_unpack(body) for _, body in rows[1:]]).astype(np.int64)
-        if len(total) != len(found):
+        found, counts = distinct_counts(ngram_hashes(hashes, words, sizes, order))
+        others = np.concatenate([_unpack(body) for _, body in rows[1:]]).astype(np.int64)
+        if len(others) != len(found):
             raise ValueError("a chunk's answers do not match its n-grams")
+        total = others + counts
         sums = score_chunk(hashes, words, sizes, order, found, total)
         mean = np.where(sizes > 0, np.rint(sums / np.maximum(sizes, 1) * 1e4) / 1e4, np.nan)
         return pa.table({"doc_id": pa.array(ids, arrow_kind), "n_words": pa.array(sizes), "log10_sum": pa.array(np.rint(sums * 1e4) / 1e4),
