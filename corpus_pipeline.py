@@ -4,10 +4,16 @@ Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
 kept; all but the last return the columns of ``documents``.  ``run`` writes
 every stage as Parquet in the shared checkpoint folder and hands the reread
 table to the next one, so a lost executor costs one stage at most.
+
+A stage's intermediate tables go when the next stage starts: by then its result
+has been written, as the stages ask of their caller.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,24 +23,40 @@ from ledgerlens.llm.exact_dedup import keep_first
 from ledgerlens.llm.mixing import mixed_documents
 from ledgerlens.llm.quality import keep_good, train
 from ledgerlens.llm.simhash import simhash_groups
+from ledgerlens.session import drop_scratch, scratch_tables
+
+#: intermediate tables of the stage that ran last
+_LAST: list[str] = []
+
+
+def _stage(work: Callable) -> Callable:
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ready(spark)
+        drop_scratch(spark, _LAST)
+        before = set(scratch_tables(spark))
+        out = work(spark, docs, sf_dir)
+        _LAST[:] = [p for p in scratch_tables(spark) if p not in before]
+        return out
+    return run_stage
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the line field scores 0.3 or more (a text without a word goes)."""
-    ready(spark)
     return keep_good(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest identifier, of each distinct text."""
-    ready(spark)
     return keep_first(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints linked at 2 bits or fewer: the
     row with the smallest identifier (the first of repeated rows; null last)."""
-    ready(spark)
     base = cut_lineage(docs.withColumn("_uid", F.monotonically_increasing_id()))
     groups = simhash_groups(base, shingle=3, radius=2, uid_col="_uid")
     first = groups.groupBy("root", "run").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("k"))
@@ -42,17 +64,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return base.join(stay, "_uid", "left_semi").drop("_uid")
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words the mix takes, as documents: one row per document and epoch."""
-    ready(spark)
     return mixed_documents(docs)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every mixed text, with its digest and that of its decoding."""
     import public_tokenizers
 
-    ready(spark)
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
                       carry=("lang", "source"))
 
