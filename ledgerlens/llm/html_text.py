@@ -37,8 +37,15 @@ BLOCK_TAGS = frozenset((
     "form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary "
     "table tbody td tfoot th thead title tr ul").split())
 VOID = frozenset(["hr"])
-#: elements whose end tags are often left out: a block starts, nothing is tracked
+#: elements whose end tags are often left out: a block starts, only those marked as around are tracked
 LOOSE = frozenset("p li dt dd tr td th option optgroup hr thead tbody tfoot".split())
+_ROW, _TABLE = {"tr", "td", "th", "p"}, {"thead", "tbody", "tfoot", "tr", "td", "th", "p"}
+#: loose elements that end with the start or the end of one, and those that only its start ends
+ENDED = ({"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": _ROW, "option": {"option"},
+          "optgroup": {"option", "optgroup"}, "hr": {"p"}}
+         | dict.fromkeys(("dt", "dd"), {"dt", "dd", "p"}) | dict.fromkeys(("thead", "tbody", "tfoot"), _TABLE))
+#: elements beyond which a loose element is not ended
+HOLDERS = frozenset("ul ol menu dl table select".split())
 RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video"
 
 #: elements and the words in class, id or role that mark text around an article
@@ -80,6 +87,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
     out: list[tuple[str, int, bool, int]] = []
     open_tags: list[tuple[str, int]] = []
     region, parts, linked, in_link, heading, breaks = 0, [], 0, 0, False, 0
+    loose = 0                                                      # marked loose elements that are open
 
     def close() -> None:
         nonlocal parts, linked, breaks
@@ -89,6 +97,22 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
                 out.append((text, linked, heading, region if region >= -1 else -1))
         parts, linked, breaks = [], 0, 0
 
+    def end_loose(tag: str, ends: bool) -> None:
+        """Restore the region around the marked loose elements that this tag ends."""
+        nonlocal region, loose
+        which = ENDED.get(tag) or (set() if ends else {"p"})       # a paragraph ends where any block starts
+        cut = None
+        for i in range(len(open_tags) - 1, -1, -1):
+            name = open_tags[i][0]
+            if name in which:
+                cut = i
+            elif name in HOLDERS or which == {"p"}:
+                break
+        if cut is not None:
+            region = open_tags[cut][1]
+            loose -= sum(name in LOOSE for name, _ in open_tags[cut:])
+            del open_tags[cut:]
+
     for m in TOKEN.finditer(html):
         token = m[0]
         if token[0] != "<" or token == "<":
@@ -111,16 +135,20 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
         elif tag in BLOCK_TAGS or tag == "button":
             close()
             heading, in_link = not ends and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), 0
-            if tag in LOOSE and not (m[4] and _region(tag, m[4], region) == -1):
+            if loose:
+                end_loose(tag, ends)
+            if tag in LOOSE and (ends or not m[4] or _region(tag, m[4], region) != -1):
                 continue
             if ends:
                 for i in range(len(open_tags) - 1, -1, -1):
                     if open_tags[i][0] == tag:
                         region = open_tags[i][1]                   # as it was outside
+                        loose -= sum(name in LOOSE for name, _ in open_tags[i:])
                         del open_tags[i:]
                         break
             elif tag not in VOID:
                 open_tags.append((tag, region))
+                loose += tag in LOOSE
                 new = _region(tag, m[4], region)
                 if new and region != -1:
                     region = new

@@ -59,6 +59,16 @@ def test_broken_markup():
     assert len(blocks("<p>" + "a<b>" * 20_000)) == 1 and extract("<a '" * 30_000) == ""
 
 
+def test_marked_loose_elements_end():
+    for marked in ('<p class="share">Share</p>', '<p class="share">Share', '<p hidden>Share</p>', '<ul><li class="share">Share</li><li>Kept</ul>',
+                   '<ul><li class="share">Share<ul><li>Share</li></ul><li>Kept</ul>', '<dl><dd class="share">Share<dt>Kept</dl>',
+                   '<table><tr><td class="sidebar"><p>Share</p><table><tr><td>Share</td></table></td><td>Kept</td></table>',
+                   '<table><tr><td class="sidebar">Share<tr><td>Kept</table>', '<table><tr class="ad"><td>Share</td><td>Share</tr><tr><td>Kept</table>'):
+        kept = "Kept\n" if "Kept" in marked else ""
+        assert extract(f"<article><p>{PROSE}</p>{marked}<p>{PROSE}</p></article>") == f"{PROSE}\n{kept}{PROSE}", marked
+    assert extract(f'<article><p class="share">Share<div>{PROSE}</div></article>') == PROSE
+
+
 def test_rows(llm):
     df = llm.createDataFrame([(1, "u", None, "x"), (1, None, "<p>a</p>", "y"), (None, "v", "<main><p>" + "word " * 50_000, "z")],
                              "page_id long, url string, html string, text string")
