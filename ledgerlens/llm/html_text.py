@@ -58,9 +58,11 @@ AROUND_WORDS = frozenset((
     "recommended recommendations comment comments reply replies respond disqus discussion breadcrumb breadcrumbs menu "
     "nav navbar navigation footer pager pagination widget widgets toolbar copyright complementary contentinfo search hidden").split())
 
+ATTRIBUTES = r"""(?:[^>"']++|"[^"<]*"|'[^'<]*'|["'])*+"""
+#: comments, drawings closed in themselves, raw elements, tags (custom names whole), declarations, text
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']++|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]++|<",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){ATTRIBUTES}(?<=/)>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:_.-]*)({ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]++|<",
     re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)

@@ -69,6 +69,14 @@ def test_marked_loose_elements_end():
     assert extract(f'<article><p class="share">Share<div>{PROSE}</div></article>') == PROSE
 
 
+def test_custom_and_self_closed_elements_swallow_nothing():
+    for tag in ("<svg-icon>", "<video-player src=x>", "<object-view></object-view>", "<svg viewBox='0 0 1 1'/>", '<svg title="a>b" />', "<math/>"):
+        assert extract(f"<article><p>{PROSE}</p>{tag}<p>{PROSE}</p></article>") == f"{PROSE}\n{PROSE}", tag
+        assert extract(f"<article>{tag}<p>{PROSE}</p><svg><text>no</text></svg></article>") == PROSE, tag
+    assert extract(f"<article-list><p>{PROSE}</p></article-list><nav-bar></nav-bar><p>{PROSE}</p>") == f"{PROSE}\n{PROSE}"
+    assert extract(f"<svg\n><p>no</p></svg><p>{PROSE}</p><svg><p>no") == PROSE
+
+
 def test_rows(llm):
     df = llm.createDataFrame([(1, "u", None, "x"), (1, None, "<p>a</p>", "y"), (None, "v", "<main><p>" + "word " * 50_000, "z")],
                              "page_id long, url string, html string, text string")
