@@ -5,7 +5,10 @@ its region, length, link density and stop-word density as good, bad, nearly
 good or short; pass two gives the undecided ones the label of their nearest
 decided neighbours.  Regions come from the open elements: an ``article`` or
 ``main`` holds content, a ``nav``, ``aside``, ``footer``, form, advert, notice
-or comment section does not, and inside content a block is undecided at worst.
+or comment section does not, and is dropped.  The blocks of marked content and
+those outside it are classified alike but for this: inside, few stop words or a
+single link leave a block undecided, lists of links are bad, and undecided blocks
+look to their own neighbours inside.  Unmarked prose outside content is kept.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 SHORT, LONG = 70, 200
 #: shares of stop words and of linked characters
 STOP_LOW, STOP_HIGH, LINKED = 0.06, 0.12, 0.3
+#: in content: the share of linked characters that is no prose, and the linked blocks in a row that make a list
+LINK_LIST, MANY = 0.7, 3
 
 #: frequent function words of the languages served
 STOP_WORDS = {
@@ -169,7 +174,11 @@ def first_pass(text: str, linked: int, heading: bool, region: int) -> str:
     if region < 0:
         return "bad"
     if linked / len(text) > LINKED:
-        return "short" if region == 1 else "bad"
+        if region == 1 and (heading or len(text) < SHORT):
+            return "short"                                         # a by-line, or an entry of a list of links
+        if region == 1 and linked / len(text) < LINK_LIST and stop_density(text) >= STOP_HIGH:
+            return "near"                                          # prose with many links
+        return "bad"
     if len(text) < SHORT:
         return "short" if region == 1 or heading or not linked else "bad"
     density = stop_density(text)
@@ -183,28 +192,60 @@ def first_pass(text: str, linked: int, heading: bool, region: int) -> str:
 def extract(html: str | None) -> str:
     """Main text of a page: its good blocks in order, one a line.
 
-    Where the page marks content only that is judged, elsewhere every block that
-    is not in a region around an article.  A heading follows the text below it."""
-    found = blocks(html or "")
-    inside = any(b[3] == 1 for b in found)
-    found = [b for b in found if b[3] == (1 if inside else 0)]
+    All blocks that are not in a region around an article go through both
+    passes.  Marked content is one piece of evidence: its undecided blocks look
+    to each other only, and win a tie; those outside it are held by prose outside
+    it alone.  A heading follows the text below it."""
+    found = [b for b in blocks(html or "") if b[3] >= 0]
+    inside = [b for b in found if b[3] == 1]
+    kept = second_pass(inside, True)
+    kept_outside = second_pass([b for b in found if b[3] == 0], not any(kept))
+    both = {1: iter(kept), 0: iter(kept_outside)}
+    return "\n".join(b[0] for b in found if next(both[b[3]]))
+
+
+def second_pass(found: list[tuple[str, int, bool, int]], trusted: bool) -> list[bool]:
+    """Whether each block is kept.  Where nothing is decided the blocks are, if
+    they are the page's content or none is kept there (``trusted``)."""
     kinds = [first_pass(*b) for b in found]
+    content = bool(found) and found[0][3] == 1
+    if content:
+        _link_lists(found, kinds)
+        if "good" not in kinds:                                    # short texts, or a language without stop words here
+            kinds = ["good" if k == "near" or k == "short" and len(b[0]) >= SHORT and b[1] / len(b[0]) <= LINKED else k
+                     for b, k in zip(found, kinds)]
+        if "good" not in kinds:
+            kinds = ["good" if k == "short" else k for k in kinds]
     before, after = _decided(kinds), [len(kinds) - 1 - x if x is not None else None for x in _decided(kinds[::-1])][::-1]
     keep = []
     for i, kind in enumerate(kinds):
         if kind in ("short", "near"):
             a, b = before[i], after[i]
             if a is None and b is None:
-                kind = "good"                                      # nothing is decided around it
+                kind = "good" if trusted else "bad"                # nothing is decided around it
+            elif content and found[i][2] and a is None:
+                kind = "good"                                      # the heading that opens the content
             elif a is None or b is None or kinds[a] == kinds[b]:
                 kind = kinds[b if a is None else a]
             elif found[i][2]:
                 kind = kinds[b]
             else:
-                kind = kinds[a] if i - a < b - i else kinds[b] if i - a > b - i else "good" if kind == "near" else "bad"
-        if kind == "good":
-            keep.append(found[i][0])
-    return "\n".join(keep)
+                kind = kinds[a] if i - a < b - i else kinds[b] if i - a > b - i else "good" if kind == "near" or content else "bad"
+        keep.append(kind == "good")
+    return keep
+
+
+def _link_lists(found: list[tuple[str, int, bool, int]], kinds: list[str]) -> None:
+    """In content, MANY linked blocks in a row are a list of links: bad."""
+    row: list[int] = []
+    for i, (text, linked, heading, _) in enumerate([*found, ("", 0, True, 1)]):
+        if not heading and linked / len(text) > LINKED and kinds[i] != "near":
+            row.append(i)
+            continue
+        if len(row) >= MANY:
+            for k in row:
+                kinds[k] = "bad"
+        row = []
 
 
 def _decided(kinds: list[str]) -> list[int | None]:

@@ -77,6 +77,23 @@ def test_custom_and_self_closed_elements_swallow_nothing():
     assert extract(f"<svg\n><p>no</p></svg><p>{PROSE}</p><svg><p>no") == PROSE
 
 
+def test_content_is_one_piece_of_evidence():
+    links = "<ul>" + "".join(f'<li><a href="/{x}">Other story {x}</a></li>' for x in range(5)) + "</ul>"
+    noise = "qwx zzk vbn " * 12
+    # lists of links inside, with the heading over them and what stands between them; prose, by-line and other languages stay
+    page = f"<article><h1>Title</h1><p>By <a>Jo</a></p><p>{PROSE}</p><p>Yes.</p><p>{noise}</p><p>{PROSE}</p><h3>More</h3>{links}<p>{noise}</p>{links}</article>"
+    assert extract(page) == "\n".join(["Title", "By Jo", PROSE, "Yes.", noise.strip(), PROSE])
+    assert extract(f"<main><h1>Title</h1>{links}<p>{PROSE}</p><p>End.</p></main>") == f"Title\n{PROSE}\nEnd."
+    assert extract(f"<main><p>{noise}</p>{links}<p>{noise}</p></main>") == f"{noise.strip()}\n{noise.strip()}"
+    assert extract(f"<main><p><a>{PROSE[:90]}</a>{PROSE[90:]}</p><p>{PROSE}</p></main>") == f"{PROSE}\n{PROSE}"
+    # prose in a div beside article cards, its heading and short blocks; unmarked bits around an article go
+    cards = "".join(f'<article><h3><a href="/{x}">Card {x}</a></h3></article>' for x in range(3))
+    got = extract(f"<body><h1>Title</h1><div>{PROSE}</div><div>Yes.</div><div>{PROSE}</div>{cards}</body>").split("\n")
+    assert got[:4] == ["Title", PROSE, "Yes.", PROSE]
+    assert extract(f"<div>Imprint</div>{links}<article><p>{PROSE}</p></article><div>{noise}</div><div>Imprint</div>") == PROSE
+    assert extract(f"<article><p>{PROSE}</p></article><div>Imprint</div>") == PROSE
+
+
 def test_rows(llm):
     df = llm.createDataFrame([(1, "u", None, "x"), (1, None, "<p>a</p>", "y"), (None, "v", "<main><p>" + "word " * 50_000, "z")],
                              "page_id long, url string, html string, text string")
