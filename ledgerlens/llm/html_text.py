@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -62,6 +63,17 @@ AROUND_WORDS = frozenset((
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations comment comments reply replies respond disqus discussion breadcrumb breadcrumbs menu "
     "nav navbar navigation footer pager pagination widget widgets toolbar copyright complementary contentinfo search hidden").split())
+#: a name marks text around an article if it is made of these and at least one of the words above
+FORM_WORDS = frozenset((
+    "area bar block body bottom box button buttons btn card cards column col container count counter cta entry first form google group "
+    "head header heading icon icons info inner item items label last law leaderboard left link links list main media outer page panel "
+    "policy post posts primary rectangle right row secondary section site slot small sticky text this title top trail unit wrap wrapper "
+    "zone").split())
+#: words that mark a part for good; others may stand on a wrapper of the whole page
+FINAL_WORDS = frozenset((
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments reply replies "
+    "respond disqus").split())
+NAMED = -3
 
 ATTRIBUTES = r"""(?:[^>"']++|"[^"<]*"|'[^'<]*'|["'])*+"""
 #: comments, drawings closed in themselves, raw elements, tags (custom names whole), declarations, text
@@ -70,29 +82,66 @@ TOKEN = re.compile(
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:_.-]*)({ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]++|<",
     re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+HIDDEN = re.compile(r"""aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+HIDDEN_NAME = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+QUOTED = re.compile(r"""\"[^\"]*\"|'[^']*'""")
 PART = re.compile(r"[a-z0-9]+")
+SIZE = re.compile(r"[0-9]+(?:x[0-9]+)?")
 
 
-def _region(tag: str, attributes: str, inside: int) -> int:
+@lru_cache(maxsize=10_000)
+def _marked(name: str) -> int:
+    """Whether a whole class, id or role marks text around an article: 2 for good."""
+    words = PART.findall(name)
+    if not AROUND_WORDS.intersection(words) or any(w not in AROUND_WORDS and w not in FORM_WORDS and not SIZE.fullmatch(w) for w in words):
+        return 0
+    return 2 if FINAL_WORDS.intersection(words) else 1
+
+
+def _region(tag: str, attributes: str, inside: int) -> tuple[int, bool]:
     """0: as around; 1: content; -1: around the article, for good; -2: around it
-    unless content opens inside."""
+    unless content opens inside; NAMED: around it by name, unless ``main`` opens
+    inside.  And whether it may be a wrapper of the page after all."""
+    if tag in ("html", "body"):
+        return 0, False
     if attributes:
-        words = {w for x in NAMES.findall(attributes) for w in PART.findall(x.lower())}
-        if words & AROUND_WORDS or HIDDEN.search(attributes):
-            return -1
+        if HIDDEN.search(attributes) or HIDDEN_NAME.search(QUOTED.sub('""', attributes)):
+            return -1, False
+        if tag not in CONTENT:
+            found = [_marked(w) for x in NAMES.findall(attributes) for w in x.strip("\"'").lower().split()]
+            if any(found) and tag not in AROUND:
+                return NAMED, max(found) == 1
     if tag in CONTENT:
-        return 1
+        return 1, False
     if tag in AROUND:
-        return -1
-    return -2 if tag in SOFT_AROUND and not (tag == "header" and inside == 1) else 0
+        return -1, False
+    return (-2, tag == "form") if tag in SOFT_AROUND and not (tag == "header" and inside == 1) else (0, False)
 
 
 def blocks(html: str) -> list[tuple[str, int, float, int]]:
     """(text, linked characters, is a heading, region) of the blocks that have
-    text; the region is 1 in content, 0 elsewhere, -1 around an article."""
+    text; the region is 1 in content, 0 elsewhere, -1 around an article.
+
+    Where no prose is left otherwise, a form or an element around by its name that
+    holds more than half of the page's prose is a wrapper, and read once more
+    without its mark."""
+    found, marks = _parse(html, frozenset())
+    if marks and not any(first_pass(*b) in (("good", "near") if b[3] == 1 else ("good",)) for b in found if b[3] >= 0):
+        prose = [0]
+        for text, linked, heading, _ in found:
+            prose.append(prose[-1] + (len(text) if first_pass(text, linked, heading, 0) in ("good", "near") else 0))
+        wrappers = frozenset(at for at, (a, b) in marks.items() if 2 * (prose[b] - prose[a]) > prose[-1])
+        if wrappers:
+            found, _ = _parse(html, wrappers)
+    return found
+
+
+def _parse(html: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool, int]], dict[int, tuple[int, int]]]:
+    """The blocks, and for the place of every possible wrapper its first block and
+    the one after its last.  Those in ``wrappers`` leave the region as it is."""
     out: list[tuple[str, int, bool, int]] = []
-    open_tags: list[tuple[str, int]] = []
+    open_tags: list[tuple[str, int, int | None]] = []
+    marks: dict[int, tuple[int, int]] = {}
     region, parts, linked, in_link, heading, breaks = 0, [], 0, 0, False, 0
     loose = 0                                                      # marked loose elements that are open
 
@@ -101,12 +150,20 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, heading, region if region >= -1 else -1))
+                out.append((text, linked, heading, max(region, -1)))
         parts, linked, breaks = [], 0, 0
 
+    def leave(i: int) -> None:
+        nonlocal region, loose
+        region = open_tags[i][1]                                   # as it was outside
+        for name, _, at in open_tags[i:]:
+            loose -= name in LOOSE
+            if at is not None:
+                marks[at] = marks[at][0], len(out)
+        del open_tags[i:]
+
     def end_loose(tag: str, ends: bool) -> None:
         """Restore the region around the marked loose elements that this tag ends."""
-        nonlocal region, loose
         which = ENDED.get(tag) or (set() if ends else {"p"})       # a paragraph ends where any block starts
         cut = None
         for i in range(len(open_tags) - 1, -1, -1):
@@ -116,9 +173,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
             elif name in HOLDERS or which == {"p"}:
                 break
         if cut is not None:
-            region = open_tags[cut][1]
-            loose -= sum(name in LOOSE for name, _ in open_tags[cut:])
-            del open_tags[cut:]
+            leave(cut)
 
     for m in TOKEN.finditer(html):
         token = m[0]
@@ -144,25 +199,30 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
             heading, in_link = not ends and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), 0
             if loose:
                 end_loose(tag, ends)
-            if tag in LOOSE and (ends or not m[4] or _region(tag, m[4], region) != -1):
+            if tag in LOOSE and (ends or not m[4] or _region(tag, m[4], region)[0] not in (-1, NAMED)):
                 continue
             if ends:
                 for i in range(len(open_tags) - 1, -1, -1):
                     if open_tags[i][0] == tag:
-                        region = open_tags[i][1]                   # as it was outside
-                        loose -= sum(name in LOOSE for name, _ in open_tags[i:])
-                        del open_tags[i:]
+                        leave(i)
                         break
             elif tag not in VOID:
-                open_tags.append((tag, region))
+                new, may_wrap = _region(tag, m[4], region)
+                at = m.start() if may_wrap and region != -1 else None
+                if at in wrappers:
+                    new, at = 0, None
+                if at is not None:
+                    marks[at] = len(out), len(out)
+                open_tags.append((tag, region, at))
                 loose += tag in LOOSE
-                new = _region(tag, m[4], region)
-                if new and region != -1:
-                    region = new
                 if tag == "body":
-                    region = new if new == -1 else 0
+                    region = 0
+                elif new and region != -1 and (region != NAMED or new == -1 or tag == "main"):
+                    region = new
     close()
-    return out
+    if open_tags:
+        leave(0)
+    return out, marks
 
 
 def stop_density(text: str) -> float:

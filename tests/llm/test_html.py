@@ -94,6 +94,24 @@ def test_content_is_one_piece_of_evidence():
     assert extract(f"<article><p>{PROSE}</p></article><div>Imprint</div>") == PROSE
 
 
+def test_wrappers_are_not_around():
+    text, part = f"<p>{PROSE}</p><p>{PROSE}</p>", f"<p>Part {PROSE}</p>"
+    for start in ('<body class="single has-sidebar">', '<body class="sidebar" style="display:none">', '<div class="layout with-sidebar">',
+                  '<div class="comments-open">', '<form id="aspnetForm">', '<div class="sidebar-right">', '<div id="search"><div class=widget>'):
+        side = f'<div class="sidebar">{part}</div><div class="comment-list">{part}</div><footer>{part}</footer>'
+        assert extract(f"{start}{text}{side}") == extract(f"{start}<article>{text}</article>{side}") == f"{PROSE}\n{PROSE}", start
+    for start in ('<article class="post comments-open">', '<main id="search">', '<article class="post hidden x">', '<div class="widget"><main>'):
+        assert extract(f"{start}{text}") == f"{PROSE}\n{PROSE}", start
+    # what is around stays around, however much of it there is
+    many = f"<article>{part}</article>" * 5
+    for name in ("comments", "comment-list", "cookie-notice", "post-comments", "ad-300x250", "sidebar-2", "widget__inner"):
+        assert extract(f'<div>{text}</div><div id="{name}">{many}</div>') == f"{PROSE}\n{PROSE}", name
+        assert extract(f'<article><p>{PROSE[:130]}</p></article><div class="x {name}">{many}</div>') == PROSE[:130].strip(), name
+    assert extract(f'<div class="cookie-consent">{text}</div>') == extract(f"<div hidden>{text}</div>") == extract(f"<article hidden>{text}") == ""
+    deep = '<div class="widget">' * 3000
+    assert extract(deep + text) == f"{PROSE}\n{PROSE}"
+
+
 def test_rows(llm):
     df = llm.createDataFrame([(1, "u", None, "x"), (1, None, "<p>a</p>", "y"), (None, "v", "<main><p>" + "word " * 50_000, "z")],
                              "page_id long, url string, html string, text string")
