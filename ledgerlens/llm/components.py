@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import cut_lineage
@@ -35,6 +35,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _state(edges: DataFrame) -> Row:
+    """What tells two sets of edges apart, without a sum that could overflow:
+    their number and the exclusive or of their hashes."""
+    return edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge, the root its smallest reachable
     node.  Each round is written to the shared folder, so the lineage stays one
@@ -43,7 +49,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     now = cut_lineage(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
-        state = now.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
+        state = _state(now)
         if state == before or state["n"] == 0:
             break
         before = state

@@ -126,6 +126,17 @@ def test_hot_keys_are_refiled_without_losing_links(llm):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_convergence_check_over_many_edges(llm):
+    """More edges than a sum of 40-bit hashes in a long can take."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm.components import _state
+    edges = llm.range(20_000_000).select((F.col("id") + 1).alias("a"), F.lit(0).cast("long").alias("b"))
+    state = _state(edges)
+    assert state["n"] == 20_000_000 and state == _state(edges.repartition(5)) != _state(edges.where("a <> 7"))
+    assert _state(edges.limit(0))["n"] == 0 and state != _state(edges.select("a", F.when(F.col("a") == 7, 1).otherwise(0).cast("long").alias("b")))
+
+
 def test_near_dedup_edges(llm):
     rows = [(4, None), (2, " "), (2, " "), (None, "a b c d"), (9, "a b c d"), (8, "A B c d")]
     got = [tuple(r) for r in near_dedup(docs_frame(llm, rows)).collect()]
