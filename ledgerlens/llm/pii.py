@@ -23,14 +23,23 @@ from ledgerlens.llm.common import cut_lineage, lookup_by_run, text_of
 
 FEMALE = "Mrs|MRS|Ms|MS|Miss|Frau|FRAU|Mme|Madame|Sra|Señora|Госпожа|Κυρία"
 MALE = "Mr|MR|Herr|HERR|Monsieur|Sr|Señor|Господин|Κύριος"
+#: telephone numbers without + or brackets: 3-3-4; a trunk zero (but no date); nine digits from 6-9
+NATIONAL = (r"(?=[0-9])(?<![\p{L}\p{N}+])(?<![0-9][.,:/-])(?:"
+            r"(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
+            r"|0[0-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ ./-][0-9]{5,8}(?:-[0-9]{1,4})?|0[0-9][ /-][0-9]{6,8}"
+            r"|(?!0[0-9][./ -][0-9]{2}[./ -](?:19|20)[0-9]{2}(?![0-9]))(?=(?:[ ./-]?[0-9]){9})"
+            r"0[0-9]{1,4}(?:[ ./-][0-9]{2,4}){1,3}[ ./-][0-9]{2,8}"
+            r"|[6-9][0-9]{2}[ -][0-9]{3}[ -][0-9]{3}(?! [0-9])|[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}"
+            r"|[89][0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2})(?![0-9])")
 #: kind -> pattern, tried in this order at every position
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
+            r"|(?<![0-9])(?:[0-9]{4}[ -](?:[0-9]{6}[ -][0-9]{4,5}|[0-9]{5}[ -][0-9]{6})|[0-9]{6}[ -][0-9]{13})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
-             r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+             r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|" + NATIONAL,
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
 }
 KINDS = list(PATTERNS)
@@ -122,7 +131,11 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """Surrogate of an entity in canonical form."""
     digest = _digest(key, kind, canon, attempt)
     ip = F.concat_ws(".", *[(1 + _byte(digest, 0) % 223).cast("string"), *[_byte(digest, i).cast("string") for i in (1, 2, 3)]])
-    phone = F.concat((2 + _byte(digest, 31) % 8).cast("string"), _digits(digest, F.length(canon) - 1))
+    n = F.length(canon)
+    # a trunk zero stays, as does the first of nine digits, which tells such a number
+    lead = (F.when(canon.startswith("0") & (n >= 8), F.concat(F.lit("0"), (1 + _byte(digest, 31) % 9).cast("string")))
+            .when(n == 9, F.substring(canon, 1, 1)).otherwise((2 + _byte(digest, 31) % 8).cast("string")))
+    phone = F.concat(lead, _digits(digest, n - F.length(lead)))
     female, words = canon.startswith("f "), F.split(F.substring(canon, F.lit(3), F.length(canon)), " ")
     family = _made_up(key, "family", F.element_at(words, -1), F.when(attempt > 0, F.concat(canon, attempt.cast("string"))).otherwise(""), None)
     given = _made_up(key, "given", F.element_at(words, 1), F.lit(""), female)

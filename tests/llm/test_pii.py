@@ -79,6 +79,24 @@ def test_formats_and_coreference(llm):
     assert replace_entities(docs_frame(llm, []), "k").count() == 0
 
 
+def test_planted_numbers_without_prefix(llm):
+    """Values written here, not made from the patterns."""
+    phones = ["415-555-0134", "415.555.0134", "415 555 0134", "1-415-555-0134", "030 1234567", "030/1234567", "0171.555.0134", "0171 5550134",
+              "020 7946 0958", "01 23 45 67 89", "01.23.45.67.89", "044 668 18 00", "0049 30 1234567", "612 345 678", "612-345-678", "91 123 45 67"]
+    cards = ["3782 822463 10005", "3714-496353-98431", "3056 930902 5904", "1354 12345 123456", "4111 1111 1111 1111", "378282246310005"]
+    free = ["on 01.02.2024 12:30", "2024-01-15 09:30:00", "01/02/2024", "v1.2.3.4.5", "pages 100-200", "1990-2000", "0.12345678", "3.14159 2.71828",
+            "1 234 567 890 123", "ISBN 978-3-16-148410-0", "05.06.07", "12345 67", "00:00:01 0012345"]
+    rows = [(i, f"x {v}, y") for i, v in enumerate(phones + cards)] + [(100 + i, f"x {v}, y") for i, v in enumerate(free)]
+    got = {r["doc_id"]: r for r in replace_entities(docs_frame(llm, rows), "k").collect()}
+    for i, v in enumerate(phones + cards):
+        kind, new = "phone" if i < len(phones) else "card", got[i]["text"][2:-3]
+        assert got[i]["entities"] == f"{kind}:2:{2 + len(v)}" and new != v, v
+        assert regex.sub("[0-9]", "9", new) == regex.sub("[0-9]", "9", v) and kind_of(new) == kind, (v, new)
+        assert kind == "phone" or (luhn(v) % 10 == 0) == (luhn(new) % 10 == 0)
+        assert (v[0] == "0") == (new[0] == "0")
+    assert [v for i, v in enumerate(free) if got[100 + i]["n_entities"]] == []
+
+
 def test_meeting_surrogates_draw_again(llm):
     """Four digits: so few surrogates that many meet."""
     few = llm.createDataFrame([("phone", f"{i:04d}") for i in range(0, 1500)], "kind string, canon string")
