@@ -1,9 +1,10 @@
-"""The ten operator queries and the pipeline, with their DuckDB SQL."""
+"""The thirteen operator queries and the pipeline, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.llm.collocations_sql import collocations_oracle
 from ledgerlens.llm.common import table
 from ledgerlens.llm.lm_score import lm_oracle
 from ledgerlens.llm.mixing_sql import mixing_oracle
@@ -107,3 +108,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.lm_score import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@register("op13_collocations", collocations_oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
