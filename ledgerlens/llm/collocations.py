@@ -42,7 +42,9 @@ from ledgerlens.llm.common import cut_lineage, text_of
 WINDOW, CHUNK_WORDS = 1 << 20, 3_000_000
 #: log2 of the hashed counters: of single words, of longer phrases
 WORD_BITS, PHRASE_BITS = 22, 24
-BLOCK = 1 << 16
+BLOCK = 1 << 18
+#: parts a block's counts are summed in first
+FAN_IN = 128
 NEVER = 255
 
 _DELIMITERS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -179,26 +181,61 @@ def _scan(rows: DataFrame, step: int, shards: int, longest: int, starts) -> Data
     return rows.mapInArrow(run, "level byte, k long, c int")
 
 
-def _bucket_of(key: str) -> Column:
-    k = F.col(key)
-    return F.when(F.col("level") == 1, F.shiftrightunsigned(k, 64 - WORD_BITS)).otherwise(F.shiftrightunsigned(k, 64 - PHRASE_BITS))
+def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(level, block, part, counts): one task's (level, k, c) rows as hashed counts,
+    sparse: four bytes of place and one of count for every bucket that has any."""
+    from pyspark import TaskContext
 
+    part = TaskContext.get().partitionId() % FAN_IN
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        level, key, count = (b.column(i).to_numpy() for i in range(3))
+        for n in np.unique(level).tolist():
+            at = level == n
+            if n not in held:
+                held[n] = np.zeros(1 << bucket_bits(n), np.int32)
+            np.add.at(held[n], _buckets(key[at].view(np.uint64), n), np.minimum(count[at], NEVER))
+    for n, sums in held.items():
+        at = np.flatnonzero(sums)
+        counts = np.minimum(sums[at], NEVER - 1).astype(np.uint8)
+        block, first = np.unique(at >> 18, return_index=True)
+        places = (at & (BLOCK - 1)).astype("<u4")
+        packed = [p.tobytes() + c.tobytes() for p, c in zip(np.split(places, first[1:]), np.split(counts, first[1:]))] if len(at) else []
+        if packed:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(block), n, np.int8)), pa.array(block.astype(np.int32)),
+                 pa.array(np.full(len(block), part, np.int32)), pa.array(packed, pa.binary())],
+                names=["level", "block", "part", "counts"])
+
+
+def _merge_blocks(t: pa.Table) -> pa.Table:
+    out = np.zeros(BLOCK, np.int32)
+    for packed in t["counts"].to_pylist():
+        n = len(packed) // 5
+        out[np.frombuffer(packed, "<u4", n)] += np.frombuffer(packed, np.uint8, n, 4 * n)
+    at = np.flatnonzero(out)
+    packed = at.astype("<u4").tobytes() + np.minimum(out[at], NEVER - 1).astype(np.uint8).tobytes()
+    return pa.table({c: t[c].slice(0, 1) for c in ("level", "block", "part")} | {"counts": pa.array([packed], pa.binary())})
+
+
+def _hashed_counts(counted: DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(level, first bucket, places, counts) of the blocks that have any: summed
+    in two rounds, so no group holds more than ``FAN_IN`` blocks a round.  What
+    reaches the driver is bounded by the size of the counters."""
+    schema = "level byte, block int, part int, counts binary"
+    some = counted.select("level", "k", F.col("c").cast("int").alias("c")).mapInArrow(_count_blocks, schema)
+    some = some.groupBy("level", "block", "part").applyInArrow(_merge_blocks, schema)
+    for r in some.groupBy("level", "block").applyInArrow(_merge_blocks, schema).collect():
+        packed = bytes(r["counts"])
+        n = len(packed) // 5
+        yield r["level"], r["block"] * BLOCK, np.frombuffer(packed, "<u4", n), np.frombuffer(packed, np.uint8, n, 4 * n)
 
-def _add_counts(counted: DataFrame, totals: dict[int, np.ndarray]) -> None:
-    """Add a step's counts to the hashed counters, which stop at ``NEVER`` - 1.
-    The counters have a fixed size: they come back as blocks of 65,536."""
-    sums = counted.groupBy("level", _bucket_of("k").alias("b")).agg(F.sum("c").alias("c"))
-    blocks = sums.select("level", F.shiftright("b", 16).cast("int").alias("block"),
-                         F.expr("b & 65535").cast("int").alias("at"), F.least("c", F.lit(NEVER - 1)).cast("int").alias("c"))
-
-    def pack(t: pa.Table) -> pa.Table:
-        out = np.zeros(BLOCK, np.uint8)
-        out[t["at"].to_numpy()] = t["c"].to_numpy()
-        return pa.table({"level": t["level"].slice(0, 1), "block": t["block"].slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
 
-    for r in blocks.groupBy("level", "block").applyInArrow(pack, "level byte, block int, counts binary").collect():
-        part = totals[r["level"]][r["block"] * BLOCK:(r["block"] + 1) * BLOCK]
-        part[:] = np.minimum(part.astype(np.int32) + np.frombuffer(bytes(r["counts"]), np.uint8), NEVER - 1)
+def _add_counts(counted: DataFrame, totals: dict[int, np.ndarray]) -> None:
+    """Add a step's counts to the hashed counters, which stop at ``NEVER`` - 1."""
+    for level, base, at, counts in _hashed_counts(counted):
+        part = totals[level][base:base + BLOCK]
+        part[at] = np.minimum(part[at].astype(np.int32) + counts, NEVER - 1)
 
 
 def _open(starts: np.ndarray, step: int, shards: int) -> bool:
@@ -232,15 +269,19 @@ def count_phrases(rows: DataFrame, longest: int, least: int, shards: int) -> Dat
     counts = steps[0]
     for s in steps[1:]:
         counts = counts.unionByName(s)
-    exact = (counts.mapInArrow(_keep_full(full), counts.schema).groupBy("level", "k").agg(F.sum("c").alias("a"))
-             .where(F.col("a") >= least))
-    named = cut_lineage(_names(rows, longest, full))
+    exact = cut_lineage(counts.mapInArrow(_keep_full(full), counts.schema).groupBy("level", "k").agg(F.sum("c").alias("a"))
+                        .where(F.col("a") >= least))
+    found = {n: np.zeros(1 << bucket_bits(n), bool) for n in levels}
+    for level, base, at, _ in _hashed_counts(exact.select("level", "k", F.lit(1).alias("c"))):
+        found[level][base + at.astype(np.int64)] = True
+    hit = spark.sparkContext.broadcast([np.packbits(found[n]).tobytes() for n in levels])
+    named = cut_lineage(_names(rows, longest, hit))
     lang_n = named.where("level = 0").groupBy("lang").agg(F.sum("c").alias("n"))
-    one = named.where("level > 0").groupBy("level", "k").agg(
-        F.min(F.struct("lang", "phrase")).alias("p"), F.max(F.struct("lang", "phrase")).alias("q"))
+    one = named.where("level > 0").groupBy("level", "k", "lang", "phrase").agg(F.lit(1).alias("one"))
+    out = exact.join(one, ["level", "k"]).groupBy("level", "k", "a").agg(
+        F.min(F.struct("lang", "phrase")).alias("p"), F.count(F.lit(1)).alias("names"))
     twice = F.raise_error(F.lit("two phrases share a key")).cast("string")
-    out = exact.join(one, ["level", "k"]).select(
-        "level", "p.lang", F.when(F.col("p") == F.col("q"), F.col("p.phrase")).otherwise(twice).alias("phrase"), "a")
+    out = out.select("level", "p.lang", F.when(F.col("names") == 1, F.col("p.phrase")).otherwise(twice).alias("phrase"), "a")
     return out.join(F.broadcast(lang_n) if _few(lang_n) else lang_n, "lang")
 
 
