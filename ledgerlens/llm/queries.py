@@ -115,3 +115,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
+
+
+@register("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
