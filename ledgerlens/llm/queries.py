@@ -8,6 +8,7 @@ from ledgerlens.llm.collocations_sql import collocations_oracle
 from ledgerlens.llm.common import table
 from ledgerlens.llm.lm_score import lm_oracle
 from ledgerlens.llm.mixing_sql import mixing_oracle
+from ledgerlens.llm.search_sql import search_oracle
 from ledgerlens.llm.secrets_sql import secrets_oracle
 
 QUERIES = {}
@@ -123,3 +124,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op12_lexical_search", search_oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
