@@ -16,9 +16,9 @@ later than any phrase in it, so activation may come early but never fails, and
 every phrase of a bucket starts and ends with it.  Exact counts per phrase decide
 what is kept.
 
-Inside the scans a phrase is a 64-bit key made of its language and words.  A last
-scan names the keys that reached the threshold; a key with two names (two phrases
-with one hash) makes the query fail instead of err.  Which parts a phrase has,
+Inside the scans a phrase is a 64-bit key made of its language and words.  Last,
+the keys that reached the threshold are named from the texts; a key found with
+two names (two phrases with one hash) or with none makes the query fail.  Which parts a phrase has,
 scores and the removal of covered phrases are joins over the named phrases.
 
 A null text is empty, a null language ``und``; other columns are not read.
@@ -37,9 +37,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import cut_lineage, text_of
+from ledgerlens.session import drop_scratch, scratch_tables
 
 #: bytes hashed at a time, words counted at a time
-WINDOW, CHUNK_WORDS = 1 << 20, 3_000_000
+WINDOW, CHUNK_WORDS = 1 << 20, 4_000_000
 #: log2 of the hashed counters: of single words, of longer phrases
 WORD_BITS, PHRASE_BITS = 22, 24
 BLOCK = 1 << 18
@@ -154,10 +155,46 @@ def _levels(keys: np.ndarray, first: np.ndarray, longest: int) -> Iterator[tuple
         yield n, phrase, at
 
 
+#: keys of one packed row
+PACK = 1 << 18
+PACKED = "level byte, keys binary, counts binary"
+
+
+def _pack(level: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct keys and their counts in rows of ``PACK``: differences byte
+    plane by byte plane, so the files' compression finds the empty planes."""
+    for at in range(0, len(keys), PACK):
+        k, c = keys[at:at + PACK], counts[at:at + PACK].astype("<u4")
+        steps = np.diff(k, prepend=np.uint64(0)).astype("<u8")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([level], pa.int8()), pa.array([steps.view(np.uint8).reshape(-1, 8).T.tobytes()], pa.binary()),
+             pa.array([c.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())], names=["level", "keys", "counts"])
+
+
+def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for level, keys, counts in zip(*[c.to_pylist() for c in b.columns]):
+            yield level, *_unpack(keys, counts)
+
+
+def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
+
+
 def _scan(rows: DataFrame, step: int, shards: int, longest: int, starts) -> DataFrame:
-    """(level, k, c): the phrases that are counted in this step.  ``starts``:
-    for each length but the longest the step in which a bucket reached the
-    threshold."""
+    """Packed (level, keys, counts) of the phrases that are counted in this step.
+    ``starts``: for each length but the longest the step in which a bucket
+    reached the threshold."""
     def run(batches):
         act = starts.value
         for lang, text in ((lang, part) for lang, data in _chunks(batches) for part in _cut(data)):
@@ -172,70 +209,80 @@ def _scan(rows: DataFrame, step: int, shards: int, longest: int, starts) -> Data
                 if n < longest:
                     shorter = np.full(len(keys) + 1, NEVER, np.uint8)
                     shorter[at] = np.frombuffer(act[n - 1], np.uint8)[_buckets(phrase, n)]
-                found, counts = np.unique(live, return_counts=True)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(found), n, np.int8)), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int32))],
-                        names=["level", "k", "c"])
+                yield from _pack(n, *np.unique(live, return_counts=True))
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def _block(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of a block by place: four bytes of place and one of count each, or
+    one byte for every place where that is shorter."""
+    counts = np.minimum(counts, NEVER - 1).astype(np.uint8)
+    if 5 * len(at) < BLOCK:
+        return at.astype("<u4").tobytes() + counts.tobytes()
+    out = np.zeros(BLOCK, np.uint8)
+    out[at] = counts
+    return out.tobytes()
+
 
-    return rows.mapInArrow(run, "level byte, k long, c int")
+def _add_block(out: np.ndarray, packed: bytes) -> None:
+    if len(packed) == BLOCK:
+        out += np.frombuffer(packed, np.uint8)
+    else:
+        n = len(packed) // 5
+        out[np.frombuffer(packed, "<u4", n)] += np.frombuffer(packed, np.uint8, n, 4 * n)
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(level, block, part, counts): one task's (level, k, c) rows as hashed counts,
-    sparse: four bytes of place and one of count for every bucket that has any."""
+    """(level, block, part, counts): one task's packed counts as hashed counts."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId() % FAN_IN
-    held: dict[int, np.ndarray] = {}
-    for b in batches:
-        level, key, count = (b.column(i).to_numpy() for i in range(3))
-        for n in np.unique(level).tolist():
-            at = level == n
-            if n not in held:
-                held[n] = np.zeros(1 << bucket_bits(n), np.int32)
-            np.add.at(held[n], _buckets(key[at].view(np.uint64), n), np.minimum(count[at], NEVER))
-    for n, sums in held.items():
-        at = np.flatnonzero(sums)
-        counts = np.minimum(sums[at], NEVER - 1).astype(np.uint8)
-        block, first = np.unique(at >> 18, return_index=True)
-        places = (at & (BLOCK - 1)).astype("<u4")
-        packed = [p.tobytes() + c.tobytes() for p, c in zip(np.split(places, first[1:]), np.split(counts, first[1:]))] if len(at) else []
-        if packed:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(block), n, np.int8)), pa.array(block.astype(np.int32)),
-                 pa.array(np.full(len(block), part, np.int32)), pa.array(packed, pa.binary())],
-                names=["level", "block", "part", "counts"])
+
+    def emit(level, held):
+        at, sums = _sum(*zip(*held))
+        places = at.astype(np.int64)
+        block, first = np.unique(places >> 18, return_index=True)
+        packed = [_block(p, c) for p, c in zip(np.split(places & (BLOCK - 1), first[1:]), np.split(sums, first[1:]))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(block), level, np.int8)), pa.array(block.astype(np.int32)),
+             pa.array(np.full(len(block), part, np.int32)), pa.array(packed, pa.binary())], names=["level", "block", "part", "counts"])
+
+    held: dict[int, list] = {}
+    for level, keys, counts in _unpacked(batches):
+        mine = held.setdefault(level, [])
+        mine.append((_buckets(keys, level).astype(np.uint64), counts))
+        if len(mine) >= 16:
+            yield emit(level, held.pop(level))
+    for level, mine in held.items():
+        yield emit(level, mine)
 
 
 def _merge_blocks(t: pa.Table) -> pa.Table:
     out = np.zeros(BLOCK, np.int32)
     for packed in t["counts"].to_pylist():
-        n = len(packed) // 5
-        out[np.frombuffer(packed, "<u4", n)] += np.frombuffer(packed, np.uint8, n, 4 * n)
+        _add_block(out, packed)
     at = np.flatnonzero(out)
-    packed = at.astype("<u4").tobytes() + np.minimum(out[at], NEVER - 1).astype(np.uint8).tobytes()
-    return pa.table({c: t[c].slice(0, 1) for c in ("level", "block", "part")} | {"counts": pa.array([packed], pa.binary())})
+    return pa.table({c: t[c].slice(0, 1) for c in ("level", "block", "part")} | {"counts": pa.array([_block(at, out[at])], pa.binary())})
 
 
-def _hashed_counts(counted: DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(level, first bucket, places, counts) of the blocks that have any: summed
-    in two rounds, so no group holds more than ``FAN_IN`` blocks a round.  What
-    reaches the driver is bounded by the size of the counters."""
+def _hashed_counts(packed: DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(level, first bucket, counts of a block): summed in two rounds, so no group
+    holds more than ``FAN_IN`` blocks in the last one.  What reaches the driver is
+    bounded by the size of the counters."""
     schema = "level byte, block int, part int, counts binary"
-    some = counted.select("level", "k", F.col("c").cast("int").alias("c")).mapInArrow(_count_blocks, schema)
-    some = some.groupBy("level", "block", "part").applyInArrow(_merge_blocks, schema)
+    some = packed.mapInArrow(_count_blocks, schema).groupBy("level", "block", "part").applyInArrow(_merge_blocks, schema)
     for r in some.groupBy("level", "block").applyInArrow(_merge_blocks, schema).collect():
-        packed = bytes(r["counts"])
-        n = len(packed) // 5
-        yield r["level"], r["block"] * BLOCK, np.frombuffer(packed, "<u4", n), np.frombuffer(packed, np.uint8, n, 4 * n)
+        out = np.zeros(BLOCK, np.int32)
+        _add_block(out, bytes(r["counts"]))
+        yield r["level"], r["block"] * BLOCK, out
 
 
-def _add_counts(counted: DataFrame, totals: dict[int, np.ndarray]) -> None:
+def _add_counts(packed: DataFrame, totals: dict[int, np.ndarray]) -> None:
     """Add a step's counts to the hashed counters, which stop at ``NEVER`` - 1."""
-    for level, base, at, counts in _hashed_counts(counted):
+    for level, base, counts in _hashed_counts(packed):
         part = totals[level][base:base + BLOCK]
-        part[at] = np.minimum(part[at].astype(np.int32) + counts, NEVER - 1)
+        part[:] = np.minimum(part + counts, NEVER - 1)
 
 
 def _open(starts: np.ndarray, step: int, shards: int) -> bool:
@@ -254,14 +301,16 @@ def count_phrases(rows: DataFrame, longest: int, least: int, shards: int) -> Dat
     totals = {n: np.zeros(1 << bucket_bits(n), np.uint8) for n in levels}
     starts = {n: np.full(1 << bucket_bits(n), NEVER, np.uint8) for n in levels if n < longest}
     shard = F.pmod(F.xxhash64("text"), F.lit(shards))
+    tasks = max(1, -(-rows.rdd.getNumPartitions() // shards))    # a shard's rows come from all input partitions
+    before = set(scratch_tables(spark))
     steps, step = [], 0
     while step < shards or any(_open(s, step + 1, shards) for s in starts.values()):
         step += 1
         known = spark.sparkContext.broadcast([starts[n].tobytes() for n in levels if n < longest])
-        counted = cut_lineage(_scan(rows.where(shard == (step - 1) % shards), step, shards, longest, known))
-        known.unpersist()
-        steps.append(counted)
-        _add_counts(counted, totals)
+        mine = rows.where(shard == (step - 1) % shards).coalesce(tasks)
+        steps.append(cut_lineage(_scan(mine, step, shards, longest, known)))
+        known.destroy()
+        _add_counts(steps[-1], totals)
         for n, s in starts.items():
             s[(s == NEVER) & (totals[n] >= least)] = step
     # a phrase whose bucket stayed under the threshold cannot have reached it
@@ -269,35 +318,79 @@ def count_phrases(rows: DataFrame, longest: int, least: int, shards: int) -> Dat
     counts = steps[0]
     for s in steps[1:]:
         counts = counts.unionByName(s)
-    exact = cut_lineage(counts.mapInArrow(_keep_full(full), counts.schema).groupBy("level", "k").agg(F.sum("c").alias("a"))
-                        .where(F.col("a") >= least))
-    found = {n: np.zeros(1 << bucket_bits(n), bool) for n in levels}
-    for level, base, at, _ in _hashed_counts(exact.select("level", "k", F.lit(1).alias("c"))):
-        found[level][base + at.astype(np.int64)] = True
-    hit = spark.sparkContext.broadcast([np.packbits(found[n]).tobytes() for n in levels])
-    named = cut_lineage(_names(rows, longest, hit))
-    lang_n = named.where("level = 0").groupBy("lang").agg(F.sum("c").alias("n"))
-    one = named.where("level > 0").groupBy("level", "k", "lang", "phrase").agg(F.lit(1).alias("one"))
-    out = exact.join(one, ["level", "k"]).groupBy("level", "k", "a").agg(
-        F.min(F.struct("lang", "phrase")).alias("p"), F.count(F.lit(1)).alias("names"))
-    twice = F.raise_error(F.lit("two phrases share a key")).cast("string")
-    out = out.select("level", "p.lang", F.when(F.col("names") == 1, F.col("p.phrase")).otherwise(twice).alias("phrase"), "a")
+    written = [p for p in scratch_tables(spark) if p not in before]
+    exact = cut_lineage(counts.mapInArrow(_full_rows(full), "level byte, k long, c long").groupBy("level", "k")
+                        .agg(F.sum("c").alias("a")).where(F.col("a") >= least))
+    drop_scratch(spark, written)                                 # the steps are summed up in ``exact``
+    full.destroy()
+    named, sizes = _named_keys(rows, exact, longest, levels)
+    lang_n = sizes.groupBy("lang").agg(F.sum("c").alias("n"))
+    one = named.groupBy("level", "k", "lang", "phrase").agg(F.lit(1).alias("one"))
+    out = exact.join(one, ["level", "k"], "left").groupBy("level", "k", "a").agg(
+        F.min(F.struct("lang", "phrase")).alias("p"), F.count("one").alias("names"))
+    wrong = F.raise_error(F.concat(F.col("names").cast("string"), F.lit(" phrases share a key"))).cast("string")
+    out = out.select("level", "p.lang", F.when(F.col("names") == 1, F.col("p.phrase")).otherwise(wrong).alias("phrase"), "a")
     return out.join(F.broadcast(lang_n) if _few(lang_n) else lang_n, "lang")
 
 
+#: shares of the rows (of 16) that the rounds of naming read
+ROUNDS = ((0, 1), (1, 4), (4, 16))
+
+
+def _named_keys(rows: DataFrame, exact: DataFrame, longest: int, levels) -> tuple[DataFrame, DataFrame]:
+    """Names (level, lang, k, phrase) of all keys of ``exact``, and (lang, c): words.
+    A first scan reads a sixteenth of the rows and names most keys; the next ones
+    read the rest and name what has no name yet."""
+    spark = rows.sparkSession
+    share = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(16))
+    names, missing = [], exact
+    for lo, hi in ROUNDS:
+        found = {n: np.zeros(1 << bucket_bits(n), bool) for n in levels}
+        for level, base, counts in _hashed_counts(missing.select("level", "k").mapInArrow(_pack_keys, PACKED)):
+            found[level][base:base + BLOCK] = counts > 0
+        hit = spark.sparkContext.broadcast([np.packbits(found[n]).tobytes() for n in levels])
+        names.append(cut_lineage(_names(rows.where((share >= lo) & (share < hi)), longest, hit)))
+        hit.destroy()
+        missing = cut_lineage(missing.join(names[-1].where("level > 0").select("level", "k").distinct(), ["level", "k"], "left_anti"))
+    every = names[0]
+    for n in names[1:]:
+        every = every.unionByName(n)
+    keyed = every.where("level > 0").select("level", "lang", "k", "phrase")
+    return keyed.join(exact.select("level", "k"), ["level", "k"], "left_semi"), every.where("level = 0")
+
+
+def _pack_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        level, keys = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        for n in np.unique(level).tolist():
+            yield from _pack(n, *np.unique(keys[level == n], return_counts=True))
+
+
 def _few(langs: DataFrame, most: int = 10_000) -> bool:
     return langs.limit(most + 1).count() <= most
 
 
-def _keep_full(full):
+def _full_rows(full):
+    """The keys of full buckets as rows, summed up within a task."""
     def run(batches):
-        for b in batches:
-            level, key = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            keep = np.zeros(len(level), bool)
-            for n in np.unique(level):
-                at = level == n
-                keep[at] = _is_full(full.value[n - 1], key[at], n)
-            yield b.filter(pa.array(keep))
+        held: dict[int, list] = {}
+        size = 0
+
+        def emit():
+            for n, mine in held.items():
+                k, c = _sum(*zip(*mine))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int8)), pa.array(k.view(np.int64)), pa.array(c)],
+                                                 names=["level", "k", "c"])
+            held.clear()
+
+        for n, keys, counts in _unpacked(batches):
+            keep = _is_full(full.value[n - 1], keys, n)
+            held.setdefault(n, []).append((keys[keep], counts[keep]))
+            size += int(keep.sum())
+            if size >= CHUNK_WORDS:
+                yield from emit()
+                size = 0
+        yield from emit()
     return run
 
 
