@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import cut_lineage, text_of
 from ledgerlens.session import drop_scratch, scratch_tables
 
-#: bytes hashed at a time, words counted at a time
-WINDOW, CHUNK_WORDS = 1 << 20, 4_000_000
+#: bytes hashed at a time, words counted at a time, keys summed up at a time
+WINDOW, CHUNK_WORDS, SUM_KEYS = 1 << 20, 1_500_000, 3_000_000
 #: log2 of the hashed counters: of single words, of longer phrases
 WORD_BITS, PHRASE_BITS = 22, 24
 BLOCK = 1 << 18
@@ -92,7 +92,7 @@ def word_keys(data: bytes, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarra
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, bool), start, end
-    piece = np.cumsum(kind == 2, dtype=np.int32)[start]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), start)
     first = np.concatenate([[True], piece[1:] != piece[:-1]])
     keys, at = np.empty(len(start), np.uint64), 0
     while at < len(start):
@@ -252,7 +252,7 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for level, keys, counts in _unpacked(batches):
         mine = held.setdefault(level, [])
         mine.append((_buckets(keys, level).astype(np.uint64), counts))
-        if len(mine) >= 16:
+        if len(mine) * PACK >= SUM_KEYS:
             yield emit(level, held.pop(level))
     for level, mine in held.items():
         yield emit(level, mine)
@@ -387,7 +387,7 @@ def _full_rows(full):
             keep = _is_full(full.value[n - 1], keys, n)
             held.setdefault(n, []).append((keys[keep], counts[keep]))
             size += int(keep.sum())
-            if size >= CHUNK_WORDS:
+            if size >= SUM_KEYS:
                 yield from emit()
                 size = 0
         yield from emit()
