@@ -1,19 +1,33 @@
 """Isolation forest on Spark (survey §2.5 E1–E4, §2.6 G10–G12).
 
 Fit
-    Rows are numbered; every tree draws min(ψ, n) different numbers, or ψ with
-    replacement under bootstrap, and the drawn numbers meet the rows by an
-    equi-join.  Trees are then built in parallel by
-    ``groupBy(forest, tree).applyInPandas`` — one small group per task — into
-    a node table of at most T·(2ψ − 1) rows.
+    The feature columns are written once; a row's number is its file's offset
+    (files in name order, from one count per file) plus its position in the
+    file.  Every tree draws min(ψ, n) different numbers, or ψ with replacement
+    under bootstrap.  The draws - T·ψ numbers, bounded by the parameters - go to
+    the scan, which keeps just these rows: the feature matrix itself is never
+    exchanged.  The drawn rows are broadcast to the tree tasks while they stay
+    under ``SHIP_BYTES``; above that they are shuffled by tree.
+
+Store
+    A tree is a complete binary tree of its depth limit (node i has the children
+    2i + 1 and 2i + 2), kept as three packed arrays: feature, threshold, path
+    length of every bottom leaf.  A node that ends early hands its path length
+    to all leaves below it.  One row per tree; ``nodes`` unpacks the real nodes.
 
 Score
-    The node table of one forest is bounded by its parameters, so it is
-    collected once and broadcast; one ``mapInPandas`` pass walks every row
-    down all trees at once (NumPy, vectorised over rows × trees).  The same
-    pass can report the score of any prefix of the trees, which serves the
-    tree-count stability study (E4) and every search candidate that shares a
-    forest (G10/G11) without refitting.
+    Packed forests are broadcast (``STORE_BYTES`` at most in one pass) and one
+    scan walks every row down all trees of all of them.  The same pass can
+    report any prefix of a forest's trees, which serves the tree-count study
+    (E4) and every search candidate that shares a forest (G10/G11).
+
+Search
+    Nothing per (row, forest) is written.  A first scan of the training rows
+    folds the scores of every (forest, tree count) group into counts over
+    ``BINS`` equal bins; these merge by adding and tell the bin of every order
+    statistic.  A second scan, of training and validation rows, returns the
+    values inside these bins and count, sum and sum of squares of the rest, from
+    which offsets and separation scores follow exactly.
 
 Semantics follow the published algorithm as implemented in scikit-learn:
 ``max_samples='auto'`` = min(256, n); depth limit ceil(log2 ψ); random
@@ -27,23 +41,35 @@ scores agree in distribution, not bit for bit.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import time
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.ordered import exact_quantiles
-from ledgerlens.functions.stats import unit_hash
 from ledgerlens.session import cut_lineage, shuffle_partitions
 
 EULER_GAMMA = 0.5772156649015329
 #: rows walked down the trees at a time
-CHUNK = 2048
+CHUNK = 4096
+#: rows of a tree at most; a share of a large table would not fit one task
+MAX_PSI = 1 << 16
+#: draws handed to one scan, packed nodes of one scoring pass, drawn rows that are broadcast
+PASS_DRAWS, STORE_BYTES, SHIP_BYTES = 1 << 23, 1 << 28, 1 << 26
+#: bins of the score range -1..0
+BINS = 1 << 16
 
+STORE_SCHEMA = T.StructType([
+    T.StructField("forest", T.IntegerType()), T.StructField("tree", T.IntegerType()),
+    T.StructField("depth", T.IntegerType()), T.StructField("n_samples", T.IntegerType()),
+    T.StructField("feature", T.BinaryType()), T.StructField("threshold", T.BinaryType()),
+    T.StructField("path", T.BinaryType()), T.StructField("sizes", T.BinaryType()),
+    T.StructField("seconds", T.DoubleType()),
+])
 NODE_SCHEMA = T.StructType([
     T.StructField("forest", T.IntegerType()), T.StructField("tree", T.IntegerType()),
     T.StructField("node", T.IntegerType()), T.StructField("feature", T.IntegerType()),
@@ -85,234 +111,518 @@ class ForestSpec:
         if psi > MAX_PSI:
             raise ValueError(f"max_samples gives {psi} rows a tree; {MAX_PSI} at most")
         self.psi = max(psi, 1)
+        if self.store_bytes > STORE_BYTES or self.n_trees * self.psi > PASS_DRAWS:
+            raise ValueError(f"{self.n_trees} trees of {self.psi} rows are more than one pass holds")
         return self
 
+    @property
+    def depth(self) -> int:
+        return int(math.ceil(math.log2(max(self.psi, 2))))
 
-#: rows of a tree at most; a share of a large table would not fit one task
-MAX_PSI = 1 << 16
-#: rows of one numbering bucket
-BUCKET_ROWS = 10_000
-
-
-def _numbered(df: DataFrame, key: str, features: Sequence[str], n_rows: int) -> DataFrame:
-    """The rows with a number 0..n-1, in the order of a hash of the key: buckets
-    by hash, numbered inside, offset by the buckets before them."""
-    buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    h = unit_hash(key, "number")
-    rows = df.select(key, *features).withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") * buckets).cast("long"))
-    base = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    base = base.select("_b", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_b").orderBy("_h", key, *features)
-    return (rows.withColumn("_r", F.row_number().over(inside)).join(base, "_b")
-            .withColumn("_idx", F.col("_base") + F.col("_r") - 1).drop("_h", "_b", "_r", "_base"))
-
-
-def _draws(spark, specs: Sequence[ForestSpec], n_rows: int) -> DataFrame:
-    """(forest, tree, slot, _idx): the row numbers every tree draws - min(ψ, n)
-    different ones, or ψ independent ones under bootstrap."""
-    trees = [(s.forest, s.n_trees) for s in specs]
-    by_id = {s.forest: s for s in specs}
+    @property
+    def store_bytes(self) -> int:
+        return self.n_trees * (18 << self.depth)
 
-    def draw(batches):
-        for pdf in batches:
-            for forest, tree in zip(pdf["forest"], pdf["tree"]):
-                s = by_id[int(forest)]
-                rng = np.random.default_rng([s.seed, s.forest, int(tree), 0])
-                idx = (rng.integers(0, n_rows, s.psi) if s.bootstrap
-                       else rng.choice(n_rows, s.psi, replace=False, shuffle=False))
-                yield pd.DataFrame({"forest": np.int32(s.forest), "tree": np.int32(tree),
-                                    "slot": np.arange(s.psi, dtype=np.int32), "_idx": idx.astype(np.int64)})
-
-    ids = spark.createDataFrame(trees, "forest int, n int").select(
-        "forest", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tree"))
-    return ids.repartition(shuffle_partitions(spark)).mapInPandas(draw, "forest int, tree int, slot int, _idx long")
 
+# ---------------------------------------------------------------- draws
+def _numbered_files(written: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The files of a written table in name order and the number of their first
+    row; the last entry is the number of rows."""
+    rows = written.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted((r["f"], r["n"]) for r in rows)
+    return [f for f, _ in rows], np.concatenate([[0], np.cumsum([n for _, n in rows])]).astype(np.int64)
 
-def _tree_rows(df: DataFrame, key: str, features: Sequence[str], specs: Sequence[ForestSpec], n_rows: int
-               ) -> DataFrame:
-    """(forest, tree, slot, features…): exactly ψ rows per tree.  One rule at
-    every size: trees draw row numbers, which meet the numbered rows by an
-    equi-join (a number is drawn by few trees, so no key is hot)."""
-    if [s.forest for s in specs] != list(range(len(specs))):
-        raise ValueError("forest ids must be 0..k-1 in order")
-    rows = _numbered(df, key, features, n_rows)
-    return _draws(df.sparkSession, specs, n_rows).join(rows, "_idx").select("forest", "tree", "slot", *features)
-
-
-def _grow(x: np.ndarray, rng: np.random.Generator, feats: np.ndarray, max_depth: int):
-    """Grow one isolation tree; return node arrays."""
-    feature, threshold, left, right, path, size = [], [], [], [], [], []
-
-    def new_node():
-        for arr, v in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (path, 0.0), (size, 0)):
-            arr.append(v)
-        return len(feature) - 1
-
-    # c(n) for every leaf size a tree can have, computed once per tree
-    c_of = average_path_length(np.arange(len(x) + 1))
-    root = new_node()
-    stack = [(root, np.arange(len(x)), 0)]
-    while stack:
-        node, idx, depth = stack.pop()
-        size[node] = len(idx)
-        if depth >= max_depth or len(idx) <= 1:
-            path[node] = depth + float(c_of[len(idx)])
-            continue
-        sub = x[idx][:, feats]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.nonzero(hi > lo)[0]
-        if len(usable) == 0:
-            path[node] = depth + float(c_of[len(idx)])
-            continue
-        j = usable[rng.integers(len(usable))]
-        f = int(feats[j])
-        t = float(rng.uniform(lo[j], hi[j]))
-        go_left = x[idx, f] <= t
-        feature[node], threshold[node] = f, t
-        l_node, r_node = new_node(), new_node()
-        left[node], right[node] = l_node, r_node
-        stack.append((r_node, idx[~go_left], depth + 1))
-        stack.append((l_node, idx[go_left], depth + 1))
-    return feature, threshold, left, right, path, size
-
-
-def _build_fn(key: str, features: Sequence[str], specs: Sequence[ForestSpec]):
-    by_id = {s.forest: s for s in specs}
+
+def draw_rows(spec: ForestSpec, tree: int, n_rows: int) -> np.ndarray:
+    """The row numbers of a tree: min(ψ, n) different ones, or ψ independent
+    ones under bootstrap."""
+    rng = np.random.default_rng([spec.seed, spec.forest, tree, 0])
+    return (rng.integers(0, n_rows, spec.psi) if spec.bootstrap
+            else rng.choice(n_rows, spec.psi, replace=False, shuffle=False))
+
+
+def _drawn(written: DataFrame, features: Sequence[str], numbers: np.ndarray, files: list[str], base: np.ndarray) -> DataFrame:
+    """(number, x): the rows with these numbers (sorted, distinct), in one scan
+    without an exchange.  x: the features as packed doubles."""
+    bc = written.sparkSession.sparkContext.broadcast((dict(zip(files, base.tolist())), numbers))
     d = len(features)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        forest, tree = int(pdf["forest"].iat[0]), int(pdf["tree"].iat[0])
-        s = by_id[forest]
-        if len(pdf) != s.psi:
-            raise ValueError(f"tree {tree} of forest {forest} got {len(pdf)} of {s.psi} rows")
-        pdf = pdf.sort_values("slot", kind="stable")   # shuffle order must not matter
-        rng = np.random.default_rng([s.seed, forest, tree, 1])
-        x = pdf[list(features)].to_numpy(dtype=np.float64)
-        k = max(1, int(s.max_features * d)) if isinstance(s.max_features, float) else int(s.max_features)
-        feats = np.sort(rng.choice(d, size=min(k, d), replace=False))
-        max_depth = int(math.ceil(math.log2(max(s.psi, 2))))
-        feature, threshold, left, right, path, size = _grow(x, rng, feats, max_depth)
-        n = len(feature)
-        return pd.DataFrame({"forest": forest, "tree": tree, "node": np.arange(n, dtype=np.int32),
-                             "feature": feature, "threshold": threshold, "left": left, "right": right,
-                             "path": path, "n_samples": size})
-    return build
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, wanted = bc.value
+        for b in batches:
+            name = b.column(0).dictionary_encode()
+            number = np.array([start[f] for f in name.dictionary.to_pylist()])[name.indices.to_numpy()] + b.column(1).to_numpy()
+            at = np.searchsorted(wanted, number)
+            keep = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == number)
+            if len(keep):
+                x = np.stack([b.column(2 + i).to_numpy(zero_copy_only=False)[keep] for i in range(d)], axis=1).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array(number[keep]), pa.array([r.tobytes() for r in x], pa.binary())],
+                                                 names=["number", "x"])
+
+    rows = written.select(F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_r"),
+                          *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
+    return rows.mapInArrow(pick, "number long, x binary")
+
+
+# ---------------------------------------------------------------- trees
+def grow(x: np.ndarray, rng: np.random.Generator, feats: np.ndarray, depth: int
+         ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grow one isolation tree level by level: (feature, threshold) of the 2^depth − 1
+    inner places, the path length of the 2^depth leaves and the number of rows of
+    every place.  All nodes of a level are split at once."""
+    inner = (1 << depth) - 1
+    feature, threshold = np.full(inner, -1, np.int16), np.full(inner, np.inf)
+    path, sizes = np.zeros(inner + 1), np.zeros(2 * inner + 1, np.int32)
+    xs, place = x[:, feats], np.zeros(len(x), np.int64)
+
+    def end(places: np.ndarray, n: np.ndarray, level: int) -> None:
+        span = 1 << (depth - level)                          # leaves below a place of this level
+        first = (places + 1) * span - (1 << depth)
+        at = (first[:, None] + np.arange(span)).ravel()
+        path[at] = np.repeat(level + average_path_length(n), span)
+
+    for level in range(depth + 1):
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        n = np.diff(np.append(starts, len(place)))
+        here = place[starts]
+        sizes[here] = n
+        if level == depth:
+            end(here, n, level)
+            break
+        lo, hi = np.minimum.reduceat(xs, starts, axis=0), np.maximum.reduceat(xs, starts, axis=0)
+        usable = hi > lo
+        count = usable.sum(1)
+        split = (n > 1) & (count > 0)
+        end(here[~split], n[~split], level)
+        if not split.any():
+            break
+        u = rng.random((2, len(here)))
+        nth = np.minimum((u[0] * count).astype(np.int64), count - 1)
+        j = (np.cumsum(usable, axis=1) > nth[:, None]).argmax(1)
+        at = np.arange(len(here))
+        low, high = lo[at, j], hi[at, j]
+        cut = np.minimum(low + u[1] * (high - low), np.nextafter(high, low))
+        feature[here[split]], threshold[here[split]] = feats[j[split]], cut[split]
+        group = np.repeat(at, n)
+        live = split[group]
+        right = ~(xs[np.arange(len(xs)), j[group]] <= cut[group])
+        place = (2 * place + 1 + right)[live]
+        order = np.argsort(place, kind="stable")
+        xs, place = xs[live][order], place[order]
+    return feature, threshold, path, sizes
+
+
+def _tree_row(spec: ForestSpec, tree: int, x: np.ndarray) -> tuple:
+    """One packed tree from its ψ rows, in the order they were drawn."""
+    if len(x) != spec.psi:
+        raise ValueError(f"tree {tree} of forest {spec.forest} got {len(x)} of {spec.psi} rows")
+    began = time.perf_counter()
+    rng = np.random.default_rng([spec.seed, spec.forest, tree, 1])
+    d = x.shape[1]
+    k = max(1, int(spec.max_features * d)) if isinstance(spec.max_features, float) else int(spec.max_features)
+    feats = np.sort(rng.choice(d, size=min(k, d), replace=False))
+    feature, threshold, path, sizes = grow(x, rng, feats, spec.depth)
+    return (spec.forest, tree, spec.depth, len(x), feature.astype("<i2").tobytes(), threshold.astype("<f8").tobytes(),
+            path.astype("<f8").tobytes(), sizes.astype("<i4").tobytes(), time.perf_counter() - began)
+
+
+def _trees(spark, specs: Sequence[ForestSpec]) -> DataFrame:
+    """(forest, tree), dealt out evenly."""
+    ids = spark.createDataFrame([(s.forest, s.n_trees) for s in specs], "forest int, n int").select(
+        "forest", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tree"))
+    return ids.repartition(max(shuffle_partitions(spark), 8))
+
+
+def _fit_pass(written: DataFrame, features: Sequence[str], specs: Sequence[ForestSpec], files, base) -> DataFrame:
+    """Packed trees of the forests of one pass."""
+    spark, n_rows = written.sparkSession, int(base[-1])
+    by_id = {s.forest: s for s in specs}
+    draws = [(s, t, draw_rows(s, t, n_rows)) for s in specs for t in range(s.n_trees)]
+    numbers = np.unique(np.concatenate([d for _, _, d in draws]))
+    rows = _drawn(written, features, numbers, files, base)
+    if len(numbers) * 8 * len(features) <= SHIP_BYTES:
+        got = rows.toArrow().sort_by("number")
+        if len(got) != len(numbers):
+            raise ValueError(f"{len(got)} of {len(numbers)} drawn rows were found")
+        x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f8").reshape(len(got), len(features))
+        bc = spark.sparkContext.broadcast((numbers, x))
+
+        def build(batches):
+            numbers, x = bc.value
+            for b in batches:
+                out = []
+                for forest, tree in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    s = by_id[forest]
+                    out.append(_tree_row(s, tree, x[np.searchsorted(numbers, draw_rows(s, tree, n_rows))]))
+                yield _store_batch(out)
+
+        return _trees(spark, specs).mapInArrow(build, STORE_SCHEMA)
+    # every draw of a row as (forest, tree, slot): the rows go to their trees
+    flat = np.concatenate([d for _, _, d in draws])
+    order = np.argsort(flat, kind="stable")
+    owner = np.concatenate([np.full(len(d), i, np.int32) for i, (_, _, d) in enumerate(draws)])[order]
+    slot = np.concatenate([np.arange(len(d), dtype=np.int32) for _, _, d in draws])[order]
+    ids = np.array([(s.forest, t) for s, t, _ in draws], np.int32)
+    bc = spark.sparkContext.broadcast((flat[order], owner, slot, ids))
+
+    def deal(batches):
+        flat, owner, slot, ids = bc.value
+        for b in batches:
+            number = b.column(0).to_numpy()
+            lo, hi = np.searchsorted(flat, number, "left"), np.searchsorted(flat, number, "right")
+            src = np.repeat(np.arange(len(number)), hi - lo)
+            at = np.concatenate([np.arange(a, z) for a, z in zip(lo, hi)]) if len(src) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[at], 0]), pa.array(ids[owner[at], 1]), pa.array(slot[at]),
+                                              b.column(1).take(pa.array(src))], names=["forest", "tree", "slot", "x"])
+
+    def build_group(t: pa.Table) -> pa.Table:
+        spec, tree = by_id[t["forest"][0].as_py()], t["tree"][0].as_py()
+        t = t.sort_by("slot")                                # shuffle order must not matter
+        x = np.frombuffer(b"".join(t["x"].to_pylist()), "<f8").reshape(len(t), -1)
+        return pa.Table.from_batches([_store_batch([_tree_row(spec, tree, x)])])
+
+    dealt = rows.mapInArrow(deal, "forest int, tree int, slot int, x binary")
+    return dealt.groupBy("forest", "tree").applyInArrow(build_group, STORE_SCHEMA)
+
+
+def _store_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32()] * 4 + [pa.binary()] * 4 + [pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=STORE_SCHEMA.fieldNames())
+
+
+def _passes(specs: Sequence[ForestSpec], cost, most: int) -> Iterator[list[ForestSpec]]:
+    """Forests in order, as many a pass as ``most`` allows."""
+    held, total = [], 0
+    for s in specs:
+        if held and total + cost(s) > most:
+            yield held
+            held, total = [], 0
+        held.append(s)
+        total += cost(s)
+    if held:
+        yield held
 
 
 def fit_forests(df: DataFrame, key: str, features: Sequence[str], specs: Sequence[ForestSpec]) -> DataFrame:
-    """Fit one or more forests; returns the (checkpointed) node table."""
-    n_rows = df.count()
-    specs = [s.resolve(n_rows) for s in specs]
+    """Fit one or more forests; returns the written store (one row per tree)."""
+    if [s.forest for s in specs] != list(range(len(specs))):
+        raise ValueError("forest ids must be 0..k-1 in order")
+    written = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in features]))
+    files, base = _numbered_files(written)
+    n_rows = int(base[-1])
     if n_rows == 0:
         raise ValueError("a forest needs training rows")
-    rows = _tree_rows(df, key, features, specs, n_rows)
-    nodes = cut_lineage(rows.groupBy("forest", "tree").applyInPandas(_build_fn(key, features, specs), NODE_SCHEMA))
-    built, wanted = nodes.where("node = 0").count(), sum(s.n_trees for s in specs)
+    specs = [s.resolve(n_rows) for s in specs]
+    parts = [_fit_pass(written, features, p, files, base) for p in _passes(specs, lambda s: s.n_trees * s.psi, PASS_DRAWS)]
+    store = cut_lineage(_union(parts))
+    built, wanted = store.count(), sum(s.n_trees for s in specs)
     if built != wanted:
         raise ValueError(f"{built} of {wanted} trees were built")
-    return nodes
+    return store
+
+
+def unpack_nodes(store: DataFrame) -> DataFrame:
+    """The node table of a store: the places rows have reached, numbered from 0."""
+    def run(batches):
+        for b in batches:
+            for forest, tree, depth, _, feature, threshold, path, sizes, _ in zip(*[c.to_pylist() for c in b.columns]):
+                feature, threshold = np.frombuffer(feature, "<i2"), np.frombuffer(threshold, "<f8")
+                path, sizes = np.frombuffer(path, "<f8"), np.frombuffer(sizes, "<i4")
+                at = np.flatnonzero(sizes)
+                inner = at < len(feature)
+                f = np.where(inner, feature[np.where(inner, at, 0)], -1)
+                number = np.full(len(sizes) + 2, -1)
+                number[at] = np.arange(len(at))
+                level = np.floor(np.log2(at + 1)).astype(int)
+                leaf = ((at + 1) << (depth - level)) - (1 << depth)
+                split = f >= 0
+                kids = np.where(split, 2 * at + 1, len(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (
+                    np.full(len(at), forest, np.int32), np.full(len(at), tree, np.int32), number[at].astype(np.int32), f.astype(np.int32),
+                    np.where(split, threshold[np.where(split, at, 0)], 0.0), number[kids].astype(np.int32),
+                    number[np.where(split, kids + 1, len(sizes))].astype(np.int32), np.where(split, 0.0, path[leaf]), sizes[at])],
+                    names=NODE_SCHEMA.fieldNames())
+
+    return store.mapInArrow(run, NODE_SCHEMA)
 
 
 @dataclass
 class ForestModel:
-    """A fitted forest: node table + parameters (+ offset once calibrated)."""
-    nodes: DataFrame
+    """A fitted forest: store + parameters (+ offset once calibrated)."""
+    store: DataFrame
     features: list[str]
     spec: ForestSpec
     contamination: float = 0.05
     offset: float | None = None
 
+    @property
+    def nodes(self) -> DataFrame:
+        return unpack_nodes(self.store.where(F.col("forest") == self.spec.forest))
+
+
+# ---------------------------------------------------------------- scores
+def packed(store: DataFrame, spec: ForestSpec, n_trees: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, feature, threshold, path) of the first trees of a forest, one row
+    per tree: at most ``STORE_BYTES``, checked when the forest was resolved."""
+    rows = store.where((F.col("forest") == spec.forest) & (F.col("tree") < n_trees)).orderBy("tree").select(
+        "feature", "threshold", "path").toArrow()
+    if len(rows) != n_trees:
+        raise ValueError(f"{len(rows)} of {n_trees} trees in the store")
+    kinds = {"feature": "<i2", "threshold": "<f8", "path": "<f8"}
+    return (spec.depth, *[np.frombuffer(b"".join(rows[c].to_pylist()), k).reshape(n_trees, -1) for c, k in kinds.items()])
+
+
+def walk(x: np.ndarray, forest: tuple, counts: Sequence[int]) -> np.ndarray:
+    """Sum of the path lengths over the first k trees for each k of ``counts``
+    (ascending): array [rows, counts].  Rows go down a tree together, one
+    level a step; a place without a split leads to equal leaves either way."""
+    depth, feature, threshold, path = forest
+    out = np.empty((len(x), len(counts)))
+    for lo in range(0, len(x), CHUNK):
+        part = x[lo:lo + CHUNK]
+        n = len(part)
+        cols, row = np.ascontiguousarray(part.T).ravel(), np.arange(n)
+        offset = np.maximum(feature, 0).astype(np.int64) * n     # start of the feature's column
+        total, done = np.zeros(n), 0
+        for i, k in enumerate(counts):
+            for t in range(done, k):
+                off, thr = offset[t], threshold[t]
+                place = np.zeros(n, np.int64)
+                for _ in range(depth):
+                    left = cols[off[place] + row] <= thr[place]
+                    place += place
+                    place += 2
+                    place -= left
+                total += path[t][place - len(thr)]
+            done = k
+            out[lo:lo + n, i] = total
+    return out
 
-def _arrays(nodes: DataFrame, forest: int, n_trees: int):
-    """Padded node arrays [tree, node] for one forest (bounded: T·(2ψ−1) rows)."""
-    pdf = nodes.where((F.col("forest") == forest) & (F.col("tree") < n_trees)).toPandas()
-    if pdf.empty:
-        raise ValueError("empty forest")
-    t = int(pdf["tree"].max()) + 1
-    m = int(pdf["node"].max()) + 1
-    shape = (t, m)
-    feat = np.full(shape, -1, dtype=np.int32)
-    thr = np.zeros(shape)
-    left = np.full(shape, -1, dtype=np.int32)
-    right = np.full(shape, -1, dtype=np.int32)
-    path = np.zeros(shape)
-    ti, ni = pdf["tree"].to_numpy(), pdf["node"].to_numpy()
-    feat[ti, ni] = pdf["feature"].to_numpy()
-    thr[ti, ni] = pdf["threshold"].to_numpy()
-    left[ti, ni] = pdf["left"].to_numpy()
-    right[ti, ni] = pdf["right"].to_numpy()
-    path[ti, ni] = pdf["path"].to_numpy()
-    return feat, thr, left, right, path
-
-
-def tree_paths(x: np.ndarray, feat, thr, left, right, path) -> np.ndarray:
-    """Path length of every row in every tree: array [rows, trees]."""
-    n, t = len(x), feat.shape[0]
-    node = np.zeros((n, t), dtype=np.int32)
-    trees = np.arange(t)[None, :]
-    rows = np.arange(n)[:, None]
-    for _ in range(feat.shape[1]):
-        f = feat[trees, node]
-        internal = f >= 0
-        if not internal.any():
-            break
-        xv = x[rows, np.where(internal, f, 0)]
-        go_left = xv <= thr[trees, node]
-        nxt = np.where(go_left, left[trees, node], right[trees, node])
-        node = np.where(internal, nxt, node)
-    return path[trees, node]
 
+def _to_score(total: np.ndarray, k: int, c_psi: float) -> np.ndarray:
+    return -np.power(2.0, -(total / k) / c_psi) if c_psi > 0 else -np.ones(len(total))
 
-def raw_scores(df: DataFrame, key: str, nodes: DataFrame, features: Sequence[str], spec: ForestSpec,
+
+def raw_scores(df: DataFrame, key: str, store: DataFrame, features: Sequence[str], spec: ForestSpec,
                prefixes: Sequence[int] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``score_samples`` (−2^(−E[h]/c(ψ))) for the first k trees, for
     each k in ``prefixes`` (default: all trees), in one pass.  Output: key,
     ``keep`` columns, ``raw_score_<k>``."""
-    prefixes = list(prefixes or [spec.n_trees])
-    spark = df.sparkSession
-    arrays = _arrays(nodes, spec.forest, max(prefixes))
-    bc = spark.sparkContext.broadcast(arrays)
+    prefixes = sorted(prefixes or [spec.n_trees])
+    bc = df.sparkSession.sparkContext.broadcast(packed(store, spec, prefixes[-1]))
     c_psi = float(average_path_length([spec.psi])[0])
     feats = list(features)
-    out_names = [f"raw_score_{k}" for k in prefixes]
+    carried = [key, *keep]
 
     def score(batches):
-        feat, thr, left, right, path = bc.value
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=np.float64)
-            # fixed chunks of rows: memory is chunk × trees, whatever the batch
-            sums = np.empty((len(x), len(prefixes)))
-            for at in range(0, len(x), CHUNK):
-                cum = np.cumsum(tree_paths(x[at:at + CHUNK], feat, thr, left, right, path), axis=1)
-                sums[at:at + CHUNK] = cum[:, [k - 1 for k in prefixes]]
-            out = pdf[[key, *keep]].copy()
-            for i, (k, name) in enumerate(zip(prefixes, out_names)):
-                depth = sums[:, i] / k
-                out[name] = -np.power(2.0, -depth / c_psi) if c_psi > 0 else -np.ones(len(x))
-            yield out
-
-    schema = T.StructType([df.schema[key], *[df.schema[c] for c in keep],
-                           *[T.StructField(n, T.DoubleType()) for n in out_names]])
-    return df.select(key, *keep, *feats).mapInPandas(score, schema)
+        for b in batches:
+            x = np.stack([b.column(len(carried) + i).to_numpy(zero_copy_only=False) for i in range(len(feats))], axis=1).astype(float)
+            total = walk(x, bc.value, prefixes)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(carried)], *[pa.array(_to_score(total[:, i], k, c_psi))
+                                                                           for i, k in enumerate(prefixes)]], names=names)
+
+    schema = T.StructType([df.schema[c] for c in carried] + [T.StructField(f"raw_score_{k}", T.DoubleType()) for k in prefixes])
+    names = schema.fieldNames()
+    return df.select(*carried, *[F.col(c).cast("double").alias(c) for c in feats]).mapInArrow(score, schema)
+
+
+@dataclass
+class Group:
+    """The first ``n_trees`` trees of a forest and the contaminations asked of it."""
+    spec: ForestSpec
+    n_trees: int
+    contaminations: list[float]
+
+
+def _group_scores(store: DataFrame, groups: Sequence[Group]) -> Iterator[tuple[list[int], object, object]]:
+    """For each pass: numbers of its groups, a broadcast of its forests and a
+    function x -> scores [rows, groups of the pass]."""
+    specs = {g.spec.forest: g.spec for g in groups}
+    for part in _passes([specs[f] for f in sorted(specs)], lambda s: s.store_bytes, STORE_BYTES):
+        plan, ids = [], []
+        for s in part:
+            mine = sorted((g.n_trees, i) for i, g in enumerate(groups) if g.spec.forest == s.forest)
+            plan.append((packed(store, s, mine[-1][0]), [k for k, _ in mine], float(average_path_length([s.psi])[0])))
+            ids += [i for _, i in mine]
+        bc = store.sparkSession.sparkContext.broadcast(plan)
+
+        def scores(x, bc=bc):
+            cols = []
+            for forest, counts, c_psi in bc.value:
+                total = walk(x, forest, counts)
+                cols += [_to_score(total[:, i], k, c_psi) for i, k in enumerate(counts)]
+            return np.stack(cols, axis=1)
+
+        yield ids, bc, scores
+
+
+def _bin(raw: np.ndarray) -> np.ndarray:
+    """Bin of a score in -1..0, ascending."""
+    return np.clip(((raw + 1.0) * BINS).astype(np.int64), 0, BINS - 1)
+
 
+def _matrix(b: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[first:]], axis=1).astype(float)
 
+
+@dataclass
+class Judged:
+    """Rows on one side of an offset: number, mean and population variance of
+    their decision scores."""
+    n: int = 0
+    mean: float | None = None
+    var: float | None = None
+
+
+@dataclass
+class Slot:
+    """One contamination of a group: its offset and, per judged table, the rows
+    at or above it, those below it and those whose score is no number."""
+    offset: float
+    normal: list[Judged]
+    anomaly: list[Judged]
+    bad: list[int]
+
+
+def evaluate_groups(train: DataFrame, judged: Sequence[DataFrame], features: Sequence[str], store: DataFrame,
+                    groups: Sequence[Group]) -> list[list[Slot]]:
+    """For every group and contamination: the offset (the contamination quantile of
+    the training scores, linear) and the judged tables' rows on either side of it.
+    Exact, in two scans whatever the number of forests (see the module); more only
+    if the packed forests exceed ``STORE_BYTES``."""
+    cols = [F.col(c).cast("double").alias(c) for c in features]
+    out: list[list[Slot]] = [[] for _ in groups]
+    for ids, bc, scores in _group_scores(store, groups):
+        counted = train.select(*cols).mapInArrow(_count_bins(scores, len(ids)), "g int, bin int, c long")
+        table = counted.groupBy("g", "bin").agg(F.sum("c").alias("c")).toArrow()     # groups x BINS rows at most
+        hist = np.zeros((len(ids), BINS), np.int64)
+        hist[table["g"].to_numpy(), table["bin"].to_numpy()] = table["c"].to_numpy()
+        asked, wanted = [], []
+        for i, g in enumerate(ids):
+            cum, bins = np.cumsum(hist[i]), []
+            for j, share in enumerate(groups[g].contaminations):
+                pos = (int(cum[-1]) - 1) * share
+                ends = [(q, int(np.searchsorted(cum, q, "right"))) for q in (math.floor(pos), math.ceil(pos))]
+                asked += [(i, j, which, b, q - int(cum[b - 1] if b else 0)) for which, (q, b) in enumerate(ends)]
+                bins.append(np.arange(ends[0][1], ends[1][1] + 1))           # the offset lies in one of these
+            wanted.append(np.unique(np.concatenate(bins)))
+        parts = [train, *judged]
+        both = _union([p.select(F.lit(k).alias("_part"), *cols) for k, p in enumerate(parts)])
+        seen = both.mapInArrow(_look(scores, wanted, len(parts)), "g int, part int, rest int, v double, c long, s double, q double")
+        seen = cut_lineage(seen.groupBy("g", "part", "rest", "v").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q")))
+        bc.unpersist()
+        edges = _order_statistics(seen, asked)
+        for i, g in enumerate(ids):
+            for j, share in enumerate(groups[g].contaminations):
+                a, z = edges[i, j, 0], edges[i, j, 1]
+                pos = (int(hist[i].sum()) - 1) * share
+                d = pos - math.floor(pos)
+                out[g].append(Slot(a + (z - a) * d if d < 0.5 else a * (1 - d) + z * d, [Judged() for _ in judged],
+                                   [Judged() for _ in judged], [0] * len(judged)))
+        if judged:
+            _fold(seen, ids, wanted, out)
+    return out
+
+
+def _count_bins(scores, n_groups: int):
+    def run(batches):
+        held = np.zeros((n_groups, BINS), np.int64)
+        for b in batches:
+            raw = scores(_matrix(b, 0))
+            for i in range(n_groups):
+                held[i] += np.bincount(_bin(raw[~np.isnan(raw[:, i]), i]), minlength=BINS)
+        g, at = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(held[g, at])],
+                                         names=["g", "bin", "c"])
+    return run
+
+
+def _look(scores, wanted: list[np.ndarray], n_parts: int):
+    """Rows of the second scan: (v, c) for the values inside the wanted bins
+    (rest -1); count, sum and sum of squares of the rows before the rest-th wanted
+    bin; count of scores that are no numbers (rest -2)."""
+    def run(batches):
+        inside: dict[tuple, int] = {}
+        rest = [[np.zeros((len(w) + 1, 3)) for w in wanted] for _ in range(n_parts)]
+        bad = np.zeros((n_parts, len(wanted)), np.int64)
+        for b in batches:
+            raw, part = scores(_matrix(b, 1)), b.column(0).to_numpy()
+            for p in np.unique(part).tolist():
+                mine = raw[part == p]
+                for i, w in enumerate(wanted):
+                    r = mine[:, i]
+                    bad[p, i] += int(np.isnan(r).sum())
+                    r = r[~np.isnan(r)]
+                    at = _bin(r)
+                    side = np.searchsorted(w, at)
+                    hit = w[np.minimum(side, len(w) - 1)] == at
+                    for v, c in zip(*[a.tolist() for a in np.unique(r[hit], return_counts=True)]):
+                        inside[i, p, v] = inside.get((i, p, v), 0) + c
+                    if p:
+                        side, v = side[~hit], r[~hit]
+                        for k, weight in enumerate((None, v, v * v)):
+                            rest[p][i][:, k] += np.bincount(side, weight, len(w) + 1)
+        rows = [(i, p, -1, v, c, 0.0, 0.0) for (i, p, v), c in inside.items()]
+        for p in range(n_parts):
+            for i in range(len(wanted)):
+                rows += [(i, p, k, 0.0, int(x[0]), x[1], x[2]) for k, x in enumerate(rest[p][i].tolist()) if x[0]]
+                if bad[p, i]:
+                    rows.append((i, p, -2, 0.0, int(bad[p, i]), 0.0, 0.0))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                                         names=["g", "part", "rest", "v", "c", "s", "q"])
+    return run
+
+
+def _order_statistics(seen: DataFrame, asked: list[tuple]) -> dict[tuple, float]:
+    """(group, contamination, end) -> value at a position of the training scores."""
+    want = seen.sparkSession.createDataFrame(asked, "g int, j int, which int, bin int, pos long")    # two rows a slot
+    inside = seen.where("part = 0 AND rest = -1").withColumn("bin", F.least(F.floor((F.col("v") + 1.0) * BINS).cast("int"), F.lit(BINS - 1)))
+    w = Window.partitionBy("g", "bin").orderBy("v")          # the distinct values inside one bin
+    ranked = inside.select("g", "bin", "v", "c", F.sum("c").over(w).alias("cum"))
+    hit = ranked.join(F.broadcast(want), ["g", "bin"]).where((F.col("cum") > F.col("pos")) & (F.col("cum") - F.col("c") <= F.col("pos")))
+    found = {(r["g"], r["j"], r["which"]): r["v"] for r in hit.collect()}
+    if len(found) != len(asked):
+        raise ValueError(f"{len(found)} of {len(asked)} order statistics were found")
+    return found
+
+
+def _fold(seen: DataFrame, ids: list[int], wanted: list[np.ndarray], out: list[list[Slot]]) -> None:
+    """The judged rows on either side of every offset, as moments about it."""
+    cuts = [(i, j, slot.offset, int(np.searchsorted(wanted[i], _bin(np.array([slot.offset]))[0])))
+            for i, g in enumerate(ids) for j, slot in enumerate(out[g])]
+    rows = seen.sparkSession.createDataFrame(cuts, "g int, j int, o double, cut int")
+    part = seen.where("part > 0 AND rest >= -1").join(F.broadcast(rows), "g")
+    value, o, c = F.col("rest") == -1, F.col("o"), F.col("c")
+    above = F.when(value, F.col("v") >= o).otherwise(F.col("rest") > F.col("cut"))
+    total = F.when(value, F.col("v") * c).otherwise(F.col("s"))
+    square = F.when(value, F.col("v") * F.col("v") * c).otherwise(F.col("q"))
+    stats = part.groupBy("g", "j", "part", above.alias("normal")).agg(
+        F.sum("c").alias("n"), F.sum(total - c * o).alias("d"), F.sum(square - 2 * o * total + c * o * o).alias("dd"))
+    for r in stats.collect():                                # four rows a slot and table at most
+        mean = r["d"] / r["n"]
+        slot = out[ids[r["g"]]][r["j"]]
+        (slot.normal if r["normal"] else slot.anomaly)[r["part"] - 1] = Judged(r["n"], mean, max(r["dd"] / r["n"] - mean * mean, 0.0))
+    for r in seen.where("part > 0 AND rest = -2").groupBy("g", "part").agg(F.sum("c").alias("c")).collect():
+        for slot in out[ids[r["g"]]]:
+            slot.bad[r["part"] - 1] = r["c"]
+
+
+# ---------------------------------------------------------------- model
 def fit(df: DataFrame, key: str, features: Sequence[str], n_trees: int = 200, max_samples="auto",
         contamination: float = 0.05, max_features: float = 1.0, bootstrap: bool = False, seed: int = 42
         ) -> ForestModel:
     """E1 + offset: fit, score the training rows, offset = contamination percentile."""
     spec = ForestSpec(0, n_trees, max_samples, max_features, bootstrap, seed)
-    nodes = fit_forests(df, key, features, [spec])
-    model = ForestModel(nodes, list(features), spec, contamination)
-    train = raw_scores(df, key, nodes, features, spec)
-    model.offset = exact_quantiles(train, f"raw_score_{n_trees}", [contamination], [], ["o"]).collect()[0]["o"]
-    return model
+    store = fit_forests(df, key, features, [spec])
+    offset = evaluate_groups(df, [], features, store, [Group(spec, n_trees, [contamination])])[0][0].offset
+    return ForestModel(store, list(features), spec, contamination, offset)
 
 
 def score(model: ForestModel, df: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
     """Raw score, decision = raw − offset, flag (decision < 0), confidence |decision|."""
     k = model.spec.n_trees
-    s = raw_scores(df, key, model.nodes, model.features, model.spec, [k], keep)
+    s = raw_scores(df, key, model.store, model.features, model.spec, [k], keep)
     return (s.withColumnRenamed(f"raw_score_{k}", "raw_score")
              .withColumn("anomaly_score", F.col("raw_score") - F.lit(model.offset))
              .withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
@@ -324,26 +634,23 @@ def stability(model: ForestModel, df: DataFrame, key: str, tree_counts: Sequence
     """For the first k trees of one forest, mean and population std of the
     decision score and the number flagged, on the training and on the test rows
     (``train_flag`` 1 and 0); the offset of each k comes from the training rows.
-    One scoring pass for all k."""
+    Two scans for all k."""
     counts = [k for k in tree_counts if k <= model.spec.n_trees]
-    s = raw_scores(df, key, model.nodes, model.features, model.spec, counts, [train_flag])
-    # read twice below (offsets, then statistics): written once, scored once
-    long = cut_lineage(s.select(train_flag, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("n_trees"), F.col(f"raw_score_{k}").alias("raw")) for k in counts])).alias("_s"))
-        .select(train_flag, "_s.n_trees", "_s.raw"))
-    off = exact_quantiles(long.where(F.col(train_flag) == 1), "raw", [model.contamination], ["n_trees"], ["offset"],
-                          bounded_groups=True)
-    j = long.join(F.broadcast(off), "n_trees").withColumn("decision", F.col("raw") - F.col("offset"))
-    return j.groupBy("n_trees", train_flag).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg("decision").alias("mean_score"), F.stddev_pop("decision").alias("std_score"),
-        F.sum((F.col("decision") < 0).cast("long")).alias("n_flagged"))
-
-
-# ---------------------------------------------------------------- search
-def _per_group(scores: DataFrame, key: str, gids: dict) -> DataFrame:
-    """(key, grp, raw): the raw score of each (forest, tree count) group."""
-    pairs = [F.struct(F.lit(g).alias("grp"), F.col(f"raw_score_{k}").alias("raw")) for k, g in gids.items()]
-    return scores.select(key, F.explode(F.array(*pairs)).alias("_s")).select(key, "_s.grp", "_s.raw")
+    train, test = df.where(F.col(train_flag) == 1), df.where(F.col(train_flag) == 0)
+    slots = evaluate_groups(train, [train, test], model.features, model.store,
+                            [Group(model.spec, k, [model.contamination]) for k in counts])
+    rows = []
+    for k, (slot,) in zip(counts, slots):
+        for p, flag in enumerate((1, 0)):
+            sides = [j for j in (slot.normal[p], slot.anomaly[p]) if j.n]
+            n = sum(j.n for j in sides)
+            mean = sum(j.n * j.mean for j in sides) / n if n else None
+            var = sum(j.n * (j.var + (j.mean - mean) ** 2) for j in sides) / n if n else None
+            if n + slot.bad[p]:
+                rows.append((k, flag, n + slot.bad[p], mean, math.sqrt(var) if n else None, slot.anomaly[p].n))
+    return df.sparkSession.createDataFrame(rows, T.StructType([
+        T.StructField("n_trees", T.IntegerType()), T.StructField(train_flag, df.schema[train_flag].dataType), T.StructField("n_rows", T.LongType()),
+        T.StructField("mean_score", T.DoubleType()), T.StructField("std_score", T.DoubleType()), T.StructField("n_flagged", T.LongType())]))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -353,6 +660,7 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+# ---------------------------------------------------------------- search
 def search(train: DataFrame, valid: DataFrame, key: str, features: Sequence[str], candidates: Sequence[dict],
            seed: int = 42, min_group: int = 10, penalised: bool = True) -> DataFrame:
     """Score every candidate (n_estimators, contamination,
@@ -361,68 +669,42 @@ def search(train: DataFrame, valid: DataFrame, key: str, features: Sequence[str]
 
     Candidates sharing (max_samples, max_features, bootstrap) share one
     forest: ``n_estimators`` is a prefix of its trees and ``contamination``
-    only moves the offset.  All forests are fitted in one grouped pass.
-    Scoring is one union of per-forest passes (a task holds the nodes of one
-    forest only) into a long (key, group, raw) table with one row per row and
-    (forest, tree count) group — not per candidate.  One exact-quantile pass
-    grouped by group gives every offset (slot j of a group is its j-th
-    contamination), and one aggregate the validation statistics per group and
-    slot.  Returns one row per candidate."""
+    only moves the offset.  All forests are fitted and evaluated together.
+    ``fit_seconds`` is the time the tasks spent on the candidate's own trees.
+    Returns one row per candidate."""
     def fkey(c):
         return (c["max_samples"], float(c["max_features"]), bool(c["bootstrap"]))
     fkeys = sorted({fkey(c) for c in candidates}, key=str)
     specs = [ForestSpec(i, max(c["n_estimators"] for c in candidates if fkey(c) == fk), fk[0], fk[1], fk[2], seed)
              for i, fk in enumerate(fkeys)]
-    nodes = fit_forests(train, key, features, specs)
-    groups: list[list[float]] = []       # contaminations of each (forest, tree count) group
-    slot = {}                            # candidate → (group, slot)
-    tr_parts, va_parts = [], []
-    for spec, fk in zip(specs, fkeys):
-        cands = [c for c in candidates if fkey(c) == fk]
-        ks = sorted({int(c["n_estimators"]) for c in cands})
-        gids = {}
-        for k in ks:
-            gids[k] = len(groups)
-            groups.append(sorted({float(c["contamination"]) for c in cands if int(c["n_estimators"]) == k}))
-        for c in cands:
-            g = gids[int(c["n_estimators"])]
-            slot[int(c["candidate"])] = (g, groups[g].index(float(c["contamination"])))
-        tr_parts.append(_per_group(raw_scores(train, key, nodes, features, spec, ks), key, gids))
-        va_parts.append(_per_group(raw_scores(valid, key, nodes, features, spec, ks), key, gids))
-    m = max(len(g) for g in groups)
-    # probability of slot j per group (a group with fewer contaminations repeats its last)
-    probs = [F.create_map(*[x for g, conts in enumerate(groups) for x in (F.lit(g), F.lit(conts[min(j, len(conts) - 1)]))]
-                          )[F.col("grp")] for j in range(m)]
-    offs = exact_quantiles(_union(tr_parts), "raw", probs, ["grp"], [f"o{j}" for j in range(m)])
-    # offsets: one row per group, a bound fixed by the search space
-    va = _union(va_parts).join(F.broadcast(offs), "grp")
-    aggs = [F.count(F.lit(1)).alias("n"),
-            F.sum(F.when(F.isnan("raw") | F.col("raw").isNull(), 1).otherwise(0)).alias("bad")]
-    for j in range(m):
-        d = F.col("raw") - F.col(f"o{j}")
-        aggs += [F.avg(F.when(d >= 0, d)).alias(f"mn{j}"), F.avg(F.when(d < 0, d)).alias(f"ma{j}"),
-                 F.stddev_pop(F.when(d >= 0, d)).alias(f"sn{j}"), F.stddev_pop(F.when(d < 0, d)).alias(f"sa{j}"),
-                 F.sum((d >= 0).cast("long")).alias(f"nn{j}"), F.sum((d < 0).cast("long")).alias(f"na{j}")]
-    stats = va.groupBy("grp").agg(*aggs)
-    # the candidate list is a parameter table: one row per candidate
-    params = train.sparkSession.createDataFrame(
-        [(int(c["candidate"]), int(c["n_estimators"]), float(c["contamination"]), str(c["max_samples"]),
-          float(c["max_features"]), bool(c["bootstrap"])) + slot[int(c["candidate"])] for c in candidates],
-        "candidate int, n_estimators int, contamination double, max_samples string, max_features double, "
-        "bootstrap boolean, grp int, slot int")
-    j = F.broadcast(params).join(stats, "grp", "left")
-
-    def at_slot(name):
-        return F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(m)]), F.col("slot") + 1)
-    mn, ma, sn, sa, nn, na = (at_slot(x) for x in ("mn", "ma", "sn", "sa", "nn", "na"))
-    pooled = F.sqrt((sn ** 2 + sa ** 2) / 2)
-    sep = (mn - ma) / pooled
-    if penalised:
-        sep = sep - 2 * F.abs(na / F.col("n") - F.col("contamination"))
-    ok = (F.col("bad") == 0) & (nn >= min_group) & (na >= min_group) & (pooled >= 1e-6)
-    return j.select("candidate", "n_estimators", "contamination", "max_samples", "max_features", "bootstrap",
-                    F.when(ok, sep).otherwise(F.lit(float("-inf") if penalised else 0.0)).alias("score"),
-                    (na / F.col("n")).alias("flagged_rate"))
+    store = fit_forests(train, key, features, specs)
+    asked: dict[tuple, set] = {}
+    for c in candidates:
+        asked.setdefault((fkeys.index(fkey(c)), int(c["n_estimators"])), set()).add(float(c["contamination"]))
+    groups = {gk: Group(specs[gk[0]], gk[1], sorted(conts)) for gk, conts in sorted(asked.items())}
+    slots = dict(zip(groups, evaluate_groups(train, [valid], features, store, list(groups.values()))))
+    spent: dict[int, list[float]] = {}
+    for r in store.select("forest", "tree", "seconds").orderBy("forest", "tree").toArrow().to_pylist():    # one row a tree
+        spent.setdefault(r["forest"], []).append(r["seconds"])
+    rows = []
+    for c in candidates:
+        gk = (fkeys.index(fkey(c)), int(c["n_estimators"]))
+        slot = slots[gk][groups[gk].contaminations.index(float(c["contamination"]))]
+        normal, anomaly, bad = slot.normal[0], slot.anomaly[0], slot.bad[0]
+        n = normal.n + anomaly.n + bad
+        rate = anomaly.n / n if n else None
+        value = float("-inf") if penalised else 0.0
+        if not bad and normal.n >= min_group and anomaly.n >= min_group:
+            pooled = math.sqrt((normal.var + anomaly.var) / 2)
+            if pooled >= 1e-6:
+                value = (normal.mean - anomaly.mean) / pooled
+                if penalised:
+                    value -= 2 * abs(rate - float(c["contamination"]))
+        rows.append((int(c["candidate"]), int(c["n_estimators"]), float(c["contamination"]), str(c["max_samples"]), float(c["max_features"]),
+                     bool(c["bootstrap"]), value, rate, sum(spent[gk[0]][:gk[1]])))
+    # one row per candidate: a parameter table
+    return train.sparkSession.createDataFrame(rows, "candidate int, n_estimators int, contamination double, max_samples string, "
+                                              "max_features double, bootstrap boolean, score double, flagged_rate double, fit_seconds double")
 
 
 # Fixed values that must equal the reference's search spaces.
@@ -469,4 +751,5 @@ def cv_search(df: DataFrame, key: str, features: Sequence[str], candidates: Sequ
     for p in parts[1:]:
         allf = allf.unionByName(p)
     return allf.groupBy("candidate", "n_estimators", "contamination", "max_samples", "max_features", "bootstrap") \
-               .agg(F.avg("score").alias("score"), F.avg("flagged_rate").alias("flagged_rate"))
+               .agg(F.avg("score").alias("score"), F.avg("flagged_rate").alias("flagged_rate"),
+                    F.sum("fit_seconds").alias("fit_seconds"))

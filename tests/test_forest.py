@@ -1,6 +1,8 @@
+import math
+
 import numpy as np
-import pytest
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import forest as IF
@@ -22,28 +24,115 @@ def test_planted_outliers_rank_top(spark):
     top = set(s.sort_values("raw_score").head(10)["id"])
     assert top == set(range(1000, 1010))
     assert 0.005 <= s["is_anomaly"].mean() <= 0.02
+    assert m.offset == pytest.approx(np.quantile(s["raw_score"], 0.01), rel=1e-12)
 
 
-def test_vectorised_walk_matches_brute_force(spark):
+def test_packed_walk_matches_the_node_table(spark):
+    """Every row down every tree of the unpacked node table, node by node."""
     pdf, df = _outliers(spark, n=300, k=3, seed=1)
     m = IF.fit(df, "id", ["a", "b", "c"], n_trees=20)
-    feat, thr, left, right, path = IF._arrays(m.nodes, 0, 20)
+    nodes = {k: g.set_index("node") for k, g in m.nodes.toPandas().groupby("tree")}
     x = pdf[["a", "b", "c"]].to_numpy()
-    fast = IF.tree_paths(x, feat, thr, left, right, path)
+    counts = [1, 7, 20]
+    fast = IF.walk(x, IF.packed(m.store, m.spec, 20), counts)
     for i in range(0, len(x), 37):
+        paths = []
         for t in range(20):
+            n = nodes[t]
             node = 0
-            while feat[t, node] >= 0:
-                node = left[t, node] if x[i, feat[t, node]] <= thr[t, node] else right[t, node]
-            assert fast[i, t] == path[t, node]
+            while n.at[node, "feature"] >= 0:
+                node = n.at[node, "left"] if x[i, n.at[node, "feature"]] <= n.at[node, "threshold"] else n.at[node, "right"]
+            paths.append(n.at[node, "path"])
+        assert fast[i] == pytest.approx([sum(paths[:k]) for k in counts], rel=1e-12)
+
+
+def test_trees_are_isolation_trees(spark):
+    """Sizes add up, splits lie inside the node's range, leaves carry depth + c(n)."""
+    rng = np.random.default_rng(7)
+    for x in (rng.normal(size=(64, 4)), np.repeat(rng.normal(size=(4, 4)), 16, axis=0), np.zeros((32, 4)), rng.normal(size=(1, 4)),
+              np.nextafter(1.0, [[1], [2], [1], [2]] * np.ones((4, 4)))):
+        depth = IF.ForestSpec(0, 1, len(x)).resolve(len(x)).depth
+        feature, threshold, path, sizes = IF.grow(x, np.random.default_rng(1), np.array([0, 2, 3]), depth)
+        rows = {0: np.arange(len(x))}
+        for at in range(len(sizes)):
+            mine = rows.get(at, np.zeros(0, int))
+            assert sizes[at] == len(mine)
+            level = int(math.log2(at + 1))
+            if at < len(feature) and feature[at] >= 0:
+                v = x[mine, feature[at]]
+                assert v.min() <= threshold[at] < v.max() and feature[at] in (0, 2, 3) and len(mine) > 1
+                rows[2 * at + 1], rows[2 * at + 2] = mine[v <= threshold[at]], mine[v > threshold[at]]
+            elif len(mine):
+                assert level == depth or len(mine) == 1 or (x[mine][:, [0, 2, 3]] == x[mine[0], [0, 2, 3]]).all()
+                first = ((at + 1) << (depth - level)) - (1 << depth)
+                want = level + IF.average_path_length([len(mine)])[0]
+                assert (path[first:first + (1 << (depth - level))] == want).all()
+
+
+def test_same_seed_same_nodes_whatever_the_way_rows_travel(spark, monkeypatch):
+    _, df = _outliers(spark, n=500, k=5, seed=2)
+    df = df.repartition(5, "id")
+    specs = lambda: [IF.ForestSpec(0, 10), IF.ForestSpec(1, 6, 64, 0.7, True)]
+
+    def nodes():
+        return IF.unpack_nodes(IF.fit_forests(df, "id", ["a", "b", "c"], specs())).orderBy("forest", "tree", "node").toPandas()
+    a = nodes()
+    pd.testing.assert_frame_equal(a, nodes())
+    monkeypatch.setattr(IF, "SHIP_BYTES", 0)                     # rows shuffled by tree instead of broadcast
+    pd.testing.assert_frame_equal(a, nodes())
+    monkeypatch.setattr(IF, "PASS_DRAWS", 2600)                  # a pass for each forest
+    pd.testing.assert_frame_equal(a, nodes())
+    assert a.groupby(["forest", "tree"])["n_samples"].first().groupby("forest").max().tolist() == [256, 64]
 
 
-def test_same_seed_same_nodes(spark):
+def test_fit_never_exchanges_the_feature_matrix(spark):
     _, df = _outliers(spark, n=500, k=5, seed=2)
-    a = IF.fit_forests(df, "id", ["a", "b", "c"], [IF.ForestSpec(0, 10)]).orderBy("tree", "node").toPandas()
-    b = IF.fit_forests(df, "id", ["a", "b", "c"], [IF.ForestSpec(0, 10)]).orderBy("tree", "node").toPandas()
-    pd.testing.assert_frame_equal(a, b)
-    assert a.groupby("tree")["n_samples"].first().max() <= 256
+    written = IF.cut_lineage(df.select("a", "b", "c"))
+    files, base = IF._numbered_files(written)
+    plan = IF._drawn(written, ["a", "b", "c"], np.arange(3), files, base)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_drawn_rows_are_the_numbered_rows(spark):
+    pdf, df = _outliers(spark, n=300, k=3, seed=4)
+    written = IF.cut_lineage(df.repartition(6).select("a", "b", "c"))
+    files, base = IF._numbered_files(written)
+    assert base[-1] == 303 and len(files) == 6
+    got = IF._drawn(written, ["a", "b", "c"], np.arange(303), files, base).toPandas().sort_values("number")
+    assert got["number"].tolist() == list(range(303))
+    rows = {tuple(np.frombuffer(x, "<f8")) for x in got["x"]}
+    assert rows == {tuple(r) for r in pdf[["a", "b", "c"]].to_numpy()}
+    few = IF._drawn(written, ["a", "b", "c"], np.array([5, 17, 300]), files, base).toPandas().set_index("number")["x"]
+    whole = got.set_index("number")["x"]
+    assert sorted(few.index) == [5, 17, 300] and all(few[i] == whole[i] for i in few.index)
+
+
+def test_stability_matches_numpy(spark):
+    _, df = _outliers(spark, n=400, k=6, seed=5)
+    df = df.withColumn("is_train", (F.col("id") % 4 != 0).cast("int"))
+    m = IF.fit(df.where("is_train = 1"), "id", ["a", "b", "c"], n_trees=30, contamination=0.05)
+    raw = IF.raw_scores(df, "id", m.store, m.features, m.spec, [10, 30], ["is_train"]).toPandas()
+    for r in IF.stability(m, df, "id", (10, 30, 200)).collect():
+        off = np.quantile(raw.loc[raw.is_train == 1, f"raw_score_{r.n_trees}"], 0.05)
+        d = raw.loc[raw.is_train == r.is_train, f"raw_score_{r.n_trees}"] - off
+        assert (r.n_rows, r.n_flagged) == (len(d), (d < 0).sum())
+        assert (r.mean_score, r.std_score) == (pytest.approx(d.mean(), rel=1e-9), pytest.approx(d.std(ddof=0), rel=1e-9))
+
+
+def test_offsets_with_ties_and_wide_gaps(spark):
+    """Scores with many ties, and positions that fall between two far values."""
+    pdf = pd.DataFrame({"a": [0.0] * 50 + [1.0] * 45 + [9.0] * 5, "b": 0.0, "id": range(100)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    store = IF.fit_forests(df, "id", ["a", "b"], specs := [IF.ForestSpec(0, 15, 32)])
+    conts = [0.01, 0.049, 0.05, 0.0499, 0.495, 0.5, 0.93]
+    raw = IF.raw_scores(df, "id", store, ["a", "b"], specs[0]).toPandas()["raw_score_15"].to_numpy()
+    for c, slot in zip(conts, IF.evaluate_groups(df, [df], ["a", "b"], store, [IF.Group(specs[0], 15, conts)])[0]):
+        o = np.quantile(raw, c)
+        assert slot.offset == pytest.approx(o, rel=1e-12)
+        d = raw - slot.offset
+        assert (slot.normal[0].n, slot.anomaly[0].n) == ((d >= 0).sum(), (d < 0).sum())
+        if slot.anomaly[0].n:
+            assert slot.anomaly[0].mean == pytest.approx(d[d < 0].mean(), rel=1e-9, abs=1e-12)
 
 
 def test_average_path_length():
@@ -56,7 +145,9 @@ def _fkey(c):
     return (c["max_samples"], float(c["max_features"]), bool(c["bootstrap"]))
 
 
-def test_search_matches_brute_force(spark):
+@pytest.mark.parametrize("store_bytes", [1 << 28, 60_000])
+def test_search_matches_brute_force(spark, monkeypatch, store_bytes):
+    monkeypatch.setattr(IF, "STORE_BYTES", store_bytes)          # all forests in one pass, or one a pass
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 3))
     x[:12] += 6.0
@@ -67,7 +158,8 @@ def test_search_matches_brute_force(spark):
     tr, va = df.where(F.col("k") < "r0400"), df.where(F.col("k") >= "r0400")
     cands = [dict(candidate=0, n_estimators=20, contamination=0.05, max_samples=64, max_features=1.0, bootstrap=False),
              dict(candidate=1, n_estimators=10, contamination=0.10, max_samples=64, max_features=1.0, bootstrap=False),
-             dict(candidate=2, n_estimators=15, contamination=0.08, max_samples=128, max_features=0.67, bootstrap=True)]
+             dict(candidate=2, n_estimators=15, contamination=0.08, max_samples=128, max_features=0.67, bootstrap=True),
+             dict(candidate=3, n_estimators=20, contamination=0.08, max_samples=64, max_features=1.0, bootstrap=False)]
     got = {r["candidate"]: r for r in IF.search(tr, va, "k", cols, cands, min_group=3).collect()}
     # the same seeded forests, scored and judged row by row in NumPy
     fkeys = sorted({_fkey(c) for c in cands}, key=str)
@@ -81,9 +173,17 @@ def test_search_matches_brute_force(spark):
         d = raw_va - np.quantile(raw_tr, c["contamination"])
         normal, anomal = d[d >= 0], d[d < 0]
         assert got[c["candidate"]]["flagged_rate"] == pytest.approx(len(anomal) / len(d))
+        assert got[c["candidate"]]["fit_seconds"] > 0
         pooled = np.sqrt((normal.std() ** 2 + anomal.std() ** 2) / 2)
         if len(normal) >= 3 and len(anomal) >= 3 and pooled >= 1e-6:
             sep = (normal.mean() - anomal.mean()) / pooled - 2 * abs(len(anomal) / len(d) - c["contamination"])
             assert got[c["candidate"]]["score"] == pytest.approx(sep, rel=1e-9)
         else:
             assert got[c["candidate"]]["score"] == float("-inf")
+
+
+def test_judged_table_may_be_empty(spark):
+    _, df = _outliers(spark, n=200, k=2, seed=6)
+    cands = [dict(candidate=0, n_estimators=5, contamination=0.1, max_samples=32, max_features=1.0, bootstrap=False)]
+    row = IF.search(df, df.limit(0), "id", ["a", "b", "c"], cands).first()
+    assert row["score"] == float("-inf") and row["flagged_rate"] is None

@@ -39,21 +39,22 @@ def test_grouped_quantiles_equal_numpy(spark):
 
 def test_every_tree_gets_its_rows(spark):
     df = spark.range(300_00).select(F.col("id"), F.rand(1).alias("a"), F.rand(2).alias("b"))
-    nodes = IF.fit_forests(df, "id", ["a", "b"], [IF.ForestSpec(0, 120, 8)])
+    nodes = IF.unpack_nodes(IF.fit_forests(df, "id", ["a", "b"], [IF.ForestSpec(0, 120, 8)]))
     root = nodes.where("node = 0").agg(F.count(F.lit(1)), F.min("n_samples"), F.max("n_samples")).first()
     assert tuple(root) == (120, 8, 8)
-    small = IF.fit_forests(df.limit(50), "id", ["a", "b"], [IF.ForestSpec(0, 5, 256)])
+    small = IF.unpack_nodes(IF.fit_forests(df.limit(50), "id", ["a", "b"], [IF.ForestSpec(0, 5, 256)]))
     assert [r["n_samples"] for r in small.where("node = 0").collect()] == [50] * 5
     with pytest.raises(ValueError):
         IF.ForestSpec(0, 5, 0.9).resolve(1_000_000)
 
 
-def test_bootstrap_draws_from_the_whole_table(spark):
-    spec = [IF.ForestSpec(0, 20, 256, 1.0, True).resolve(20_000)]
-    d = IF._draws(spark, spec, 20_000).groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_idx").alias("u")).collect()
-    assert all(r["n"] == 256 and r["u"] > 245 for r in d) and len(d) == 20
-    plain = IF._draws(spark, [IF.ForestSpec(0, 20, 256).resolve(300)], 300)
-    assert plain.groupBy("tree").agg(F.countDistinct("_idx").alias("u")).where("u <> 256").count() == 0
+def test_bootstrap_draws_from_the_whole_table():
+    spec = IF.ForestSpec(0, 20, 256, 1.0, True).resolve(20_000)
+    draws = [IF.draw_rows(spec, t, 20_000) for t in range(20)]
+    assert all(len(d) == 256 and len(set(d.tolist())) > 245 for d in draws)
+    assert min(map(min, draws)) < 200 and max(map(max, draws)) > 19_800
+    plain = IF.ForestSpec(0, 20, 256).resolve(300)
+    assert all(len(set(IF.draw_rows(plain, t, 300).tolist())) == 256 for t in range(20))
 
 
 def test_fold_grid_is_whole():
