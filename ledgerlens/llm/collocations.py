@@ -120,12 +120,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     held: dict[str, list[bytes]] = {}
     size = 0
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
-            held.setdefault(lang, []).append(text)
-            size += len(text)
-            if size >= 6 * CHUNK_WORDS:
-                yield from ((k, b"\n".join(v)) for k, v in held.items())
-                held, size = {}, 0
+        for at in range(0, len(b), 256):
+            part = b.slice(at, 256)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()):
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= 6 * CHUNK_WORDS:
+                    yield from ((k, b"\n".join(v)) for k, v in held.items())
+                    held, size = {}, 0
     yield from ((k, b"\n".join(v)) for k, v in held.items())
 
 
@@ -156,7 +158,7 @@ def _levels(keys: np.ndarray, first: np.ndarray, longest: int) -> Iterator[tuple
 
 
 #: keys of one packed row
-PACK = 1 << 18
+PACK = 1 << 15
 PACKED = "level byte, keys binary, counts binary"
 
 
