@@ -40,7 +40,7 @@ from ledgerlens.llm.common import cut_lineage, text_of
 from ledgerlens.session import drop_scratch, scratch_tables
 
 #: bytes hashed at a time, words counted at a time, keys summed up at a time
-WINDOW, CHUNK_WORDS, SUM_KEYS = 1 << 20, 1_500_000, 3_000_000
+WINDOW, CHUNK_WORDS, SUM_KEYS = 1 << 18, 1_000_000, 2_000_000
 #: log2 of the hashed counters: of single words, of longer phrases
 WORD_BITS, PHRASE_BITS = 22, 24
 BLOCK = 1 << 18
@@ -88,8 +88,9 @@ def word_keys(data: bytes, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(keys, whether a piece starts there, first byte, end) of the words."""
     buf = np.frombuffer(data, np.uint8)
     kind = _KIND[buf]
-    edge = np.diff(np.concatenate([[0], (kind == 0).view(np.int8), [0]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    word = np.zeros(len(buf) + 2, bool)
+    word[1:-1] = kind == 0
+    start, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, bool), start, end
     piece = np.searchsorted(np.flatnonzero(kind == 2), start)
