@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.session import cut_lineage, shuffle_partitions
+from ledgerlens.session import cut_lineage, fitted_params, shuffle_partitions
 
 _PID = "_ll_pid"
 _KIND = "_ll_kind"
@@ -248,18 +248,20 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float | Colum
                     bounded_groups: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default).
 
-    One row per group; NULL and NaN values are ignored.  Two scans, no sort and
-    no copy of the data: a mergeable sketch brackets every quantile, then the
-    rows outside all brackets are only counted (one count per gap between
-    brackets, map-side) while the values inside keep their own counts - a share
-    of about ``2·HALF_WIDTH/ACCURACY`` of the rows per quantile.  The order
-    statistics are read off that small table; should a position ever fall into
-    a gap, the query fails instead of giving a near value.
-
-    ``bounded_groups`` says that the groups are a fixed list (columns, flags,
-    parameters): their brackets are then broadcast, so the rows never shuffle by
-    a handful of keys.  A probability may be a Column over the group columns (a
-    different quantile per group); those take a range-spread running count."""
+    One row per group; NULL and NaN values are ignored.  No sort and no copy of
+    the data: a mergeable sketch brackets every quantile, then the rows outside
+    all brackets are only counted (one count per gap between brackets, map-side)
+    while the values inside keep their own counts.
+
+    Without groups, or where ``bounded_groups`` says that the groups are a fixed
+    list (columns, flags, parameters), the result is selected by the driver from
+    such counts: brackets are narrowed, a scan a time, until at most ``FEW``
+    values are left inside (two scans for up to some ten million rows).  The
+    scans run when this is called.  For open groups the values inside, about
+    ``2·HALF_WIDTH/ACCURACY`` of a group's rows per quantile, are summed up per
+    group; should a position fall into a gap there, the query fails.  A probability
+    may be a Column over the group columns (a different quantile per group); those
+    take a range-spread running count."""
     group_cols = list(group_cols)
     names = list(names or [f"q_{i}" if isinstance(p, Column) else f"q_{str(p).replace('.', '_')}"
                            for i, p in enumerate(probs)])
@@ -269,8 +271,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float | Colum
         counts = vals.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
         both = _with_group_size(running(counts, ["_v"], ["_c"], group_cols, "sum", ["_cum"]), group_cols)
         both = both.withColumns({"_gap": F.lit(False), "_first": F.col("_v"), "_c": F.col("_c")})
+    elif bounded_groups or not group_cols:
+        return _selected(vals, [float(p) for p in probs], group_cols, names)
     else:
-        both = _bracketed(vals, [float(p) for p in probs], group_cols, bounded_groups)
+        both = _bracketed(vals, [float(p) for p in probs], group_cols)
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("_n") - 1) * (p if isinstance(p, Column) else F.lit(float(p)))
@@ -294,7 +298,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float | Colum
     return agg.select(*group_cols, *outs)
 
 
-def _bracketed(vals: DataFrame, probs: Sequence[float], group_cols: Sequence[str], bounded: bool) -> DataFrame:
+def _bracketed(vals: DataFrame, probs: Sequence[float], group_cols: Sequence[str]) -> DataFrame:
     """(groups, _v, _cum, _n, _gap): cumulative counts over the values inside the
     quantiles' brackets, with one row (its largest value) per gap between them."""
     half = HALF_WIDTH / ACCURACY
@@ -302,24 +306,125 @@ def _bracketed(vals: DataFrame, probs: Sequence[float], group_cols: Sequence[str
     fits = [F.percentile_approx("_v", edges, ACCURACY).alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
             F.count(F.lit(1)).alias("_n")]
     fit = vals.groupBy(*[F.col(c).alias(f"_b_{c}") for c in group_cols]).agg(*fits)
-    if group_cols:
-        cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in group_cols])
-        rows = vals.join(F.broadcast(fit) if bounded else fit, cond)
-    else:
-        one = fit.select(F.struct("_e", "_min", "_max", "_n").alias("_s")).scalar()
-        rows = vals.withColumn("_s", one).select("_v", "_s.*")
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in group_cols])
+    rows = vals.join(fit, cond)
+    brackets = [(F.col("_min") if p <= half else F.col("_e")[2 * i], F.col("_max") if p >= 1 - half else F.col("_e")[2 * i + 1])
+                for i, p in enumerate(probs)]
+    counts = _gap_counts(rows, brackets, [*group_cols, "_n"])
+    w = Window.partitionBy(*group_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.select(*group_cols, "_v", "_first", "_c", "_n", F.sum("_c").over(w).alias("_cum"), (~F.col("_in")).alias("_gap"))
+
+
+def _gap_counts(rows: DataFrame, brackets: Sequence[tuple[Column, Column]], keys: Sequence[str]) -> DataFrame:
+    """Per group: a count for every value inside a bracket and one for every gap
+    between brackets, with its smallest and largest value."""
     x = F.col("_v")
     inside, below = F.lit(False), F.lit(0)
-    for i, p in enumerate(probs):
-        lo = F.col("_min") if p <= half else F.col("_e")[2 * i]
-        hi = F.col("_max") if p >= 1 - half else F.col("_e")[2 * i + 1]
+    for lo, hi in brackets:
         inside = inside | ((x >= lo) & (x <= hi))
         below = below + (x > hi).cast("int")
-    kept = rows.select(*group_cols, "_v", "_n", inside.alias("_in"), below.alias("_below"))
-    counts = kept.groupBy(*group_cols, "_n", "_in", "_below", F.when(F.col("_in"), x).alias("_key")).agg(
+    kept = rows.select(*keys, "_v", inside.alias("_in"), below.alias("_below"))
+    return kept.groupBy(*keys, "_in", "_below", F.when(F.col("_in"), x).alias("_key")).agg(
         F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v"), F.min("_v").alias("_first"))
-    w = Window.partitionBy(*group_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(*group_cols, "_v", "_first", "_c", "_n", F.sum("_c").over(w).alias("_cum"), (~F.col("_in")).alias("_gap"))
+
+
+#: rank accuracy of the selection's sketches; values inside brackets that are
+#: counted in the driver's reach; steps a bracket is cut into when narrowed
+SELECT_ACCURACY, FEW, STEPS = 10_000, 20_000, 512
+
+
+def _selected(vals: DataFrame, probs: Sequence[float], group_cols: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Exact quantiles of a fixed list of groups by narrowing brackets."""
+    spark, keys, m = vals.sparkSession, list(group_cols), len(probs)
+    half = HALF_WIDTH / SELECT_ACCURACY
+    edges = [x for p in probs for x in (max(p - half, 0.0), min(p + half, 1.0))]
+    fit = vals.groupBy(*keys).agg(F.percentile_approx("_v", edges, SELECT_ACCURACY).alias("_e"), F.min("_v").alias("_min"),
+                                  F.max("_v").alias("_max"), F.count(F.lit(1)).alias("_n"))
+    groups = []                                  # [key, n, (position, share) and bracket of every quantile, rows inside]
+    for r in fitted_params(fit):
+        at = [((r["_n"] - 1) * p) for p in probs]
+        brackets = [[r["_min"] if p <= half else r["_e"][2 * i], r["_max"] if p >= 1 - half else r["_e"][2 * i + 1]]
+                    for i, p in enumerate(probs)] if r["_n"] else []
+        groups.append({"key": tuple(r[c] for c in keys), "n": r["_n"], "at": at, "in": brackets, "ends": (r["_min"], r["_max"]),
+                       "rows": [min(1.0, 2 * half) * r["_n"]] * m, "value": {}})
+    state = T.StructType([vals.schema[c] for c in keys] + [T.StructField("_in", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    renamed = T.StructType([T.StructField(f"_b_{f.name}" if f.name in keys else f.name, f.dataType) for f in state.fields])
+
+    def rows_with_brackets(open_groups):
+        """The values of groups that still have an open quantile, beside their brackets."""
+        if not keys:
+            return vals.withColumn("_in", F.lit([x for b in open_groups[0]["in"] for x in b])), lambda i, e: F.col("_in")[2 * i + e]
+        table = F.broadcast(spark.createDataFrame([(*g["key"], g["in"]) for g in open_groups], renamed))
+        cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in keys])
+        return vals.join(table, cond), lambda i, e: F.col("_in")[i][e]
+
+    while open_groups := [g for g in groups if g["n"] and len(g["value"]) < m]:
+        rows, end = rows_with_brackets(open_groups)
+        if max(sum(g["rows"]) for g in open_groups) <= FEW:
+            counts = _gap_counts(rows, [(end(i, 0), end(i, 1)) for i in range(m)], keys)
+            per_group: dict[tuple, list] = {}
+            for r in fitted_params(counts, max_rows=len(open_groups) * (2 * FEW + m + 1)):
+                per_group.setdefault(tuple(r[c] for c in keys), []).append((r["_v"], r["_first"], r["_c"], r["_in"]))
+            for g in open_groups:
+                _read_off(g, per_group[_own_key(g["key"], per_group)], m)
+            continue
+        # too many values inside: cut the brackets further
+        x = F.col("_v")
+        aggs = []
+        for i in range(m):
+            within = F.when((x >= end(i, 0)) & (x <= end(i, 1)), x)
+            aggs += [F.sum((x < end(i, 0)).cast("long")).alias(f"_b{i}"), F.count(within).alias(f"_c{i}"),
+                     F.percentile_approx(within, [k / STEPS for k in range(STEPS + 1)], SELECT_ACCURACY).alias(f"_q{i}")]
+        found = {tuple(r[c] for c in keys): r for r in fitted_params(rows.groupBy(*keys).agg(*aggs))}
+        for g in open_groups:
+            r = found[_own_key(g["key"], found)]
+            for i in range(m):
+                lo, hi = math.floor(g["at"][i]), math.ceil(g["at"][i])
+                below, count, cuts = r[f"_b{i}"], r[f"_c{i}"], r[f"_q{i}"]
+                if lo < below or hi >= below + count:            # not inside after all: the whole side
+                    g["in"][i] = [g["ends"][0], g["in"][i][1]] if lo < below else [g["in"][i][0], g["ends"][1]]
+                    g["rows"][i] = float(g["n"])
+                    continue
+                a = max(math.floor((lo - below) / count * STEPS) - 1, 0)
+                z = min(math.ceil((hi - below + 1) / count * STEPS) + 1, STEPS)
+                narrow = [g["in"][i][0] if a == 0 else cuts[a], g["in"][i][1] if z == STEPS else cuts[z]]
+                done = narrow == g["in"][i] or narrow[0] == narrow[1]
+                g["in"][i], g["rows"][i] = narrow, 1.0 if done else count * (z - a) / STEPS
+    out = []
+    for g in groups:
+        values = [_linear_value(*g["value"][i]) if g["n"] else None for i in range(m)]
+        out.append((*g["key"], *values))
+    schema = T.StructType([vals.schema[c] for c in keys] + [T.StructField(n, T.DoubleType()) for n in names])
+    return spark.createDataFrame(out, schema)
+
+
+def _own_key(key: tuple, table: dict) -> tuple:
+    """The key as it stands in ``table`` (a NaN is not equal to itself)."""
+    return key if key in table else next(k for k in table if _same_key(k, key))
+
+
+def _read_off(g: dict, entries: list[tuple], m: int) -> None:
+    """The values at the asked positions from counts of values and gaps; a position
+    inside a gap whose value is not known makes the gap its next bracket."""
+    entries.sort(key=lambda e: e[0])
+    cum = np.cumsum([e[2] for e in entries])
+    for i in range(m):
+        found = []
+        for pos in (math.floor(g["at"][i]), math.ceil(g["at"][i])):
+            at = int(np.searchsorted(cum, pos, "right"))
+            last, first, count, inside = entries[at]
+            if inside or pos == cum[at] - 1:
+                found.append(last)
+            elif pos == cum[at] - count:
+                found.append(first)
+            else:
+                g["in"][i], g["rows"][i] = [first, last], float(count)
+        if len(found) == 2:
+            g["value"][i] = (*found, g["at"][i] - math.floor(g["at"][i]))
+
+
+def _linear_value(lo: float, hi: float, d: float) -> float:
+    return lo + (hi - lo) * d if d < 0.5 else lo * (1 - d) + hi * d
 
 
 def tie_average_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
