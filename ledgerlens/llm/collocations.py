@@ -159,19 +159,21 @@ def _levels(keys: np.ndarray, first: np.ndarray, longest: int) -> Iterator[tuple
 
 
 #: keys of one packed row
-PACK = 1 << 15
+PACK = 1 << 12
 PACKED = "level byte, keys binary, counts binary"
 
 
 def _pack(level: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted distinct keys and their counts in rows of ``PACK``: differences byte
     plane by byte plane, so the files' compression finds the empty planes."""
-    for at in range(0, len(keys), PACK):
-        k, c = keys[at:at + PACK], counts[at:at + PACK].astype("<u4")
-        steps = np.diff(k, prepend=np.uint64(0)).astype("<u8")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([level], pa.int8()), pa.array([steps.view(np.uint8).reshape(-1, 8).T.tobytes()], pa.binary()),
-             pa.array([c.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())], names=["level", "keys", "counts"])
+    for lo in range(0, len(keys), 64 * PACK):
+        rows = []
+        for at in range(lo, min(lo + 64 * PACK, len(keys)), PACK):
+            steps = np.diff(keys[at:at + PACK], prepend=np.uint64(0)).astype("<u8")
+            c = counts[at:at + PACK].astype("<u4")
+            rows.append((steps.view(np.uint8).reshape(-1, 8).T.tobytes(), c.view(np.uint8).reshape(-1, 4).T.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([level] * len(rows), pa.int8()), pa.array([k for k, _ in rows], pa.binary()),
+                                          pa.array([c for _, c in rows], pa.binary())], names=["level", "keys", "counts"])
 
 
 def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
