@@ -29,6 +29,7 @@ a text longer than ``WINDOW`` bytes is cut at a border of pieces.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -121,14 +122,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     held: dict[str, list[bytes]] = {}
     size = 0
     for b in batches:
-        for at in range(0, len(b), 256):
-            part = b.slice(at, 256)
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()):
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= 6 * CHUNK_WORDS:
-                    yield from ((k, b"\n".join(v)) for k, v in held.items())
-                    held, size = {}, 0
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist()):
+            held.setdefault(lang, []).append(text)
+            size += len(text)
+            if size >= 6 * CHUNK_WORDS:
+                yield from ((k, b"\n".join(v)) for k, v in held.items())
+                held, size = {}, 0
     yield from ((k, b"\n".join(v)) for k, v in held.items())
 
 
@@ -295,6 +294,19 @@ def _open(starts: np.ndarray, step: int, shards: int) -> bool:
     return bool(((starts != NEVER) & (starts >= step - shards)).any())
 
 
+@contextmanager
+def _small_batches(spark, records: int = 400):
+    """Texts go to the Python workers ``records`` at a time while this holds, so
+    neither side keeps megabytes of texts beside the counts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def count_phrases(rows: DataFrame, longest: int, least: int, shards: int) -> DataFrame:
     """(level, k, lang, phrase, a, n): every phrase of up to ``longest`` words found
     ``least`` times or more in its language, named; ``rows`` holds lang, text.
@@ -442,7 +454,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     ``top`` rows a language by score and a descending, then phrase (None: all,
     rank null)."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    found = cut_lineage(count_phrases(rows, longest, least, shards))
+    with _small_batches(docs.sparkSession):
+        found = cut_lineage(count_phrases(rows, longest, least, shards))
     words = F.split("phrase", " ")
     parts = found.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     cands = found.where("level > 1").withColumn("w", words)
