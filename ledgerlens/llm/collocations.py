@@ -41,9 +41,9 @@ from ledgerlens.llm.common import cut_lineage, text_of
 from ledgerlens.session import drop_scratch, scratch_tables
 
 #: bytes hashed at a time, words counted at a time, keys summed up at a time
-WINDOW, CHUNK_WORDS, SUM_KEYS = 1 << 18, 1_000_000, 2_000_000
+WINDOW, CHUNK_WORDS, SUM_KEYS = 1 << 18, 1_000_000, 1_000_000
 #: log2 of the hashed counters: of single words, of longer phrases
-WORD_BITS, PHRASE_BITS = 22, 24
+WORD_BITS, PHRASE_BITS = 22, 23
 BLOCK = 1 << 18
 #: parts a block's counts are summed in first
 FAN_IN = 128
@@ -396,8 +396,10 @@ def _full_rows(full):
         def emit():
             for n, mine in held.items():
                 k, c = _sum(*zip(*mine))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int8)), pa.array(k.view(np.int64)), pa.array(c)],
-                                                 names=["level", "k", "c"])
+                for at in range(0, len(k), 1 << 15):
+                    k1, c1 = k[at:at + (1 << 15)], c[at:at + (1 << 15)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k1), n, np.int8)), pa.array(k1.view(np.int64)), pa.array(c1)],
+                                                     names=["level", "k", "c"])
             held.clear()
 
         for n, keys, counts in _unpacked(batches):
