@@ -85,13 +85,10 @@ def d6(spark, sf):
 
 @register("d9_time_history_features", "WITH " + FEATURES_SQL + """
 SELECT record_id, recipient_id, payment_year, payment_month, payment_quarter, payment_dayofweek, is_weekend,
-       is_high_risk_nature, is_new_recipient, """ + _round_sql(["amount"] + [c for c in _RATIO_COLS if c != "hist_pay_std"]) + """,
-       round(hist_pay_std, 2) AS hist_pay_std
+       is_high_risk_nature, is_new_recipient, """ + _round_sql(["amount", *_RATIO_COLS]) + """
 FROM features""")
 def d9(spark, sf):
-    # the oracle takes the deviation over the payments themselves, another order of summation
-    f = feature_table(spark, sf).withColumn("hist_pay_std", F.round("hist_pay_std", 2))
-    return rounded(f.select("record_id", "recipient_id", "payment_year", "payment_month", "payment_quarter",
+    return rounded(feature_table(spark, sf).select("record_id", "recipient_id", "payment_year", "payment_month", "payment_quarter",
                             "payment_dayofweek", "is_weekend", "is_high_risk_nature", "is_new_recipient", "amount",
                             *_RATIO_COLS))
 
