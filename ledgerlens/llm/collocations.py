@@ -41,7 +41,7 @@ from ledgerlens.llm.common import cut_lineage, text_of
 from ledgerlens.session import drop_scratch, scratch_tables
 
 #: bytes hashed at a time, words counted at a time, keys summed up at a time
-WINDOW, CHUNK_WORDS, SUM_KEYS = 1 << 18, 1_000_000, 1_000_000
+WINDOW, CHUNK_WORDS, SUM_KEYS = 1 << 18, 500_000, 500_000
 #: log2 of the hashed counters: of single words, of longer phrases
 WORD_BITS, PHRASE_BITS = 22, 23
 BLOCK = 1 << 18
