@@ -28,6 +28,7 @@ a text longer than ``WINDOW`` bytes is cut at a border of pieces.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -214,6 +215,8 @@ def _scan(rows: DataFrame, step: int, shards: int, longest: int, starts) -> Data
                     shorter = np.full(len(keys) + 1, NEVER, np.uint8)
                     shorter[at] = np.frombuffer(act[n - 1], np.uint8)[_buckets(phrase, n)]
                 yield from _pack(n, *np.unique(live, return_counts=True))
+            del keys, first, phrase, at, live, shorter
+            _give_back()
 
     return rows.mapInArrow(run, PACKED)
 
@@ -258,8 +261,9 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         mine.append((_buckets(keys, level).astype(np.uint64), counts))
         if len(mine) * PACK >= SUM_KEYS:
             yield emit(level, held.pop(level))
-    for level, mine in held.items():
-        yield emit(level, mine)
+    for level in list(held):
+        yield emit(level, held.pop(level))
+    _give_back()
 
 
 def _merge_blocks(t: pa.Table) -> pa.Table:
@@ -294,6 +298,15 @@ def _open(starts: np.ndarray, step: int, shards: int) -> bool:
     return bool(((starts != NEVER) & (starts >= step - shards)).any())
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: Python workers live on after a task, and
+    what the C library keeps for them counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc only
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def _small_batches(spark, records: int = 400):
     """Texts go to the Python workers ``records`` at a time while this holds, so
@@ -410,6 +423,7 @@ def _full_rows(full):
                 yield from emit()
                 size = 0
         yield from emit()
+        _give_back()
     return run
 
 
@@ -435,6 +449,7 @@ def _names(rows: DataFrame, longest: int, full) -> DataFrame:
                          for s, e in zip(start[at].tolist(), end[at + n - 1].tolist())]
                 if names:
                     yield _named(n, lang, found, names, np.zeros(len(names), np.int64))
+            _give_back()
 
     return rows.mapInArrow(run, "level byte, lang string, k long, phrase string, c long")
 
