@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions.skew import group_lookup
 from ledgerlens.session import cut_lineage, fitted_params, shuffle_partitions
 
 _PID = "_ll_pid"
@@ -305,9 +306,8 @@ def _bracketed(vals: DataFrame, probs: Sequence[float], group_cols: Sequence[str
     edges = [x for p in probs for x in (max(p - half, 0.0), min(p + half, 1.0))]
     fits = [F.percentile_approx("_v", edges, ACCURACY).alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
             F.count(F.lit(1)).alias("_n")]
-    fit = vals.groupBy(*[F.col(c).alias(f"_b_{c}") for c in group_cols]).agg(*fits)
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in group_cols])
-    rows = vals.join(fit, cond)
+    fit = vals.groupBy(*group_cols).agg(*fits)
+    rows = group_lookup(vals, fit, group_cols, "inner")
     brackets = [(F.col("_min") if p <= half else F.col("_e")[2 * i], F.col("_max") if p >= 1 - half else F.col("_e")[2 * i + 1])
                 for i, p in enumerate(probs)]
     counts = _gap_counts(rows, brackets, [*group_cols, "_n"])
@@ -358,12 +358,16 @@ def _selected(vals: DataFrame, probs: Sequence[float], group_cols: Sequence[str]
         cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in keys])
         return vals.join(table, cond), lambda i, e: F.col("_in")[i][e]
 
-    while open_groups := [g for g in groups if g["n"] and len(g["value"]) < m]:
+    margin = 1 + math.ceil(2 * STEPS / SELECT_ACCURACY)          # steps a sketch may be off
+    for _ in range(100):
+        open_groups = [g for g in groups if g["n"] and len(g["value"]) < m]
+        if not open_groups:
+            break
         rows, end = rows_with_brackets(open_groups)
-        if max(sum(g["rows"]) for g in open_groups) <= FEW:
+        if all(max(g["rows"]) <= 1.0 or sum(g["rows"]) <= FEW for g in open_groups):
             counts = _gap_counts(rows, [(end(i, 0), end(i, 1)) for i in range(m)], keys)
             per_group: dict[tuple, list] = {}
-            for r in fitted_params(counts, max_rows=len(open_groups) * (2 * FEW + m + 1)):
+            for r in fitted_params(counts, max_rows=len(open_groups) * (2 * FEW + m * (2 * STEPS + 1) + 1)):
                 per_group.setdefault(tuple(r[c] for c in keys), []).append((r["_v"], r["_first"], r["_c"], r["_in"]))
             for g in open_groups:
                 _read_off(g, per_group[_own_key(g["key"], per_group)], m)
@@ -385,11 +389,13 @@ def _selected(vals: DataFrame, probs: Sequence[float], group_cols: Sequence[str]
                     g["in"][i] = [g["ends"][0], g["in"][i][1]] if lo < below else [g["in"][i][0], g["ends"][1]]
                     g["rows"][i] = float(g["n"])
                     continue
-                a = max(math.floor((lo - below) / count * STEPS) - 1, 0)
-                z = min(math.ceil((hi - below + 1) / count * STEPS) + 1, STEPS)
+                a = max(math.floor((lo - below) / count * STEPS) - margin, 0)
+                z = min(math.ceil((hi - below + 1) / count * STEPS) + margin, STEPS)
                 narrow = [g["in"][i][0] if a == 0 else cuts[a], g["in"][i][1] if z == STEPS else cuts[z]]
                 done = narrow == g["in"][i] or narrow[0] == narrow[1]
                 g["in"][i], g["rows"][i] = narrow, 1.0 if done else count * (z - a) / STEPS
+    else:
+        raise RuntimeError("the brackets of a quantile did not close")
     out = []
     for g in groups:
         values = [_linear_value(*g["value"][i]) if g["n"] else None for i in range(m)]
@@ -441,8 +447,6 @@ def tie_average_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] =
     order = [F.col("_v").desc()] if descending else [F.col("_v")]
     cum = running(counts, order, ["_c"], group_cols, "sum", ["_cum"])
     ranked = _with_group_size(cum, group_cols)
-    ranked = ranked.select(*[F.col(c).alias(f"_r_{c}") for c in group_cols], F.col("_v").alias("_r_v"),
+    ranked = ranked.select(*group_cols, F.col("_v").alias(value_col),
                            ((F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(out_col))
-    cond = [df[value_col].eqNullSafe(ranked["_r_v"])] + [df[c].eqNullSafe(ranked[f"_r_{c}"]) for c in group_cols]
-    out = df.join(ranked, reduce(lambda a, b: a & b, cond), "left")
-    return out.drop("_r_v", *[f"_r_{c}" for c in group_cols])
+    return group_lookup(df, ranked, [*group_cols, value_col])

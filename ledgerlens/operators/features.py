@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.ordered import exact_quantiles, running, tie_average_rank
+from ledgerlens.functions.skew import group_lookup
 from ledgerlens.functions.stats import clean_double, safe_div, unit_hash, weekday_mon0
-from ledgerlens.session import fitted_params
+from ledgerlens.session import cut_lineage, fitted_params
 
 # Fixed values that must equal the reference's behaviour.
 SPLIT_BINS = ((0.4, "train"), (0.5, "test"), (0.6, "validation"), (1.0, "production"))
@@ -98,9 +99,7 @@ def exact_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
     src = df.withColumn("_h", unit_hash(key, seed)).withColumn("_one", F.lit(1))
     r = running(src, ["_h", key], ["_one"], groups, "sum", ["_rank"])
     if label:
-        sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-        sizes = sizes.select(F.col(label).alias("_s_label"), "_n")
-        r = r.join(sizes, r[label].eqNullSafe(sizes["_s_label"]), "inner").drop("_s_label")
+        r = group_lookup(r, df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), [label], "inner")
     else:
         r = r.withColumn("_n", df.select(F.count(F.lit(1))).scalar())
     n_train = F.col("_n") - F.ceil(F.col("_n") * F.lit(test_size))
@@ -119,7 +118,7 @@ def recipient_history(df: DataFrame, key: str = "recipient_id", amount: str = "a
 
 def attach_history(df: DataFrame, hist: DataFrame, key: str = "recipient_id") -> DataFrame:
     """Left equi join of the history onto every payment."""
-    return df.join(hist, key, "left")
+    return group_lookup(df, hist, [key])
 
 
 def history_ratios(df: DataFrame, global_median: Column, amount: str = "amount") -> DataFrame:
@@ -252,19 +251,17 @@ def peer_scores(df: DataFrame, value: str = "amount", peers: Sequence[str] = ("s
     src = df.withColumn("_x", x)
     mom = src.groupBy(*peers).agg(F.count("_x").alias("peer_n"), F.avg("_x").alias("peer_mean"),
                                   F.stddev_samp("_x").alias("peer_std"))
-    med = exact_quantiles(src, "_x", [0.5], peers, ["peer_median"])
-    med = med.select(*[F.col(c).alias(f"_m_{c}") for c in peers], "peer_median")
-    dev = src.join(med, _and([src[c].eqNullSafe(med[f"_m_{c}"]) for c in peers]), "inner")
+    # read three times below: written once
+    med = cut_lineage(exact_quantiles(src, "_x", [0.5], peers, ["peer_median"]))
+    dev = group_lookup(src.select(*peers, "_x"), med, peers, "inner")
     dev = dev.select(*peers, F.abs(F.col("_x") - F.col("peer_median")).alias("_d"))
+    med = med.select(*[F.col(c).alias(f"_m_{c}") for c in peers], "peer_median")
     mad = exact_quantiles(dev, "_d", [0.5], peers, ["peer_mad"])
     mad = mad.select(*[F.col(c).alias(f"_q_{c}") for c in peers], "peer_mad")
     stats = (mom.join(med, _and([mom[c].eqNullSafe(med[f"_m_{c}"]) for c in peers]), "left")
                 .join(mad, _and([mom[c].eqNullSafe(mad[f"_q_{c}"]) for c in peers]), "left")
-                .select(*[F.col(c).alias(f"_p_{c}") for c in peers], "peer_n", "peer_mean", "peer_std",
-                        "peer_median", "peer_mad"))
-    # one row per peer group; AQE broadcasts it when small at run time
-    out = src.join(stats, _and([src[c].eqNullSafe(stats[f"_p_{c}"]) for c in peers]), "left").drop(
-        *[f"_p_{c}" for c in peers])
+                .select(*peers, "peer_n", "peer_mean", "peer_std", "peer_median", "peer_mad"))
+    out = group_lookup(src, stats, peers)
     return out.withColumns({
         "peer_z": F.when(F.col("peer_std") > 0, (F.col("_x") - F.col("peer_mean")) / F.col("peer_std")),
         "peer_robust_z": F.when(F.col("peer_mad") > 0, F.lit(MAD_Z) * (F.col("_x") - F.col("peer_median"))
@@ -276,9 +273,8 @@ def frequency_encode(df: DataFrame, col: str, out: str | None = None) -> DataFra
     """Share of rows holding the same value (NULL is its own value)."""
     out = out or f"{col}_freq"
     total = df.select(F.count(F.lit(1))).scalar()
-    counts = df.groupBy(F.col(col).alias("_fv")).agg(F.count(F.lit(1)).alias("_fc"))
-    j = df.join(counts, df[col].eqNullSafe(counts["_fv"]), "left")
-    return j.withColumn(out, F.col("_fc") / total).drop("_fv", "_fc")
+    j = group_lookup(df, df.groupBy(col).agg(F.count(F.lit(1)).alias("_fc")), [col])
+    return j.withColumn(out, F.col("_fc") / total).drop("_fc")
 
 
 #: stands for a missing amount in a running "last": below every finite double but the least
@@ -291,15 +287,13 @@ def relationship_features(df: DataFrame, key: str = "recipient_id", payer: str =
     """Distinct payers per recipient, payments per (recipient, payer),
     previous payment amount of the recipient (time order, ties by row key) and
     the ratio to it."""
-    div = df.groupBy(F.col(key).alias("_dk")).agg(F.countDistinct(payer).alias("payer_diversity"))
-    rel = df.groupBy(F.col(key).alias("_rk"), F.col(payer).alias("_rp")).agg(
-        F.count(F.lit(1)).alias("relationship_count"))
+    div = df.groupBy(key).agg(F.countDistinct(payer).alias("payer_diversity"))
+    rel = df.groupBy(key, payer).agg(F.count(F.lit(1)).alias("relationship_count"))
     # the previous row's amount, NULL or not: a missing amount travels as a marker
     src = df.withColumn("_amt", clean_double(amount)).withColumn("_seen", F.coalesce("_amt", F.lit(_NO_AMOUNT)))
     prev = running(src, [date_col, order_key], ["_seen"], [key], "last", ["prev_amount"], exclusive=True).drop("_seen")
     prev = prev.withColumn("prev_amount", F.when(F.col("prev_amount") != _NO_AMOUNT, F.col("prev_amount")))
-    out = prev.join(div, prev[key].eqNullSafe(div["_dk"]), "left").drop("_dk")
-    out = out.join(rel, out[key].eqNullSafe(rel["_rk"]) & out[payer].eqNullSafe(rel["_rp"]), "left").drop("_rk", "_rp")
+    out = group_lookup(group_lookup(prev, div, [key]), rel, [key, payer])
     return out.withColumn("amount_change_ratio", safe_div("_amt", "prev_amount")).drop("_amt")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.ordered import exact_quantiles, running
+from ledgerlens.functions.skew import group_lookup
 from ledgerlens.functions.stats import (clean_double, group_mode, half_even, safe_div, sample_kurtosis,
                                         sample_skewness)
 
@@ -317,7 +318,7 @@ def box_summary(df: DataFrame, value: str, group: str, log1p: bool = True) -> Da
     src = df.where(x > 0).select(F.col(group), (F.log1p(x) if log1p else x).alias("_x"))
     src = src.where(F.col(group).isNotNull())
     q = exact_quantiles(src, "_x", [0.25, 0.5, 0.75], [group], ["q1", "median", "q3"])
-    j = src.join(q, group, "inner")
+    j = group_lookup(src, q, [group], "inner")
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col("_x") >= lo_f) & (F.col("_x") <= hi_f)
