@@ -4,11 +4,13 @@ Base kinds are found by pattern: assignments, access identifiers, long hex
 runs.  The parts of a credential are often spread over a few lines, and each
 alone is weak evidence: a bare mixed token may be anything, and so may a host
 name.  Weak candidates are therefore reported only when a complementary part
-stands within ``scope`` code points: an interval join of the parts of a
-document, done as a band window over their positions, so no pairs are formed.
+stands within ``scope`` code points, from the end of one to the start of the
+other: an interval join of the parts of a document, done as running windows over
+their positions in both directions, so no pairs are formed.
 
-* ``key``: a token of 32-64 letters, digits, + or / with both cases and digits;
-  reported beside an access identifier, an assignment or an endpoint.
+* ``key``: a token of 32 or more letters, digits, +, /, - or _ with both cases and
+  digits, and its padding (one or two =); reported beside an access identifier, an
+  assignment or an endpoint.  There is no upper length.
 * ``endpoint``: an http(s) address or a connection address; reported beside an
   access identifier, an assignment or a ``key``.
 
@@ -17,6 +19,8 @@ Everything is DataFrame expressions; a document's text never leaves its row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,17 +35,18 @@ BASE = {
 }
 WEAK = {
     "endpoint": (r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9.:@/_%+~?=&#-]+", 12, 0),
-    "key": (r"[A-Za-z0-9+/]+", 32, 0),
+    "key": (r"[A-Za-z0-9+/_-]+={0,2}", 32, 0),
 }
 KINDS = [*BASE, *WEAK]
-LONGEST_KEY = 64
+#: the kinds that complete a weak part
+COMPLETES = {"endpoint": ("access", "assign", "key"), "key": ("access", "assign", "endpoint")}
 SCOPE = 200
 
 
 def search_pattern(kind: str) -> str:
     """A run of one class is matched whole or not at all, so its pattern may ask
     for the least length itself."""
-    return {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "key": r"[A-Za-z0-9+/]{32,}"}.get(
+    return {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "key": r"[A-Za-z0-9+/_-]{32,}={0,2}"}.get(
         kind, {**BASE, **WEAK}[kind][0])
 
 
@@ -58,7 +63,7 @@ def found(text: Column, kind: str) -> Column:
     def one(x: Column, i: Column) -> Column:
         ok = F.length(x["counts"]) >= least
         if kind == "key":
-            ok = ok & (F.length(x["m"]) <= LONGEST_KEY) & x["m"].rlike("[0-9]") & x["m"].rlike("[a-z]") & x["m"].rlike("[A-Z]")
+            ok = ok & x["m"].rlike("[0-9]") & x["m"].rlike("[a-z]") & x["m"].rlike("[A-Z]")
         return F.struct(F.lit(KINDS.index(kind)).alias("rank"), i.alias("i"), F.length(x["gap"]).alias("gap"),
                         F.length(x["m"]).alias("len"), ok.alias("ok"))
 
@@ -82,19 +87,25 @@ def place_parts(rows: DataFrame) -> DataFrame:
 
 
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The spans that are reported: all base spans, and the weak candidates with
-    a complementary part within ``scope`` code points (between starts)."""
-    near = W.partitionBy("uid").orderBy("start").rangeBetween(-scope, scope)
+    """The spans that are reported: all base spans, and the weak candidates with a
+    complementary part at most ``scope`` code points away (from the end of one to
+    the start of the other; parts that touch or overlap are 0 away).
+
+    Of the parts that start before a candidate the one that ends last is nearest,
+    of those after it the one that starts first: two running windows, whose work
+    grows with the parts, however many lie within the scope."""
+    before = W.partitionBy("uid").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    after = W.partitionBy("uid").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
     rank = {k: i for i, k in enumerate(KINDS)}
-    has = lambda *kinds: F.max(F.col("rank").isin([rank[k] for k in kinds])).over(near)
     # a candidate that starts inside a base span is that span, not a part of its own
-    inside = F.max(F.when(F.col("rank") < len(BASE), F.col("end"))).over(
-        W.partitionBy("uid").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, W.currentRow))
-    parts = parts.withColumn("inside", inside).where(
+    parts = parts.withColumn("inside", F.max(F.when(F.col("rank") < len(BASE), F.col("end"))).over(before)).where(
         (F.col("rank") < len(BASE)) | F.col("inside").isNull() | (F.col("inside") <= F.col("start")))
-    keep = (F.when(F.col("rank") == rank["key"], has("access", "assign", "endpoint"))
-            .when(F.col("rank") == rank["endpoint"], has("access", "assign", "key")).otherwise(F.lit(True)))
-    return parts.withColumn("keep", keep).where("keep").select("uid", "start", "end", "rank")
+    for kind, others in COMPLETES.items():
+        fits = F.col("rank").isin([rank[k] for k in others])
+        parts = parts.withColumn(f"{kind}_near", F.coalesce(F.col("start") - F.max(F.when(fits, F.col("end"))).over(before) <= scope, F.lit(False))
+                                 | F.coalesce(F.min(F.when(fits, F.col("start"))).over(after) - F.col("end") <= scope, F.lit(False)))
+    keep = reduce(lambda c, kind: c.when(F.col("rank") == rank[kind], F.col(f"{kind}_near")), COMPLETES, F.when(F.lit(False), False))
+    return parts.where(keep.otherwise(True)).select("uid", "start", "end", "rank")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:

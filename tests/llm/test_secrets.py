@@ -65,3 +65,31 @@ def test_base_spans_and_linking(llm):
     assert [r["n_linked"] for r in got][:5] == [2, 0, 0, 0, 2]
     twice = scan_secrets(docs_frame(llm, [(1, texts[0])] * 2 + [(None, None)])).collect()
     assert sorted(r["n_access"] for r in twice) == [0, 1, 1] and scan_secrets(docs_frame(llm, [])).count() == 0
+
+
+def weak_by_hand(t, scope=200):
+    """Weak spans from all pairs of a document's parts."""
+    base = base_by_hand(t)
+    weak = [("endpoint", m.start(), m.end()) for m in
+            re.finditer("(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9.:@/_%+~?=&#-]+", t) if len(m[0]) >= 12]
+    weak += [("key", m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{32,}={0,2}", t)
+             if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    weak = [w for w in weak if not any(b <= w[1] < e for _, b, e in base)]
+    fits = {"key": ("access", "assign", "endpoint"), "endpoint": ("access", "assign", "key")}
+    return sorted(((k, a, b) for k, a, b in weak if any(
+        o in fits[k] and e >= a - scope and s <= b + scope for o, s, e in base + weak)), key=lambda x: (x[1], x[0] == "key"))
+
+
+def test_long_keys_other_alphabets_and_gaps(llm):
+    long = "aB3" * 29 + "x"                                                     # 88 characters
+    url_key = "wJalr-XUtnFEMI_K7MDENG-bPxRfiCY_EXAMPLEKEY0=="
+    address = "https://h.example.com/" + "a" * 300
+    texts = [f"{ACCESS} {long}", f"{ACCESS} {url_key} x", f"{ACCESS} {'aB3' * 50_000}", f"{address} {KEY}",
+             f"{KEY} " + "f " * 99 + ACCESS, f"{KEY} " + "f " * 101 + ACCESS, f"{ACCESS} " + "f " * 99 + KEY, f"{ACCESS} " + "f " * 101 + KEY,
+             f"{address}{KEY}", f"{long}{url_key}", f"KEY={KEY}= and\n" * 300 + f"{ACCESS}\n" + f"{address}\n" * 300]
+    got = sorted(scan_secrets(docs_frame(llm, list(enumerate(texts)))).collect(), key=lambda r: r["doc_id"])
+    check(texts, got)
+    for t, r in zip(texts, got):
+        assert [x for x in r["spans"].split(",") if x.startswith(("key", "endpoint"))] == [f"{k}:{a}:{b}" for k, a, b in weak_by_hand(t)]
+    assert f"key:21:{21 + 88}" in got[0]["spans"] and f"key:21:{21 + len(url_key)}" in got[1]["spans"] and "key:21:150021" in got[2]["spans"]
+    assert [r["n_linked"] for r in got][3:8] == [2, 1, 0, 1, 0]
