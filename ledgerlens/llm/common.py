@@ -33,6 +33,19 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have yet, whatever the case: the given
+    ones, with underscores added where they are taken."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan (file bytes for a scan); 0 where
     it knows nothing, as for rows that came from the driver."""

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import BLANKS, cut_lineage, lookup_by_run, text_of
+from ledgerlens.llm.common import BLANKS, cut_lineage, free_names, lookup_by_run, text_of
 
 ENTRY = ["digest", "sha", "n"]
 
@@ -73,7 +73,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns.  The rows are numbered
     and written first, so that the kept numbers name the same rows."""
-    base = cut_lineage(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    kept = (winners(base, id_col, text_col, uid_col="_uid").where(F.col("uid") == F.col("keep.uid"))
-            .select(F.col("uid").alias("_uid")))
-    return base.join(kept, "_uid", "left_semi").drop("_uid")
+    number, = free_names(docs, "_uid")
+    base = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()))
+    kept = (winners(base, id_col, text_col, uid_col=number).where(F.col("uid") == F.col("keep.uid"))
+            .select(F.col("uid").alias(number)))
+    return base.join(kept, number, "left_semi").select(*docs.columns)

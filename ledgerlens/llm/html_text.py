@@ -9,6 +9,10 @@ or comment section does not, and is dropped.  The blocks of marked content and
 those outside it are classified alike but for this: inside, few stop words or a
 single link leave a block undecided, lists of links are bad, and undecided blocks
 look to their own neighbours inside.  Unmarked prose outside content is kept.
+
+The stop-word lists serve four languages.  On a page without marked content whose
+long unlinked blocks mostly have few of these words, length and links alone decide,
+and one such block among prose looks to its neighbours.
 """
 
 from __future__ import annotations
@@ -26,9 +30,12 @@ from pyspark.sql import functions as F
 SHORT, LONG = 70, 200
 #: shares of stop words and of linked characters
 STOP_LOW, STOP_HIGH, LINKED = 0.06, 0.12, 0.3
-#: in content: the share of linked characters that is no prose, and the linked blocks in a row that make a list
+#: in content: the share of linked characters that is no text, and the linked blocks in a row that make a list
 LINK_LIST, MANY = 0.7, 3
 
+#: letters of scripts that write a word in one or two of them; one counts for WIDE code points
+WIDE_LETTER, WIDE = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]"), 3
+
 #: frequent function words of the languages served
 STOP_WORDS = {
     "en": "the of and to in a is that for it on as with was be by at this are from or an not have but which they you",
@@ -55,7 +62,7 @@ HOLDERS = frozenset("ul ol menu dl table select".split())
 RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video"
 
 #: elements and the words in class, id or role that mark text around an article
-AROUND = frozenset("head aside footer select dialog menu button".split())
+AROUND = frozenset("head title aside footer select dialog menu button".split())
 SOFT_AROUND = frozenset("nav header form".split())
 CONTENT = frozenset("article main".split())
 AROUND_WORDS = frozenset((
@@ -225,6 +232,11 @@ def _parse(html: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
     return out, marks
 
 
+def extent(text: str) -> int:
+    """Length of a text, as Latin letters would take it."""
+    return len(text) if text.isascii() else len(text) + (WIDE - 1) * len(WIDE_LETTER.findall(text))
+
+
 def stop_density(text: str) -> float:
     words = [w.strip(".,;:!?()\"'").lower() for w in text.split()]
     return max(sum(map(stops.__contains__, words)) for stops in STOPS) / len(words)
@@ -238,12 +250,12 @@ def first_pass(text: str, linked: int, heading: bool, region: int) -> str:
             return "short"                                         # a by-line, or an entry of a list of links
         if region == 1 and linked / len(text) < LINK_LIST and stop_density(text) >= STOP_HIGH:
             return "near"                                          # prose with many links
-        return "bad"
-    if len(text) < SHORT:
+        return "short" if region == 1 and linked / len(text) < LINK_LIST else "bad"
+    if extent(text) < SHORT:
         return "short" if region == 1 or heading or not linked else "bad"
     density = stop_density(text)
     if density >= STOP_HIGH:
-        return "good" if len(text) > LONG else "near"
+        return "good" if extent(text) > LONG else "near"
     if density >= STOP_LOW:
         return "near"
     return "short" if region == 1 else "bad"
@@ -269,6 +281,8 @@ def second_pass(found: list[tuple[str, int, bool, int]], trusted: bool) -> list[
     they are the page's content or none is kept there (``trusted``)."""
     kinds = [first_pass(*b) for b in found]
     content = bool(found) and found[0][3] == 1
+    if not content and trusted:
+        _other_languages(found, kinds)
     if content:
         _link_lists(found, kinds)
         if "good" not in kinds:                                    # short texts, or a language without stop words here
@@ -295,11 +309,28 @@ def second_pass(found: list[tuple[str, int, bool, int]], trusted: bool) -> list[
     return keep
 
 
+def _other_languages(found: list[tuple[str, int, bool, int]], kinds: list[str]) -> None:
+    """Without marked content: long unlinked blocks with few stop words are prose
+    where they are most of the page's long unlinked text; elsewhere those with next
+    to none are undecided.  Where no block is good then, those nearly good are."""
+    long = [(i, extent(b[0])) for i, b in enumerate(found) if b[1] / len(b[0]) <= LINKED and extent(b[0]) >= SHORT]
+    few = [(i, n) for i, n in long if kinds[i] == "bad" or kinds[i] == "near" and stop_density(found[i][0]) < STOP_HIGH]
+    other = 2 * sum(n for _, n in few) > sum(n for _, n in long)
+    for i, n in few:
+        if other:
+            kinds[i] = "good" if n > LONG else "near"
+        elif kinds[i] == "bad":
+            kinds[i] = "short"
+    if "good" not in kinds:
+        kinds[:] = ["good" if k == "near" else k for k in kinds]
+
+
 def _link_lists(found: list[tuple[str, int, bool, int]], kinds: list[str]) -> None:
-    """In content, MANY linked blocks in a row are a list of links: bad."""
+    """In content, MANY blocks in a row that are links for the most part are a list
+    of links: bad.  References, which name authors and years beside the link, stay."""
     row: list[int] = []
     for i, (text, linked, heading, _) in enumerate([*found, ("", 0, True, 1)]):
-        if not heading and linked / len(text) > LINKED and kinds[i] != "near":
+        if not heading and linked / len(text) >= LINK_LIST and kinds[i] != "near":
             row.append(i)
             continue
         if len(row) >= MANY:

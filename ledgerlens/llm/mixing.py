@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD, cut_lineage, text_of
+from ledgerlens.llm.common import WORD, cut_lineage, free_names, text_of
 
 #: rounds of the index permutation; cells of the draw's lookup table
 ROUNDS, CELLS = 12, 4096
@@ -198,16 +198,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as documents, with the columns of ``docs``: per document and
     epoch that takes words of it one row with the words taken (the whole text
     where all are); n_chars, where there is one, follows the text."""
-    base = cut_lineage(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    plan = mix_plan(word_sizes(base, id_col, text_col, source_col, "_uid"), block, per_shard, seed)
-    kept = (plan.where("hi > lo").groupBy(F.col("uid").alias("_uid"), "epoch", F.col("size").alias("_size"))
-            .agg(F.sum(F.col("hi") - F.col("lo")).alias("_words"),
-                 F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_parts")).drop("epoch"))
+    number, size, taken, parts, cut = free_names(docs, "_uid", "_size", "_words", "_parts", "_cut")
+    base = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()))
+    plan = mix_plan(word_sizes(base, id_col, text_col, source_col, number), block, per_shard, seed)
+    kept = (plan.where("hi > lo").groupBy(F.col("uid").alias(number), "epoch", F.col("size").alias(size))
+            .agg(F.sum(F.col("hi") - F.col("lo")).alias(taken),
+                 F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias(parts))
+            .select(number, size, taken, parts))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD}" + r"[\x20\x09-\x0D]*)"), F.lit(1))
-    part = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(
-        F.col("_all"), p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), "")
-    out = base.join(kept, "_uid").withColumn("_all", F.when(F.col("_words") < F.col("_size"), words))
-    out = out.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), F.rtrim(part)).otherwise(F.col(text_col)))
+    out = base.join(kept, number).withColumn(cut, F.when(F.col(taken) < F.col(size), words))
+    part = F.array_join(F.flatten(F.transform(F.col(parts), lambda p: F.slice(
+        F.col(cut), p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), "")
+    out = out.withColumn(text_col, F.when(F.col(taken) < F.col(size), F.rtrim(part)).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast("long"))
     return out.select(*docs.columns)

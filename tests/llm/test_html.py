@@ -45,8 +45,9 @@ def test_pages_without_marks_use_both_passes():
     menu = "".join(f'<div><a href="/{x}">Link {x}</a></div>' for x in range(5))
     page = f"<body>{menu}<h2>The title</h2><div>{PROSE}</div><div>Yes.</div><div>{PROSE}</div>{menu}<div>Imprint</div>{menu}</body>"
     assert extract(page) == f"The title\n{PROSE}\nYes.\n{PROSE}"
-    noise = "qwx zzk vbn " * 12
-    assert extract(f"<div>{noise}</div><div>ok</div><div>{noise}</div>") == ""
+    # long unlinked text in no language listed is the page's prose where there is no other
+    noise = ("qwx zzk vbn " * 12).strip()
+    assert extract(f"<div>{noise}</div><div>ok</div><div>{noise}</div>") == f"{noise}\nok\n{noise}"
     assert extract("<p>Only this") == "Only this" and stop_density(PROSE) > 0.3
 
 
@@ -118,3 +119,46 @@ def test_rows(llm):
     got = sorted(((r["page_id"] or 0, r["url"] or "", r["n_chars"]) for r in extract_text(df).collect()))
     assert got == [(0, "v", 249_999), (1, "", 1), (1, "u", 0)]
     assert extract_text(df.limit(0)).count() == 0
+
+
+OTHER = {
+    "it": "Il consiglio comunale ha approvato ieri sera un nuovo progetto per la biblioteca. I lavori cominceranno in autunno e dureranno due anni, "
+          "mentre gli uffici resteranno aperti nella sede di via Roma. Secondo il sindaco, ogni quartiere avrà presto una sala di lettura.",
+    "pl": "Rada miasta przyjęła wczoraj wieczorem nowy projekt biblioteki. Prace rozpoczną się jesienią i potrwają dwa lata, a biura pozostaną "
+          "otwarte przy ulicy Długiej. Według burmistrza każda dzielnica będzie wkrótce miała własną czytelnię.",
+    "ru": "Городской совет вчера вечером одобрил новый проект библиотеки. Работы начнутся осенью и продлятся два года, а отделы останутся "
+          "открытыми на главной улице. По словам мэра, скоро в каждом районе появится свой читальный зал.",
+    "zh": "市议会昨晚通过了新图书馆的建设方案。工程将于秋季开始，预计持续两年，期间办公室仍在中山路开放。市长表示，每个城区很快都会有自己的阅览室，居民可以免费借阅图书、报纸和杂志，并参加周末的讲座。",
+    "ja": "市議会は昨夜、新しい図書館の計画を承認した。工事は秋に始まり二年間続く見込みで、その間も事務所は本町通りで開いている。市長によると、まもなくすべての地区に閲覧室が設けられ、住民は無料で本を借りられる。",
+    "fi": "Kaupunginvaltuusto hyväksyi eilen illalla uuden kirjastohankkeen. Työt alkavat syksyllä ja kestävät kaksi vuotta, mutta toimistot "
+          "pysyvät avoinna Pääkadulla. Pormestarin mukaan jokaiseen kaupunginosaan tulee pian oma lukusali.",
+    "tr": "Belediye meclisi dün akşam yeni kütüphane projesini onayladı. Çalışmalar sonbaharda başlayacak, iki yıl sürecek; ofisler ana caddede "
+          "açık kalacak. Belediye başkanına göre yakında her mahallede bir okuma salonu bulunacak.",
+    "ar": "وافق مجلس المدينة مساء أمس على مشروع المكتبة الجديدة. تبدأ الأعمال في الخريف وتستمر عامين، بينما تبقى المكاتب مفتوحة في الشارع الرئيسي. "
+          "وقال رئيس البلدية إن كل حي سيحصل قريبا على قاعة للقراءة يستعير منها السكان الكتب مجانا.",
+}
+
+
+def test_languages_without_a_list_and_without_marks():
+    menu = "<ul>" + "".join(f'<li><a href="/{x}">Seite {x}</a></li>' for x in range(5)) + "</ul>"
+    for code, text in OTHER.items():
+        want = f"Titolo\n{text}\n{text[:20]}\n{text}"
+        body = f"<h2>Titolo</h2><div>{text}</div><div>{text[:20]}</div><div>{text}</div>"
+        assert extract(f"<title>T</title>{menu}{body}{menu}") == want, code
+        assert extract(f"<nav>{menu}</nav><div class=\"cookie-notice\">{PROSE}</div>{body}<footer>{PROSE}</footer>") == want, code
+        assert extract(f"<article>{body}</article><div>{menu}</div>") == want, code
+        assert extract(f"<div>{text}</div>") == text, code
+    # one such block among prose that is served stays, one among links goes
+    other = OTHER["it"]
+    assert extract(f"<div>{PROSE}</div><div>{other}</div><div>{PROSE}</div>") == f"{PROSE}\n{other}\n{PROSE}"
+    assert extract(f"<div>{PROSE}</div><div>{PROSE}</div>{menu}<div>{other[:120]}</div>{menu}") == f"{PROSE}\n{PROSE}"
+
+
+def test_reference_lists_stay_lists_of_links_go():
+    names = ["Smith, J. and Brown, K.", "Olsen, P., Weber, T.", "Garcia, M."]
+    refs = "".join(f'<li>{n} (20{i}1): <a href="/{i}">A title of paper {i} on libraries</a>, Journal of Halls {i}</li>' for i, n in enumerate(names))
+    text = "\n".join(f"{n} (20{i}1): A title of paper {i} on libraries, Journal of Halls {i}" for i, n in enumerate(names))
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><h2>References</h2><ol>{refs}</ol></article>"
+    assert extract(page) == f"Title\n{PROSE}\nReferences\n{text}"
+    links = "".join(f'<li><a href="/{i}">Another story number {i} of the day</a></li>' for i in range(4))
+    assert extract(f"<article><h1>Title</h1><p>{PROSE}</p><h2>More</h2><ul>{links}</ul></article>") == f"Title\n{PROSE}"

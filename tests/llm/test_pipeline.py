@@ -1,17 +1,20 @@
 """The pipeline against a brute-force version of its stages."""
 
 import collections
+import gc
 import hashlib
 
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlens.llm.bpe import read_ranks
 from ledgerlens.llm.common import cut_lineage, table
 from ledgerlens.llm.queries import QUERIES
 from ledgerlens.llm.quality import score_texts, train
+from ledgerlens.session import scratch_tables
 
 from .conftest import SF, docs_frame
 from .test_dedup import norm, slow_components, slow_fingerprint
@@ -64,10 +67,39 @@ def test_stages_on_odd_rows(llm):
     rows = [(1, None), (1, ""), (None, "Same words, twice over.\nAnd a line."), (7, "Same words, twice over.\nAnd a line."),
             (7, "Same words, twice over.\nAnd a line."), (9, "long text " * 20_000)]
     for some in (rows, []):
-        for name, stage in corpus_pipeline.STAGES[1:]:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(llm, docs_frame(llm, some), SF)
             n = out.count()
             want = {"exact dedup": 3, "simhash near-dedup": 3, "byte-level bpe": 6}.get(name, n)
             assert n == (want if some else 0)
             if name != "byte-level bpe":
                 assert out.columns == docs_frame(llm, []).columns
+
+
+def test_columns_of_any_name_pass(llm):
+    rows = [(1, "Same words, twice over."), (2, "Same words, twice over."), (3, "other words " * 700), (4, "")]
+    names = ["_uid", "_size", "_WORDS", "_parts", "_all", "_cut", "uid", "size", "root", "lo", "hi", "epoch"]
+    docs = docs_frame(llm, rows)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{i}-"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut_lineage(stage(llm, docs, SF))
+        got = docs.collect()
+        assert docs.columns == docs_frame(llm, []).columns + names and got, name
+        assert all(r[n] == f"{i}-{r['doc_id']}" for r in got for i, n in enumerate(names)), name
+    assert {r["doc_id"] for r in got} <= {1, 3}
+
+
+def test_stages_built_before_the_first_is_written(llm):
+    rows = [(i, f"words of text number {i % 7} and more of it") for i in range(20)]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = docs_frame(llm, rows)
+    one, two = stages["exact dedup"](llm, docs, SF), stages["simhash near-dedup"](llm, docs, SF)
+    three = stages["byte-level bpe"](llm, stages["mixing sources"](llm, one, SF), SF)
+    four = stages["exact dedup"](llm, docs, SF)
+    assert one.count() == four.count() == 7 and two.count() <= 7 and {r["doc_id"] for r in three.collect()} <= set(range(7))
+    made = scratch_tables(llm)
+    del one, two, three, four
+    gc.collect()
+    stages["byte-level bpe"](llm, docs, SF)
+    assert len(scratch_tables(llm)) < len(made)
