@@ -373,3 +373,45 @@ def rolling_sums(df: DataFrame, key: str = "recipient_id", date_col: str = "date
     return daily.select(F.col("_k").alias(key), F.col("_day").alias("day"),
                         F.sum("_n").over(w).cast("bigint").alias(f"n_payments_{days}d"),
                         F.sum("_s").over(w).alias(f"total_amount_{days}d"))
+
+
+def sudden_changes(df: DataFrame, since: str, key: str = "recipient_id", date_col: str = "date_of_payment", amount: str = "amount",
+                   slack: float = 0.5, limit: float = 5.0) -> DataFrame:
+    """D13 (sudden change): two-sided cumulative sums of a recipient's daily totals.
+
+    Level and deviation (sample) come from the recipient's payment days before
+    ``since``; from then on each payment day adds its distance from the level in
+    deviations, less ``slack``, to the upward sum (and its negative to the
+    downward one), which never falls below 0.  A sum above ``limit`` is a change.
+    With prefix sums P that is P - min(0, least P so far), so two running windows
+    give it.  Amounts count in whole cents and steps in millionths (of at most a
+    million deviations): sums are exact in any order.
+
+    One row per recipient with a payment day from ``since`` on: n_days, base_days,
+    level, up_max, down_max (largest sums), up_since, down_since (first day above
+    the limit, null if none).  With fewer than two days before or no deviation the
+    sums are null.  Null keys, dates and amounts are left out.
+
+    Payments are reduced to days map-side first: a window group is bounded by the
+    date span, whatever share of the payments a recipient holds."""
+    x = clean_double(amount)
+    day = F.to_date(F.col(date_col))
+    daily = _daily(df.where(x.isNotNull()), key, day, [F.sum(F.round(x * 100).cast("long")).cast("decimal(18,0)").alias("_x")])
+    early = F.col("_day") < F.lit(since).cast("date")
+    base = daily.where(early).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").cast("decimal(19,0)").alias("_s1"),
+                                                F.sum(F.col("_x") * F.col("_x")).alias("_s2"))
+    spread = (F.col("_n").cast("decimal(10,0)") * F.col("_s2") - F.col("_s1") * F.col("_s1")).cast("double")
+    base = base.select("_k", "_n", (F.col("_s1").cast("double") / F.col("_n")).alias("_mean"),
+                       F.when(spread > 0, F.sqrt(spread / (F.col("_n") * (F.col("_n") - 1)).cast("double"))).alias("_sd"))
+    z = F.greatest(F.least((F.col("_x").cast("double") - F.col("_mean")) / F.col("_sd"), F.lit(1e6)), F.lit(-1e6))
+    steps = (daily.where(~early).join(base, "_k", "left")
+             .withColumn("_up", F.round((z - slack) * 1e6).cast("long")).withColumn("_down", F.round((-z - slack) * 1e6).cast("long")))
+    w = Window.partitionBy("_k").orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = steps.withColumns({"_pu": F.sum("_up").over(w), "_pd": F.sum("_down").over(w)}).withColumns(
+        {"_su": F.col("_pu") - F.least(F.lit(0), F.min("_pu").over(w)), "_sd_": F.col("_pd") - F.least(F.lit(0), F.min("_pd").over(w))})
+    over = lambda c: F.min(F.when(F.col(c) > int(limit * 1e6), F.col("_day")))
+    most = lambda c: F.when(F.max("_sd").isNotNull(), F.max(c) / 1e6)
+    return sums.groupBy(F.col("_k").alias(key)).agg(
+        F.count(F.lit(1)).alias("n_days"), F.coalesce(F.max("_n"), F.lit(0)).cast("long").alias("base_days"),
+        (F.max("_mean") / 100).alias("level"), most("_su").alias("up_max"), most("_sd_").alias("down_max"),
+        F.when(F.max("_sd").isNotNull(), over("_su")).alias("up_since"), F.when(F.max("_sd").isNotNull(), over("_sd_")).alias("down_since"))

@@ -22,6 +22,9 @@ FEATURE_DRIFT_ALARM = 0.15      # mean moved by more than 15% of the baseline me
 RATE_DRIFT_ALARM = 0.25         # anomaly rate moved by more than 25%
 PSI_EPS = 1e-4
 
+# Our own choice.
+MIX_ALARM = 0.1                 # a tenth of the reason codes moved
+
 
 def baseline_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, count, missing, mean, std, min, max, p10…p90) — one
@@ -106,6 +109,39 @@ def score_percentile_drift(base: DataFrame, current: DataFrame, score: str, poin
     return lb.join(lc, "percentile").withColumn("difference", F.col("current_score") - F.col("baseline_score"))
 
 
+def mix_drift(base: DataFrame, current: DataFrame, codes: str = "reason_codes", sep: str = ";", none: str = "(none)") -> DataFrame:
+    """G23 (reason-code mix): per code the rows that carry it in both batches, its
+    share of all codes given in a batch, the difference, and whether it is in
+    ``both``, ``new`` or ``gone``.  A row without a code (null or empty) counts
+    under ``none``; a code named twice in a row counts once.  One map-side count
+    per batch; the codes of a batch are few against its rows."""
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        given = F.array_distinct(F.filter(F.split(F.coalesce(F.col(codes), F.lit("")), f"\\Q{sep}\\E"), lambda c: F.trim(c) != ""))
+        code = F.explode(F.when(F.size(given) > 0, given).otherwise(F.array(F.lit(none))))
+        return df.select(code.alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias(name))
+
+    b, c = counts(base, "baseline_rows"), counts(current, "current_rows")
+    j = b.join(c, "code", "full").fillna(0, ["baseline_rows", "current_rows"])
+    share = lambda n, of: F.coalesce(safe_div(F.col(n), of.agg(F.sum(n)).scalar()), F.lit(0.0))
+    j = j.withColumns({"baseline_share": share("baseline_rows", b), "current_share": share("current_rows", c)})
+    return j.withColumns({"difference": F.col("current_share") - F.col("baseline_share"),
+                          "status": F.when(F.col("baseline_rows") == 0, "new").when(F.col("current_rows") == 0, "gone").otherwise("both")})
+
+
+def mix_distance(mix: DataFrame, alarm: float = MIX_ALARM) -> DataFrame:
+    """One row that sums up ``mix_drift``: the total variation and the
+    Jensen-Shannon distance (base 2, 0 to 1) of the two mixes, new and gone codes,
+    and an alarm when the total variation is above ``alarm``.  Two empty batches
+    are 0 apart; unseen codes need no floor in either distance."""
+    p, q = F.col("baseline_share"), F.col("current_share")
+    part = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0)
+    tv = F.coalesce(F.sum(F.abs(p - q)) / 2, F.lit(0.0))
+    return mix.agg(tv.alias("total_variation"),
+                   F.sqrt(F.greatest(F.coalesce(F.sum(part(p) + part(q)) / 2, F.lit(0.0)), F.lit(0.0))).alias("jensen_shannon"),
+                   F.count_if(F.col("status") == "new").alias("n_new"), F.count_if(F.col("status") == "gone").alias("n_gone"),
+                   (tv > alarm).alias("mix_alarm"))
+
+
 def schema_drift(base: DataFrame, current: DataFrame) -> DataFrame:
     """Columns added, removed or retyped between two tables."""
     bt, ct = dict(base.dtypes), dict(current.dtypes)

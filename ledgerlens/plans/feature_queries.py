@@ -239,3 +239,32 @@ FROM daily WINDOW w AS (PARTITION BY recipient_id ORDER BY day RANGE BETWEEN INT
 def d13r(spark, sf):
     r = D.rolling_sums(payments(spark, sf, ["recipient_id", "date_of_payment", "amount"]))
     return r.withColumn("total_amount_30d", F.round("total_amount_30d", 2))
+
+
+#: payment days before it give the level, those from it on are watched
+CHANGE_SINCE = "1999-01-01"
+
+
+@register("d13_sudden_changes", f"""
+WITH daily AS (SELECT recipient_id, CAST(date_of_payment AS DATE) AS day, sum(CAST(round(amount * 100) AS BIGINT)) AS x FROM payments
+               WHERE recipient_id IS NOT NULL AND date_of_payment IS NOT NULL AND amount IS NOT NULL GROUP BY 1, 2),
+base AS (SELECT recipient_id, count(*) AS n, CAST(sum(x) AS DOUBLE) / count(*) AS mean,
+                CASE WHEN count(*) * sum(x * x) - sum(x) * sum(x) > 0
+                     THEN sqrt(CAST(count(*) * sum(x * x) - sum(x) * sum(x) AS DOUBLE) / CAST(count(*) * (count(*) - 1) AS DOUBLE)) END AS sd
+         FROM daily WHERE day < DATE '{CHANGE_SINCE}' GROUP BY 1),
+z AS (SELECT d.recipient_id, day, n, mean, sd,
+             CASE WHEN sd IS NOT NULL THEN greatest(least((CAST(x AS DOUBLE) - mean) / sd, 1e6), -1e6) END AS z
+      FROM daily AS d LEFT JOIN base USING (recipient_id) WHERE day >= DATE '{CHANGE_SINCE}'),
+p AS (SELECT *, sum(CAST(round((z - 0.5::DOUBLE) * 1e6) AS BIGINT)) OVER w AS pu, sum(CAST(round((-z - 0.5::DOUBLE) * 1e6) AS BIGINT)) OVER w AS pd
+      FROM z WINDOW w AS (PARTITION BY recipient_id ORDER BY day ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, pu - least(0, min(pu) OVER w) AS su, pd - least(0, min(pd) OVER w) AS sl
+      FROM p WINDOW w AS (PARTITION BY recipient_id ORDER BY day ROWS UNBOUNDED PRECEDING))
+SELECT recipient_id, count(*) AS n_days, coalesce(max(n), 0) AS base_days, round(max(mean) / 100, 6) AS level,
+       round(CASE WHEN max(sd) IS NOT NULL THEN CAST(max(su) AS DOUBLE) / 1e6 END, 6) AS up_max,
+       round(CASE WHEN max(sd) IS NOT NULL THEN CAST(max(sl) AS DOUBLE) / 1e6 END, 6) AS down_max,
+       CAST(min(day) FILTER (sd IS NOT NULL AND su > 5000000) AS VARCHAR) AS up_since,
+       CAST(min(day) FILTER (sd IS NOT NULL AND sl > 5000000) AS VARCHAR) AS down_since
+FROM s GROUP BY 1""")
+def d13_changes(spark, sf):
+    out = D.sudden_changes(payments(spark, sf, ["recipient_id", "date_of_payment", "amount"]), CHANGE_SINCE)
+    return rounded(out.withColumns({c: F.col(c).cast("string") for c in ("up_since", "down_since")}))

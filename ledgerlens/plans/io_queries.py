@@ -53,6 +53,31 @@ def a5(spark, sf):
     return S.register_view(spark, "lineitem_ext", f"{sf.rstrip('/')}/lineitem.parquet")
 
 
+@register("a4_external_csv_table", """
+SELECT CAST(year(date_of_payment) AS VARCHAR) AS program_year, count(*) AS n_rows, count(DISTINCT payer_id) AS n_payers,
+       round(sum(amount), 2) AS total_amount FROM payments GROUP BY 1""")
+def a4(spark, sf):
+    """Partitioned CSV files as a table of the session's catalog."""
+    p = payments(spark, sf).select("record_id", "payer_id", "amount", F.year("date_of_payment").cast("string").alias("program_year"))
+    path = scratch_path(spark, "csv-table")
+    p.write.partitionBy("program_year").option("header", True).csv(path)
+    t = S.create_external_table(spark, path.rsplit("/", 1)[1].replace("-", "_"), path, p.schema, "csv", ["program_year"], {"header": "true"})
+    return t.groupBy("program_year").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("payer_id").alias("n_payers"),
+                                         F.round(F.sum("amount"), 2).alias("total_amount"))
+
+
+@register("a5_show_partitions", """
+SELECT DISTINCT 'program_year=' || year(date_of_payment) AS partition FROM payments""")
+def a5_partitions(spark, sf):
+    """Partitions that the catalog finds under an external Parquet table."""
+    p = payments(spark, sf).select("record_id", "amount", F.year("date_of_payment").cast("string").alias("program_year"))
+    path = scratch_path(spark, "table")
+    S.write_lake(p, path)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    S.create_external_table(spark, name, path, p.schema, "parquet", ["program_year"])
+    return S.show_partitions(spark, name)
+
+
 @register("a6_schema_violations", """
 SELECT column_name AS column, lower(column_type) AS data_type, 'text-like column typed numeric' AS problem
 FROM (DESCRIBE SELECT o_custkey AS recipient_id, l_suppkey AS payer_id, l_extendedprice AS amount FROM lineitem, orders)
@@ -399,6 +424,42 @@ def g24s(spark, sf):
     return MON.schema_drift(base, cur)
 
 
+_MIX_SQL = "WITH " + SCORED_SQL + f""",
+codes AS (SELECT date_of_payment < TIMESTAMP '{CUT}' AS early, list_filter([
+         CASE WHEN peer_robust_z > 3.5 THEN 'amount_far_above_peers' END,
+         CASE WHEN peer_robust_z < -3.5 THEN 'amount_far_below_peers' END,
+         CASE WHEN is_new_recipient = 0 AND amt_to_max_ratio > 1.0 THEN 'above_own_history_max' END,
+         CASE WHEN amt_to_avg_ratio > 3.0 THEN 'over_3x_own_average' END,
+         CASE WHEN is_new_recipient = 1 THEN 'new_recipient' END,
+         CASE WHEN is_high_risk_nature = 1 THEN 'high_risk_nature' END], lambda x: x IS NOT NULL) AS l FROM final),
+each AS (SELECT early, unnest(CASE WHEN len(l) = 0 THEN ['(none)'] ELSE l END) AS code FROM codes),
+n AS (SELECT code, count(*) FILTER (early) AS b, count(*) FILTER (NOT early) AS c FROM each WHERE early IS NOT NULL GROUP BY code),
+mix AS (SELECT code, b, c, coalesce(b / nullif((SELECT sum(b) FROM n), 0), 0) AS p, coalesce(c / nullif((SELECT sum(c) FROM n), 0), 0) AS q FROM n)
+"""
+
+
+def _mix(spark, sf):
+    from ledgerlens.operators.detect import reason_codes
+
+    return MON.mix_drift(*_batches(reason_codes(scored_table(spark, sf))))
+
+
+@register("g23_reason_mix", _MIX_SQL + """
+SELECT code, b AS baseline_rows, c AS current_rows, round(p, 6) AS baseline_share, round(q, 6) AS current_share,
+       round(q - p, 6) AS difference, CASE WHEN b = 0 THEN 'new' WHEN c = 0 THEN 'gone' ELSE 'both' END AS status FROM mix""")
+def g23_mix(spark, sf):
+    return rounded(_mix(spark, sf))
+
+
+@register("g23_reason_mix_distance", _MIX_SQL + f"""
+SELECT round(sum(abs(p - q)) / 2, 6) AS total_variation,
+       round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+                               + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)), 6) AS jensen_shannon,
+       count(*) FILTER (b = 0) AS n_new, count(*) FILTER (c = 0) AS n_gone, sum(abs(p - q)) / 2 > {MON.MIX_ALARM} AS mix_alarm FROM mix""")
+def g23_mix_distance(spark, sf):
+    return rounded(MON.mix_distance(_mix(spark, sf)))
+
+
 @register("g25_retrain_decision", "WITH " + SCORED_SQL + f""",
 b AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DRIFT_COLS)} FROM features WHERE date_of_payment < TIMESTAMP '{CUT}'),
 c AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DRIFT_COLS)} FROM features WHERE date_of_payment >= TIMESTAMP '{CUT}'),

@@ -80,6 +80,56 @@ def register_view(spark: SparkSession, name: str, path: str, fmt: str = "parquet
     return spark.sql(f"DESCRIBE {name}")
 
 
+def _name(*parts: str) -> str:
+    return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
+
+
+def create_external_table(spark: SparkSession, name: str, path: str, schema: T.StructType, fmt: str = "parquet",
+                          partition_cols: Sequence[str] = (), options: dict | None = None, replace: bool = False) -> DataFrame:
+    """A4: a table of the session's own catalog over files that stay where they
+    are (CSV, Parquet, JSON, ...).  ``schema`` names all columns; those of
+    ``partition_cols`` come from the folder names, and the partitions that exist
+    are found at once.  An existing table of that name is an error unless
+    ``replace``.  Returns the table; dropping it leaves the files."""
+    quoted = lambda text: "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if replace:
+        drop_table(spark, name)
+    columns = ", ".join(f"{_name(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    given = ", ".join(f"{quoted(k)} = {quoted(v)}" for k, v in (options or {}).items())
+    spark.sql(f"CREATE TABLE {_name(name)} ({columns}) USING {fmt}" + (f" OPTIONS ({given})" if given else "")
+              + (f" PARTITIONED BY ({', '.join(map(_name, partition_cols))})" if partition_cols else "") + f" LOCATION {quoted(path)}")
+    if partition_cols:
+        recover_partitions(spark, name)
+    return spark.table(_name(name))
+
+
+def recover_partitions(spark: SparkSession, name: str) -> None:
+    """A5: take up partition folders that were added since."""
+    spark.sql(f"ALTER TABLE {_name(name)} RECOVER PARTITIONS")
+
+
+def show_tables(spark: SparkSession, pattern: str = "*") -> DataFrame:
+    """A5: (name, temporary) of the current database's tables and views."""
+    return spark.sql("SHOW TABLES LIKE '" + pattern.replace("'", "\\'") + "'").select(
+        F.col("tableName").alias("name"), F.col("isTemporary").alias("temporary"))
+
+
+def describe_table(spark: SparkSession, name: str) -> DataFrame:
+    """A5: (column, data_type, partition) of a table's columns."""
+    cols = spark.catalog.listColumns(_name(name))
+    return spark.createDataFrame([(c.name, c.dataType, c.isPartition) for c in cols], "column string, data_type string, partition boolean")
+
+
+def show_partitions(spark: SparkSession, name: str) -> DataFrame:
+    """A5: the partitions the catalog knows, as ``column=value`` text."""
+    return spark.sql(f"SHOW PARTITIONS {_name(name)}")
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """A5: drop a table if it exists; an external table's files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {_name(name)}")
+
+
 def schema_violations(df: DataFrame, patterns: Sequence[str] = TEXT_CHECK_PATTERNS) -> DataFrame:
     """Columns whose name says text (ids, codes, names) but whose type is numeric."""
     rows = []
