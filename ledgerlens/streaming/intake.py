@@ -33,13 +33,15 @@ def run_intake(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_di
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         lines = df.persist()
-        records, status = parse_capture(lines, record_schema)
-        records.write.mode("overwrite").parquet(f"{out_dir}/records/batch={epoch_id}")
-        status.write.mode("overwrite").parquet(f"{out_dir}/status/batch={epoch_id}")
-        if baseline is not None and drift_cols:
-            cur = MON.baseline_stats(records, drift_cols)
-            MON.feature_drift(baseline, cur).write.mode("overwrite").parquet(f"{out_dir}/drift/batch={epoch_id}")
-        lines.unpersist()
+        try:
+            records, status = parse_capture(lines, record_schema)
+            records.write.mode("overwrite").parquet(f"{out_dir}/records/batch={epoch_id}")
+            status.write.mode("overwrite").parquet(f"{out_dir}/status/batch={epoch_id}")
+            if baseline is not None and drift_cols:
+                cur = MON.baseline_stats(records, drift_cols)
+                MON.feature_drift(baseline, cur).write.mode("overwrite").parquet(f"{out_dir}/drift/batch={epoch_id}")
+        finally:
+            lines.unpersist()
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
