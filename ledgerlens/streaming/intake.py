@@ -6,7 +6,10 @@ checkpoint), ``trigger(availableNow=True)`` processes whatever is new and
 stops — the daily job — and ``foreachBatch`` parses each micro-batch (A16)
 and writes it under ``batch=<id>`` with overwrite, so a retried batch
 replaces its own output instead of appending twice.  An optional baseline
-turns every batch into a drift report (G21).
+turns every batch into a drift report (G21).  With ``state_dir`` every batch also
+stores its monitoring state there, and with ``baseline_dir`` (a state kept by an
+earlier intake or by ``baseline.store_batch``) it is checked against that state's
+statistics and constraints; old rows are not read again.
 """
 
 from __future__ import annotations
@@ -16,16 +19,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import baseline as B
 from ledgerlens.operators import monitor as MON
 from ledgerlens.sources.files import parse_capture
 
 
 def run_intake(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str, record_schema: str,
                files_per_batch: int | None = None, baseline: DataFrame | None = None,
-               drift_cols: Sequence[str] = ()) -> dict[str, DataFrame]:
+               drift_cols: Sequence[str] = (), state_dir: str | None = None, baseline_dir: str | None = None,
+               category_cols: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Process every capture file not yet seen; returns the output tables (empty
     ones before the first file).  ``files_per_batch`` splits the intake into
-    micro-batches; by default all waiting files form one."""
+    micro-batches; by default all waiting files form one.  ``drift`` needs a
+    baseline (``baseline``: statistics, else the state in ``baseline_dir``) and
+    ``drift_cols``; ``violations`` needs ``baseline_dir``.  The two folders must
+    differ, or a batch would be checked against itself."""
+    if state_dir and state_dir == baseline_dir:
+        raise ValueError("state_dir and baseline_dir must differ")
+    kept = B.read_state(spark, baseline_dir) if baseline_dir else None
+    if baseline is None and kept is not None:
+        baseline = B.merged_stats(kept)
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -37,9 +50,14 @@ def run_intake(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_di
             records, status = parse_capture(lines, record_schema)
             records.write.mode("overwrite").parquet(f"{out_dir}/records/batch={epoch_id}")
             status.write.mode("overwrite").parquet(f"{out_dir}/status/batch={epoch_id}")
+            state = B.batch_state(records, drift_cols, category_cols) if kept is not None or state_dir else None
             if baseline is not None and drift_cols:
-                cur = MON.baseline_stats(records, drift_cols)
+                cur = MON.baseline_stats(records, drift_cols) if kept is None else B.merged_stats(state)
                 MON.feature_drift(baseline, cur).write.mode("overwrite").parquet(f"{out_dir}/drift/batch={epoch_id}")
+            if kept is not None:
+                B.violations(B.constraints(kept), kept, state).write.mode("overwrite").parquet(f"{out_dir}/violations/batch={epoch_id}")
+            if state_dir:
+                B.store_batch(records, state_dir, epoch_id, drift_cols, category_cols)
         finally:
             lines.unpersist()
 
@@ -51,6 +69,8 @@ def run_intake(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_di
     empty = {"records": records, "status": status}
     if baseline is not None and drift_cols:
         empty["drift"] = MON.feature_drift(baseline, baseline).limit(0)
+    if kept is not None:
+        empty["violations"] = B.violations(B.constraints(kept), kept, kept).limit(0)
     return {name: _written(spark, f"{out_dir}/{name}", df) for name, df in empty.items()}
 
 
