@@ -28,8 +28,11 @@ def clean_double(c: str | Column) -> Column:
 
 
 def lenient_double(c: str | Column) -> Column:
-    """pandas ``to_numeric(errors='coerce')``."""
-    return clean_double(col(c).try_cast("double"))
+    """pandas ``to_numeric(errors='coerce')`` (B3).  A text with the suffix of a Java
+    literal ("12d", "3.5F") is no number."""
+    x = col(c)
+    suffixed = F.when(F.typeof(x) == "string", F.rtrim(x.cast("string")).rlike("[dDfF]$")).otherwise(False)
+    return clean_double(F.when(~suffixed, x).try_cast("double"))
 
 
 def lenient_timestamp(c: str | Column, fmt: str = "MM/dd/yyyy") -> Column:

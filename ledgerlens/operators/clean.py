@@ -210,6 +210,83 @@ def retention_report(before: DataFrame, after: DataFrame) -> DataFrame:
                                  F.round(F.try_divide(a * 100.0, b), 6).alias("retention_pct"))
 
 
+# ---------------------------------------------------------------- quarantine
+def strict_rules(amount: str = "amount", date: str = "date_of_payment", count: str | None = "number_of_payments",
+                 record_key: str | None = "recipient_id", date_format: str = "MM/dd/yyyy") -> dict[str, Column]:
+    """Reasons to reject a raw text row, by name: a field that is missing (NULL or
+    blank), cannot be read, or holds an amount of 0.  The lenient path fills or
+    corrects such rows; the strict one sets them aside."""
+    def blank(c: str) -> Column:
+        return F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+
+    number, day = lenient_double(amount), lenient_timestamp(date, date_format)
+    rules = {"amount_missing": blank(amount), "amount_unreadable": ~blank(amount) & number.isNull(), "amount_zero": number == 0,
+             "date_missing": blank(date), "date_unreadable": ~blank(date) & day.isNull()}
+    if count:
+        rules["count_unreadable"] = ~blank(count) & lenient_double(count).isNull()
+    if record_key:
+        rules["key_missing"] = blank(record_key)
+    return rules
+
+
+def quarantine(df: DataFrame, path: str, rules: dict[str, Column], approved: dict[str, DataFrame] | None = None
+               ) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected rows), written in one pass under ``path`` by decision,
+    so each side reads only its own files.
+
+    ``rules`` name the conditions that reject a row; ``approved`` gives per column a
+    one-column list of allowed values (B22: a value not on it gives
+    ``<column>_not_listed``; NULL is not listed either).  Rejected rows carry all
+    their reasons (``reasons``, in the order of the rules).  Equal rows become one row
+    with ``n_copies`` on both sides, counted map-side, so nothing is lost and a row
+    copied a million times is one row in the shuffle.  The names reasons, n_copies
+    and accepted must be free."""
+    if clash := {"reasons", "n_copies", "accepted"} & set(df.columns):
+        raise ValueError(f"reserved column names: {sorted(clash)}")
+    rules, rows = dict(rules), df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n_copies"))
+    for i, (c, codes) in enumerate((approved or {}).items()):
+        listed = codes.select(F.col(codes.columns[0]).alias(f"_code{i}")).where(F.col(f"_code{i}").isNotNull()).distinct()
+        rows = rows.join(listed, F.col(c) == F.col(f"_code{i}"), "left")
+        rules[f"{c}_not_listed"] = F.col(f"_code{i}").isNull()
+    named = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()])
+    tagged = rows.withColumn("reasons", F.filter(named, lambda r: r.isNotNull())).select(*df.columns, "n_copies", "reasons")
+    tagged.withColumn("accepted", F.size("reasons") == 0).write.mode("overwrite").partitionBy("accepted").parquet(path)
+    spark = df.sparkSession
+    back = spark.read.schema(T.StructType([*tagged.schema.fields, T.StructField("accepted", T.BooleanType())])).parquet(path)
+    return back.where("accepted").drop("accepted", "reasons"), back.where("NOT accepted").drop("accepted")
+
+
+def quarantine_report(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows per outcome: accepted, rejected, duplicates (copies beyond the first on
+    either side) and one line per reason; a row with two reasons counts in both."""
+    both = accepted.select("n_copies", F.lit("accepted").alias("outcome")).unionByName(
+        rejected.select("n_copies", F.lit("rejected").alias("outcome")))
+    reasons = rejected.select("n_copies", F.explode("reasons").alias("outcome"))
+    copies = both.select((F.col("n_copies") - 1).alias("n_copies"), F.lit("duplicate").alias("outcome"))
+    return both.unionByName(reasons).unionByName(copies).groupBy("outcome").agg(F.sum("n_copies").alias("n_rows"))
+
+
+def clean_extract(df: DataFrame, order: Sequence[str], indicators: Sequence[str] = (), mode_cols: Sequence[str] = MODE_FILLED,
+                  amount: str = "amount", date: str = "date_of_payment", count: str = "number_of_payments",
+                  state: str = "recipient_state", record_key: str | None = "recipient_id",
+                  date_format: str = "MM/dd/yyyy", max_missing: float = 0.5, clip: tuple[float, float] | None = (0.001, 0.999)) -> DataFrame:
+    """The whole lenient path over a raw extract, in the reference's order: infinite
+    values to NULL (B17), types (B3-B8), sparse columns dropped (B18), amount by its
+    median (B9), dates forward and backward along ``order`` (B10), all other gaps
+    by name (B11-B13), copies and amounts of 0 dropped (B14, B16), numbers clipped to
+    the ``clip`` quantiles of what is left (B20).  The fill comes before the row
+    filter, so a row is dropped only for an amount of 0, or where a whole column is
+    empty.  Clipped columns are doubles."""
+    typed = convert_types(inf_to_null(df), amount, date, count, state, indicators, date_format)
+    gaps = typed.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in typed.columns]).first()
+    keep = [c for c in typed.columns if c in (amount, date, count, record_key, *order)
+            or gaps["_n"] - gaps[c] <= max_missing * gaps["_n"]]
+    filled = median_fill(typed.select(*keep), [amount])
+    filled = forward_backward_fill(filled, date, list(order))
+    valid = drop_invalid(fill_missing(filled, mode_cols), amount, date, record_key)
+    return quantile_clip(valid, numeric_features(valid), *clip) if clip else valid
+
+
 # ---------------------------------------------------------------- B18–B20, B24
 def missing_profile(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict]:
     """Row count and NULL/NaN/inf count per column: one aggregate, one row."""
