@@ -293,3 +293,26 @@ def c37r(spark, sf):
 
     t = payments(spark, sf, ["recipient_id", "amount"]).groupBy("recipient_id").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"))
     return P.outlier_counts(t, "total_amount")
+
+
+@register("e14_recipient_density", """
+WITH r AS (SELECT recipient_id, round(ln(1 + count(*)), 6) AS x, round(ln(1 + avg(amount)), 6) AS y, round(ln(1 + max(amount)), 6) AS z
+           FROM payments WHERE recipient_id IS NOT NULL GROUP BY 1),
+p AS (SELECT a.recipient_id AS i, b.recipient_id AS j, b.x, b.y, b.z,
+             sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d
+      FROM r a JOIN r b ON a.recipient_id <> b.recipient_id),
+n AS (SELECT i, j, d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, x, y, z) <= 20),
+k AS (SELECT i, max(d) AS kd FROM n GROUP BY 1),
+l AS (SELECT n.i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN k ON n.j = k.i GROUP BY 1)
+SELECT n.i AS recipient_id, round(any_value(k.kd), 6) AS k_distance, round(avg(b.lrd) / any_value(a.lrd), 6) AS lof
+FROM n JOIN k ON n.i = k.i JOIN l a ON n.i = a.i JOIN l b ON n.j = b.i GROUP BY 1""")
+def e14(spark, sf):
+    """Local outlier factor of every recipient over number, mean and largest of payments."""
+    from ledgerlens.operators.density import local_density
+    from ledgerlens.session import cut_lineage
+    from ledgerlens.sources.tables import payments
+
+    p = payments(spark, sf, ["recipient_id", "amount"]).where(F.col("recipient_id").isNotNull())
+    ln = lambda c: F.round(F.log(1 + c), 6)
+    r = cut_lineage(p.groupBy("recipient_id").agg(ln(F.count(F.lit(1))).alias("x"), ln(F.avg("amount")).alias("y"), ln(F.max("amount")).alias("z")))
+    return rounded(local_density(r, ["x", "y", "z"]).select("recipient_id", "k_distance", "lof"))
