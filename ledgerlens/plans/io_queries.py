@@ -190,7 +190,9 @@ _RAW_HIST = FEATURES_SQL
 
 
 def _raw_history(spark, sf):
-    f = D.time_history(cleaned_payments(spark, sf))
+    """The recipient history before its fills, read off the feature table: a recipient
+    has an average and a maximum exactly where it has earlier payments."""
+    f = feature_table(spark, sf)
     return f.withColumns({"hist_pay_avg": F.when(F.col("hist_pay_count") > 0, F.col("hist_pay_avg")),
                           "hist_pay_max": F.when(F.col("hist_pay_count") > 0, F.col("hist_pay_max"))})
 
