@@ -63,3 +63,33 @@ def test_cleaned_payments_are_the_cleaned_view(spark, tmp_path):
     got = P.with_record_id(P.cleaned_payments(spark, str(tmp_path)))
     want = C.drop_invalid(C.convert_types(payments(spark, str(tmp_path))), record_key="recipient_id").drop("payer_name", "form").select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 20
+
+
+def test_offsets_from_a_guess_are_exact(spark, monkeypatch):
+    """The offset is read off one scan where the guessed bins hold it, and off a second
+    where they do not; both are the quantile of all training scores."""
+    import numpy as np
+    import pandas as pd
+
+    from ledgerlens.operators import forest as IF
+
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame(rng.normal(size=(4000, 3)), columns=["a", "b", "c"])
+    pdf["id"] = np.arange(len(pdf))
+    df = spark.createDataFrame(pdf).repartition(4)
+    store = IF.fit_forests(df, "id", ["a", "b", "c"], specs := [IF.ForestSpec(0, 12, 64)])
+    raw = IF.raw_scores(df, "id", store, ["a", "b", "c"], specs[0]).toPandas()["raw_score_12"].to_numpy()
+    conts, looks = [0.03, 0.05, 0.5], []
+    monkeypatch.setattr(IF, "GUESS_ROWS", 1000)
+    plain = IF._look
+    monkeypatch.setattr(IF, "_look", lambda *a: looks.append(1) or plain(*a))
+    around = IF._bins_around
+    for scans in (1, 2):                                         # a fair guess, and one that misses
+        looks.clear()
+        if scans == 2:
+            monkeypatch.setattr(IF, "_bins_around", lambda h, s, exact: around(h, s, exact) if exact else np.array([5]))
+        slots = IF.evaluate_groups(df, [df.where("id < 900")], ["a", "b", "c"], store, [IF.Group(specs[0], 12, conts)])[0]
+        assert len(looks) == scans
+        for c, slot in zip(conts, slots):
+            o = np.quantile(raw, c)
+            assert abs(slot.offset - o) < 1e-12 and slot.normal[0].n + slot.anomaly[0].n == 900
