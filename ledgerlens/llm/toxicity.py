@@ -91,7 +91,8 @@ class NgramModel:
 
 def _regress(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, class_weight: tuple[float, float],
              steps: int = 300, rate: float = 0.05, l2: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic regression, by Adam on the whole sample."""
+    """Weights and bias of the logistic regression, by Adam on the whole sample.
+    Beyond 300 steps the rate falls, so that a long run settles at the optimum."""
     y = np.array([k for k, _ in rows], float)
     row = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
     col = np.concatenate([x for _, x in rows]) if rows else np.zeros(0, np.int64)
@@ -106,7 +107,7 @@ def _regress(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, class_weight
         grad = np.append(np.bincount(col, value * miss[row], len(ratio)) + l2 * params[:-1], miss.sum()) / len(rows)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
-        params -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        params -= rate * min(1.0, 300 / step) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     return params[:-1], float(params[-1])
 
 
