@@ -10,7 +10,7 @@ from ledgerlens.operators import clean as C
 from ledgerlens.operators import features as D
 from ledgerlens.operators import monitor as MON
 from ledgerlens.operators import profile as P
-from ledgerlens.plans.flagship import (CLEAN_SQL, FEATURES_SQL, SCORED_SQL, cleaned_payments, feature_table,
+from ledgerlens.plans.flagship import (CLEAN_SQL, FEATURES_SQL, SCORED_SQL, feature_table,
                                        rounded, scored_table)
 from ledgerlens.plans.registry import register
 from ledgerlens.session import scratch_path
