@@ -187,3 +187,55 @@ def test_judged_table_may_be_empty(spark):
     cands = [dict(candidate=0, n_estimators=5, contamination=0.1, max_samples=32, max_features=1.0, bootstrap=False)]
     row = IF.search(df, df.limit(0), "id", ["a", "b", "c"], cands).first()
     assert row["score"] == float("-inf") and row["flagged_rate"] is None
+
+
+def _one_by_one(x, forest, counts):
+    """Every row alone down every tree of a packed forest."""
+    depth, feature, threshold, path = forest
+    out = np.zeros((len(x), len(counts)))
+    for r, row in enumerate(x):
+        total = 0.0
+        for t in range(counts[-1]):
+            at = 0
+            for _ in range(depth):
+                at = 2 * at + (1 if row[max(feature[t, at], 0)] <= threshold[t, at] else 2)
+            total += path[t, at - feature.shape[1]]
+            if t + 1 in counts:
+                out[r, counts.index(t + 1)] = total
+    return out
+
+
+def test_walk_by_places_is_exact(monkeypatch):
+    """Ties, NaN, infinities, several chunks, trees deeper and shallower than their masks."""
+    rng = np.random.default_rng(3)
+    for psi, d in ((1, 2), (2, 3), (9, 3), (300, 5), (2048, 4)):
+        x = rng.normal(size=(2100, d)).round(1)
+        spec = IF.ForestSpec(0, 4, psi).resolve(len(x))
+        trees = [IF.grow(x[IF.draw_rows(spec, t, len(x))], np.random.default_rng(t), np.arange(d), spec.depth) for t in range(4)]
+        forest = (spec.depth, *[np.stack([t[i] for t in trees]) for i in range(3)])
+        odd = np.vstack([x[:40], np.full((1, d), np.nan), np.full((1, d), np.inf), np.full((1, d), -np.inf), np.where(x[:9] > 0, np.nan, x[:9])])
+        for chunk, masks, lookup in ((IF.CHUNK, IF.MASKS, IF.LOOKUP), (7, 1, 3), (16, 64, 5)):
+            monkeypatch.setattr(IF, "CHUNK", chunk)
+            monkeypatch.setattr(IF, "MASKS", masks)
+            monkeypatch.setattr(IF, "LOOKUP", lookup)
+            for rows in (odd, odd[:1], odd[:0]):
+                assert np.array_equal(IF.walk(rows, forest, [1, 4]), _one_by_one(rows, forest, [1, 4]))
+        monkeypatch.undo()
+
+
+def test_rows_are_ordered_once_for_all_forests(spark, monkeypatch):
+    """A pass over several forests sorts its rows once, in batches larger than Arrow's."""
+    import pyarrow as pa
+
+    pdf, df = _outliers(spark, n=200, k=2)
+    specs = [IF.ForestSpec(f, 3, 16) for f in range(3)]
+    store = IF.fit_forests(df, "id", ["a", "b", "c"], specs)
+    (_, _, scores), = IF._group_scores(store, [IF.Group(s, 3, [0.1]) for s in specs])
+    calls, plain = [], IF.ordered
+    monkeypatch.setattr(IF, "ordered", lambda x: calls.append(len(x)) or plain(x))
+    x = pdf[["a", "b", "c"]].to_numpy()
+    assert scores(x).shape == (202, 3) and calls == [202]
+    small = [pa.record_batch({"v": list(range(i, i + 5))}) for i in range(0, 50, 5)]
+    monkeypatch.setattr(IF, "CHUNK", 20)
+    merged = list(IF._batched(iter(small)))
+    assert [len(b) for b in merged] == [20, 20, 10] and sum((b["v"].to_pylist() for b in merged), []) == list(range(50))
