@@ -239,3 +239,28 @@ def test_rows_are_ordered_once_for_all_forests(spark, monkeypatch):
     monkeypatch.setattr(IF, "CHUNK", 20)
     merged = list(IF._batched(iter(small)))
     assert [len(b) for b in merged] == [20, 20, 10] and sum((b["v"].to_pylist() for b in merged), []) == list(range(50))
+
+
+def test_large_tables_number_hashes_and_write_no_features(spark, monkeypatch):
+    """More rows than draws, drawn from most hash ranges: the same trees as from the
+    ranked ranges, keys and hashes that repeat included, and no feature is written."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(1500, 3)), columns=["a", "b", "c"])
+    pdf["id"] = np.arange(1500) % 1100                           # 400 keys come twice
+    pdf.loc[:20, "id"], pdf.loc[1490:, ["a", "b", "c"]] = np.nan, pdf.loc[390:399, ["a", "b", "c"]].to_numpy()
+    df = spark.createDataFrame(pdf).repartition(5)
+    specs = lambda: [IF.ForestSpec(0, 8, 64), IF.ForestSpec(1, 6, 64, 0.7, True)]
+
+    def nodes():
+        return IF.unpack_nodes(IF.fit_forests(df, "id", ["a", "b", "c"], specs())).orderBy("forest", "tree", "node").toPandas()
+
+    monkeypatch.setattr(IF, "DENSE", 1.0)
+    ranked = nodes()
+    written, plain = [], IF.cut_lineage
+    monkeypatch.setattr(IF, "cut_lineage", lambda t: written.append(t.columns) or plain(t))
+    monkeypatch.setattr(IF, "DENSE", 0.0)
+    pd.testing.assert_frame_equal(ranked, nodes())
+    assert written == [["_h", "_first", "_c"], IF.STORE_SCHEMA.fieldNames()]
+    monkeypatch.setattr(IF, "SHIP_BYTES", 0)
+    monkeypatch.setattr(IF, "PASS_DRAWS", 600)
+    pd.testing.assert_frame_equal(ranked, nodes())
