@@ -14,7 +14,7 @@ is bounded.  Counts so far are therefore kept a second time in hashed counters
 of a fixed size (one byte a bucket, broadcast): a bucket reaches the threshold no
 later than any phrase in it, so activation may come early but never fails, and
 every phrase of a bucket starts and ends with it.  Exact counts per phrase decide
-what is kept.
+what is kept: the packed counts are dealt by key range, and a range is summed up at once.
 
 Inside the scans a phrase is a 64-bit key made of its language and words.  Last,
 the keys that reached the threshold are named from the texts; a key found with
@@ -46,8 +46,10 @@ WINDOW, CHUNK_WORDS, SUM_KEYS = 1 << 18, 500_000, 500_000
 #: log2 of the hashed counters: of single words, of longer phrases
 WORD_BITS, PHRASE_BITS = 22, 23
 BLOCK = 1 << 18
-#: parts a block's counts are summed in first
+#: tasks whose counts of a block are summed up at once
 FAN_IN = 128
+#: log2 of the key ranges of a length, each summed up exactly by itself
+RANGE_BITS = 9
 NEVER = 255
 
 _DELIMITERS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -163,15 +165,17 @@ PACK = 1 << 12
 PACKED = "level byte, keys binary, counts binary"
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted distinct keys and their counts: differences byte plane by byte plane,
+    so the files' compression finds the empty planes."""
+    steps, c = np.diff(keys, prepend=np.uint64(0)).astype("<u8"), counts.astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes(), c.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _pack(level: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct keys and their counts in rows of ``PACK``: differences byte
-    plane by byte plane, so the files' compression finds the empty planes."""
+    """Sorted distinct keys and their counts in rows of ``PACK``."""
     for lo in range(0, len(keys), 64 * PACK):
-        rows = []
-        for at in range(lo, min(lo + 64 * PACK, len(keys)), PACK):
-            steps = np.diff(keys[at:at + PACK], prepend=np.uint64(0)).astype("<u8")
-            c = counts[at:at + PACK].astype("<u4")
-            rows.append((steps.view(np.uint8).reshape(-1, 8).T.tobytes(), c.view(np.uint8).reshape(-1, 4).T.tobytes()))
+        rows = [_packed(keys[at:at + PACK], counts[at:at + PACK]) for at in range(lo, min(lo + 64 * PACK, len(keys)), PACK)]
         yield pa.RecordBatch.from_arrays([pa.array([level] * len(rows), pa.int8()), pa.array([k for k, _ in rows], pa.binary()),
                                           pa.array([c for _, c in rows], pa.binary())], names=["level", "keys", "counts"])
 
@@ -241,28 +245,35 @@ def _add_block(out: np.ndarray, packed: bytes) -> None:
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(level, block, part, counts): one task's packed counts as hashed counts."""
+    """(level, block, part, counts): one task's packed counts as hashed counts, each
+    block once."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId() % FAN_IN
+    held: dict[int, list] = {}
+    sums: dict[int, np.ndarray] = {}
 
-    def emit(level, held):
-        at, sums = _sum(*zip(*held))
-        places = at.astype(np.int64)
-        block, first = np.unique(places >> 18, return_index=True)
-        packed = [_block(p, c) for p, c in zip(np.split(places & (BLOCK - 1), first[1:]), np.split(sums, first[1:]))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(block), level, np.int8)), pa.array(block.astype(np.int32)),
-             pa.array(np.full(len(block), part, np.int32)), pa.array(packed, pa.binary())], names=["level", "block", "part", "counts"])
+    def add(level):
+        at, c = _sum(*zip(*held.pop(level)))
+        at = at.astype(np.int64)
+        mine = sums.setdefault(level, np.zeros(1 << bucket_bits(level), np.uint8))
+        mine[at] = np.minimum(c + mine[at], NEVER - 1)
 
-    held: dict[int, list] = {}
     for level, keys, counts in _unpacked(batches):
         mine = held.setdefault(level, [])
         mine.append((_buckets(keys, level).astype(np.uint64), counts))
         if len(mine) * PACK >= SUM_KEYS:
-            yield emit(level, held.pop(level))
+            add(level)
     for level in list(held):
-        yield emit(level, held.pop(level))
+        add(level)
+    for level, mine in sums.items():
+        for block, counts in enumerate(mine.reshape(-1, BLOCK)):
+            at = np.flatnonzero(counts)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([level], pa.int8()), pa.array([block], pa.int32()), pa.array([part], pa.int32()),
+                     pa.array([_block(at, counts[at])], pa.binary())], names=["level", "block", "part", "counts"])
+    del sums
     _give_back()
 
 
@@ -275,11 +286,13 @@ def _merge_blocks(t: pa.Table) -> pa.Table:
 
 
 def _hashed_counts(packed: DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(level, first bucket, counts of a block): summed in two rounds, so no group
-    holds more than ``FAN_IN`` blocks in the last one.  What reaches the driver is
-    bounded by the size of the counters."""
+    """(level, first bucket, counts of a block): summed in two rounds if there are
+    more than ``FAN_IN`` tasks, so no group holds more than that many blocks in the
+    last one.  What reaches the driver is bounded by the size of the counters."""
     schema = "level byte, block int, part int, counts binary"
-    some = packed.mapInArrow(_count_blocks, schema).groupBy("level", "block", "part").applyInArrow(_merge_blocks, schema)
+    some = packed.mapInArrow(_count_blocks, schema)
+    if packed.rdd.getNumPartitions() > FAN_IN:
+        some = some.groupBy("level", "block", "part").applyInArrow(_merge_blocks, schema)
     for r in some.groupBy("level", "block").applyInArrow(_merge_blocks, schema).collect():
         out = np.zeros(BLOCK, np.int32)
         _add_block(out, bytes(r["counts"]))
@@ -349,8 +362,8 @@ def count_phrases(rows: DataFrame, longest: int, least: int, shards: int) -> Dat
     for s in steps[1:]:
         counts = counts.unionByName(s)
     written = [p for p in scratch_tables(spark) if p not in before]
-    exact = cut_lineage(counts.mapInArrow(_full_rows(full), "level byte, k long, c long").groupBy("level", "k")
-                        .agg(F.sum("c").alias("a")).where(F.col("a") >= least))
+    dealt = counts.mapInArrow(_by_range(full), "level byte, range int, keys binary, counts binary")
+    exact = cut_lineage(dealt.groupBy("level", "range").applyInArrow(_range_sums(least), "level byte, k long, a long"))
     drop_scratch(spark, written)                                 # the steps are summed up in ``exact``
     full.destroy()
     named, sizes = _named_keys(rows, exact, longest, levels)
@@ -400,8 +413,8 @@ def _few(langs: DataFrame, most: int = 10_000) -> bool:
     return langs.limit(most + 1).count() <= most
 
 
-def _full_rows(full):
-    """The keys of full buckets as rows, summed up within a task."""
+def _by_range(full):
+    """The keys of full buckets, summed up within a task and packed by key range."""
     def run(batches):
         held: dict[int, list] = {}
         size = 0
@@ -409,10 +422,14 @@ def _full_rows(full):
         def emit():
             for n, mine in held.items():
                 k, c = _sum(*zip(*mine))
-                for at in range(0, len(k), 1 << 15):
-                    k1, c1 = k[at:at + (1 << 15)], c[at:at + (1 << 15)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k1), n, np.int8)), pa.array(k1.view(np.int64)), pa.array(c1)],
-                                                     names=["level", "k", "c"])
+                part = (k >> np.uint64(64 - RANGE_BITS)).astype(np.int32)
+                ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+                rows = [_packed(k[lo:hi], c[lo:hi]) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                for at in range(0, len(rows), 128):
+                    some = rows[at:at + 128]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([n] * len(some), pa.int8()), pa.array(part[ends[at:at + 128] - 1]), pa.array([r[0] for r in some], pa.binary()),
+                         pa.array([r[1] for r in some], pa.binary())], names=["level", "range", "keys", "counts"])
             held.clear()
 
         for n, keys, counts in _unpacked(batches):
@@ -427,6 +444,16 @@ def _full_rows(full):
     return run
 
 
+def _range_sums(least: int):
+    """The keys of a range that were counted ``least`` times or more."""
+    def run(t: pa.Table) -> pa.Table:
+        k, c = _sum(*zip(*map(_unpack, t["keys"].to_pylist(), t["counts"].to_pylist())))
+        keep = c >= least
+        level = pa.array(np.full(int(keep.sum()), t["level"][0].as_py(), np.int8))
+        return pa.table({"level": level, "k": pa.array(k[keep].view(np.int64)), "a": pa.array(c[keep])})
+    return run
+
+
 def _is_full(bits: bytes, keys: np.ndarray, level: int) -> np.ndarray:
     at = _buckets(keys, level)
     return (np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

@@ -96,3 +96,35 @@ def test_query_against_sql(llm):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = con.execute(f"SELECT lang, rank, phrase, a, l, r, n, score FROM ({ORACLES['op13_collocations']})").fetchall()
     assert have == set(want) and len(want) > 100
+
+
+def _packed_frame(spark, level, keys, pieces, parts):
+    rows = [(level, bytearray(k), bytearray(c)) for k, c in (dic._packed(*np.unique(k, return_counts=True)) for k in np.array_split(keys, pieces))]
+    return spark.createDataFrame(rows, dic.PACKED).repartition(parts)
+
+
+def test_exact_sums_move_packed_ranges(llm):
+    """Counted keys travel packed, some rows a task and range, and are summed exactly."""
+    keys = np.random.default_rng(2).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    keys = np.concatenate([keys] + [keys[:300]] * 9)
+    full = llm.sparkContext.broadcast([b"", b"\xff" * (1 << dic.PHRASE_BITS - 3)])
+    dealt = _packed_frame(llm, 2, keys, 40, 4).mapInArrow(dic._by_range(full), "level byte, range int, keys binary, counts binary")
+    rows = dealt.groupBy("range").count().collect()
+    assert len(rows) == 1 << dic.RANGE_BITS and max(r["count"] for r in rows) <= 4
+    got = dealt.groupBy("level", "range").applyInArrow(dic._range_sums(10), "level byte, k long, a long").collect()
+    assert {(r.level, r.k % (1 << 64), r.a) for r in got} == {(2, int(k), 10) for k in keys[:300]}
+
+
+def test_a_task_sends_a_block_of_counters_once(llm, monkeypatch):
+    monkeypatch.setattr(dic, "SUM_KEYS", 4096)                   # several sums a task
+    keys = np.random.default_rng(3).integers(0, 1 << 64, 30_000, dtype=np.uint64)
+    packed = _packed_frame(llm, 2, np.concatenate([keys, keys]), 30, 3).localCheckpoint()
+    want = np.minimum(np.bincount(dic._buckets(keys, 2), minlength=1 << dic.PHRASE_BITS) * 2, dic.NEVER - 1)
+    blocks = packed.mapInArrow(dic._count_blocks, "level byte, block int, part int, counts binary").groupBy("block", "part").count()
+    assert {r["count"] for r in blocks.collect()} == {1}
+    for fan_in in (128, 2):                                      # one round, two rounds
+        monkeypatch.setattr(dic, "FAN_IN", fan_in)
+        have = np.zeros(1 << dic.PHRASE_BITS, np.int64)
+        for _, base, counts in dic._hashed_counts(packed):
+            have[base:base + dic.BLOCK] += counts
+        assert (have == want).all()
