@@ -82,3 +82,29 @@ def test_exact_quantiles_per_group_probability(spark):
     for _, row in out.iterrows():
         vals = pdf.loc[pdf["g"] == row["g"], "v"].dropna().values
         assert abs(row["q"] - np.percentile(vals, want[row["g"]] * 100)) < 1e-12
+
+
+def test_quantiles_by_digits_count_and_move_no_rows(spark, monkeypatch):
+    from ledgerlens.functions import ordered as O
+    from ledgerlens.operators import clean as C
+
+    rng = np.random.default_rng(9)
+    n = 20_000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "few": rng.integers(0, 3, n) * 1.0, "near": 1.6e9 + rng.random(n) * 1e-3, "none": np.nan,
+                        "gaps": np.where(rng.random(n) < 0.3, np.nan, -1e6 * rng.lognormal(size=n)), "zero": rng.choice([0.0, -0.0, 5e-324, 2.0], n)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 1.0]
+    for few, buckets in ((100_000, 1 << 20), (0, 1 << 8)):
+        monkeypatch.setattr(O, "DIGIT_FEW", few)
+        monkeypatch.setattr(O, "DIGIT_BUCKETS", buckets)
+        got = O.wide_quantiles(df, list(pdf.columns), probs)
+        assert got.pop("none") is None
+        for c, values in got.items():
+            v, at = np.sort(pdf[c].dropna()), [(pdf[c].count() - 1) * p for p in probs]
+            assert values == [O._linear_value(v[int(np.floor(x))], v[int(np.ceil(x))], x - np.floor(x)) for x in at], c
+            np.testing.assert_allclose(values, np.quantile(v, probs), rtol=1e-12)
+    # the old way turned every value into a row
+    def no_rows(*_):
+        raise AssertionError("rows were unpivoted")
+    monkeypatch.setattr("pyspark.sql.DataFrame.unpivot", no_rows)
+    assert {r["column"] for r in C.column_quantiles(df, list(pdf.columns), [0.5], ["m"]).collect()} == set(pdf.columns) - {"none"}
