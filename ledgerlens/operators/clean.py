@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.ordered import exact_quantiles, running, wide_quantiles
+from ledgerlens.functions.skew import group_lookup
 from ledgerlens.functions.stats import clean_double, group_mode, lenient_double, lenient_timestamp, unit_hash
 from ledgerlens.operators.profile import numeric_columns
-from ledgerlens.session import fitted_params
+from ledgerlens.session import TASK_ROWS, cut_lineage, fitted_params, shuffle_partitions, sized_partitions
 
 # Fixed values that must equal the reference's behaviour.
 INDICATOR_MAP = {"Yes": 1, "Y": 1, "No": 0, "N": 0, "Unknown": 0}
@@ -145,10 +146,19 @@ def forward_backward_fill(df: DataFrame, col: str, order_cols: Sequence[str], gr
     dt = df.schema[col].dataType
     is_ts = isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType))
     v = F.unix_micros(F.col(col).cast("timestamp")) if is_ts else F.col(col).cast("double")
-    src = df.withColumn("_ff_v", v)
-    fwd = running(src, list(order_cols), ["_ff_v"], group_cols, "last", ["_ff_f"])
-    bwd = running(fwd, [F.col(c).desc() for c in order_cols], ["_ff_f"], group_cols, "last", ["_ff_b"])
-    filled = F.col("_ff_b")
+    group_cols = list(group_cols)
+    spare = [] if col in (*order_cols, *group_cols) else [col]           # the column itself need not travel
+    src = df.withColumn("_ff_v", v).drop(*spare)
+    fwd = running(src, list(order_cols), ["_ff_v"], group_cols, "last", ["_ff_f"], sized_partitions(df.sparkSession, df))
+    # rows before a group's first value take that value: no second ordered pass
+    known = src.select(*group_cols, F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
+                                             F.col("_ff_v").cast("double").alias("_ff_b")).alias("_ff_a")).where(~F.isnan("_ff_a._ff_b"))
+    first = known.where(F.col("_ff_a._ff_b").isNotNull()).groupBy(*group_cols).agg(F.min("_ff_a")["_ff_b"].alias("_ff_b"))
+    if group_cols:
+        bwd = group_lookup(fwd, first, group_cols)
+    else:
+        bwd = fwd.withColumn("_ff_b", _lit(fitted_params(first, 1)[0]["_ff_b"]))
+    filled = F.coalesce("_ff_f", "_ff_b")
     if is_ts:
         filled = F.timestamp_micros(filled.cast("bigint"))
         if isinstance(dt, T.TimestampNTZType):
@@ -287,8 +297,15 @@ def clean_extract(df: DataFrame, order: Sequence[str], indicators: Sequence[str]
             or gaps["_n"] - gaps[c] <= max_missing * gaps["_n"]]
     filled = median_fill(typed.select(*keep), [amount])
     filled = forward_backward_fill(filled, date, list(order))
-    valid = drop_invalid(fill_missing(filled, mode_cols), amount, date, record_key)
-    return quantile_clip(valid, numeric_features(valid), *clip) if clip else valid
+    filled = fill_missing(filled, mode_cols)
+    n = -(-gaps["_n"] // TASK_ROWS)
+    if n > shuffle_partitions(df.sparkSession):
+        filled = filled.repartition(n, *filled.columns)          # the distinct below needs no exchange of its own
+    valid = drop_invalid(filled, amount, date, record_key)
+    if not clip:
+        return valid
+    valid = cut_lineage(valid)                               # the quantiles read it several times
+    return quantile_clip(valid, numeric_features(valid), *clip)
 
 
 # ---------------------------------------------------------------- B18–B20, B24

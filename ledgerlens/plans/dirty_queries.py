@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import baseline as B
 from ledgerlens.operators import clean as C
-from ledgerlens.plans.flagship import rounded
+from ledgerlens.plans.flagship import rounded, with_record_id
 from ledgerlens.plans.io_queries import CUT, _batches
 from ledgerlens.plans.registry import register
-from ledgerlens.session import cut_lineage, scratch_path
+from ledgerlens.session import compiled_methods, cut_lineage, scratch_path
 from ledgerlens.sources.tables import payments, table
 from ledgerlens.streaming import intake as ST
 
@@ -96,8 +96,12 @@ q AS (SELECT """ + ", ".join(f"quantile_cont({c}, 0.001) AS {c}_lo, quantile_con
 
 
 def _cleaned(spark, sf):
+    """(raw extract, cleaned extract), row keys as 16 bytes (``with_record_id`` spells
+    them; their order is the same)."""
     # read once per statistic: the parsed extract is written first
-    return C.clean_extract(cut_lineage(dirty_payments(spark, sf)), ["record_id"], ["ownership_indicator"], MODES)
+    compiled_methods(spark)
+    raw = cut_lineage(dirty_payments(spark, sf).withColumn("record_id", F.unhex("record_id")))
+    return raw, C.clean_extract(raw, ["record_id"], ["ownership_indicator"], MODES)
 
 
 @register("b_dirty_clean", CLEANED_SQL + """
@@ -105,7 +109,8 @@ SELECT record_id, recipient_id, recipient_type, recipient_state, form, nature, C
        """ + ", ".join(f"round(least(greatest({c}, {c}_lo), {c}_hi), 6) AS {c}" for c in NUMBERS) + " FROM valid, q")
 def b_dirty(spark, sf):
     """The whole cleaning path; the column ``note``, nearly empty, is dropped."""
-    return rounded(_cleaned(spark, sf).withColumn("date_of_payment", F.date_format("date_of_payment", "yyyy-MM-dd")))
+    cleaned = with_record_id(_cleaned(spark, sf)[1])
+    return rounded(cleaned.withColumn("date_of_payment", F.date_format("date_of_payment", "yyyy-MM-dd")))
 
 
 @register("b16_dirty_retention", CLEANED_SQL + """
@@ -113,7 +118,7 @@ SELECT (SELECT count(*) FROM dirty) AS records_before, (SELECT count(*) FROM val
        (SELECT count(*) FROM dirty) - (SELECT count(*) FROM valid) AS records_removed,
        round((SELECT count(*) FROM valid) * 100.0 / (SELECT count(*) FROM dirty), 6) AS retention_pct""")
 def b16_dirty(spark, sf):
-    return C.retention_report(dirty_payments(spark, sf), _cleaned(spark, sf))
+    return C.retention_report(*_cleaned(spark, sf))
 
 
 #: natures are checked against the priorities of urgent and high orders

@@ -77,16 +77,17 @@ def payments(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, .
     cols = list(PAYMENT_COLS) if columns is None else list(columns)
     need = set().union(*[_NEEDS.get(c, set()) for c in cols])
     li = table(spark, sf_dir, "lineitem")
-    j = li.select(*([record_key(li).alias("record_id")] if "record_id" in cols else []), *LINEITEM_COLS)
+    j = li.select(*([F.unhex(record_key(li)).alias("record_id")] if "record_id" in cols else []), *LINEITEM_COLS)
     if need & {"orders", "customer", "nation"}:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+        # the recipient's columns hang on the orders: line items move once, with a key of 16 bytes
+        if need & {"customer", "nation"}:
+            cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+            if "nation" in need:
+                nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+                cust = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            orders = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
         j = j.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    if need & {"customer", "nation"}:
-        cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        j = j.join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
-    if "nation" in need:
-        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-        j = j.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     if "part" in need:
         part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
         j = j.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
@@ -94,7 +95,7 @@ def payments(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, .
         supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
         j = j.join(supp, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     exprs = {
-        **({"record_id": F.col("record_id")} if "record_id" in cols else {}),
+        **({"record_id": F.lower(F.hex("record_id"))} if "record_id" in cols else {}),
         "recipient_id": F.col("o_custkey"),
         "recipient_type": F.col("c_mktsegment"),
         "recipient_state": F.col("n_name"),

@@ -53,3 +53,34 @@ def test_select_present_first_present_numeric_features(spark):
     assert kept.columns == ["amount", "state"] and missing == ["physician_specialty"]
     assert C.first_present(df, ["nope", "recipient_id"]) == "Recipient_ID"
     assert C.numeric_features(df) == ["amount"]
+
+
+def test_clean_extract_moves_its_rows_twice(spark, monkeypatch):
+    import pandas as pd
+
+    from ledgerlens.functions import ordered as O
+
+    n = 400
+    day = ["13/45/2020" if i < 5 or i % 7 == 0 else f"03/{1 + i % 28:02d}/2021" for i in range(n)]
+    pdf = pd.DataFrame({"id": [f"{i:04d}" for i in range(n)], "recipient_id": "r", "recipient_state": " ny ", "amount": [str(i % 50) for i in range(n)],
+                        "date_of_payment": day, "number_of_payments": "2", "price": [float(i % 40) for i in range(n)]})
+    df = spark.createDataFrame(pd.concat([pdf, pdf[::9]]))
+    passes, plain = [], O.running
+    monkeypatch.setattr(C, "running", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    out = C.clean_extract(df, ["id"], mode_cols=(), clip=(0.0, 0.5))
+    assert len(passes) == 1                                  # forward fill; the backward fill needs no second ordered pass
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()        # the distinct rows are written
+    got = out.toPandas().sort_values("id")
+    exp = pd.to_datetime(pdf["date_of_payment"], format="%m/%d/%Y", errors="coerce").ffill().bfill()
+    keep = pdf["amount"] != "0"
+    assert got["id"].tolist() == pdf["id"][keep].tolist()
+    assert got["date_of_payment"].dt.strftime("%Y-%m-%d").tolist() == exp[keep].dt.strftime("%Y-%m-%d").tolist()
+    assert got["price"].max() == float(pdf["price"][keep].quantile(0.5))
+
+
+def test_fill_of_rows_before_a_groups_first_value(spark):
+    rows = [("a", 1, None), ("a", 2, 5.0), ("a", 3, None), ("b", 1, None), ("b", 2, None), (None, 1, None), (None, 2, 7.0)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {(r["g"], r["k"]): r["v"] for r in C.forward_backward_fill(df, "v", ["k"], ["g"]).collect()}
+    assert got == {("a", 1): 5.0, ("a", 2): 5.0, ("a", 3): 5.0, ("b", 1): None, ("b", 2): None, (None, 1): 7.0, (None, 2): 7.0}
+    assert C.forward_backward_fill(df.where("v IS NULL"), "v", ["k"]).where("v IS NOT NULL").count() == 0
